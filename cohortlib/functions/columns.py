@@ -12,7 +12,8 @@ from cohortlib.functions.nulls import _col, if_known
 from cohortlib.spec import Bands
 
 __all__ = ["band", "banded", "map_values", "recode", "any_flag", "first_word", "rate_per", "round_half_even",
-           "used_flag", "percent_text", "level_key", "overlap", "no_yes", "discharge_year"]
+           "used_flag", "percent_text", "level_key", "overlap", "no_yes", "discharge_year",
+           "row_count"]
 
 
 def band(c: Column | str, cuts: Sequence[float], labels: Sequence[str], null_label: str | None = None) -> Column:
@@ -73,6 +74,10 @@ def round_half_even(c: Column | str, digits: int) -> Column:
     return F.bround(_col(c), digits)
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def used_flag(c: Column | str) -> Column:
     """A day or event count that exists means the service was used."""
     return F.when(_col(c).isNull(), "No").otherwise("Yes")
