@@ -8,11 +8,14 @@ partition and the partial aggregation after it keeps the follow-up exchange smal
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortlib.functions.columns import map_values, overlap
+from cohortlib.operators.skew import join_one, with_lookup
 from cohortlib.spec import AFTER_MEASURES, AUTH, MEASURES, MEASURES_WITHOUT_LOC, MEMBER, RunSpec
 
 # One line of the long extract, before the member's attributes are attached.
@@ -57,7 +60,7 @@ def _lookback(spec: RunSpec) -> Column:
     return F.date_sub("sb", spec.year_days * spec.prior_years)
 
 
-def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
+def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
     """One pass over the authorizations around each index episode.
 
     Readmission is the earliest other episode that begins within the follow-up days after discharge.
@@ -70,7 +73,7 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFra
         "member", F.col("auth").alias("o_auth"), F.col("sb").alias("o_sb"), F.col("se").alias("o_se"),
         F.col("code").alias("o_code"))
     near = (F.col("o_auth") != F.col("auth")) & (F.col("o_sb") <= last_day) & (F.col("o_se") >= _lookback(spec))
-    joined = index.join(other, "member").where(near)
+    joined = join_one(other, index, "member", hot).where(near)
     follow_up = F.col("o_sb").between(F.col("se"), last_day)
     index_set = F.col("o_code").isin(*spec.index_codes)
     counts = []
@@ -82,9 +85,9 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFra
         F.count_if(index_set & follow_up).alias("n_adm"), *counts)
 
 
-def find_readmission(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
+def find_readmission(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
     """Index episodes with the readmission (null when there is none) and the days until it."""
-    history = episode_history(index, auth, spec)
+    history = episode_history(index, auth, spec, hot)
     return with_readmission(index.join(history.select("member", "readmit"), "member", "left"))
 
 
@@ -96,9 +99,9 @@ def with_readmission(joined: DataFrame) -> DataFrame:
         F.datediff(readmit_sb, "se").alias("days_to_readmit"))
 
 
-def episodes(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
+def episodes(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
     """Index episodes with readmission, event counts and the window after discharge."""
-    joined = with_readmission(index.join(episode_history(index, auth, spec), "member", "left"))
+    joined = with_readmission(index.join(episode_history(index, auth, spec, hot), "member", "left"))
     return after_window(joined, spec)
 
 
@@ -117,19 +120,16 @@ def prior_windows(index: DataFrame, spec: RunSpec) -> DataFrame:
 
 
 def loc_grouping(services: DataFrame, loc_dim: DataFrame, age_group: str) -> DataFrame:
-    """Attach the level of care of the age group; null for codes outside every group.
-
-    No broadcast hint: the planner compares the mapping's size with its threshold by itself."""
-    names = loc_dim.where(F.col("age_group") == age_group).select("code", "LOC")
-    return services.join(names, "code", "left")
+    """Attach the level of care of the age group; null for codes outside every group."""
+    return with_lookup(services, loc_dim.where(F.col("age_group") == age_group).select("code", "LOC"), "code")
 
 
-def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool) -> DataFrame:
+def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool, hot: Sequence) -> DataFrame:
     """Spans joined to their member's index episode, limited to the studied time."""
     last_day = F.col("after_e") if after else F.col("sb")
     cols = ["member", "sb"] + (["after_b", "after_e"] if after else [])
     latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)   # static bound, reaches the scan
-    return (spans.where(F.col("b") < latest).join(index.select(*cols), "member")
+    return (join_one(spans.where(F.col("b") < latest), index.select(*cols), "member", hot)
             .where((F.col("b") < last_day) & (F.col("e") > _lookback(spec))))
 
 
@@ -137,18 +137,20 @@ def _year_overlaps(spec: RunSpec) -> dict[str, Column]:
     return {f"y{y}": F.sum(overlap(F.col("b"), F.col("e"), *_year_bounds(spec, y))) for y in spec.years}
 
 
-def service_days(index: DataFrame, services: DataFrame, loc_dim: DataFrame, spec: RunSpec) -> DataFrame:
+def service_days(index: DataFrame, services: DataFrame, loc_dim: DataFrame, spec: RunSpec,
+                 hot: Sequence = ()) -> DataFrame:
     """Days per member, level of care and service line in the window after discharge (``after``) and
     in each prior year (``y1`` ...). All windows come out of one join and one aggregation."""
-    near = _near_spans(index, loc_grouping(services, loc_dim, spec.age_group), spec, after=True)
+    near = _near_spans(index, loc_grouping(services, loc_dim, spec.age_group), spec, True, hot)
     after = F.sum(overlap(F.col("b"), F.col("e"), F.col("after_b"), F.col("after_e")))
     aggs = {"after": after, **_year_overlaps(spec)}
     return near.groupBy("member", "LOC", "sub").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def overlap_days(spans: DataFrame, index: DataFrame, spec: RunSpec, keys: tuple[str, ...] = ()) -> DataFrame:
+def overlap_days(spans: DataFrame, index: DataFrame, spec: RunSpec, keys: tuple[str, ...] = (),
+                 hot: Sequence = ()) -> DataFrame:
     """Days of the spans inside each prior year; overlapping spans count each."""
-    near = _near_spans(index, spans, spec, after=False)
+    near = _near_spans(index, spans, spec, False, hot)
     return near.groupBy("member", *keys).agg(*[c.alias(n) for n, c in _year_overlaps(spec).items()])
 
 
@@ -169,24 +171,24 @@ def merge_spans(spans: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...]
             .drop("island"))
 
 
-def covered_days(index: DataFrame, spans: DataFrame, spec: RunSpec) -> DataFrame:
+def covered_days(index: DataFrame, spans: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
     """Distinct calendar days covered by the spans in each prior year (a day counts once)."""
-    near = _near_spans(index, spans, spec, after=False).select(
+    near = _near_spans(index, spans, spec, False, hot).select(
         "member", "sb", F.greatest("b", _lookback(spec)).alias("b"), F.least("e", "sb").alias("e"))
     merged = merge_spans(near, ("member",), carry=("sb",))
     return merged.groupBy("member").agg(*[c.alias(n) for n, c in _year_overlaps(spec).items()])
 
 
-def active_on(spans: DataFrame, index: DataFrame) -> DataFrame:
+def active_on(spans: DataFrame, index: DataFrame, hot: Sequence = ()) -> DataFrame:
     """1 when a span holds the day of admission."""
-    joined = spans.join(index.select("member", "sb"), "member")
+    joined = join_one(spans, index.select("member", "sb"), "member", hot)
     return joined.groupBy("member").agg(
         F.max(F.when((F.col("b") <= F.col("sb")) & (F.col("e") > F.col("sb")), 1).otherwise(0)).alias("active"))
 
 
-def lasted_months(spans: DataFrame, index: DataFrame, months: int) -> DataFrame:
+def lasted_months(spans: DataFrame, index: DataFrame, months: int, hot: Sequence = ()) -> DataFrame:
     """1 when a span reached ``months`` months by the day of admission."""
-    joined = spans.join(index.select("member", "sb"), "member").where(F.col("b") < F.col("sb"))
+    joined = join_one(spans, index.select("member", "sb"), "member", hot).where(F.col("b") < F.col("sb"))
     reached = F.add_months("b", months) <= F.least("e", "sb")
     return joined.groupBy("member").agg(F.max(F.when(reached, 1).otherwise(0)).alias("lasted"))
 
@@ -207,21 +209,22 @@ def _has_grouped(lines: str, measure: str) -> Column:
     return F.exists(lines, lambda x: (x["Measure_Name"] == measure) & x["LOC"].isNotNull())
 
 
-def measure_lines(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
+def measure_lines(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence]) -> DataFrame:
     """All measure lines of each member as one array column, with a placeholder line (no period, no
     level of care, zero days) for every measure the member has no grouped line in."""
-    services = service_days(eps, inputs.services, inputs.loc_dim, spec)
+    of = lambda relation: hot.get(relation, ())
+    services = service_days(eps, inputs.services, inputs.loc_dim, spec, of("services"))
     svc_lines = [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after"))]
     svc_lines += _year_lines(spec, "Prior Service", F.col("LOC"))
     parts = {
         "svc": _collect(services, svc_lines, "svc"),
-        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",)),
+        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",), of("additional")),
                         _year_lines(spec, "Additional Service", F.col("LOC")), "add"),
-        "elig": covered_days(eps, inputs.eligibility, spec).select(
+        "elig": covered_days(eps, inputs.eligibility, spec, of("eligibility")).select(
             "member", _lines_with_days(_year_lines(spec, "Eligibility", None)).alias("elig")),
     }
     # DHS involvement is delivered for every age group; the adult cleaning rules remove it again.
-    parts["dhs"] = covered_days(eps, inputs.dhs, spec).select(
+    parts["dhs"] = covered_days(eps, inputs.dhs, spec, of("dhs")).select(
         "member", _lines_with_days(_year_lines(spec, "DHS", None)).alias("dhs"))
     out = eps
     for frame in parts.values():
@@ -239,15 +242,19 @@ def measure_lines(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
     return out.withColumn("lines", lines).drop("found")
 
 
-def to_extract(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
+def admission_flags(eps: DataFrame, inputs, hot: Mapping[str, Sequence] = {}) -> DataFrame:
+    """DHS involvement on the day of admission, and a BHRS episode of 18 months by then (0/1)."""
+    return (eps.select("member")
+            .join(lasted_months(inputs.bhrs, eps, 18, hot.get("bhrs", ())), "member", "left")
+            .join(active_on(inputs.dhs, eps, hot.get("dhs", ())), "member", "left")
+            .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"),
+                    F.coalesce("active", F.lit(0)).alias("active")))
+
+
+def to_extract(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence] = {}) -> DataFrame:
     """The long extract: one line per index episode, measure, period and level of care."""
-    flags = (
-        eps.select("member", "sb")
-        .join(lasted_months(inputs.bhrs, eps, 18), "member", "left")
-        .join(active_on(inputs.dhs, eps), "member", "left")
-        .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"), F.coalesce("active", F.lit(0)).alias("active")))
-    wide = (measure_lines(eps, inputs, spec)
-            .join(flags, "member", "left")
+    wide = (measure_lines(eps, inputs, spec, hot)
+            .join(admission_flags(eps, inputs, hot), "member", "left")
             .join(inputs.members, "member", "left"))
     none = F.lit(None).cast("string")
     return wide.select(

@@ -1,0 +1,46 @@
+"""Many-to-one joins when a few keys own a large part of the rows.
+
+The adaptive skew join splits a hot partition only when both sides come straight from an exchange,
+which is not so when one side was just aggregated by the key. The split is therefore made here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT_KEYS = 1_000
+LOOKUP_LIMIT = 10_000
+
+
+def hot_keys(facts: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
+    """Keys with more than 1/1000 of all rows and at least ``min_rows`` (a task copes with fewer).
+
+    One narrow scan with a frequent-items sketch of fixed size per task. The counts are estimates, but
+    they only choose the route of a key, not its result; at most 1000 keys can pass the test."""
+    row = facts.agg(F.count(F.lit(1)).alias("n"),
+                    F.expr(f"approx_top_k(`{key}`, {MAX_HOT_KEYS}, {10 * MAX_HOT_KEYS})").alias("top")).first()
+    least = max(min_rows, row["n"] / MAX_HOT_KEYS)
+    return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least]
+
+
+def join_one(facts: DataFrame, one: DataFrame, key: str, hot: Sequence = ()) -> DataFrame:
+    """Inner join of many fact rows to a table with one row per key.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys' few rows (at most one per
+    hot key, so at most 1000); all others take the ordinary shuffled join."""
+    if not hot:
+        return facts.join(one, key)
+    is_hot = F.col(key).isin(*hot)
+    few = F.broadcast(one.where(is_hot))
+    return facts.where(~is_hot).join(one, key).unionByName(facts.where(is_hot).join(few, key))
+
+
+def with_lookup(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of a code table. It is broadcast when counting shows that it is small: a local table
+    carries no size for the planner, and a shuffle of the facts by a code of a few values would put
+    everything in a few tasks."""
+    small = lookup.limit(LOOKUP_LIMIT + 1).count() <= LOOKUP_LIMIT
+    return facts.join(F.broadcast(lookup) if small else lookup, key, "left")

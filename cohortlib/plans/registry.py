@@ -33,12 +33,8 @@ def _query(spec: RunSpec, build: Callable[[Study], DataFrame]) -> Query:
 
 # ---- cohort building, from the raw tables -----------------------------------------------------------
 
-def _index(st: Study) -> DataFrame:
-    return cohort.index_episodes(st.inputs.auth, st.spec)
-
-
 def _windows_of(st: Study) -> DataFrame:
-    found = cohort.find_readmission(_index(st), st.inputs.auth, st.spec)
+    found = cohort.find_readmission(st.index, st.inputs.auth, st.spec, st.hot["auth"])
     return cohort.after_window(found, st.spec).select(
         "member", "auth", "sb", "se", "readmit_auth", "readmit_sb", "days_to_readmit", "after_b", "after_e")
 
@@ -49,16 +45,10 @@ def _grouped_services(st: Study) -> DataFrame:
 
 
 def _ip_counts(st: Study) -> DataFrame:
-    history = cohort.episode_history(_index(st), st.inputs.auth, st.spec)
+    history = cohort.episode_history(st.index, st.inputs.auth, st.spec, st.hot["auth"])
     return history.select("member", "n_adm", *[f"n_dc_{y}" for y in st.spec.years])
 
 
-def _flags(st: Study) -> DataFrame:
-    return (st.episodes.select("member", "sb").join(cohort.lasted_months(st.inputs.bhrs, st.episodes, 18), "member", "left")
-            .join(cohort.active_on(st.inputs.dhs, st.episodes), "member", "left")
-            .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"), F.coalesce("active", F.lit(0)).alias("active")))
-
-
 def _csv_round_trip(st: Study) -> DataFrame:
     """Deliver the extract as a CSV file, read it back with its schema and clean it."""
     delivered = cohort.as_delivered(st.extract).select(*EXTRACT_SCHEMA.fieldNames())
@@ -76,24 +66,24 @@ def _typed_lines(clean: DataFrame) -> DataFrame:
 def _cohort() -> dict[str, Query]:
     both = {"adult": ADULT, "child": CHILD}
     out = {
-        "index_episodes": _query(ADULT, lambda st: _index(st).drop("first_ever")),
-        "first_episode_ever": _query(ADULT, lambda st: _index(st).select("member", "first_ever")),
+        "index_episodes": _query(ADULT, lambda st: st.index.drop("first_ever")),
+        "first_episode_ever": _query(ADULT, lambda st: st.index.select("member", "first_ever")),
         "readmission_windows": _query(ADULT, _windows_of),
-        "prior_windows": _query(ADULT, lambda st: cohort.prior_windows(_index(st), st.spec)),
-        "member_attributes": _query(ADULT, lambda st: _index(st).select("member").join(st.inputs.members, "member", "left")),
+        "prior_windows": _query(ADULT, lambda st: cohort.prior_windows(st.index, st.spec)),
+        "member_attributes": _query(ADULT, lambda st: st.index.select("member").join(st.inputs.members, "member", "left")),
         "ip_counts": _query(ADULT, _ip_counts),
         "merged_eligibility": _query(ADULT, lambda st: cohort.merge_spans(st.inputs.eligibility, ("member",))),
-        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.inputs.eligibility, st.spec)),
-        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.inputs.dhs, st.spec)),
-        "admission_flags": _query(CHILD, _flags),
+        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.inputs.eligibility, st.spec, st.hot["eligibility"])),
+        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.inputs.dhs, st.spec, st.hot["dhs"])),
+        "admission_flags": _query(CHILD, lambda st: cohort.admission_flags(st.episodes, st.inputs, st.hot)),
         "extract_csv_round_trip": _query(ADULT, _csv_round_trip),
     }
     for name, spec in both.items():
         out[f"loc_grouping_{name}"] = _query(spec, _grouped_services)
         out[f"service_days_{name}"] = _query(
-            spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec))
+            spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec, st.hot["services"]))
         out[f"additional_days_{name}"] = _query(
-            spec, lambda st: cohort.overlap_days(st.inputs.additional, st.episodes, st.spec, ("LOC",)))
+            spec, lambda st: cohort.overlap_days(st.inputs.additional, st.episodes, st.spec, ("LOC",), st.hot["additional"]))
         out[f"extract_{name}"] = _query(spec, lambda st: _typed_lines(st.clean))
     return out
 
@@ -227,18 +217,14 @@ def _utilization() -> dict[str, Query]:
 
 # ---- modelling ----------------------------------------------------------------------------------------
 
-def _fit(st: Study, covariates=None) -> cox.CoxFit:
-    return cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", covariates or st.spec.covariates)
-
-
 def _hazard_ratios(st: Study) -> DataFrame:
-    tidy = survival.hazard_ratio_columns(cox.tidy_cox(st.spark, _fit(st)), st.spec.alpha)
+    tidy = survival.hazard_ratio_columns(cox.tidy_cox(st.spark, st.fit), st.spec.alpha)
     return survival.label_terms(tidy, survival.term_labels(st.spec))
 
 
 def _los_model(st: Study) -> DataFrame:
     cov = next(c for c in st.spec.covariates if c.name == "LOScat")
-    return cox.tidy_cox(st.spark, _fit(st, [cov]))
+    return cox.tidy_cox(st.spark, cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", [cov]))
 
 
 def _modelling() -> dict[str, Query]:
@@ -249,8 +235,8 @@ def _modelling() -> dict[str, Query]:
             f"model_table_{name}": _query(spec, lambda st: st.model),
             f"cox_hazard_ratios_{name}": _query(spec, _hazard_ratios),
             f"cox_significant_{name}": _query(spec, lambda st: survival.significant(_hazard_ratios(st))),
-            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, _fit(st))),
-            f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(_fit(st))),
+            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit)),
+            f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(st.fit)),
         }
         for col in spec.km_strata:
             key = {"Flag_Active_DHS_Status": "dhs"}.get(col, col.lower())
@@ -279,7 +265,7 @@ def all_queries() -> dict[str, Query]:
 def readmission_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readmission rate and length of stay by gender, straight from the raw tables."""
     st = study(spark, sf_dir, ADULT)
-    found = cohort.find_readmission(_index(st), st.inputs.auth, st.spec)
+    found = cohort.find_readmission(st.index, st.inputs.auth, st.spec, st.hot["auth"])
     rows = found.join(st.inputs.members, "member", "left").withColumn("LOS", F.datediff("se", "sb")).where(F.col("LOS") > 0)
     stats = describe.summary_columns("LOS", "LOS")
     return rounded(rows.groupBy("Gender_Label").agg(

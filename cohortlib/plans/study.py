@@ -12,7 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.operators import cleaning, cohort, reshape
+from cohortlib.operators import cleaning, cohort, cox, reshape
+from cohortlib.operators.skew import hot_keys
 from cohortlib.session import new_stage_dir, tune
 from cohortlib.sources.extract import read_stage, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
@@ -28,15 +29,24 @@ class Study:
         write_stage(df, self.stage_dir, name, partition_by=partition_by)
         return read_stage(self.spark, self.stage_dir, name)
 
+    @cached_property
+    def hot(self) -> dict[str, list]:
+        """Members with a large part of the rows, per input relation."""
+        names = ("auth", "services", "eligibility", "additional", "dhs", "bhrs")
+        return {name: hot_keys(getattr(self.inputs, name), "member") for name in names}
+
+    @property
+    def index(self) -> DataFrame:
+        return cohort.index_episodes(self.inputs.auth, self.spec)
+
     @cached_property
     def episodes(self) -> DataFrame:
         """One row per member: index episode, readmission, event counts, window after discharge."""
-        index = cohort.index_episodes(self.inputs.auth, self.spec)
-        return self._staged("episodes", cohort.episodes(index, self.inputs.auth, self.spec))
+        return self._staged("episodes", cohort.episodes(self.index, self.inputs.auth, self.spec, self.hot["auth"]))
 
     @cached_property
     def extract(self) -> DataFrame:
-        return cohort.to_extract(self.episodes, self.inputs, self.spec)
+        return cohort.to_extract(self.episodes, self.inputs, self.spec, self.hot)
 
     @property
     def clean(self) -> DataFrame:
@@ -65,6 +75,11 @@ class Study:
     def model(self) -> DataFrame:
         return reshape.model_table(self.wide, self.spec)
 
+    @cached_property
+    def fit(self) -> cox.CoxFit:
+        """The hazard model with all covariates of the run."""
+        return cox.cox_ph(self.model, "SurvivalDays", "Flag_Readmit", self.spec.covariates)
+
     # -- denominators: scalar subqueries, evaluated inside the query that uses them ------------------
 
     @property
