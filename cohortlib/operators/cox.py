@@ -3,8 +3,8 @@
 Covariates are categories and time is whole days, so member rows are first counted per distinct
 (covariates, time, event) pattern. A Newton step is then two passes over the patterns:
 
-1. per day, the weighted sums of the members and of the events (one aggregation with
-   p + 1 sums, all built-in expressions); from these few rows the driver gets the risk-set sums;
+1. per day, the weighted sums of the members and of the events, p + 1 numbers each; from these few
+   rows the driver gets the risk-set sums;
 2. the weighted cross products of the covariates, where each pattern's weight already holds its
    share of all later risk sets, so one p x p matrix per partition is enough.
 
@@ -75,12 +75,21 @@ def _patterns(df: DataFrame, time: str, event: str, covariates: Sequence[Covaria
     return durable(counted), terms
 
 
-def _log_risk(beta: np.ndarray) -> Column:
-    score = F.lit(0.0)
-    for i, b in enumerate(beta):
-        if b != 0.0 and not math.isnan(b):
-            score = score + F.col(f"x{i}") * F.lit(float(b))
-    return score
+@dataclass
+class _Events:
+    """Constants of the fit: the days with rows, and per day the events and their covariate sums."""
+
+    days: np.ndarray
+    d: np.ndarray
+    dx: np.ndarray
+
+
+def _events(patterns: DataFrame, p: int) -> _Events:
+    sums = [F.sum(F.col("k") * F.col("e") * F.col(f"x{i}")).alias(f"d{i}") for i in range(p)]
+    rows = patterns.groupBy("t").agg(F.sum(F.col("k") * F.col("e")).alias("d"), *sums).collect()  # one per day
+    rows.sort(key=lambda r: r["t"])
+    return _Events(np.array([r["t"] for r in rows]), np.array([r["d"] for r in rows], dtype=float),
+                   np.array([[r[f"d{i}"] for i in range(p)] for r in rows], dtype=float).reshape(len(rows), p))
 
 
 @dataclass
@@ -90,7 +99,6 @@ class _Sums:
     loglik: float
     score: np.ndarray
     mean_outer: np.ndarray
-    days: list[int]
     share_all: np.ndarray      # sum over ties of 1 / denominator
     share_tied: np.ndarray     # sum over ties of (l / d) / denominator
 
@@ -107,49 +115,50 @@ def _tie_sums(d: int, risk: float, tied: float, chunk: int = 1_000_000) -> np.nd
     return total
 
 
-def _first_pass(patterns: DataFrame, beta: np.ndarray) -> _Sums:
-    p = len(beta)
-    w = F.exp(_log_risk(beta)) * F.col("k")
-    sums = [F.sum("w").alias("s0")] + [F.sum(F.col("w") * F.col(f"x{i}")).alias(f"s{i + 1}") for i in range(p)]
-    xsum = [F.sum("k").alias("d")] + [F.sum(F.col("k") * F.col(f"x{i}")).alias(f"d{i + 1}") for i in range(p)]
-    rows = patterns.withColumn("w", w).groupBy("t", "e").agg(*sums, *xsum).collect()   # <= 2 x follow-up days
-    days = sorted({r["t"] for r in rows}, reverse=True)
-    at = {d: i for i, d in enumerate(days)}
-    risk = np.zeros((len(days), p + 1))
-    tied = np.zeros((len(days), p + 1))
-    d = np.zeros(len(days))
-    dx = np.zeros((len(days), p))
-    for r in rows:
-        i = at[r["t"]]
-        s = np.array([r["s0"]] + [r[f"s{j + 1}"] for j in range(p)], dtype=float)
-        risk[i] += s
-        if r["e"] == 1:
-            tied[i] = s
-            d[i] = r["d"]
-            dx[i] = [r[f"d{j + 1}"] for j in range(p)]
-    risk = risk.cumsum(axis=0)
-    used = np.where(beta == beta, beta, 0.0)
+def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events) -> _Sums:
+    """Weighted sums per day and event status, added up inside the tasks and then across them."""
+    p, days = len(beta), events.days
+    coef = np.where(beta == beta, beta, 0.0)
+    xs = [f"x{i}" for i in range(p)]
+    n_rows = 2 * len(days)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n_rows, p + 1))
+        for b in batches:
+            x = b[xs].to_numpy(dtype=float)
+            w = b["k"].to_numpy() * np.exp(x @ coef)
+            row = 2 * np.searchsorted(days, b["t"].to_numpy()) + b["e"].to_numpy()
+            total[:, 0] += np.bincount(row, w, n_rows)
+            for j in range(p):
+                total[:, j + 1] += np.bincount(row, w * x[:, j], n_rows)
+        row, col = np.nonzero(total)
+        yield pd.DataFrame({"row": row, "col": col, "v": total[row, col]})
+
+    found = (patterns.select("t", "e", "k", *xs).mapInPandas(sums, "row int, col int, v double")
+             .groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas())            # <= 2 x days x (p + 1) numbers
+    total = np.zeros((n_rows, p + 1))
+    total[found["row"], found["col"]] = found["v"]
+    tied = total[1::2]
+    risk = (total[0::2] + tied)[::-1].cumsum(axis=0)[::-1]
     loglik = 0.0
     score = np.zeros(p)
     outer = np.zeros((p, p))
     share_all, share_tied = np.zeros(len(days)), np.zeros(len(days))
-    for i in np.nonzero(d)[0]:
-        logs, u0, u1, v0, v1, v2 = _tie_sums(int(d[i]), risk[i, 0], tied[i, 0])
+    for i in np.nonzero(events.d)[0]:
+        logs, u0, u1, v0, v1, v2 = _tie_sums(int(events.d[i]), risk[i, 0], tied[i, 0])
         r, t = risk[i, 1:], tied[i, 1:]
-        loglik += float(dx[i] @ used) - float(logs)
-        score += dx[i] - (u0 * r - u1 * t)
+        loglik += float(events.dx[i] @ coef) - float(logs)
+        score += events.dx[i] - (u0 * r - u1 * t)
         outer += v0 * np.outer(r, r) - v1 * (np.outer(r, t) + np.outer(t, r)) + v2 * np.outer(t, t)
         share_all[i], share_tied[i] = u0, u1
-    return _Sums(loglik, score, outer, days, share_all, share_tied)
+    return _Sums(loglik, score, outer, share_all, share_tied)
 
 
-def _second_pass(patterns: DataFrame, beta: np.ndarray, sums: _Sums) -> np.ndarray:
+def _second_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, sums: _Sums) -> np.ndarray:
     """Information matrix. A member counts for every event day up to its own time; a tied event
     gives back the part Efron's correction takes off on its day."""
     p = len(beta)
-    days = np.array(sums.days[::-1])
-    upto = np.cumsum(sums.share_all[::-1])
-    tied = sums.share_tied[::-1]
+    days, upto, tied = events.days, np.cumsum(sums.share_all), sums.share_tied
     coef = np.where(beta == beta, beta, 0.0)
     xs = [f"x{i}" for i in range(p)]
 
@@ -191,8 +200,9 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate]
     if n_events == 0:
         raise ValueError("the model needs at least one event")
     beta = np.zeros(len(terms))
-    sums = _first_pass(patterns, beta)
-    info = _second_pass(patterns, beta, sums)
+    events = _events(patterns, len(terms))
+    sums = _first_pass(patterns, beta, events)
+    info = _second_pass(patterns, beta, events, sums)
     keep = _independent(info)
     solve = lambda m, v: np.linalg.solve(m[np.ix_(keep, keep)], v[keep])
     null, score0 = sums.loglik, float(sums.score[keep] @ solve(info, sums.score)) if keep.any() else 0.0
@@ -201,14 +211,14 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate]
         step += 1
         move = np.zeros_like(beta)
         move[keep] = solve(info, sums.score)
-        new = _first_pass(patterns, beta + move)
+        new = _first_pass(patterns, beta + move, events)
         halvings = 0
         while not new.loglik >= sums.loglik - 1e-9 * abs(sums.loglik) and halvings < 10:
             move, halvings = move / 2, halvings + 1
-            new = _first_pass(patterns, beta + move)
+            new = _first_pass(patterns, beta + move, events)
         converged = bool(abs(1 - sums.loglik / new.loglik) <= tol)
         beta, sums = beta + move, new
-        info = _second_pass(patterns, beta, sums)
+        info = _second_pass(patterns, beta, events, sums)
     wald = float(beta[keep] @ info[np.ix_(keep, keep)] @ beta[keep])
     se = np.full(len(beta), np.nan)
     if keep.any():
@@ -231,6 +241,14 @@ def tidy_cox(spark: SparkSession, fit: CoxFit) -> DataFrame:
                                        "p_value double, conf_low double, conf_high double")
 
 
+def _log_risk(beta: np.ndarray) -> Column:
+    score = F.lit(0.0)
+    for i, b in enumerate(beta):
+        if b != 0.0 and not math.isnan(b):
+            score = score + F.col(f"x{i}") * F.lit(float(b))
+    return score
+
+
 def concordance(fit: CoxFit) -> DataFrame:
     """Concordant, discordant and tied pairs of an event and a member still at risk after it.
 
