@@ -259,7 +259,7 @@ def concordance(fit: CoxFit) -> DataFrame:
     score = F.round(_log_risk(np.where(fit.used, fit.beta, 0.0)), 12)
     counted = (fit.patterns.groupBy(score.alias("score"), "t", "e").agg(F.sum("k").alias("k")))
     spread = counted.repartitionByRange("score").sortWithinPartitions("score").withColumn("part", F.spark_partition_id())
-    last = counted.agg(F.max("t")).first()[0]
+    last, block = counted.agg(F.max("t")).first()[0], 1_000
 
     def later(ev: np.ndarray, ce: np.ndarray) -> np.ndarray:
         """Members whose time is after each day, or censored on it."""
@@ -270,26 +270,33 @@ def concordance(fit: CoxFit) -> DataFrame:
         below = tied = above = 0.0
         part, held = -1, None
 
-        def take(group: pd.DataFrame):
-            """Pairs of one score with all lower scores seen so far, and within the score."""
-            nonlocal below, tied, above
-            ev, ce = np.zeros(last + 2), np.zeros(last + 2)
-            np.add.at(ev, group["t"][group["e"] == 1], group["k"][group["e"] == 1])
-            np.add.at(ce, group["t"][group["e"] == 0], group["k"][group["e"] == 0])
-            below += ev @ later(seen_event, seen_cens)      # event here, survivor with lower score
-            above += seen_event @ later(ev, ce)             # event with lower score, survivor here
-            tied += ev @ later(ev, ce)
-            seen_event[:] += ev
-            seen_cens[:] += ce
+        def take(rows: pd.DataFrame):
+            """Add whole scores in rising order, as matrices of scores x days."""
+            nonlocal below, tied, above, seen_event, seen_cens
+            scores, code = np.unique(rows["score"].to_numpy(), return_inverse=True)
+            t, e, k = rows["t"].to_numpy(), rows["e"].to_numpy(), rows["k"].to_numpy()
+            for start in range(0, len(scores), block):
+                here = (code >= start) & (code < start + block)
+                size = min(block, len(scores) - start)
+                both = np.zeros((2, size, last + 2))
+                np.add.at(both, (e[here], code[here] - start, t[here]), k[here])
+                ce, ev = both
+                surv_after = np.cumsum((ev + ce)[:, ::-1], axis=1)[:, ::-1]
+                stay = np.concatenate([surv_after[:, 1:], np.zeros((size, 1))], axis=1) + ce
+                lower_stay = np.cumsum(stay, axis=0) - stay + later(seen_event, seen_cens)
+                lower_event = np.cumsum(ev, axis=0) - ev + seen_event
+                below += float((ev * lower_stay).sum())          # event here, survivor with lower score
+                above += float((stay * lower_event).sum())       # event with lower score, survivor here
+                tied += float((ev * stay).sum())
+                seen_event, seen_cens = seen_event + ev.sum(axis=0), seen_cens + ce.sum(axis=0)
 
         for b in batches:
-            part = int(b["part"].iloc[0])
+            part = int(b["part"].iloc[0]) if len(b) else part
             b = b if held is None else pd.concat([held, b])
-            edge = b["score"].iloc[-1]
-            held = b[b["score"] == edge]
-            for _, g in b[b["score"] != edge].groupby("score", sort=True):
-                take(g)
-        if held is not None and len(held):
+            open_score = b["score"] == b["score"].iloc[-1]       # may go on in the next batch
+            held = b[open_score]
+            take(b[~open_score])
+        if held is not None:
             take(held)
         if part >= 0:
             yield pd.DataFrame({"part": part, "t": np.arange(last + 2), "ev": seen_event, "ce": seen_cens,
