@@ -249,6 +249,11 @@ def _log_risk(beta: np.ndarray) -> Column:
     return score
 
 
+def join_estimates(coefficients: DataFrame, limits: DataFrame) -> DataFrame:
+    """Put a table of coefficients and a table of confidence limits together by term."""
+    return coefficients.join(limits, "term", "inner")
+
+
 def concordance(fit: CoxFit) -> DataFrame:
     """Concordant, discordant and tied pairs of an event and a member still at risk after it.
 

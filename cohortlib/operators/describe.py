@@ -255,6 +255,12 @@ def band_share(df: DataFrame, value: str, bands: Bands, name: str, digits: int |
     return share_table(df.select(banded(value, bands).alias(name)), name, digits)
 
 
+def schema_listing(df: DataFrame) -> DataFrame:
+    """Position, name and type of every column; reads no data."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+
+
 def attribute_fanout(members: DataFrame) -> DataFrame:
     """Members with several attribute rows; they appear once per row in the wide table."""
     return members.groupBy(MEMBER).agg(row_count().alias("n")).where(F.col("n") > 1)

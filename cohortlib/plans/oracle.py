@@ -134,7 +134,7 @@ def _base(spec: RunSpec) -> list[tuple[str, str]]:
                        f"CASE WHEN c_nationkey % 3 = 0 THEN 'SA' ELSE 'MH' END AS MH_SA FROM customer"),
         ("svc_days", "SELECT w.member, w.ba, w.period, s.LOC, s.sub, "
                      "sum(CAST(least(s.e, w.w_e) - greatest(s.b, w.w_b) AS BIGINT)) AS days "
-                     "FROM win w JOIN svc s ON s.member = w.member AND s.b < w.w_e AND s.e > w.w_b AND s.e > s.b GROUP BY ALL"),
+                     "FROM win w JOIN svc s ON s.member = w.member AND s.b < w.w_e AND s.e > w.w_b AND s.e > s.b AND w.w_e > w.w_b GROUP BY ALL"),
         ("add_days", "SELECT p.member, p.period, s.LOC, sum(CAST(least(s.e, p.w_e) - greatest(s.b, p.w_b) AS BIGINT)) AS days "
                      "FROM pwin p JOIN extra s ON s.member = p.member AND s.b < p.w_e AND s.e > p.w_b AND s.e > s.b GROUP BY ALL"),
         ("elig_cal", calendar("elig")),
@@ -523,6 +523,7 @@ def _description() -> dict[str, str]:
             out[f"box_los_{key}_{name}"] = _sql(spec, _box("people", "LOS", [col]))
             if key != "first_episode":
                 out[f"box_days_to_readmit_{key}_{name}"] = _sql(spec, _box("people", "Days_to_Readmit", [col]))
+    out["box_los_age2_adult"] = _sql(ADULT, _box("people", "LOS", ["AgeCat2"]))
     for width, bins in ((7, 42), (10, 30)):
         out[f"hist_los_{width}_child"] = _sql(CHILD, _hist("LOS", width, bins, True), _wide_cte(CHILD))
     return out
@@ -675,22 +676,60 @@ def _logrank(by: str, levels: list[str]) -> tuple[str, list[tuple[str, str]]]:
     return final, cte
 
 
-def _cox_one(spec: RunSpec, steps: int = 8) -> str:
-    """Newton steps written out for the one-covariate model (short stay against longer stay)."""
+def _eliminate(name: str, source: str, p: int, right: list[str], carry: list[str]) -> tuple[list[tuple[str, str]], str]:
+    """Gauss-Jordan steps on the columns a11..app of one row with the right-hand columns ``r{i}_{c}``."""
+    steps, prev = [], source
+    for k in range(1, p + 1):
+        cols = list(carry)
+        for i in range(1, p + 1):
+            for cell in [f"a{i}{j}" for j in range(1, p + 1)] + [f"r{i}_{c}" for c in right]:
+                pivot_cell = f"a{k}{cell[len(f'a{i}'):]}" if cell.startswith("a") else f"r{k}_{cell.split('_')[1]}"
+                cols.append(f"{pivot_cell} / a{k}{k} AS {cell}" if i == k else
+                            f"{cell} - a{i}{k} * {pivot_cell} / a{k}{k} AS {cell}")
+        steps.append((f"{name}_{k}", f"SELECT {', '.join(cols)} FROM {prev}"))
+        prev = f"{name}_{k}"
+    return steps, prev
+
+
+def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
+    """The hazard model with Efron ties as written-out Newton steps, for a few covariates (one digit
+    of terms, all of them estimable)."""
+    covs = [next(c for c in spec.covariates if c.name == n) for n in names]
+    terms = [(f"{c.name}{lv}", f"CAST({c.name} = {_q(lv)} AS INTEGER)") for c in covs for lv in c.levels[1:]]
+    p = len(terms)
+    ks = range(1, p + 1)
+    xs = ", ".join(f"x{k}" for k in ks)
+    known = " AND ".join(f"{c.name} IN {_in(c.levels)}" for c in covs)
+    pairs = [(i, j) for i in ks for j in ks]
     ctes = [*_wide_cte(spec), ("model", _model(spec)),
-            ("d0", "SELECT SurvivalDays AS t, CAST(Flag_Readmit AS INTEGER) AS ev, CAST(LOScat = 'LT 5 days' AS INTEGER) AS x FROM model"),
-            ("tt", "SELECT t, CAST(sum(ev) AS BIGINT) AS d, CAST(sum(ev * x) AS DOUBLE) AS dx FROM d0 WHERE ev = 1 GROUP BY t"),
-            ("rr", "SELECT tt.t, d, dx, (SELECT count(*) FROM d0 WHERE d0.t >= tt.t AND x = 0) AS r0, "
-                   "(SELECT count(*) FROM d0 WHERE d0.t >= tt.t AND x = 1) AS r1 FROM tt"),
-            ("ll", "SELECT t, d, dx, r0, r1, unnest(range(0, d)) / d AS f FROM rr"),
-            ("b0", "SELECT CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS info")]
-    for i in range(1, steps + 1):
-        ctes.append((f"b{i}", f"""SELECT any_value(b) + (any_value(obs) - sum(m)) / sum(m - m * m) AS b, sum(m - m * m) AS info FROM (
-            SELECT p.b, (SELECT sum(dx) FROM rr) AS obs, (r1 - f * dx) * exp(p.b) / ((r0 - f * (d - dx)) + (r1 - f * dx) * exp(p.b)) AS m
-            FROM ll, b{i - 1} p)"""))
+            ("pat", f"SELECT SurvivalDays AS t, CAST(Flag_Readmit AS INTEGER) AS ev, {', '.join(f'{e} AS x{k}' for k, (_, e) in zip(ks, terms))}, "
+                    f"CAST(count(*) AS DOUBLE) AS k FROM model WHERE {known} GROUP BY ALL"),
+            ("evd", f"SELECT t, CAST(sum(k) AS BIGINT) AS d, {', '.join(f'sum(k * x{k}) AS dx{k}' for k in ks)} FROM pat WHERE ev = 1 GROUP BY t"),
+            ("ties", "SELECT t, unnest(range(0, d)) / d AS f FROM evd"),
+            ("b0", "SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{k}" for k in ks))]
+    sums = lambda prefix: f"sum(w) AS {prefix}0, " + ", ".join(f"sum(w * x{k}) AS {prefix}{k}" for k in ks) + ", " + ", ".join(
+        f"sum(w * x{i} * x{j}) AS {prefix}{i}{j}" for i, j in pairs)
+    last = "b0"
+    for n in range(1, rounds + 1):
+        linear = " + ".join(f"b{k} * x{k}" for k in ks)
+        ctes += [
+            (f"w{n}", f"SELECT t, ev, {xs}, k * exp({linear}) AS w FROM pat, {last}"),
+            (f"s{n}", f"SELECT e.t, {sums('s')} FROM evd e JOIN w{n} q ON q.t >= e.t GROUP BY e.t"),
+            (f"d{n}", f"SELECT t, {sums('d')} FROM w{n} WHERE ev = 1 GROUP BY t"),
+            (f"i{n}", "SELECT " + ", ".join(
+                f"sum((s{i}{j} - f * d{i}{j}) / (s0 - f * d0) - (s{i} - f * d{i}) * (s{j} - f * d{j}) / ((s0 - f * d0) * (s0 - f * d0))) AS a{i}{j}"
+                for i, j in pairs) + ", " + ", ".join(f"(SELECT sum(dx{k}) FROM evd) - sum((s{k} - f * d{k}) / (s0 - f * d0)) AS r{k}_u" for k in ks)
+             + ", " + ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS r{i}_e{j}" for i, j in pairs)
+             + f" FROM s{n} JOIN d{n} USING (t) JOIN ties USING (t)")]
+        steps, solved = _eliminate(f"g{n}", f"i{n}", p, ["u"] + [f"e{j}" for j in ks], [])
+        ctes += steps
+        ctes.append((f"b{n}", "SELECT " + ", ".join(f"o.b{k} + g.r{k}_u AS b{k}, sqrt(g.r{k}_e{k}) AS se{k}" for k in ks) + f" FROM {last} o, {solved} g"))
+        last = f"b{n}"
     z = 1.959963984540054
-    final = (f"SELECT 1 AS term_no, 'LOScatLT 5 days' AS term, {_r('b', 'estimate')}, {_r('1 / sqrt(info)', 'std_error')}, "
-             f"{_r('b * sqrt(info)', 'statistic')}, {_r(_chi2_tail('(b * b * info)', '1'), 'p_value')}, {_r(f'b - {z} / sqrt(info)', 'conf_low')}, {_r(f'b + {z} / sqrt(info)', 'conf_high')} FROM b{steps}")
+    final = " UNION ALL ".join(
+        f"SELECT {k} AS term_no, {_q(term)} AS term, {_r(f'b{k}', 'estimate')}, {_r(f'se{k}', 'std_error')}, {_r(f'b{k} / se{k}', 'statistic')}, "
+        f"{_r(_chi2_tail(f'(b{k} * b{k} / (se{k} * se{k}))', '1'), 'p_value')}, {_r(f'b{k} - {z} * se{k}', 'conf_low')}, "
+        f"{_r(f'b{k} + {z} * se{k}', 'conf_high')} FROM {last}" for k, (term, _) in zip(ks, terms))
     return _sql(spec, final, ctes)
 
 
@@ -717,7 +756,8 @@ def _modelling() -> dict[str, str]:
             final, steps = _logrank(col, levels)
             out[f"logrank_{key}_{name}"] = _sql(spec, final, [*km, *steps])
     out["km_overall_adult"] = _sql(ADULT, "SELECT * FROM km", [*_wide_cte(ADULT), ("model", _model(ADULT)), *_km_cte(None)])
-    out["cox_los_adult"] = _cox_one(ADULT)
+    for key, (spec, names) in COX_CHECKS.items():
+        out[key] = _cox(spec, list(names))
     years = [c for c in _wide(ADULT)[1] if c.startswith("Yr")]
     out["wide_again_long_adult"] = _sql(ADULT, " UNION ALL ".join(
         f'SELECT \'{c}\' AS "column", count(*) AS n, CAST(sum("{c}") AS BIGINT) AS days FROM wide WHERE "{c}" IS NOT NULL HAVING count(*) > 0' for c in years),
@@ -725,5 +765,14 @@ def _modelling() -> dict[str, str]:
     return out
 
 
+# Hazard models with few covariates, which SQL can follow step by step.
+COX_CHECKS = {
+    "cox_los_adult": (ADULT, ("LOScat",)),
+    "cox_demographics_adult": (ADULT, ("Gender_Label", "RaceCat", "LOScat")),
+    "cox_services_adult": (ADULT, ("After_OP", "After_Rehab", "After_TCM", "Yr1Prior_AnyAIP")),
+    "cox_demographics_child": (CHILD, ("Gender_Label", "Age14up", "MH_SA", "Voluntary")),
+}
+
+
 def all_sql() -> dict[str, str]:
     return _cohort() | _cleaning() | _description() | _utilization() | _modelling()

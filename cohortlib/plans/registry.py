@@ -6,7 +6,7 @@ with another engine; the operators themselves do not round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from cohortlib.functions import any_flag
 from cohortlib.operators import cleaning, cohort, cox, describe, reshape, survival, utilization
+from cohortlib.plans.oracle import COX_CHECKS
 from cohortlib.plans.study import Study, study
 from cohortlib.sources.extract import EXTRACT_SCHEMA, read_extract, write_stage
 from cohortlib.spec import ADULT, CHILD, MEMBER, RunSpec
@@ -158,6 +159,8 @@ def _description() -> dict[str, Query]:
             f"hist_eligibility_{name}": _query(spec, lambda st: describe.histogram(st.wide, "Yr1Prior_Elig", 0, 200, 2)),
             f"box_los_overall_{name}": _query(spec, lambda st: describe.box_stats(st.members, "LOS")),
         }
+        if spec is ADULT:
+            out["box_los_age2_adult"] = _query(ADULT, lambda st: describe.box_stats(st.members, "LOS", ["AgeCat2"]))
         for key, col in {"readmit": "Flag_Readmit", "gender": "Gender_Label", "race": "RaceCat", "age": "AgeCat",
                          "first_episode": "FirstEpEver"}.items():
             out[f"box_los_{key}_{name}"] = _query(spec, lambda st, c=col: describe.box_stats(st.members, "LOS", [c]))
@@ -222,9 +225,9 @@ def _hazard_ratios(st: Study) -> DataFrame:
     return survival.label_terms(tidy, survival.term_labels(st.spec))
 
 
-def _los_model(st: Study) -> DataFrame:
-    cov = next(c for c in st.spec.covariates if c.name == "LOScat")
-    return cox.tidy_cox(st.spark, cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", [cov]))
+def _small_model(st: Study, names: Sequence[str]) -> DataFrame:
+    covariates = [next(c for c in st.spec.covariates if c.name == n) for n in names]
+    return cox.tidy_cox(st.spark, cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", covariates))
 
 
 def _modelling() -> dict[str, Query]:
@@ -251,7 +254,8 @@ def _modelling() -> dict[str, Query]:
                 f"logrank_{key}_{name}": _query(spec, lambda st, c=col: survival.logrank(st.model, *time, c)),
             }
     out["km_overall_adult"] = _query(ADULT, lambda st: survival.kaplan_meier(st.model, "SurvivalDays", "Flag_Readmit"))
-    out["cox_los_adult"] = _query(ADULT, _los_model)
+    for key, (spec, names) in COX_CHECKS.items():
+        out[key] = _query(spec, lambda st, n=names: _small_model(st, n))
     out["wide_again_long_adult"] = _query(ADULT, lambda st: reshape.long_again(
         st.wide, [c for c in st.wide.columns if c.startswith("Yr")], "column", "days").where(F.col("days").isNotNull())
         .groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("days").alias("days")))

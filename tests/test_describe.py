@@ -119,3 +119,9 @@ def test_scalar_denominator(long):
     total = long.agg(F.count_distinct("Client_Master_BK")).scalar()
     r = [r for r in utilization.after_use_by_loc(long, total).collect() if r["LOC"] == "OP"][0]
     assert r["Perc_UsingService"] == 75.0
+
+
+def test_schema_listing_and_fanout(spark, rows):
+    df = spark.createDataFrame([("m1", 1), ("m1", 2), ("m2", 1)], "Client_Master_BK string, LOS int")
+    assert rows(describe.schema_listing(df)) == [(1, "Client_Master_BK", "string"), (2, "LOS", "int")]
+    assert rows(describe.attribute_fanout(df)) == [("m1", 2)]

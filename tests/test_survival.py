@@ -195,6 +195,12 @@ def test_fit_summary_and_levels(spark):
     assert levels[("h", "p")] == sum(d[3] == "p" for d in data) and levels[("g", "F")] == sum(d[2] == "F" for d in data)
 
 
+def test_estimates_and_limits_join_by_term(spark, small):
+    tidy = cox.tidy_cox(spark, cox.cox_ph(small, "time", "event", [Covariate("x", ("a", "b"))]))
+    joined = cox.join_estimates(tidy.select("term", "estimate"), tidy.select("term", "conf_low", "conf_high"))
+    assert joined.columns == ["term", "estimate", "conf_low", "conf_high"] and joined.count() == 1
+
+
 def test_tie_sums_do_not_depend_on_the_chunk():
     a = cox._tie_sums(1000, 5000.0, 900.0)
     assert cox._tie_sums(1000, 5000.0, 900.0, chunk=7) == pytest.approx(a)
