@@ -18,6 +18,9 @@ from cohortlib.functions.columns import map_values, overlap
 from cohortlib.operators.skew import join_one, with_lookup
 from cohortlib.spec import AFTER_MEASURES, AUTH, MEASURES, MEASURES_WITHOUT_LOC, MEMBER, RunSpec
 
+# No member of any relation needs the route for hot keys.
+NONE_HOT: Mapping[str, Sequence] = dict.fromkeys(("services", "additional", "eligibility", "dhs", "bhrs"), ())
+
 # One line of the long extract, before the member's attributes are attached.
 LINE = ("struct<BA_Category:string,Measure_Name:string,Measure_Period:string,LOC:string,Day_Count:bigint>")
 
@@ -212,19 +215,18 @@ def _has_grouped(lines: str, measure: str) -> Column:
 def measure_lines(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence]) -> DataFrame:
     """All measure lines of each member as one array column, with a placeholder line (no period, no
     level of care, zero days) for every measure the member has no grouped line in."""
-    of = lambda relation: hot.get(relation, ())
-    services = service_days(eps, inputs.services, inputs.loc_dim, spec, of("services"))
+    services = service_days(eps, inputs.services, inputs.loc_dim, spec, hot["services"])
     svc_lines = [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after"))]
     svc_lines += _year_lines(spec, "Prior Service", F.col("LOC"))
     parts = {
         "svc": _collect(services, svc_lines, "svc"),
-        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",), of("additional")),
+        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",), hot["additional"]),
                         _year_lines(spec, "Additional Service", F.col("LOC")), "add"),
-        "elig": covered_days(eps, inputs.eligibility, spec, of("eligibility")).select(
+        "elig": covered_days(eps, inputs.eligibility, spec, hot["eligibility"]).select(
             "member", _lines_with_days(_year_lines(spec, "Eligibility", None)).alias("elig")),
     }
     # DHS involvement is delivered for every age group; the adult cleaning rules remove it again.
-    parts["dhs"] = covered_days(eps, inputs.dhs, spec, of("dhs")).select(
+    parts["dhs"] = covered_days(eps, inputs.dhs, spec, hot["dhs"]).select(
         "member", _lines_with_days(_year_lines(spec, "DHS", None)).alias("dhs"))
     out = eps
     for frame in parts.values():
@@ -242,16 +244,16 @@ def measure_lines(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Seque
     return out.withColumn("lines", lines).drop("found")
 
 
-def admission_flags(eps: DataFrame, inputs, hot: Mapping[str, Sequence] = {}) -> DataFrame:
+def admission_flags(eps: DataFrame, inputs, hot: Mapping[str, Sequence] = NONE_HOT) -> DataFrame:
     """DHS involvement on the day of admission, and a BHRS episode of 18 months by then (0/1)."""
     return (eps.select("member")
-            .join(lasted_months(inputs.bhrs, eps, 18, hot.get("bhrs", ())), "member", "left")
-            .join(active_on(inputs.dhs, eps, hot.get("dhs", ())), "member", "left")
+            .join(lasted_months(inputs.bhrs, eps, 18, hot["bhrs"]), "member", "left")
+            .join(active_on(inputs.dhs, eps, hot["dhs"]), "member", "left")
             .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"),
                     F.coalesce("active", F.lit(0)).alias("active")))
 
 
-def to_extract(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence] = {}) -> DataFrame:
+def to_extract(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence] = NONE_HOT) -> DataFrame:
     """The long extract: one line per index episode, measure, period and level of care."""
     wide = (measure_lines(eps, inputs, spec, hot)
             .join(admission_flags(eps, inputs, hot), "member", "left")

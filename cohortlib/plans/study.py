@@ -20,21 +20,28 @@ from cohortlib.sources.tables import CohortInputs, load_inputs
 from cohortlib.spec import MEMBER, RunSpec
 
 
+class HotMembers(dict):
+    """Members with a large part of the rows, looked for in a relation when it is first needed."""
+
+    def __init__(self, inputs: CohortInputs):
+        super().__init__()
+        self._inputs = inputs
+
+    def __missing__(self, relation: str) -> list:
+        self[relation] = hot_keys(getattr(self._inputs, relation), "member")
+        return self[relation]
+
+
 class Study:
     def __init__(self, spark: SparkSession, inputs: CohortInputs, spec: RunSpec):
         self.spark, self.inputs, self.spec = tune(spark), inputs, spec
         self.stage_dir = new_stage_dir(spark)
+        self.hot = HotMembers(inputs)
 
     def _staged(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         write_stage(df, self.stage_dir, name, partition_by=partition_by)
         return read_stage(self.spark, self.stage_dir, name)
 
-    @cached_property
-    def hot(self) -> dict[str, list]:
-        """Members with a large part of the rows, per input relation."""
-        names = ("auth", "services", "eligibility", "additional", "dhs", "bhrs")
-        return {name: hot_keys(getattr(self.inputs, name), "member") for name in names}
-
     @property
     def index(self) -> DataFrame:
         return cohort.index_episodes(self.inputs.auth, self.spec)
