@@ -113,8 +113,9 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int = 4) -> DataFrame:
     totals = counts.groupBy("variable").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_unique"))
-    rank = F.row_number().over(W.partitionBy("variable").orderBy(F.desc("k"), "value"))
-    top = (counts.where(F.col("value").isNotNull()).withColumn("r", rank).where(F.col("r") <= k)
+    # Missing values rank last instead of being filtered first, so both branches share one exchange.
+    rank = F.row_number().over(W.partitionBy("variable").orderBy(F.col("value").isNull(), F.desc("k"), "value"))
+    top = (counts.withColumn("r", rank).where(F.col("r") <= k).where(F.col("value").isNotNull())
            .groupBy("variable").agg(F.array_sort(F.collect_list(F.struct("r", "value", "k"))).alias("top")))
     text = F.array_join(F.transform("top", lambda x: F.concat(x["value"], F.lit(": "), x["k"].cast("string"))), ", ")
     return totals.join(top, "variable", "left").select("variable", "n_missing", "n_unique", text.alias("top_counts"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from cohortlib.operators.survival import term_labels
 from cohortlib.sources.tables import LOC_GROUPS, SEGMENT_RACE
 from cohortlib.spec import (ADULT, CHILD, ELIG_DAY_BANDS, ELIG_YEAR_BANDS, MONTH_BANDS, RACE_MAP, WEEK_BANDS, Bands,
                             RunSpec)
@@ -676,61 +677,109 @@ def _logrank(by: str, levels: list[str]) -> tuple[str, list[tuple[str, str]]]:
     return final, cte
 
 
-def _eliminate(name: str, source: str, p: int, right: list[str], carry: list[str]) -> tuple[list[tuple[str, str]], str]:
-    """Gauss-Jordan steps on the columns a11..app of one row with the right-hand columns ``r{i}_{c}``."""
+def _solve(name: str, source: str, p: int) -> tuple[list[tuple[str, str]], str]:
+    """Gauss-Jordan steps on a matrix held as rows (i, c, v); a row without a pivot is passed over."""
     steps, prev = [], source
     for k in range(1, p + 1):
-        cols = list(carry)
-        for i in range(1, p + 1):
-            for cell in [f"a{i}{j}" for j in range(1, p + 1)] + [f"r{i}_{c}" for c in right]:
-                pivot_cell = f"a{k}{cell[len(f'a{i}'):]}" if cell.startswith("a") else f"r{k}_{cell.split('_')[1]}"
-                cols.append(f"{pivot_cell} / a{k}{k} AS {cell}" if i == k else
-                            f"{cell} - a{i}{k} * {pivot_cell} / a{k}{k} AS {cell}")
-        steps.append((f"{name}_{k}", f"SELECT {', '.join(cols)} FROM {prev}"))
+        steps.append((f"{name}_{k}", f"""
+            SELECT m.i, m.c, CASE WHEN p.v <= 1e-9 THEN m.v WHEN m.i = {k} THEN m.v / p.v ELSE m.v - a.v * r.v / p.v END AS v
+            FROM {prev} m JOIN {prev} a ON a.i = m.i AND a.c = {k} JOIN {prev} r ON r.i = {k} AND r.c = m.c
+            JOIN {prev} p ON p.i = {k} AND p.c = {k}"""))
         prev = f"{name}_{k}"
     return steps, prev
 
 
-def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
-    """The hazard model with Efron ties as written-out Newton steps, for a few covariates (one digit
-    of terms, all of them estimable)."""
+def _cox_ctes(spec: RunSpec, names: list[str], rounds: int) -> tuple[list[tuple[str, str]], list[str]]:
+    """The hazard model with Efron ties as written-out Newton steps: ``est`` holds estimate and
+    standard error per term, ``grand`` the likelihoods and test statistics."""
     covs = [next(c for c in spec.covariates if c.name == n) for n in names]
-    terms = [(f"{c.name}{lv}", f"CAST({c.name} = {_q(lv)} AS INTEGER)") for c in covs for lv in c.levels[1:]]
+    terms = [(f"{c.name}{lv}", c.name, lv) for c in covs for lv in c.levels[1:]]
     p = len(terms)
-    ks = range(1, p + 1)
-    xs = ", ".join(f"x{k}" for k in ks)
+    cols = ", ".join(names)
     known = " AND ".join(f"{c.name} IN {_in(c.levels)}" for c in covs)
-    pairs = [(i, j) for i in ks for j in ks]
     ctes = [*_wide_cte(spec), ("model", _model(spec)),
-            ("pat", f"SELECT SurvivalDays AS t, CAST(Flag_Readmit AS INTEGER) AS ev, {', '.join(f'{e} AS x{k}' for k, (_, e) in zip(ks, terms))}, "
-                    f"CAST(count(*) AS DOUBLE) AS k FROM model WHERE {known} GROUP BY ALL"),
-            ("evd", f"SELECT t, CAST(sum(k) AS BIGINT) AS d, {', '.join(f'sum(k * x{k}) AS dx{k}' for k in ks)} FROM pat WHERE ev = 1 GROUP BY t"),
+            ("pat", f"SELECT *, row_number() OVER (ORDER BY t, ev, {cols}) AS pid FROM (SELECT SurvivalDays AS t, "
+                    f"CAST(Flag_Readmit AS INTEGER) AS ev, {cols}, CAST(count(*) AS DOUBLE) AS k FROM model WHERE {known} GROUP BY ALL)"),
+            ("act", " UNION ALL ".join(f"SELECT pid, {i} AS i FROM pat WHERE {c} = {_q(lv)}" for i, (_, c, lv) in enumerate(terms, 1))),
+            ("ids", f"SELECT CAST(i AS INTEGER) AS i FROM range(1, {p + 1}) g(i)"),
+            ("evd", "SELECT t, CAST(sum(k) AS BIGINT) AS d FROM pat WHERE ev = 1 GROUP BY t"),
+            ("evx", "SELECT i, sum(k) AS v FROM pat JOIN act USING (pid) WHERE ev = 1 GROUP BY i"),
             ("ties", "SELECT t, unnest(range(0, d)) / d AS f FROM evd"),
-            ("b0", "SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{k}" for k in ks))]
-    sums = lambda prefix: f"sum(w) AS {prefix}0, " + ", ".join(f"sum(w * x{k}) AS {prefix}{k}" for k in ks) + ", " + ", ".join(
-        f"sum(w * x{i} * x{j}) AS {prefix}{i}{j}" for i, j in pairs)
-    last = "b0"
-    for n in range(1, rounds + 1):
-        linear = " + ".join(f"b{k} * x{k}" for k in ks)
+            ("days", "SELECT DISTINCT t FROM pat"),
+            ("b0", "SELECT i, CAST(0 AS DOUBLE) AS b FROM ids")]
+    for n in range(rounds + 1):
         ctes += [
-            (f"w{n}", f"SELECT t, ev, {xs}, k * exp({linear}) AS w FROM pat, {last}"),
-            (f"s{n}", f"SELECT e.t, {sums('s')} FROM evd e JOIN w{n} q ON q.t >= e.t GROUP BY e.t"),
-            (f"d{n}", f"SELECT t, {sums('d')} FROM w{n} WHERE ev = 1 GROUP BY t"),
-            (f"i{n}", "SELECT " + ", ".join(
-                f"sum((s{i}{j} - f * d{i}{j}) / (s0 - f * d0) - (s{i} - f * d{i}) * (s{j} - f * d{j}) / ((s0 - f * d0) * (s0 - f * d0))) AS a{i}{j}"
-                for i, j in pairs) + ", " + ", ".join(f"(SELECT sum(dx{k}) FROM evd) - sum((s{k} - f * d{k}) / (s0 - f * d0)) AS r{k}_u" for k in ks)
-             + ", " + ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS r{i}_e{j}" for i, j in pairs)
-             + f" FROM s{n} JOIN d{n} USING (t) JOIN ties USING (t)")]
-        steps, solved = _eliminate(f"g{n}", f"i{n}", p, ["u"] + [f"e{j}" for j in ks], [])
+            (f"w{n}", f"SELECT p.pid, p.t, p.ev, p.k * exp(coalesce(z.s, 0)) AS w FROM pat p LEFT JOIN "
+                      f"(SELECT a.pid, sum(b.b) AS s FROM act a JOIN b{n} b USING (i) GROUP BY a.pid) z USING (pid)"),
+            (f"z{n}", f"SELECT t, sum(sum(w)) OVER (ORDER BY t DESC) AS s, coalesce(sum(w) FILTER (WHERE ev = 1), 0) AS d FROM w{n} GROUP BY t"),
+            (f"x{n}", f"SELECT g.t, g.i, sum(coalesce(q.s, 0)) OVER (PARTITION BY g.i ORDER BY g.t DESC) AS s, coalesce(q.d, 0) AS d "
+                      f"FROM (SELECT t, i FROM days, ids) g LEFT JOIN (SELECT t, i, sum(w) AS s, sum(w) FILTER (WHERE ev = 1) AS d "
+                      f"FROM w{n} JOIN act USING (pid) GROUP BY t, i) q USING (t, i)"),
+            (f"y{n}", f"SELECT g.t, g.i, g.j, sum(coalesce(q.s, 0)) OVER (PARTITION BY g.i, g.j ORDER BY g.t DESC) AS s, coalesce(q.d, 0) AS d "
+                      f"FROM (SELECT t, a.i, b.i AS j FROM days, ids a, ids b) g LEFT JOIN (SELECT t, a.i, b.i AS j, sum(w) AS s, "
+                      f"sum(w) FILTER (WHERE ev = 1) AS d FROM w{n} JOIN act a USING (pid) JOIN act b USING (pid) GROUP BY ALL) q USING (t, i, j)"),
+            (f"h{n}", f"SELECT t, sum(1 / e) AS u0, sum(f / e) AS u1, sum(1 / (e * e)) AS v0, sum(f / (e * e)) AS v1, sum(f * f / (e * e)) AS v2, "
+                      f"sum(ln(e)) AS lg FROM (SELECT t, f, z.s - f * z.d AS e FROM ties JOIN z{n} z USING (t)) GROUP BY t"),
+            (f"u{n}", f"SELECT x.i, coalesce(any_value(evx.v), 0) - sum(u0 * x.s - u1 * x.d) AS v FROM x{n} x JOIN h{n} USING (t) "
+                      f"LEFT JOIN evx ON evx.i = x.i GROUP BY x.i"),
+            (f"i{n}", f"SELECT y.i, y.j, sum(u0 * y.s - u1 * y.d - v0 * a.s * b.s + v1 * (a.s * b.d + a.d * b.s) - v2 * a.d * b.d) AS v "
+                      f"FROM y{n} y JOIN h{n} USING (t) JOIN x{n} a ON a.t = y.t AND a.i = y.i JOIN x{n} b ON b.t = y.t AND b.i = y.j GROUP BY y.i, y.j"),
+            (f"l{n}", f"SELECT coalesce((SELECT sum(evx.v * b.b) FROM evx JOIN b{n} b USING (i)), 0) - (SELECT sum(lg) FROM h{n}) AS v")]
+        start = f"SELECT i, j AS c, v FROM i{n} UNION ALL SELECT i, {p + 1}, v FROM u{n}"
+        if n == rounds:
+            start += f" UNION ALL SELECT a.i, {p + 1} + b.i, CAST(a.i = b.i AS INTEGER) FROM ids a, ids b"
+        ctes.append((f"g{n}", start))
+        steps, solved = _solve(f"g{n}", f"g{n}", p)
         ctes += steps
-        ctes.append((f"b{n}", "SELECT " + ", ".join(f"o.b{k} + g.r{k}_u AS b{k}, sqrt(g.r{k}_e{k}) AS se{k}" for k in ks) + f" FROM {last} o, {solved} g"))
-        last = f"b{n}"
-    z = 1.959963984540054
-    final = " UNION ALL ".join(
-        f"SELECT {k} AS term_no, {_q(term)} AS term, {_r(f'b{k}', 'estimate')}, {_r(f'se{k}', 'std_error')}, {_r(f'b{k} / se{k}', 'statistic')}, "
-        f"{_r(_chi2_tail(f'(b{k} * b{k} / (se{k} * se{k}))', '1'), 'p_value')}, {_r(f'b{k} - {z} * se{k}', 'conf_low')}, "
-        f"{_r(f'b{k} + {z} * se{k}', 'conf_high')} FROM {last}" for k, (term, _) in zip(ks, terms))
-    return _sql(spec, final, ctes)
+        if n < rounds:
+            ctes.append((f"b{n + 1}", f"SELECT o.i, o.b + CASE WHEN q.v > 1e-9 THEN g.v ELSE 0 END AS b FROM b{n} o "
+                                      f"JOIN i{n} q ON q.i = o.i AND q.j = o.i JOIN {solved} g ON g.i = o.i AND g.c = {p + 1}"))
+            if n == 0:
+                ctes.append(("scoretest", f"SELECT sum(u.v * g.v) AS v FROM u0 u JOIN {solved} g ON g.i = u.i AND g.c = {p + 1}"))
+    names_sql = " UNION ALL ".join(f"SELECT {i} AS i, {_q(t)} AS term" for i, (t, _, _) in enumerate(terms, 1))
+    ctes += [
+        ("est", f"SELECT n.i, n.term, CASE WHEN q.v > 1e-9 THEN b.b END AS b, CASE WHEN q.v > 1e-9 THEN sqrt(g.v) END AS se FROM ({names_sql}) n "
+                f"JOIN b{rounds} b ON b.i = n.i JOIN i0 q ON q.i = n.i AND q.j = n.i JOIN {solved} g ON g.i = n.i AND g.c = {p + 1} + n.i"),
+        ("grand", f"SELECT (SELECT CAST(sum(k) AS BIGINT) FROM pat) AS n, (SELECT CAST(sum(d) AS BIGINT) FROM evd) AS n_events, "
+                  f"(SELECT count(b) FROM est) AS df, l0.v AS loglik_null, l{rounds}.v AS loglik, (SELECT v FROM scoretest) AS score, "
+                  f"(SELECT sum(a.b * b.b * q.v) FROM i{rounds} q JOIN b{rounds} a ON a.i = q.i JOIN b{rounds} b ON b.i = q.j) AS wald FROM l0, l{rounds}")]
+    return ctes, [t for t, _, _ in terms]
+
+
+_Z = 1.959963984540054
+_TIDY = (f"i AS term_no, term, {_r('b', 'estimate')}, {_r('se', 'std_error')}, {_r('b / se', 'statistic')}, "
+         f"CASE WHEN b IS NOT NULL THEN round({_chi2_tail('(b * b / (se * se))', '1')}, 6) END AS p_value, "
+         f"{_r(f'b - {_Z} * se', 'conf_low')}, {_r(f'b + {_Z} * se', 'conf_high')}")
+
+
+def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
+    ctes, _ = _cox_ctes(spec, names, rounds)
+    return _sql(spec, f"SELECT {_TIDY} FROM est", ctes)
+
+
+def _hazard_ratios(spec: RunSpec, only_significant: bool, rounds: int = 7) -> str:
+    ctes, terms = _cox_ctes(spec, [c.name for c in spec.covariates], rounds)
+    labels = term_labels(spec)
+    shown = " ".join(f"WHEN {_q(t)} THEN {_q(labels[t])}" for t in terms)
+    sig = f"CASE WHEN p_value <= {spec.alpha} THEN 'Yes' WHEN p_value IS NOT NULL THEN 'No' END"
+    final = f"""
+        SELECT t.*, {_r('exp(e.b)', 'HR')}, {_r(f'exp(e.b - {_Z} * e.se)', 'HRconf_low')}, {_r(f'exp(e.b + {_Z} * e.se)', 'HRconf_high')},
+        {sig} AS sig, CASE {sig} WHEN 'No' THEN 'No Impact' WHEN 'Yes' THEN CASE WHEN e.b < 0 THEN 'Decreases Risk' ELSE 'Increases Risk' END END AS RiskImpact,
+        CASE t.term {shown} ELSE 'ERROR' END AS factors
+        FROM (SELECT {_TIDY} FROM est) t JOIN est e ON e.i = t.term_no"""
+    return _sql(spec, f"SELECT * FROM ({final}) {'WHERE sig = ' + _q('Yes') if only_significant else ''}", ctes)
+
+
+def _glance(spec: RunSpec, rounds: int = 7) -> str:
+    ctes, _ = _cox_ctes(spec, [c.name for c in spec.covariates], rounds)
+    lr = "(2 * (loglik - loglik_null))"
+    pairs = f"""(SELECT (sum(a.k * b.k) FILTER (WHERE a.s > b.s) + sum(a.k * b.k) FILTER (WHERE a.s = b.s) / 2) / sum(a.k * b.k)
+        FROM scored a JOIN scored b ON a.ev = 1 AND (b.t > a.t OR (b.t = a.t AND b.ev = 0)))"""
+    scored = ("scored", f"SELECT p.t, p.ev, p.k, round(coalesce(z.s, 0), 12) AS s FROM pat p LEFT JOIN "
+                        f"(SELECT a.pid, sum(b.b) AS s FROM act a JOIN b{rounds} b USING (i) GROUP BY a.pid) z USING (pid)")
+    return _sql(spec, f"SELECT n, n_events, df, {_r('loglik_null', 'loglik_null')}, {_r('loglik', 'loglik')}, {_r('-2 * loglik + 2 * df', 'aic')}, "
+                      f"{_r(lr, 'lr_test')}, {_r(_chi2_tail(lr, 'df'), 'lr_p')}, {_r('score', 'score_test')}, {_r(_chi2_tail('score', 'df'), 'score_p')}, "
+                      f"{_r('wald', 'wald_test')}, {_r(_chi2_tail('wald', 'df'), 'wald_p')}, {_r(pairs, 'concordance')} FROM grand", [*ctes, scored])
 
 
 def _modelling() -> dict[str, str]:
@@ -740,6 +789,9 @@ def _modelling() -> dict[str, str]:
         model = [*wide, ("model", _model(spec))]
         out[f"wide_members_{name}"] = _sql(spec, "SELECT * FROM wide", wide)
         out[f"model_table_{name}"] = _sql(spec, "SELECT * FROM model", model)
+        out[f"cox_hazard_ratios_{name}"] = _hazard_ratios(spec, False)
+        out[f"cox_significant_{name}"] = _hazard_ratios(spec, True)
+        out[f"cox_glance_{name}"] = _glance(spec)
         known = " AND ".join(f"{c.name} IN {_in(c.levels)}" for c in spec.covariates)
         out[f"cox_level_counts_{name}"] = _sql(spec, " UNION ALL ".join(
             f"SELECT {i} AS variable_no, {_q(c.name)} AS variable, {_q(lv)} AS level, count(*) FILTER (WHERE {c.name} = {_q(lv)}) AS n FROM model WHERE {known}"
@@ -765,7 +817,7 @@ def _modelling() -> dict[str, str]:
     return out
 
 
-# Hazard models with few covariates, which SQL can follow step by step.
+# Hazard models with few covariates.
 COX_CHECKS = {
     "cox_los_adult": (ADULT, ("LOScat",)),
     "cox_demographics_adult": (ADULT, ("Gender_Label", "RaceCat", "LOScat")),

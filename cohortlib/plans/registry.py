@@ -35,7 +35,7 @@ def _query(spec: RunSpec, build: Callable[[Study], DataFrame]) -> Query:
 # ---- cohort building, from the raw tables -----------------------------------------------------------
 
 def _windows_of(st: Study) -> DataFrame:
-    found = cohort.find_readmission(st.index, st.inputs.auth, st.spec, st.hot["auth"])
+    found = cohort.find_readmission(st.index, st.given.auth, st.spec, st.hot["auth"])
     return cohort.after_window(found, st.spec).select(
         "member", "auth", "sb", "se", "readmit_auth", "readmit_sb", "days_to_readmit", "after_b", "after_e")
 
@@ -46,7 +46,7 @@ def _grouped_services(st: Study) -> DataFrame:
 
 
 def _ip_counts(st: Study) -> DataFrame:
-    history = cohort.episode_history(st.index, st.inputs.auth, st.spec, st.hot["auth"])
+    history = cohort.episode_history(st.index, st.given.auth, st.spec, st.hot["auth"])
     return history.select("member", "n_adm", *[f"n_dc_{y}" for y in st.spec.years])
 
 
@@ -71,11 +71,11 @@ def _cohort() -> dict[str, Query]:
         "first_episode_ever": _query(ADULT, lambda st: st.index.select("member", "first_ever")),
         "readmission_windows": _query(ADULT, _windows_of),
         "prior_windows": _query(ADULT, lambda st: cohort.prior_windows(st.index, st.spec)),
-        "member_attributes": _query(ADULT, lambda st: st.index.select("member").join(st.inputs.members, "member", "left")),
+        "member_attributes": _query(ADULT, lambda st: st.index.select("member").join(st.given.members, "member", "left")),
         "ip_counts": _query(ADULT, _ip_counts),
-        "merged_eligibility": _query(ADULT, lambda st: cohort.merge_spans(st.inputs.eligibility, ("member",))),
-        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.inputs.eligibility, st.spec, st.hot["eligibility"])),
-        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.inputs.dhs, st.spec, st.hot["dhs"])),
+        "merged_eligibility": _query(ADULT, lambda st: cohort.merge_spans(st.given.eligibility, ("member",))),
+        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.given.eligibility, st.spec, st.hot["eligibility"])),
+        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.given.dhs, st.spec, st.hot["dhs"])),
         "admission_flags": _query(CHILD, lambda st: cohort.admission_flags(st.episodes, st.inputs, st.hot)),
         "extract_csv_round_trip": _query(ADULT, _csv_round_trip),
     }
@@ -84,7 +84,7 @@ def _cohort() -> dict[str, Query]:
         out[f"service_days_{name}"] = _query(
             spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec, st.hot["services"]))
         out[f"additional_days_{name}"] = _query(
-            spec, lambda st: cohort.overlap_days(st.inputs.additional, st.episodes, st.spec, ("LOC",), st.hot["additional"]))
+            spec, lambda st: cohort.overlap_days(st.given.additional, st.episodes, st.spec, ("LOC",), st.hot["additional"]))
         out[f"extract_{name}"] = _query(spec, lambda st: _typed_lines(st.clean))
     return out
 
@@ -238,7 +238,7 @@ def _modelling() -> dict[str, Query]:
             f"model_table_{name}": _query(spec, lambda st: st.model),
             f"cox_hazard_ratios_{name}": _query(spec, _hazard_ratios),
             f"cox_significant_{name}": _query(spec, lambda st: survival.significant(_hazard_ratios(st))),
-            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit)),
+            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit).drop("iterations", "converged")),
             f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(st.fit)),
         }
         for col in spec.km_strata:
@@ -269,8 +269,8 @@ def all_queries() -> dict[str, Query]:
 def readmission_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readmission rate and length of stay by gender, straight from the raw tables."""
     st = study(spark, sf_dir, ADULT)
-    found = cohort.find_readmission(st.index, st.inputs.auth, st.spec, st.hot["auth"])
-    rows = found.join(st.inputs.members, "member", "left").withColumn("LOS", F.datediff("se", "sb")).where(F.col("LOS") > 0)
+    found = cohort.find_readmission(st.index, st.given.auth, st.spec, st.hot["auth"])
+    rows = found.join(st.given.members, "member", "left").withColumn("LOS", F.datediff("se", "sb")).where(F.col("LOS") > 0)
     stats = describe.summary_columns("LOS", "LOS")
     return rounded(rows.groupBy("Gender_Label").agg(
         F.count(F.lit(1)).alias("n"), F.count("readmit_auth").alias("n_readmit"),

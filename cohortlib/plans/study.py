@@ -7,6 +7,7 @@ the work, prune columns and directories at the scan, and do not depend on execut
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,33 +24,40 @@ from cohortlib.spec import MEMBER, RunSpec
 class HotMembers(dict):
     """Members with a large part of the rows, looked for in a relation when it is first needed."""
 
-    def __init__(self, inputs: CohortInputs):
+    def __init__(self, of: Study):
         super().__init__()
-        self._inputs = inputs
+        self._of = of
 
     def __missing__(self, relation: str) -> list:
-        self[relation] = hot_keys(getattr(self._inputs, relation), "member")
+        source = self._of.inputs if relation in self._of.given.derived else self._of.given
+        self[relation] = hot_keys(getattr(source, relation), "member")
         return self[relation]
 
 
 class Study:
     def __init__(self, spark: SparkSession, inputs: CohortInputs, spec: RunSpec):
-        self.spark, self.inputs, self.spec = tune(spark), inputs, spec
+        self.spark, self.given, self.spec = tune(spark), inputs, spec
         self.stage_dir = new_stage_dir(spark)
-        self.hot = HotMembers(inputs)
+        self.hot = HotMembers(self)
 
     def _staged(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         write_stage(df, self.stage_dir, name, partition_by=partition_by)
         return read_stage(self.spark, self.stage_dir, name)
 
+    @cached_property
+    def inputs(self) -> CohortInputs:
+        """The given relations; those that are themselves results of joins are computed once."""
+        made = {name: self._staged(name, getattr(self.given, name)) for name in self.given.derived}
+        return replace(self.given, **made)
+
     @property
     def index(self) -> DataFrame:
-        return cohort.index_episodes(self.inputs.auth, self.spec)
+        return cohort.index_episodes(self.given.auth, self.spec)
 
     @cached_property
     def episodes(self) -> DataFrame:
         """One row per member: index episode, readmission, event counts, window after discharge."""
-        return self._staged("episodes", cohort.episodes(self.index, self.inputs.auth, self.spec, self.hot["auth"]))
+        return self._staged("episodes", cohort.episodes(self.index, self.given.auth, self.spec, self.hot["auth"]))
 
     @cached_property
     def extract(self) -> DataFrame:

@@ -40,6 +40,7 @@ class CohortInputs:
     bhrs: DataFrame
     members: DataFrame
     loc_dim: DataFrame
+    derived: tuple[str, ...] = ()      # relations that cost joins and are therefore worth writing once
 
 
 def _plus_days(day: Column, days: Column) -> Column:
@@ -96,4 +97,5 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
         dhs=spans("5-LOW", F.lit(90)).where(F.col("member") % 4 == 0).drop("auth"),
         bhrs=spans("4-NOT SPECIFIED", 300 + key % 600).where(F.col("member") % 5 == 0).drop("auth"),
         members=members,
-        loc_dim=loc_dim)
+        loc_dim=loc_dim,
+        derived=("services",))
