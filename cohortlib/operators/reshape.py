@@ -49,9 +49,14 @@ def spread(df: DataFrame, key: str, value: str, names: dict[str, str]) -> DataFr
 
 
 def wide_days(long: DataFrame, spec: RunSpec) -> DataFrame:
-    dims = ["BA_Category", "Measure_Name", "Measure_Period", "LOC"]
-    days = member_days(long, dims, name="NDays")
-    return spread(unite(days, "TimeLOC", dims), "TimeLOC", "NDays", wide_names(spec))
+    """Day counts per member, one column per measure, period and level of care.
+
+    The lines are partitioned by member up front, so the sums, the pivot and the join of the member
+    table need no further exchange of them; a member's lines are bounded by the dimensions."""
+    lines = long.select(MEMBER, "BA_Category", "Measure_Name", "Measure_Period", "LOC", "Day_Count")
+    united = unite(lines, "TimeLOC", ["BA_Category", "Measure_Name", "Measure_Period", "LOC"])
+    days = member_days(united.repartition(MEMBER), ["TimeLOC"], name="NDays")
+    return spread(days, "TimeLOC", "NDays", wide_names(spec))
 
 
 def wide_members(long: DataFrame, members: DataFrame, spec: RunSpec) -> DataFrame:

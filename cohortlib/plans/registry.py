@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from cohortlib.functions import any_flag
 from cohortlib.operators import cleaning, cohort, cox, describe, reshape, survival, utilization
 from cohortlib.plans.oracle import COX_CHECKS
+from cohortlib.plans.report import hazard_ratios
 from cohortlib.plans.study import Study, study
 from cohortlib.sources.extract import EXTRACT_SCHEMA, read_extract, write_stage
 from cohortlib.spec import ADULT, CHILD, MEMBER, RunSpec
@@ -220,11 +221,6 @@ def _utilization() -> dict[str, Query]:
 
 # ---- modelling ----------------------------------------------------------------------------------------
 
-def _hazard_ratios(st: Study) -> DataFrame:
-    tidy = survival.hazard_ratio_columns(cox.tidy_cox(st.spark, st.fit), st.spec.alpha)
-    return survival.label_terms(tidy, survival.term_labels(st.spec))
-
-
 def _small_model(st: Study, names: Sequence[str]) -> DataFrame:
     covariates = [next(c for c in st.spec.covariates if c.name == n) for n in names]
     return cox.tidy_cox(st.spark, cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", covariates))
@@ -236,8 +232,8 @@ def _modelling() -> dict[str, Query]:
         out |= {
             f"wide_members_{name}": _query(spec, lambda st: st.wide),
             f"model_table_{name}": _query(spec, lambda st: st.model),
-            f"cox_hazard_ratios_{name}": _query(spec, _hazard_ratios),
-            f"cox_significant_{name}": _query(spec, lambda st: survival.significant(_hazard_ratios(st))),
+            f"cox_hazard_ratios_{name}": _query(spec, hazard_ratios),
+            f"cox_significant_{name}": _query(spec, lambda st: survival.significant(hazard_ratios(st))),
             f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit).drop("iterations", "converged")),
             f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(st.fit)),
         }

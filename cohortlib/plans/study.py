@@ -35,11 +35,20 @@ class HotMembers(dict):
 
 
 class Study:
-    def __init__(self, spark: SparkSession, inputs: CohortInputs, spec: RunSpec):
+    def __init__(self, spark: SparkSession, inputs: CohortInputs | None, spec: RunSpec, twin: Study | None = None):
+        """``twin`` is a study of the same tables; relations it has computed are not computed again."""
+        self.twin = twin
         self.spark, self.given, self.spec = tune(spark), inputs, spec
         self.stage_dir = new_stage_dir(spark)
         self.hot = HotMembers(self)
 
+    @classmethod
+    def from_extract(cls, spark: SparkSession, extract: DataFrame, spec: RunSpec) -> Study:
+        """A study that starts from a delivered long extract (see ``read_extract``) instead of raw relations."""
+        st = cls(spark, None, spec)
+        st.extract = extract
+        return st
+
     def _staged(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         write_stage(df, self.stage_dir, name, partition_by=partition_by)
         return read_stage(self.spark, self.stage_dir, name)
@@ -47,9 +56,15 @@ class Study:
     @cached_property
     def inputs(self) -> CohortInputs:
         """The given relations; those that are themselves results of joins are computed once."""
-        made = {name: self._staged(name, getattr(self.given, name)) for name in self.given.derived}
+        made = {name: getattr(self.twin.inputs, name) if self.twin else self._staged(name, getattr(self.given, name))
+                for name in self.given.derived}
         return replace(self.given, **made)
 
+    def release(self) -> None:
+        """Delete the study's intermediate tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.stage_dir)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     @property
     def index(self) -> DataFrame:
         return cohort.index_episodes(self.given.auth, self.spec)
@@ -121,12 +136,13 @@ def study(spark: SparkSession, sf_dir: str, spec: RunSpec) -> Study:
     """The session's study of these tables; inputs are taken as unchanged while the session lives."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), spec)
     if key not in _studies:
-        _studies[key] = Study(spark, load_inputs(spark, sf_dir, spec), spec)
+        twin = next((s for k, s in _studies.items() if k[:2] == key[:2]), None)
+        _studies[key] = Study(spark, load_inputs(spark, sf_dir, spec), spec, twin)
     return _studies[key]
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop the session's studies, so that changed inputs are read again."""
+    """Drop the session's studies and their tables, so that changed inputs are read again."""
     app = spark.sparkContext.applicationId
     for key in [k for k in _studies if k[0] == app]:
-        del _studies[key]
+        _studies.pop(key).release()

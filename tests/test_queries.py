@@ -99,3 +99,32 @@ def test_other_follow_up_renames_everything(spark):
     assert st.long.where("Measure_Period = '90 Days'").count() > 0 and st.long.where("Measure_Period = '180 Days'").count() == 0
     assert st.wide.agg({"SurvivalDays": "max"}).first()[0] == 90
     assert st.wide.agg({"After_OP": "sum"}).first()[0] == st.long.where("BA_Category = 'After' AND LOC = 'Outpatient'").agg({"Day_Count": "sum"}).first()[0]
+
+
+def test_release_deletes_the_stages(spark):
+    from cohortlib import ADULT
+    from cohortlib.plans.study import Study
+    from cohortlib.sources import load_inputs
+    st = Study(spark, load_inputs(spark, DATA, ADULT), ADULT)
+    assert st.episodes.count() > 0
+    local = st.stage_dir.removeprefix("file:")
+    assert os.path.isdir(local)
+    st.release()
+    assert not os.path.exists(local)
+
+
+def test_study_from_a_delivered_file(spark, tmp_path):
+    """A run that starts from the CSV extract ends in the same tables as one from the raw relations."""
+    from cohortlib import CHILD
+    from cohortlib.operators import cohort
+    from cohortlib.plans import Study, short_report, study
+    from cohortlib.sources import EXTRACT_SCHEMA, read_extract, write_stage
+    raw = study(spark, DATA, CHILD)
+    path = write_stage(cohort.as_delivered(raw.extract).select(*EXTRACT_SCHEMA.fieldNames()), str(tmp_path), "x", fmt="csv")
+    st = Study.from_extract(spark, read_extract(spark, path), CHILD)
+    cols = sorted(raw.wide.columns)
+    assert sorted(map(str, st.wide.select(cols).collect())) == sorted(map(str, raw.wide.select(cols).collect()))
+    tables = short_report(st)
+    assert len(tables) == 9 and all(df.columns for _, df in tables)
+    timing = dict(tables)["Figure 2. When Do Members Readmit?"]
+    assert all(r["label"].endswith("%") for r in timing.collect())
