@@ -8,14 +8,14 @@ partition and the partial aggregation after it keeps the follow-up exchange smal
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortlib.functions.columns import map_values, overlap
-from cohortlib.operators.skew import join_one, with_lookup
+from cohortlib.operators.skew import join_and_reduce, with_lookup
 from cohortlib.spec import AFTER_MEASURES, AUTH, MEASURES, MEASURES_WITHOUT_LOC, MEMBER, RunSpec
 
 # No member of any relation needs the route for hot keys.
@@ -76,16 +76,15 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Seque
         "member", F.col("auth").alias("o_auth"), F.col("sb").alias("o_sb"), F.col("se").alias("o_se"),
         F.col("code").alias("o_code"))
     near = (F.col("o_auth") != F.col("auth")) & (F.col("o_sb") <= last_day) & (F.col("o_se") >= _lookback(spec))
-    joined = join_one(other, index, "member", hot).where(near)
     follow_up = F.col("o_sb").between(F.col("se"), last_day)
     index_set = F.col("o_code").isin(*spec.index_codes)
     counts = []
     for y in spec.years:
         w_begin, w_end = _year_bounds(spec, y)
         counts.append(F.count_if(index_set & (F.col("o_se") >= w_begin) & (F.col("o_se") < w_end)).alias(f"n_dc_{y}"))
-    return joined.groupBy("member").agg(
-        F.min(F.when(follow_up & F.col("o_code").isin(*spec.readmit_codes), F.struct("o_sb", "o_auth"))).alias("readmit"),
-        F.count_if(index_set & follow_up).alias("n_adm"), *counts)
+    readmit = F.min(F.when(follow_up & F.col("o_code").isin(*spec.readmit_codes), F.struct("o_sb", "o_auth")))
+    aggs = [readmit.alias("readmit"), F.count_if(index_set & follow_up).alias("n_adm"), *counts]
+    return join_and_reduce(other, index, "member", hot, lambda j: j.where(near).groupBy("member").agg(*aggs))
 
 
 def find_readmission(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
@@ -127,13 +126,15 @@ def loc_grouping(services: DataFrame, loc_dim: DataFrame, age_group: str) -> Dat
     return with_lookup(services, loc_dim.where(F.col("age_group") == age_group).select("code", "LOC"), "code")
 
 
-def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool, hot: Sequence) -> DataFrame:
-    """Spans joined to their member's index episode, limited to the studied time."""
+def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool, hot: Sequence,
+                reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Spans joined to their member's index episode, limited to the studied time, then reduced."""
     last_day = F.col("after_e") if after else F.col("sb")
     cols = ["member", "sb"] + (["after_b", "after_e"] if after else [])
     latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)   # static bound, reaches the scan
-    return (join_one(spans.where(F.col("b") < latest), index.select(*cols), "member", hot)
-            .where((F.col("b") < last_day) & (F.col("e") > _lookback(spec))))
+    inside = (F.col("b") < last_day) & (F.col("e") > _lookback(spec))
+    return join_and_reduce(spans.where(F.col("b") < latest), index.select(*cols), "member", hot,
+                           lambda joined: reduce(joined.where(inside)))
 
 
 def _year_overlaps(spec: RunSpec) -> dict[str, Column]:
@@ -144,17 +145,17 @@ def service_days(index: DataFrame, services: DataFrame, loc_dim: DataFrame, spec
                  hot: Sequence = ()) -> DataFrame:
     """Days per member, level of care and service line in the window after discharge (``after``) and
     in each prior year (``y1`` ...). All windows come out of one join and one aggregation."""
-    near = _near_spans(index, loc_grouping(services, loc_dim, spec.age_group), spec, True, hot)
     after = F.sum(overlap(F.col("b"), F.col("e"), F.col("after_b"), F.col("after_e")))
-    aggs = {"after": after, **_year_overlaps(spec)}
-    return near.groupBy("member", "LOC", "sub").agg(*[c.alias(n) for n, c in aggs.items()])
+    aggs = [c.alias(n) for n, c in {"after": after, **_year_overlaps(spec)}.items()]
+    return _near_spans(index, loc_grouping(services, loc_dim, spec.age_group), spec, True, hot,
+                       lambda near: near.groupBy("member", "LOC", "sub").agg(*aggs))
 
 
 def overlap_days(spans: DataFrame, index: DataFrame, spec: RunSpec, keys: tuple[str, ...] = (),
                  hot: Sequence = ()) -> DataFrame:
     """Days of the spans inside each prior year; overlapping spans count each."""
-    near = _near_spans(index, spans, spec, False, hot)
-    return near.groupBy("member", *keys).agg(*[c.alias(n) for n, c in _year_overlaps(spec).items()])
+    aggs = [c.alias(n) for n, c in _year_overlaps(spec).items()]
+    return _near_spans(index, spans, spec, False, hot, lambda near: near.groupBy("member", *keys).agg(*aggs))
 
 
 def merge_spans(spans: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -176,24 +177,26 @@ def merge_spans(spans: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...]
 
 def covered_days(index: DataFrame, spans: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
     """Distinct calendar days covered by the spans in each prior year (a day counts once)."""
-    near = _near_spans(index, spans, spec, False, hot).select(
-        "member", "sb", F.greatest("b", _lookback(spec)).alias("b"), F.least("e", "sb").alias("e"))
-    merged = merge_spans(near, ("member",), carry=("sb",))
-    return merged.groupBy("member").agg(*[c.alias(n) for n, c in _year_overlaps(spec).items()])
+    aggs = [c.alias(n) for n, c in _year_overlaps(spec).items()]
+
+    def count_days(near: DataFrame) -> DataFrame:
+        clipped = near.select("member", "sb", F.greatest("b", _lookback(spec)).alias("b"), F.least("e", "sb").alias("e"))
+        return merge_spans(clipped, ("member",), carry=("sb",)).groupBy("member").agg(*aggs)
+
+    return _near_spans(index, spans, spec, False, hot, count_days)
 
 
 def active_on(spans: DataFrame, index: DataFrame, hot: Sequence = ()) -> DataFrame:
     """1 when a span holds the day of admission."""
-    joined = join_one(spans, index.select("member", "sb"), "member", hot)
-    return joined.groupBy("member").agg(
-        F.max(F.when((F.col("b") <= F.col("sb")) & (F.col("e") > F.col("sb")), 1).otherwise(0)).alias("active"))
+    inside = F.max(F.when((F.col("b") <= F.col("sb")) & (F.col("e") > F.col("sb")), 1).otherwise(0)).alias("active")
+    return join_and_reduce(spans, index.select("member", "sb"), "member", hot, lambda j: j.groupBy("member").agg(inside))
 
 
 def lasted_months(spans: DataFrame, index: DataFrame, months: int, hot: Sequence = ()) -> DataFrame:
     """1 when a span reached ``months`` months by the day of admission."""
-    joined = join_one(spans, index.select("member", "sb"), "member", hot).where(F.col("b") < F.col("sb"))
-    reached = F.add_months("b", months) <= F.least("e", "sb")
-    return joined.groupBy("member").agg(F.max(F.when(reached, 1).otherwise(0)).alias("lasted"))
+    reached = F.max(F.when(F.add_months("b", months) <= F.least("e", "sb"), 1).otherwise(0)).alias("lasted")
+    return join_and_reduce(spans, index.select("member", "sb"), "member", hot,
+                           lambda j: j.where(F.col("b") < F.col("sb")).groupBy("member").agg(reached))
 
 
 def _collect(days: DataFrame, lines: list[Column], name: str) -> DataFrame:

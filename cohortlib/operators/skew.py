@@ -6,7 +6,7 @@ which is not so when one side was just aggregated by the key. The split is there
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +26,21 @@ def hot_keys(facts: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
     return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least]
 
 
-def join_one(facts: DataFrame, one: DataFrame, key: str, hot: Sequence = ()) -> DataFrame:
-    """Inner join of many fact rows to a table with one row per key.
+def join_and_reduce(facts: DataFrame, one: DataFrame, key: str, hot: Sequence,
+                    reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Inner join of many fact rows to a table with one row per key, then ``reduce``, which groups by
+    the key.
 
-    Rows of hot keys stay where they are and meet a broadcast of those keys' few rows (at most one per
-    hot key, so at most 1000); all others take the ordinary shuffled join."""
+    Rows of hot keys stay where they are and meet a broadcast of those keys' few rows (one per hot
+    key, so at most 1000); only their partial aggregates are shuffled. All other rows take the
+    ordinary shuffled join, whose partitioning the aggregation reuses. Each key takes one route only, so
+    the two results are simply put together."""
     if not hot:
-        return facts.join(one, key)
+        return reduce(facts.join(one, key))
     is_hot = F.col(key).isin(*hot)
     few = F.broadcast(one.where(is_hot))
-    return facts.where(~is_hot).join(one, key).unionByName(facts.where(is_hot).join(few, key))
+    cold = reduce(facts.where(~is_hot).join(one, key))
+    return cold.unionByName(reduce(facts.where(is_hot).join(few, key)))
 
 
 def with_lookup(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlib import ADULT
 from cohortlib.operators import cohort
-from cohortlib.operators.skew import hot_keys, join_one, with_lookup
+from cohortlib.operators.skew import hot_keys, join_and_reduce, with_lookup
 
 D0 = date(1999, 6, 1)
 
@@ -129,12 +129,30 @@ def test_hot_keys_finds_the_large_owner(spark):
 def test_hot_route_gives_the_same_rows(spark, rows):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("member"), "id")
     one = spark.range(40).select(F.col("id").alias("member"), (F.col("id") * 2).alias("twice"))
-    plain, routed = join_one(facts, one, "member"), join_one(facts, one, "member", [7, 45])
-    assert rows(plain) == rows(routed)
+    total = lambda j: j.groupBy("member", "twice").agg(F.sum("id").alias("s"))
+    plain, routed = join_and_reduce(facts, one, "member", (), total), join_and_reduce(facts, one, "member", [7, 45], total)
+    assert rows(plain) == rows(routed) and plain.count() == 40
     plan = routed._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan and "Union" in plan
 
 
+def test_cold_rows_are_shuffled_once_and_hot_rows_not_at_all(spark, eps):
+    """Without a broadcast of the index: one exchange of the spans for the cold route, and for the
+    hot route only of what the partial aggregation leaves."""
+    spans = spark.range(500).select((F.col("id") % 3 + 1).alias("member"), F.date_add(F.lit(D0), -F.col("id").cast("int")).alias("b"),
+                                    F.lit(D0).alias("e"), F.lit("A").alias("sub"), F.lit("SMALL").alias("code"))
+    dim = spark.createDataFrame([("SMALL", "adult", "Outpatient")], "code string, age_group string, LOC string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cohort.service_days(eps, spans, dim, ADULT, (1,))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_member = [line for line in plan.splitlines() if "Exchange hashpartitioning(member" in line]
+    # cold: spans and index by member; hot: partial sums by member, level of care and line
+    assert len(by_member) == 3 and sum("LOC" in line for line in by_member) == 1
+
+
 def test_lookup_keeps_unmatched_rows(spark):
     facts = spark.createDataFrame([("a",), ("b",), (None,)], "code string")
     dim = spark.createDataFrame([("a", "A")], "code string, LOC string")
