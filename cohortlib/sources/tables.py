@@ -30,6 +30,9 @@ class CohortInputs:
 
     auth: auth, member, sb, se, code · services: member, b, e, sub, code · additional: member, b, e, LOC
     eligibility, dhs, bhrs: member, b, e · members: member and attributes · loc_dim: code, age_group, LOC
+
+    ``sub`` tells apart the lines a member may have for one level of care; it is a code of few values, because
+    the extract lists every line.
     """
 
     auth: DataFrame

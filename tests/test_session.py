@@ -1,0 +1,44 @@
+from types import SimpleNamespace
+
+import pytest
+
+from cohortlib import session
+
+
+class FakeConf(dict):
+    def set(self, key, value):
+        self[key] = value
+
+
+def fake(master, conf=(), checkpoint=None):
+    calls = []
+    sc = SimpleNamespace(master=master, applicationId="app-1", getCheckpointDir=lambda: checkpoint, setCheckpointDir=calls.append)
+    return SimpleNamespace(sparkContext=sc, conf=FakeConf(conf)), calls
+
+
+def test_named_folder_is_used():
+    spark, calls = fake("spark://host:7077", {"spark.checkpoint.dir": "hdfs:///shared"})
+    assert session.shared_dir(spark) == "hdfs:///shared" and calls == ["hdfs:///shared"]
+    assert session.new_stage_dir(spark).startswith("hdfs:///shared/cohortlib/app-1-")
+
+
+def test_existing_checkpoint_folder_is_kept():
+    spark, calls = fake("yarn", checkpoint="hdfs:///set")
+    assert session.shared_dir(spark) == "hdfs:///set" and calls == []
+
+
+def test_cluster_without_folder_is_refused():
+    spark, _ = fake("yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
+
+
+def test_local_master_gets_a_temporary_folder():
+    spark, calls = fake("local[2]")
+    assert session.shared_dir(spark) == calls[0]
+
+
+def test_tune_sets_only_what_differs():
+    spark, _ = fake("local[2]", {"spark.sql.adaptive.enabled": "true"})
+    session.tune(spark)
+    assert dict(spark.conf) == session.TUNING
