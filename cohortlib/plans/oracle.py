@@ -648,7 +648,7 @@ def _chi2_tail(x: str, dof: str) -> str:
     """1 - P(dof / 2, x / 2) by the series of the incomplete gamma function (all terms positive)."""
     a, h = f"({dof} / 2)", f"({x} / 2)"
     return (f"CASE WHEN {dof} <= 0 OR {x} <= 0 THEN 1 ELSE greatest(0, 1 - list_sum([exp(-{h} + ({a} + k) * ln({h}) "
-            f"- lgamma({a} + k + 1)) for k in range(0, 400)])) END")
+            f"- lgamma({a} + k + 1)) for k in range(0, CAST({x} + 400 AS BIGINT))])) END")
 
 
 def _logrank(by: str, levels: list[str]) -> tuple[str, list[tuple[str, str]]]:
