@@ -9,12 +9,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from cohortlib.plans import oracle, registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LARGER = os.environ.get("TEST_SF_DIR_MODELS", "/root/testdata/sf0.01")
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {"readmission_overview": registry.readmission_overview, **registry.all_queries()}
+SQL = oracle.all_sql()
 
 
 def connect(data):
