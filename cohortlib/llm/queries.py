@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import fingerprint
+from cohortlib.llm import bpe, fingerprint
 from cohortlib.llm.helpers import documents
 
 
@@ -15,8 +16,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(documents(spark, sf_dir))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text, and their decoding."""
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints,)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe)}
 
 
 def all_sql() -> dict[str, str]:
