@@ -19,7 +19,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from cohortlib.llm.helpers import chunks
 
@@ -190,43 +191,13 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     return vocab.bytes[np.repeat(vocab.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
 
 
-class Splitter:
-    """Numbers the words of texts by first appearance. ``words`` holds each once.
-
-    With ``spaces_lead`` the pattern must attach a space to what follows it and never match across a space before a
-    non-space, as the usual byte-level patterns do. Texts are then cut there, and each part is matched once only."""
-
-    def __init__(self, pattern: str, spaces_lead: bool):
-        self.findall = regex.compile(pattern).findall
-        self.words: defaultdict[str, int] = defaultdict()
-        self.words.default_factory = self.words.__len__
-        self.number = self.words.__getitem__
-        self.wide = regex.compile(r" (?!\S)").search if spaces_lead else lambda text: True
-        self.parts = _Parts(self)
-
-    def rows(self, text: str) -> np.ndarray:
-        if self.wide(text):
-            return np.fromiter(map(self.number, self.findall(text)), np.int64)
-        head, *rest = text.split(" ")
-        first = map(self.number, self.findall(head))
-        return np.fromiter(chain(first, chain.from_iterable(map(self.parts.__getitem__, rest))), np.int64)
-
-
-class _Parts(dict):
-    def __init__(self, splitter: Splitter):
-        super().__init__()
-        self.splitter = splitter
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        found = self[part] = tuple(map(self.splitter.number, self.splitter.findall(f" {part}")))
-        return found
-
-
-def encode_block(vocab: Vocabulary, pattern: str, texts: list[str], spaces_lead: bool = True) -> Iterator[np.ndarray]:
+def encode_block(vocab: Vocabulary, pattern, texts: list[str]) -> Iterator[np.ndarray]:
     """Ids of each text of a block; words are encoded once for the block."""
-    split = Splitter(pattern, spaces_lead)
-    rows = [split.rows(t) for t in texts]
-    ids, starts = encode_words(vocab, [w.encode("utf-8", "surrogatepass") for w in split.words])
+    seen: defaultdict[str, int] = defaultdict()
+    seen.default_factory = seen.__len__
+    number = seen.__getitem__
+    rows = [np.fromiter(map(number, pattern.findall(t)), np.int64) for t in texts]
+    ids, starts = encode_words(vocab, [w.encode("utf-8", "surrogatepass") for w in seen])
     sizes = np.diff(starts)
     for row in rows:
         if not len(row):
@@ -251,17 +222,16 @@ def _shipped(spark: SparkSession, path: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, path: str, pattern: str, spaces_lead: bool = True,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` but the text's, which gives way to ``ids`` (array<int>). Nothing is shuffled."""
     name = _shipped(docs.sparkSession, path)
     rest = [c for c in docs.columns if c.lower() not in ("text", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _loaded(name)
+        vocab, split = _loaded(name), regex.compile(pattern)
         for block in chunks(batches, "text", block_bytes):
             texts = [t.decode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
-            rows = list(encode_block(vocab, pattern, texts, spaces_lead))
+            rows = list(encode_block(vocab, split, texts))
             ends = np.cumsum([0, *map(len, rows)])
             flat = pa.array(np.concatenate(rows).astype(np.int32) if rows else [], pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -269,21 +239,20 @@ def encode(docs: DataFrame, path: str, pattern: str, spaces_lead: bool = True,
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     kept = docs.select(*(F.col(f"`{c}`") for c in rest), text)
-    schema = kept.drop("text").schema.add("ids", "array<int>")
+    schema = StructType([*kept.drop("text").schema.fields]).add("ids", ArrayType(IntegerType()))
     return kept.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, spaces_lead: bool = True,
-            block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encode, decode again, and return doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
     name = _shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _loaded(name)
+        vocab, split = _loaded(name), regex.compile(pattern)
         for block in chunks(batches, "text", block_bytes):
             texts = [t.decode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
             counts, ids_sha, text_sha = [], [], []
-            for ids in encode_block(vocab, pattern, texts, spaces_lead):
+            for ids in encode_block(vocab, split, texts):
                 counts.append(len(ids))
                 decimal = " ".join(map(vocab.decimal.__getitem__, ids.tolist()))
                 ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())

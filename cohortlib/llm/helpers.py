@@ -100,3 +100,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows that agree in the first ``keys`` columns; rows must come sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(pair) for pair in zip(held, cols, strict=True)]
+        change = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            change |= c[1:] != c[:-1]
+        cuts = (np.flatnonzero(change) + 1).tolist()
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            yield [c[a:b] for c in cols]
+        held = [c[cuts[-1] if cuts else 0:] for c in cols]
+    if held is not None:
+        yield held

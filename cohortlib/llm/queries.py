@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint
+from cohortlib.llm import bpe, fingerprint, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -21,8 +21,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and the component of its near duplicates."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash)}
 
 
 def all_sql() -> dict[str, str]:
