@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from cohortlib.llm.helpers import chunks
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 
 class Vocabulary:

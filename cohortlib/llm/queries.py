@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, simhash
+from cohortlib.llm import bpe, fingerprint, host_rules, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -26,8 +26,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every text, the verdict on its host, and whether it stays."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return host_rules.judged(docs).drop("source")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash, op5_host_rules)}
 
 
 def all_sql() -> dict[str, str]:
