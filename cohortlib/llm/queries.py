@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, host_rules, simhash
+from cohortlib.llm import bpe, fingerprint, host_rules, mixing, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -32,8 +32,13 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(docs).drop("source")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the sources, and how much of each document the mix takes from where on."""
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash, op5_host_rules)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash, op5_host_rules, op6_mixing)}
 
 
 def all_sql() -> dict[str, str]:
