@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, host_rules, mixing, simhash
+from cohortlib.llm import bpe, fingerprint, host_rules, mixing, ppm, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -21,6 +21,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word-unigram log probabilities of every text."""
+    return ppm.score(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every text and the component of its near duplicates."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -38,7 +43,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op4_simhash, op5_host_rules, op6_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing)}
 
 
 def all_sql() -> dict[str, str]:
