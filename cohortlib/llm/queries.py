@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, host_rules, mixing, ppm, simhash
+from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ppm, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -42,8 +42,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of the labelled ones."""
+    return langid.identify(documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op9_language_id)}
 
 
 def all_sql() -> dict[str, str]:
