@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ppm, simhash
+from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, paragraphs, ppm, simhash
 from cohortlib.llm.helpers import documents
 
 
@@ -47,8 +47,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages that an earlier document has."""
+    return paragraphs.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op9_language_id, op10_paragraphs)}
 
 
 def all_sql() -> dict[str, str]:
