@@ -30,7 +30,7 @@ NGRAM = 4
 GRAMS = 1 << 14
 SLOTS = 1 << 18                                            # a language fills at most GRAMS * HASHES of them
 HASHES = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
