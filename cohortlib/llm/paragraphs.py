@@ -1,7 +1,7 @@
 """Substring dedup: near-equal paragraphs are found by MinHash banding and removed from all documents but one.
 
-A paragraph is the smallest unit a passage is quoted by: a line, or a sentence within it. So a passage pasted into the middle of
-another text still shares all its paragraphs but the first with the other places that have it.
+A paragraph is the smallest unit a passage is quoted by: a line, a sentence, or a clause between punctuation marks. So a
+passage pasted into the middle of another text still shares all its paragraphs but the first with the other places.
 
 Paragraphs of five words and more get a MinHash of their word shingles, cut into bands (``tune`` picks how many for the
 recall wanted). Paragraphs that collide in a band are compared by the exact Jaccard likeness of their shingles; those
@@ -18,6 +18,7 @@ both doc_id and text count as one document. A null doc_id comes last when the oc
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -40,7 +41,10 @@ BLOCK_BYTES = 12 << 20
 HOT = 1 << 12
 TILE = 512
 BLOOM_WORDS = 1 << 20                                      # 8 MB, whatever the number of entries
-_BREAK = re.compile(rb"(?<=[.!?])[ \t]+|[ \t]*[\n\r]\s*")
+LONG = 24
+CUT = 8
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_BREAK = re.compile(rb"(?<=[.,;:!?])[ \t]+|[ \t]*[\n\r]\s*")
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1) -> int:
@@ -49,16 +53,34 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1)
 
 
 def spans(raw: bytes) -> list[tuple[int, int]]:
-    """Start of each paragraph, and where its text ends (what separates it from the next one comes after)."""
+    """Start of each paragraph, and where its text ends (what separates it from the next one comes after).
+
+    A paragraph of over LONG words, such as text without punctuation, is cut behind every word whose checksum is a
+    multiple of CUT. The cuts follow from the words themselves, so they fall alike wherever a passage stands."""
     out, start = [], 0
     for m in _BREAK.finditer(raw):
-        out.append((start, m.start()))
+        _add(out, raw, start, m.start())
         start = m.end()
     if start < len(raw):
-        out.append((start, len(raw)))
+        _add(out, raw, start, len(raw))
     return out
 
 
+def _add(out: list[tuple[int, int]], raw: bytes, start: int, end: int) -> None:
+    if raw.count(b" ", start, end) >= LONG and len(raw[start:end].split()) > LONG:
+        begin = start
+        for m in _WORD.finditer(raw, start, end):
+            if begin < 0:
+                begin = m.start()
+            if zlib.crc32(m[0].lower()) % CUT == 0:
+                out.append((begin, m.end()))
+                begin = -1
+        if begin >= 0:
+            out.append((begin, end))
+    else:
+        out.append((start, end))
+
+
 class Shingler:
     """Paragraphs of a block of texts as hashes: one for each paragraph, and one for each of its shingles."""
 
