@@ -13,36 +13,16 @@ misses its target by at most half a document). Sizes are words; texts without wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlib.llm.helpers import WORD, fresh, partitions, stage
+from cohortlib.llm.helpers import WORD, fresh, partitions, running_totals, stage
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
 SEED = 17
 
 
-def running_totals(rows: DataFrame, by: list[Column], totals: dict[str, str]) -> DataFrame:
-    """``rows`` with exclusive running sums in the order ``by``; ``totals`` names the new columns and what they add up.
-
-    Rows are range-partitioned, sorted and written; each partition adds up its own rows, and one row for each partition
-    gives the offsets. No key gathers in one task, however frequent: ``by`` has to tell rows apart, except rows that
-    may be exchanged for each other."""
-    part, *inner = fresh(rows, "part", *(f"inner_{t}" for t in totals))
-    n = partitions(rows.sparkSession)
-    placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(part, F.spark_partition_id())
-    placed = stage(placed, "placed")
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)          # over at most n rows
-    sums = placed.groupBy(part).agg(*(F.sum(size).alias(i) for i, size in zip(inner, totals.values(), strict=True)))
-    offsets = sums.select(part, *(F.coalesce(F.sum(i).over(earlier), F.lit(0)).alias(t) for i, t in zip(inner, totals, strict=True)))
-    within = Window.partitionBy(part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.select("*", *(F.coalesce(F.sum(size).over(within), F.lit(0)).alias(i)
-                                  for i, size in zip(inner, totals.values(), strict=True)))
-    return summed.join(F.broadcast(offsets), part).select(
-        *rows.columns, *((F.col(i) + F.col(t)).alias(t) for i, t in zip(inner, totals, strict=True)))
-
-
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES) -> DataFrame:
     """source, source_size, weight, target and before (the sizes of all sources ahead) from rows with source and size.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, simhash
-from cohortlib.llm.helpers import documents
+from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, simhash, tool_calls
+from cohortlib.llm.helpers import documents, tune
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,46 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, checked and serialised."""
+    tune(spark)
+    calls, results = tool_calls.from_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.link(calls, results)
+
+
+OP7_SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c0 AS (
+  SELECT conv_id, 'call-' || conv_id || '-' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text,
+         count(*) OVER (PARTITION BY conv_id, turn) AS n_calls, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text) AS k
+  FROM m WHERE role IN ('user', 'system')),
+c AS (SELECT conv_id, call_id, turn, name, text, n_calls FROM c0 WHERE k = 1),
+r AS (
+  SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+  FROM m WHERE role = 'assistant' GROUP BY ALL),
+edge AS (SELECT a.conv_id, a.call_id, b.call_id AS waits_for FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2)),
+walk(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM c
+  UNION
+  SELECT edge.conv_id, edge.call_id, level + 1 FROM walk JOIN edge ON edge.conv_id = walk.conv_id AND edge.waits_for = walk.call_id),
+lev AS (SELECT conv_id, call_id, max(level) AS level FROM walk GROUP BY ALL),
+o AS (
+  SELECT lev.*, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position FROM lev JOIN c USING (conv_id, call_id)),
+j AS (
+  SELECT c.*, level, position, CASE WHEN text IS NULL THEN 'text: missing' WHEN length(text) < 1 THEN 'text: too short'
+           WHEN length(text) > CASE name WHEN 'ask' THEN 1500 ELSE 500 END THEN 'text: too long' WHEN turn < 0 THEN 'turn: too small' END AS error
+  FROM c JOIN o USING (conv_id, call_id))
+SELECT conv_id, call_id, name, turn, level, position, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       CASE WHEN n_calls IS NOT NULL THEN error IS NULL END AS valid, error,
+       '{' || CASE WHEN n_calls IS NOT NULL THEN '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END
+         || '"turn":' || turn || '},' ELSE '' END || '"id":"' || call_id || '"'
+         || CASE WHEN n_calls IS NOT NULL THEN ',"name":"' || name || '"' ELSE '' END
+         || CASE WHEN n_results IS NOT NULL THEN ',"result":' || coalesce(to_json(content), 'null') ELSE '' END || '}' AS json
+FROM j FULL JOIN r USING (conv_id, call_id)
+"""
+
+
 def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probabilities and selection of every text, fitted on rated ones."""
     return ordinal.select(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,8 +98,8 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op8_ordinal, op9_language_id, op10_paragraphs)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op7_tool_calls, op8_ordinal, op9_language_id, op10_paragraphs)}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op7_tool_calls": OP7_SQL}
