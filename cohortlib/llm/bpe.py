@@ -27,7 +27,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from cohortlib.llm.helpers import chunks
 
@@ -222,10 +222,21 @@ def _shipped(spark: SparkSession, path: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` but the text's, which gives way to ``ids`` (array<int>). Nothing is shuffled."""
+def _digests(vocab: Vocabulary, ids: np.ndarray) -> tuple[int, str, str]:
+    decimal = " ".join(map(vocab.decimal.__getitem__, ids.tolist()))
+    return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decode(vocab, ids)).hexdigest()
+
+
+ADDED = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of ``docs`` but the text, which gives way to ids (array<int>), n_tokens, ids_sha256 and decoded_sha256.
+
+    A column of one of these names gives way too. Nothing is shuffled."""
     name = _shipped(docs.sparkSession, path)
-    rest = [c for c in docs.columns if c.lower() not in ("text", "ids")]
+    rest = [c for c in docs.columns if c.lower() not in ("text", *ADDED)]
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, split = _loaded(name), regex.compile(pattern)
@@ -233,34 +244,17 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BY
             texts = [t.decode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
             rows = list(encode_block(vocab, split, texts))
             ends = np.cumsum([0, *map(len, rows)])
-            flat = pa.array(np.concatenate(rows).astype(np.int32) if rows else [], pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in rest), ids], [*rest, "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+            made = [_digests(vocab, r) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [*(block.column(c) for c in rest), ids, pa.array([m[0] for m in made], pa.int64()),
+                 pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())], [*rest, *ADDED])
 
-    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest), text)
-    schema = StructType([*kept.drop("text").schema.fields]).add("ids", ArrayType(IntegerType()))
+    schema = (StructType([*kept.drop("text").schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
+              .add("ids_sha256", StringType()).add("decoded_sha256", StringType()))
     return kept.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encode, decode again, and return doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
-    name = _shipped(docs.sparkSession, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, split = _loaded(name), regex.compile(pattern)
-        for block in chunks(batches, "text", block_bytes):
-            texts = [t.decode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
-            counts, ids_sha, text_sha = [], [], []
-            for ids in encode_block(vocab, split, texts):
-                counts.append(len(ids))
-                decimal = " ".join(map(vocab.decimal.__getitem__, ids.tolist()))
-                ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decode(vocab, ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-            .mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+    return encoded(docs.select("doc_id", "text"), path, pattern, block_bytes).drop("ids")

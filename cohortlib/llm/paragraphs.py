@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from cohortlib.llm.components import components, local_stars
-from cohortlib.llm.helpers import chunks, fresh, mix64, raw_text, runs, stage
+from cohortlib.llm.helpers import WORD, chunks, fresh, mix64, raw_text, runs, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -300,19 +300,30 @@ def cut(raw: bytes, numbers: list[int], least_words: int) -> tuple[bytes, int, i
     return kept, len(found), len(gone), sum(sizes[k] for k in gone)
 
 
+ADDED = ("n_paragraphs", "n_removed", "removed_words")
+
+
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with their texts cut, and n_paragraphs, n_removed, removed_words beside all other columns.
 
     A column of one of these names gives way. Documents without a removal keep their text as it is, a null included."""
-    added = ("n_paragraphs", "n_removed", "removed_words")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
-    hashed, doc, numbers = fresh(docs, "text_hash", "doc", "numbers")
-    lists = candidates(docs, similarity, recall).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hashed), F.col("numbers").alias(numbers))
+    return _cut_all(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED)), ADDED, similarity, recall, least_words)
+
+
+def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents with their texts cut and all other columns as they were. A document of which nothing but
+    white space is left goes; documents without a removal stay as they are."""
+    added = fresh(docs, *ADDED)
+    out = _cut_all(docs, added, similarity, recall, least_words)
+    return out.where((F.col(added[1]) == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+
+
+def _cut_all(docs: DataFrame, added, similarity: float, recall: float, least_words: int) -> DataFrame:
+    hashed, doc, numbers, other = fresh(docs, "text_hash", "doc", "numbers", "other_hash")
+    lists = candidates(docs, similarity, recall).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(other), F.col("numbers").alias(numbers))
     lists = stage(lists, "removals")
-    base = docs.withColumn(hashed, F.xxhash64("text"))
-    other = lists.withColumnRenamed(hashed, f"{hashed}_r")
-    joined = (base.join(other, (F.col(hashed) == F.col(f"{hashed}_r")) & F.col("doc_id").eqNullSafe(F.col(doc)), "left")
-              .select(*docs.columns, numbers))
+    joined = (docs.withColumn(hashed, F.xxhash64("text"))
+              .join(lists, (F.col(hashed) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*docs.columns, numbers))
     names = list(docs.columns)
     at = names.index("text")
 
