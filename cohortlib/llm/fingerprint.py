@@ -22,12 +22,12 @@ from cohortlib.llm.helpers import mix64, partitions
 
 K = 25
 WINDOW = 26
-_BASE = np.uint64(0x9E3779B97F4A7C15)                     # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15)                     # odd, so that it has an inverse modulo 2**64
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def power(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), kept and grown by doubling."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
@@ -46,8 +46,8 @@ def rolling(points: np.ndarray, k: int) -> np.ndarray:
     n = len(points)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * _power(_INVERSE, n - k + 1))
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power(BASE, n), out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * power(INVERSE, n - k + 1))
 
 
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -17,110 +17,103 @@ both doc_id and text count as one document. A null doc_id comes last when the oc
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from cohortlib.llm.components import components, local_stars
+from cohortlib.llm.fingerprint import BASE, INVERSE, power
 from cohortlib.llm.helpers import WORD, chunks, fresh, mix64, raw_text, runs, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 LEAST_WORDS = 25
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 HOT = 1 << 12
 TILE = 512
 BLOOM_WORDS = 1 << 20                                      # 8 MB, whatever the number of entries
 LONG = 24
 CUT = 8
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_BREAK = re.compile(rb"(?<=[.,;:!?])[ \t]+|[ \t]*[\n\r]\s*")
 
 
-def tune(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1) -> int:
-    """The least number of bands of ``rows`` hashes that finds a pair at ``similarity`` with chance ``recall``."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity ** rows)))
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
 
 
-def spans(raw: bytes) -> list[tuple[int, int]]:
-    """Start of each paragraph, and where its text ends (what separates it from the next one comes after).
+_BLANK, _LINE, _MARK = _table(b" \t\n\v\f\r"), _table(b"\n\r"), _table(b".,;:!?")
 
-    A paragraph of over LONG words, such as text without punctuation, is cut behind every word whose checksum is a
-    multiple of CUT. The cuts follow from the words themselves, so they fall alike wherever a passage stands."""
-    out, start = [], 0
-    for m in _BREAK.finditer(raw):
-        _add(out, raw, start, m.start())
-        start = m.end()
-    if start < len(raw):
-        _add(out, raw, start, len(raw))
-    return out
+
+def tune(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1) -> int:
+    """The least number of bands of ``rows`` hashes that finds a pair at ``similarity`` with chance ``recall``."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity ** rows)))
 
 
-def _add(out: list[tuple[int, int]], raw: bytes, start: int, end: int) -> None:
-    if raw.count(b" ", start, end) >= LONG and len(raw[start:end].split()) > LONG:
-        begin = start
-        for m in _WORD.finditer(raw, start, end):
-            if begin < 0:
-                begin = m.start()
-            if zlib.crc32(m[0].lower()) % CUT == 0:
-                out.append((begin, m.end()))
-                begin = -1
-        if begin >= 0:
-            out.append((begin, end))
-    else:
-        out.append((start, end))
-
-
-class Shingler:
-    """Paragraphs of a block of texts as hashes: one for each paragraph, and one for each of its shingles."""
-
-    def __init__(self):
-        self.of_word: defaultdict[bytes, int] = _Words()
-
-    def paragraphs(self, raws: list[bytes]):
-        """(text number, paragraph number, words, hash) arrays, all shingles in a row, and where each paragraph's start."""
-        text_no, number, words, names, hashed = [], [], [], [], []
-        get = self.of_word.__getitem__
-        for t, raw in enumerate(raws):
-            low = raw.lower()
-            for p, (a, b) in enumerate(spans(raw)):
-                found = low[a:b].split()
-                if len(found) >= SHINGLE:
-                    text_no.append(t)
-                    number.append(p)
-                    words.append(len(found))
-                    names.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
-                    hashed.extend(map(get, found))
-        words = np.array(words, np.int64)
-        each = np.array(hashed, np.uint64)
-        ends = np.cumsum(words)
-        per = words - (SHINGLE - 1)
-        first = np.concatenate(([0], np.cumsum(per)[:-1])) if len(per) else np.empty(0, np.int64)
-        if len(per):
-            at = np.repeat(ends - words - first, per) + np.arange(int(per.sum()))
-            value = np.zeros(len(at), np.uint64)
-            for i in range(SHINGLE):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + each[at + i]
-            value = mix64(value)
-        else:
-            value = np.empty(0, np.uint64)
-        return np.array(text_no, np.int64), np.array(number, np.int64), words, np.array(names, np.uint64), value, first
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+@dataclass
+class Units:
+    """The paragraphs of a block of texts, and the words they are made of.
+
+    ``text``, ``number`` (within its text), ``start`` (byte in its text), ``size`` (words) and ``first`` (its first word in
+    the block) have an entry for each paragraph, ``word`` has a hash for each word."""
+
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+
+    def names(self) -> np.ndarray:
+        """A hash of each paragraph's words in their order."""
+        ahead = np.concatenate(([np.uint64(0)], np.cumsum(self.word * power(BASE, len(self.word)), dtype=np.uint64)))
+        total = (ahead[self.first + self.size] - ahead[self.first]) * power(INVERSE, len(self.word) + 1)[self.first]
+        return mix64(total + self.size.astype(np.uint64))
+
+    def shingles(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word shingles of some paragraphs in a row, and where each paragraph's start."""
+        per = self.size[of] - (SHINGLE - 1)
+        begin = np.concatenate(([0], np.cumsum(per)[:-1])) if len(of) else np.empty(0, np.int64)
+        at = np.repeat(self.first[of] - begin, per) + np.arange(int(per.sum()))
+        value = np.zeros(len(at), np.uint64)
+        for i in range(SHINGLE):
+            value = value * BASE + self.word[at + i]
+        return mix64(value), begin
+
+
+def units(raws: list[bytes]) -> Units:
+    """Cut texts into paragraphs. Everything is done for the whole block at once.
+
+    A paragraph begins with the first word of a text or line, and behind a word that ends in a punctuation mark. One of
+    over LONG words, such as text without punctuation, is cut behind every word whose hash is a multiple of CUT. All cuts
+    follow from the words themselves, so they fall alike wherever a passage stands."""
+    flat = np.frombuffer(b"\n".join([*raws, b""]).lower(), np.uint8)
+    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)))
+    blank = _BLANK[flat]
+    turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1      # where words begin and end; each text ends in a line feed
+    edges = turn if not len(flat) or blank[0] else np.concatenate(([0], turn))
+    starts, ends = edges[0::2], edges[1::2]
+    ahead = np.concatenate(([np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power(BASE, len(flat)), dtype=np.uint64)))
+    word = mix64((ahead[ends] - ahead[starts]) * power(INVERSE, len(flat) + 1)[starts])
+    lines = np.concatenate(([0], np.cumsum(_LINE[flat], dtype=np.int64)))
+    new = np.ones(len(starts), bool)
+    new[1:] = _MARK[flat[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(starts)))
+    long = np.repeat(size > LONG, size)
+    new[1:] |= long[:-1] & (word[:-1] % np.uint64(CUT) == 0)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(starts)))
+    text = np.searchsorted(at, starts[first], "right") - 1
+    number = np.arange(len(first)) - np.searchsorted(text, text, "left")
+    return Units(text, number, starts[first] - at[text], size, first, word)
 
 
 def band_keys(shingles: np.ndarray, first: np.ndarray, bands: int, rows: int) -> list[np.ndarray]:
@@ -136,22 +129,23 @@ def band_keys(shingles: np.ndarray, first: np.ndarray, bands: int, rows: int) ->
 
 
 def occurrences(docs: DataFrame, bands: int, rows: int = 1) -> DataFrame:
-    """doc_id, text_hash, number, words, paragraph and the band keys of every paragraph of five words and more."""
+    """doc_id, text_hash, number, paragraph (a hash of its words) and the band keys of every paragraph of five words and more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in chunks(batches, "raw", BLOCK_BYTES):
-            text_no, number, words, names, shingles, first = Shingler().paragraphs(block.column("raw").to_pylist())
-            if not len(names):
+            found = units(block.column("raw").to_pylist())
+            of = np.flatnonzero(found.size >= SHINGLE)
+            if not len(of):
                 continue
-            keys = band_keys(shingles, first, bands, rows)
-            at = pa.array(text_no)
+            keys = band_keys(*found.shingles(of), bands, rows)
+            at = pa.array(found.text[of])
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(number.astype(np.int32)),
-                 pa.array(words.astype(np.int32)), pa.array(names.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)],
-                ["doc_id", "text_hash", "number", "words", "paragraph", *(f"key{i}" for i in range(bands))])
+                [block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(found.number[of].astype(np.int32)),
+                 pa.array(found.names()[of].view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)],
+                ["doc_id", "text_hash", "number", "paragraph", *(f"key{i}" for i in range(bands))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_text().alias("raw"))
-            .mapInArrow(run, f"doc_id {kind}, text_hash bigint, number int, words int, paragraph bigint, "
+            .mapInArrow(run, f"doc_id {kind}, text_hash bigint, number int, paragraph bigint, "
                         + ", ".join(f"key{i} bigint" for i in range(bands))))
 
 
@@ -180,11 +174,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in chunks(batches, "raw", BLOCK_BYTES):
-            _, _, words, names, shingles, first = Shingler().paragraphs(block.column("raw").to_pylist())
-            hit = np.flatnonzero(in_bloom(sent.value, names))
+            found = units(block.column("raw").to_pylist())
+            names = found.names()
+            hit = np.flatnonzero(in_bloom(sent.value, names) & (found.size >= SHINGLE))
             hit = hit[np.unique(names[hit], return_index=True)[1]]
             if len(hit):
-                sets = [np.unique(shingles[first[i]:first[i] + words[i] - SHINGLE + 1]).view(np.int64) for i in hit.tolist()]
+                values, begin = found.shingles(hit)
+                sets = [np.unique(v).view(np.int64) for v in np.split(values, begin[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names[hit].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))],
                                                  ["paragraph", "shingles"])
 
@@ -275,36 +271,38 @@ def candidates(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     return (out.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.number").alias("numbers")))
 
 
-def cut(raw: bytes, numbers: list[int], least_words: int) -> tuple[bytes, int, int, int]:
-    """The text without its runs of candidates; paragraphs, removed paragraphs and removed words.
+def cut(raw: bytes, numbers: list[int], least_words: int) -> tuple[bytes, int, int]:
+    """The text without its runs of candidates; removed paragraphs and removed words.
 
     A document's candidates are held together, as its text is."""
-    found, chosen = spans(raw), set(numbers)
-    sizes = [len(raw[a:b].split()) for a, b in found]
+    found, chosen = units([raw]), set(numbers)
+    sizes, n = found.size.tolist(), len(found.size)
     gone: set[int] = set()
     i = 0
-    while i < len(found):
+    while i < n:
         if i not in chosen:
             i += 1
             continue
         last = j = i
-        while j + 1 < len(found) and (j + 1 in chosen or sizes[j + 1] < SHINGLE):
+        while j + 1 < n and (j + 1 in chosen or sizes[j + 1] < SHINGLE):
             j += 1
             if j in chosen:
                 last = j
         if sum(sizes[i:last + 1]) >= least_words:
             gone.update(range(i, last + 1))
         i = last + 1
-    starts = [a for a, _ in found] + [len(raw)]
-    kept = b"".join(raw[starts[k]:starts[k + 1]] for k in range(len(found)) if k not in gone) if gone else raw
-    return kept, len(found), len(gone), sum(sizes[k] for k in gone)
+    if not gone:
+        return raw, 0, 0
+    starts = [*found.start.tolist(), len(raw)]
+    kept = b"".join([raw[:starts[0]], *(raw[starts[k]:starts[k + 1]] for k in range(n) if k not in gone)])
+    return kept, len(gone), sum(sizes[k] for k in gone)
 
 
-ADDED = ("n_paragraphs", "n_removed", "removed_words")
+ADDED = ("n_removed", "removed_words")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents with their texts cut, and n_paragraphs, n_removed, removed_words beside all other columns.
+    """The documents with their texts cut, and n_removed and removed_words beside all other columns.
 
     A column of one of these names gives way. Documents without a removal keep their text as it is, a null included."""
     return _cut_all(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED)), ADDED, similarity, recall, least_words)
@@ -315,7 +313,7 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     white space is left goes; documents without a removal stay as they are."""
     added = fresh(docs, *ADDED)
     out = _cut_all(docs, added, similarity, recall, least_words)
-    return out.where((F.col(added[1]) == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
+    return out.where((F.col(added[0]) == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def _cut_all(docs: DataFrame, added, similarity: float, recall: float, least_words: int) -> DataFrame:
@@ -330,12 +328,12 @@ def _cut_all(docs: DataFrame, added, similarity: float, recall: float, least_wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            out = [cut((t or "").encode("utf-8", "surrogatepass"), n or [], least_words)
+            out = [cut(t.encode("utf-8", "surrogatepass"), n, least_words) if t and n else (None, 0, 0)
                    for t, n in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
-            new = [o[0].decode("utf-8", "surrogatepass") if o[2] else t for o, t in zip(out, texts, strict=True)]
+            new = [o[0].decode("utf-8", "surrogatepass") if o[1] else t for o, t in zip(out, texts, strict=True)]
             cols = list(batch.columns[:len(names)])
             cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3))], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2))], [*names, *added])
 
     schema = StructType([*docs.schema.fields])
     for c in added:
