@@ -113,8 +113,8 @@ def _blocks(docs: DataFrame, n: int):
     tails = F.array(*(F.array(*(F.lit(e).cast(kind) for e in p)) for p in parts))
     row = F.size(F.filter(heads, lambda e: e > F.col("doc_id")))
     within = F.size(F.filter(F.element_at(tails, F.greatest(row, F.lit(1))), lambda e: e > F.col("doc_id")))
-    block = F.when(row == 0, 0).otherwise((row - 1) * step + within)
-    return F.coalesce(block, F.lit(len(edges))), len(edges) + 1
+    block = F.when(F.col("doc_id").isNull(), len(edges)).when(row == 0, 0).otherwise((row - 1) * step + within)
+    return block, len(edges) + 1
 
 
 def compare_neighbours(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -7,8 +7,8 @@ Paragraphs of five words and more get a MinHash of their word shingles, cut into
 recall wanted). Paragraphs that collide in a band are compared by the exact Jaccard likeness of their shingles; those
 at the threshold or above are linked, and connected components are the clusters. Of each cluster the first occurrence
 stays (smallest document, then place), the others are candidates. A run of neighbouring candidates is
-removed if it has ``least_words`` words or more, together with too short paragraphs inside the run; single short
-sentences that texts share by chance stay.
+removed if it has ``least_words`` words or more, together with too short paragraphs inside it, or between it and
+the start or end of the text; single short sentences that texts share by chance stay.
 
 Equal paragraphs are one node, whatever their number, and what a task finds in a bucket is sent on as stars; no bucket,
 cluster or document is gathered beyond a bounded unit. Null texts count as empty and stay as they are. Rows that share
@@ -289,7 +289,9 @@ def cut(raw: bytes, numbers: list[int], least_words: int) -> tuple[bytes, int, i
             if j in chosen:
                 last = j
         if sum(sizes[i:last + 1]) >= least_words:
-            gone.update(range(i, last + 1))
+            head = 0 if max(sizes[:i], default=0) < SHINGLE else i           # nothing but short ones before, or behind
+            tail = n if max(sizes[last + 1:], default=0) < SHINGLE else last + 1
+            gone.update(range(head, tail))
         i = last + 1
     if not gone:
         return raw, 0, 0

@@ -98,7 +98,7 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = TILE) ->
 def parts(radius: int) -> list[tuple[int, int]]:
     """(shift, mask) of radius + 1 bit ranges that cover all 64 bits."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [(lo, (1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 def links(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:

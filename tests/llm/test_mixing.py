@@ -1,0 +1,100 @@
+"""Targets, passes and positions against a plain computation."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlib.llm import mixing
+from cohortlib.llm.helpers import running_totals
+
+
+def size(text):
+    return len((text or "").encode().split())
+
+
+def water(sizes, weights, most=3):
+    """Targets by sharing out again, one turn after the other."""
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = {s for s in sizes if s not in full}
+        level = (total - sum(most * sizes[s] for s in full)) / sum(weights[s] for s in rest) if rest else 0
+        over = {s for s in rest if level * weights[s] >= most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in full else level * weights[s] for s in sizes}
+        full |= over
+
+
+def some(seed, n=200):
+    rnd = random.Random(seed)
+    sources = ["a", "B", "é", "😀", "￿", None, "hot"]
+    rows = []
+    for i in range(n):
+        source = "hot" if rnd.random() < 0.4 else rnd.choice(sources)
+        rows.append((i, None if rnd.random() < 0.03 else "w " * rnd.choice((0, 1, 5, 40, 300 if source == "hot" else 9)), source))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_targets_and_taken_words(docs, seed):
+    rows = some(seed)
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += size(text)
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    want = water(sizes, {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)})
+    got = mixing.mixed(docs(rows, {"row": 1, "size": "x", "target": 0})).collect()
+    assert len(got) == len(rows)
+    taken = defaultdict(int)
+    for r in got:
+        _, text, source = rows[r.doc_id]
+        assert (r.size, r.source_size) == (size(text), sizes[source]) and r.target == pytest.approx(want[source])
+        assert 0 <= r.taken <= 3 * r.size and (r.first_position is None) == (r.taken == 0)
+        taken[source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = mixing.mixed(docs(rows[::-1])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+
+
+def test_curriculum_repeats_whole_documents_in_order(docs, spark):
+    rows = some(5)
+    df = docs(rows, {"row": "mine", "position": 2})
+    got = mixing.curriculum(df)
+    assert got.columns == df.columns
+    held = [r.doc_id for r in got.collect()]
+    assert held == [r.doc_id for r in mixing.curriculum(docs(rows[::-1])).collect()]
+    sizes, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, text, source in rows:
+        sizes[source] += size(text)
+        longest[source] = max(longest[source], size(text))
+        taken[source] += held.count(i) * size(text)
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    want = water(sizes, {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)})
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1 for s in sizes)
+
+
+@pytest.mark.parametrize("start,end", [(1.5, 0.5), (1.0, 1.0), (0.5, 1.5)])
+def test_due_time_inverts_the_integral(spark, start, end):
+    shares = [i / 50 for i in range(51)]
+    df = spark.createDataFrame([(s,) for s in shares], "share double")
+    for r in df.withColumn("t", mixing.due_time(F.col("share"), F.lit(start), F.lit(end))).collect():
+        due = (start * r.t + (end - start) * r.t ** 2 / 2) / ((start + end) / 2)
+        assert due == pytest.approx(r.share, abs=1e-12) and 0 <= r.t <= 1 + 1e-12
+
+
+def test_running_totals(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.randrange(5), i, rnd.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, part int, n bigint")
+    got = {r.part: (r.t, r.k) for r in running_totals(df.withColumn("one", F.lit(1)), [F.col("a"), F.col("part")], {"t": "n", "k": "one"}).collect()}
+    total = 0
+    for k, (_, i, n) in enumerate(sorted(rows)):
+        assert got[i] == (total, k)
+        total += n
+
+
+def test_empty_and_wordless(docs, empty):
+    assert mixing.mixed(empty).count() == 0 and mixing.curriculum(empty).columns == empty.columns
+    assert [(r.size, r.taken, r.target) for r in mixing.mixed(docs([(1, None), (2, "  ")])).collect()] == [(0, 0, 0.0)] * 2
+    assert mixing.curriculum(docs([(1, None), (None, " ")])).count() == 0
