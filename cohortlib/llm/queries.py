@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, simhash, tool_calls
 from cohortlib.llm.helpers import documents, tune
@@ -34,7 +35,34 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every text, the verdict on its host, and whether it stays."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return host_rules.judged(docs).drop("source")
+    return host_rules.judged(docs).drop("source").withColumn("host_rate", F.round("host_rate", 6))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]) AS n
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM win, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1 GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (
+  SELECT r, doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (r) JOIN lines USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS x FROM f GROUP BY source),
+p AS (SELECT sum(x) / sum(n) AS mean FROM h),
+q AS (
+  SELECT mean, sum(n * (x / n - mean) ** 2) - (count(*) - 1) * mean * (1 - mean) AS over,
+         (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) * mean * (1 - mean) AS below FROM h, p GROUP BY mean),
+a AS (SELECT mean, CASE WHEN below > 0 THEN 1 / greatest(least(over / below, 1.0), 1e-6) - 1 ELSE 0 END AS weight FROM q),
+v AS (SELECT source, (x + mean * weight) / (n + weight) AS host_rate FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 6) AS host_rate,
+       host_rate > 0.5 AS host_rejected, NOT base_failed AND NOT host_rate > 0.5 AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +130,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_tool_calls": OP7_SQL}
+    return {"op5_host_rules": OP5_SQL, "op7_tool_calls": OP7_SQL}
