@@ -27,9 +27,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}/{name}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written_since(mark: int) -> list[str]:
+    """Folders that ``stage`` has written since it had written ``mark`` of them."""
+    return _written[mark:]
+
+
+def n_written() -> int:
+    return len(_written)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete what ``stage`` wrote for this application; call it when no result of it is needed any more."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/llm")
