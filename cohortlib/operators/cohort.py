@@ -2,29 +2,34 @@
 
 Shape of the plan: every input relation is shuffled once, by member, and reduced to one row per
 member. The index table has one row per member, so each join is many-to-one and cannot multiply
-rows; where one member owns a large part of a relation, the adaptive skew join splits that
-partition and the partial aggregation after it keeps the follow-up exchange small.
+rows. Index and episodes are staged tables, so both sides of every such join come straight from an
+exchange: where one member owns a large part of a relation, the adaptive skew join splits that
+partition, and the partial aggregation after it keeps the follow-up exchange small.
+
+A stay or span without an end is still open: for every rule it ends at ``OPEN_END``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortlib.functions.columns import map_values, overlap
-from cohortlib.operators.skew import join_and_reduce, with_lookup
 from cohortlib.spec import AFTER_MEASURES, AUTH, MEASURES, MEASURES_WITHOUT_LOC, MEMBER, RunSpec
 
-# No member of any relation needs the route for hot keys.
-NONE_HOT: Mapping[str, Sequence] = dict.fromkeys(("services", "additional", "eligibility", "dhs", "bhrs"), ())
+OPEN_END = "9999-12-31"
 
 # One line of the long extract, before the member's attributes are attached.
 LINE = ("struct<BA_Category:string,Measure_Name:string,Measure_Period:string,LOC:string,Day_Count:bigint>")
 
 
+def far_end(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(OPEN_END).cast("date"))
+
+
 def _line(ba: str, measure: str, period, loc, days: Column) -> Column:
     text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
     return F.struct(
@@ -63,7 +68,7 @@ def _lookback(spec: RunSpec) -> Column:
     return F.date_sub("sb", spec.year_days * spec.prior_years)
 
 
-def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
+def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
     """One pass over the authorizations around each index episode.
 
     Readmission is the earliest other episode that begins within the follow-up days after discharge.
@@ -73,7 +78,7 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Seque
     keep = set(spec.index_codes) | set(spec.readmit_codes)
     last_day = F.date_add("se", spec.follow_up_days)
     other = auth.where(F.col("code").isin(*sorted(keep))).select(
-        "member", F.col("auth").alias("o_auth"), F.col("sb").alias("o_sb"), F.col("se").alias("o_se"),
+        "member", F.col("auth").alias("o_auth"), F.col("sb").alias("o_sb"), far_end("se").alias("o_se"),
         F.col("code").alias("o_code"))
     near = (F.col("o_auth") != F.col("auth")) & (F.col("o_sb") <= last_day) & (F.col("o_se") >= _lookback(spec))
     follow_up = F.col("o_sb").between(F.col("se"), last_day)
@@ -84,12 +89,13 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Seque
         counts.append(F.count_if(index_set & (F.col("o_se") >= w_begin) & (F.col("o_se") < w_end)).alias(f"n_dc_{y}"))
     readmit = F.min(F.when(follow_up & F.col("o_code").isin(*spec.readmit_codes), F.struct("o_sb", "o_auth")))
     aggs = [readmit.alias("readmit"), F.count_if(index_set & follow_up).alias("n_adm"), *counts]
-    return join_and_reduce(other, index, "member", hot, lambda j: j.where(near).groupBy("member").agg(*aggs))
+    latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)          # static bound, reaches the scan
+    return other.where(F.col("o_sb") <= latest).join(index, "member").where(near).groupBy("member").agg(*aggs)
 
 
-def find_readmission(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
+def find_readmission(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
     """Index episodes with the readmission (null when there is none) and the days until it."""
-    history = episode_history(index, auth, spec, hot)
+    history = episode_history(index, auth, spec)
     return with_readmission(index.join(history.select("member", "readmit"), "member", "left"))
 
 
@@ -101,9 +107,9 @@ def with_readmission(joined: DataFrame) -> DataFrame:
         F.datediff(readmit_sb, "se").alias("days_to_readmit"))
 
 
-def episodes(index: DataFrame, auth: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
+def episodes(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFrame:
     """Index episodes with readmission, event counts and the window after discharge."""
-    joined = with_readmission(index.join(episode_history(index, auth, spec, hot), "member", "left"))
+    joined = with_readmission(index.join(episode_history(index, auth, spec), "member", "left"))
     return after_window(joined, spec)
 
 
@@ -123,39 +129,38 @@ def prior_windows(index: DataFrame, spec: RunSpec) -> DataFrame:
 
 def loc_grouping(services: DataFrame, loc_dim: DataFrame, age_group: str) -> DataFrame:
     """Attach the level of care of the age group; null for codes outside every group."""
-    return with_lookup(services, loc_dim.where(F.col("age_group") == age_group).select("code", "LOC"), "code")
+    return services.join(loc_dim.where(F.col("age_group") == age_group).select("code", "LOC"), "code", "left")
 
 
-def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool, hot: Sequence,
-                reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Spans joined to their member's index episode, limited to the studied time, then reduced."""
+def _near_spans(index: DataFrame, spans: DataFrame, spec: RunSpec, after: bool) -> DataFrame:
+    """Spans joined to their member's index episode and limited to the studied time."""
     last_day = F.col("after_e") if after else F.col("sb")
     cols = ["member", "sb"] + (["after_b", "after_e"] if after else [])
-    latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)   # static bound, reaches the scan
+    latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)   # both bounds reach the scan
+    earliest = index.agg(F.date_sub(F.min("sb"), spec.year_days * spec.prior_years)).scalar()
     inside = (F.col("b") < last_day) & (F.col("e") > _lookback(spec))
-    return join_and_reduce(spans.where(F.col("b") < latest), index.select(*cols), "member", hot,
-                           lambda joined: reduce(joined.where(inside)))
+    near = spans.where((F.col("b") < latest) & (F.col("e").isNull() | (F.col("e") > earliest))).withColumn("e", far_end("e"))
+    return near.join(index.select(*cols), "member").where(inside)
 
 
 def _year_overlaps(spec: RunSpec) -> dict[str, Column]:
     return {f"y{y}": F.sum(overlap(F.col("b"), F.col("e"), *_year_bounds(spec, y))) for y in spec.years}
 
 
-def service_days(index: DataFrame, services: DataFrame, loc_dim: DataFrame, spec: RunSpec,
-                 hot: Sequence = ()) -> DataFrame:
+def service_days(index: DataFrame, services: DataFrame, loc_dim: DataFrame, spec: RunSpec) -> DataFrame:
     """Days per member, level of care and service line in the window after discharge (``after``) and
     in each prior year (``y1`` ...). All windows come out of one join and one aggregation."""
     after = F.sum(overlap(F.col("b"), F.col("e"), F.col("after_b"), F.col("after_e")))
     aggs = [c.alias(n) for n, c in {"after": after, **_year_overlaps(spec)}.items()]
-    return _near_spans(index, loc_grouping(services, loc_dim, spec.age_group), spec, True, hot,
-                       lambda near: near.groupBy("member", "LOC", "sub").agg(*aggs))
+    days = _near_spans(index, services, spec, True).groupBy("member", "code", "sub").agg(*aggs)
+    return (loc_grouping(days, loc_dim, spec.age_group).groupBy("member", "LOC", "sub")
+            .agg(*[F.sum(c).alias(c) for c in days.columns[3:]]))
 
 
-def overlap_days(spans: DataFrame, index: DataFrame, spec: RunSpec, keys: tuple[str, ...] = (),
-                 hot: Sequence = ()) -> DataFrame:
+def overlap_days(spans: DataFrame, index: DataFrame, spec: RunSpec, keys: tuple[str, ...] = ()) -> DataFrame:
     """Days of the spans inside each prior year; overlapping spans count each."""
     aggs = [c.alias(n) for n, c in _year_overlaps(spec).items()]
-    return _near_spans(index, spans, spec, False, hot, lambda near: near.groupBy("member", *keys).agg(*aggs))
+    return _near_spans(index, spans, spec, False).groupBy("member", *keys).agg(*aggs)
 
 
 def merge_spans(spans: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -163,40 +168,39 @@ def merge_spans(spans: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...]
 
     Spans with equal begin are first reduced to the longest, which combines on the map side and
     leaves at most one row per key and calendar day for the window that finds the islands.
-    ``carry`` columns must be constant within a key.
+    ``carry`` columns must be constant within a key. A union that is still open has no end.
     """
     first = [F.first(c).alias(c) for c in carry]
+    spans = spans.withColumn("e", far_end("e"))
     longest = spans.where(F.col("e") > F.col("b")).groupBy(*keys, "b").agg(F.max("e").alias("e"), *first)
     by_begin = W.partitionBy(*keys).orderBy("b")
     reach = F.max("e").over(by_begin.rowsBetween(W.unboundedPreceding, -1))
     return (longest.withColumn("starts", F.when(reach >= F.col("b"), 0).otherwise(1))
             .withColumn("island", F.sum("starts").over(by_begin))
-            .groupBy(*keys, "island").agg(F.min("b").alias("b"), F.max("e").alias("e"), *first)
+            .groupBy(*keys, "island").agg(F.min("b").alias("b"), F.nullif(F.max("e"), F.lit(OPEN_END).cast("date")).alias("e"), *first)
             .drop("island"))
 
 
-def covered_days(index: DataFrame, spans: DataFrame, spec: RunSpec, hot: Sequence = ()) -> DataFrame:
+def covered_days(index: DataFrame, spans: DataFrame, spec: RunSpec) -> DataFrame:
     """Distinct calendar days covered by the spans in each prior year (a day counts once)."""
     aggs = [c.alias(n) for n, c in _year_overlaps(spec).items()]
 
-    def count_days(near: DataFrame) -> DataFrame:
-        clipped = near.select("member", "sb", F.greatest("b", _lookback(spec)).alias("b"), F.least("e", "sb").alias("e"))
-        return merge_spans(clipped, ("member",), carry=("sb",)).groupBy("member").agg(*aggs)
-
-    return _near_spans(index, spans, spec, False, hot, count_days)
+    clipped = _near_spans(index, spans, spec, False).select(
+        "member", "sb", F.greatest("b", _lookback(spec)).alias("b"), F.least("e", "sb").alias("e"))
+    return merge_spans(clipped, ("member",), carry=("sb",)).groupBy("member").agg(*aggs)
 
 
-def active_on(spans: DataFrame, index: DataFrame, hot: Sequence = ()) -> DataFrame:
+def active_on(spans: DataFrame, index: DataFrame) -> DataFrame:
     """1 when a span holds the day of admission."""
-    inside = F.max(F.when((F.col("b") <= F.col("sb")) & (F.col("e") > F.col("sb")), 1).otherwise(0)).alias("active")
-    return join_and_reduce(spans, index.select("member", "sb"), "member", hot, lambda j: j.groupBy("member").agg(inside))
+    inside = F.max(F.when((F.col("b") <= F.col("sb")) & (far_end("e") > F.col("sb")), 1).otherwise(0)).alias("active")
+    return spans.join(index.select("member", "sb"), "member").groupBy("member").agg(inside)
 
 
-def lasted_months(spans: DataFrame, index: DataFrame, months: int, hot: Sequence = ()) -> DataFrame:
+def lasted_months(spans: DataFrame, index: DataFrame, months: int) -> DataFrame:
     """1 when a span reached ``months`` months by the day of admission."""
     reached = F.max(F.when(F.add_months("b", months) <= F.least("e", "sb"), 1).otherwise(0)).alias("lasted")
-    return join_and_reduce(spans, index.select("member", "sb"), "member", hot,
-                           lambda j: j.where(F.col("b") < F.col("sb")).groupBy("member").agg(reached))
+    return (spans.join(index.select("member", "sb"), "member").where(F.col("b") < F.col("sb"))
+            .groupBy("member").agg(reached))
 
 
 def _collect(days: DataFrame, lines: list[Column], name: str) -> DataFrame:
@@ -215,21 +219,21 @@ def _has_grouped(lines: str, measure: str) -> Column:
     return F.exists(lines, lambda x: (x["Measure_Name"] == measure) & x["LOC"].isNotNull())
 
 
-def measure_lines(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence]) -> DataFrame:
+def measure_lines(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
     """All measure lines of each member as one array column, with a placeholder line (no period, no
     level of care, zero days) for every measure the member has no grouped line in."""
-    services = service_days(eps, inputs.services, inputs.loc_dim, spec, hot["services"])
+    services = service_days(eps, inputs.services, inputs.loc_dim, spec)
     svc_lines = [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after"))]
     svc_lines += _year_lines(spec, "Prior Service", F.col("LOC"))
     parts = {
         "svc": _collect(services, svc_lines, "svc"),
-        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",), hot["additional"]),
+        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",)),
                         _year_lines(spec, "Additional Service", F.col("LOC")), "add"),
-        "elig": covered_days(eps, inputs.eligibility, spec, hot["eligibility"]).select(
+        "elig": covered_days(eps, inputs.eligibility, spec).select(
             "member", _lines_with_days(_year_lines(spec, "Eligibility", None)).alias("elig")),
     }
     # DHS involvement is delivered for every age group; the adult cleaning rules remove it again.
-    parts["dhs"] = covered_days(eps, inputs.dhs, spec, hot["dhs"]).select(
+    parts["dhs"] = covered_days(eps, inputs.dhs, spec).select(
         "member", _lines_with_days(_year_lines(spec, "DHS", None)).alias("dhs"))
     out = eps
     for frame in parts.values():
@@ -247,19 +251,19 @@ def measure_lines(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Seque
     return out.withColumn("lines", lines).drop("found")
 
 
-def admission_flags(eps: DataFrame, inputs, hot: Mapping[str, Sequence] = NONE_HOT) -> DataFrame:
+def admission_flags(eps: DataFrame, inputs) -> DataFrame:
     """DHS involvement on the day of admission, and a BHRS episode of 18 months by then (0/1)."""
     return (eps.select("member")
-            .join(lasted_months(inputs.bhrs, eps, 18, hot["bhrs"]), "member", "left")
-            .join(active_on(inputs.dhs, eps, hot["dhs"]), "member", "left")
+            .join(lasted_months(inputs.bhrs, eps, 18), "member", "left")
+            .join(active_on(inputs.dhs, eps), "member", "left")
             .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"),
                     F.coalesce("active", F.lit(0)).alias("active")))
 
 
-def to_extract(eps: DataFrame, inputs, spec: RunSpec, hot: Mapping[str, Sequence] = NONE_HOT) -> DataFrame:
+def to_extract(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
     """The long extract: one line per index episode, measure, period and level of care."""
-    wide = (measure_lines(eps, inputs, spec, hot)
-            .join(admission_flags(eps, inputs, hot), "member", "left")
+    wide = (measure_lines(eps, inputs, spec)
+            .join(admission_flags(eps, inputs), "member", "left")
             .join(inputs.members, "member", "left"))
     none = F.lit(None).cast("string")
     return wide.select(

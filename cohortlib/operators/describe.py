@@ -70,9 +70,10 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     df = df if by else df.withColumn("all_rows", F.lit("all"))
     freq = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(row_count().alias("k"))
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("k"))
-    quart = freq.groupBy(*keys).agg(q.alias("q"), F.sum("k").alias("n")).select(
+    mean = (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean")
+    quart = freq.groupBy(*keys).agg(q.alias("q"), F.sum("k").alias("n"), mean).select(
         *[F.col(c).alias(f"q_{c}") for c in keys], F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"), "n")
+        F.col("q")[2].alias("q3"), "n", "mean")
     same = None
     for c in keys:
         hit = F.col(c).eqNullSafe(F.col(f"q_{c}"))
@@ -81,28 +82,36 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     v = F.round(F.col("v").cast("double"), 9)
     inside = (v >= F.round(F.col("q1") - 1.5 * iqr, 9)) & (v <= F.round(F.col("q3") + 1.5 * iqr, 9))
     out = (freq.join(quart, same)
-           .groupBy(*keys, "q1", "median", "q3", "n")
+           .groupBy(*keys, "q1", "median", "q3", "n", "mean")
            .agg(F.min(F.when(inside, F.col("v"))).cast("double").alias("lower_whisker"),
                 F.max(F.when(inside, F.col("v"))).cast("double").alias("upper_whisker"),
                 F.sum(F.when(inside, 0).otherwise(F.col("k"))).alias("n_outliers")))
     half_notch = 1.58 * iqr / F.sqrt("n")
     return out.select(
-        *by, "n", "lower_whisker", "q1", "median", "q3", "upper_whisker", "n_outliers",
+        *by, "n", "mean", "lower_whisker", "q1", "median", "q3", "upper_whisker", "n_outliers",
         (F.col("median") - half_notch).alias("notch_low"), (F.col("median") + half_notch).alias("notch_high"))
 
 
-def histogram(df: DataFrame, col: str, lo: float, width: float, bins: int, open_ended: bool = False) -> DataFrame:
-    """Right-closed bins, the first closed on both sides. Empty bins are listed; ``open_ended`` adds a
-    last bin for larger values. Values outside the bins are otherwise left out."""
+def box_by_loc(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Box-plot statistics by level of care (and more groups), with the display order of the levels of care: falling
+    mean over all groups, names break ties."""
+    order = df.where(F.col(value).isNotNull()).groupBy(F.col("LOC").alias("_loc")).agg(F.avg(value).alias("m"))
+    rank = F.row_number().over(W.orderBy(F.desc(F.round("m", 9)), F.asc_nulls_last("_loc"))).alias("display_rank")
+    return (box_stats(df, value, ["LOC", *by]).join(order.select("_loc", rank), F.col("LOC").eqNullSafe(F.col("_loc"))).drop("_loc"))
+
+
+def histogram(df: DataFrame, col: str, lo: float, width: float, bins: int) -> DataFrame:
+    """Right-closed bins, the first closed on both sides. Empty bins are listed. Bin 0 counts what is below the first
+    bin and bin ``bins + 1`` what is above the last, so no value is left out; nulls are not counted."""
     spark = df.sparkSession
     v = F.col(col)
-    bin_no = F.greatest(F.lit(1), F.ceil((v - lo) / width)).cast("int")
-    counted = df.where(v >= lo).groupBy(F.least(bin_no, F.lit(bins + 1)).alias("bin")).agg(row_count().alias("k"))
-    last = bins + 1 if open_ended else bins
-    frame = spark.range(1, last + 1).select(F.col("id").cast("int").alias("bin"))
-    hi = F.when(F.col("bin") <= bins, lo + F.col("bin") * F.lit(float(width)))
+    bin_no = F.when(v < lo, 0).otherwise(F.least(F.greatest(F.lit(1), F.ceil((v - lo) / width)), F.lit(bins + 1))).cast("int")
+    counted = df.where(v.isNotNull()).groupBy(bin_no.alias("bin")).agg(row_count().alias("k"))
+    frame = spark.range(0, bins + 2).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda i: lo + i * F.lit(float(width))
     return frame.join(counted, "bin", "left").select(
-        "bin", (lo + (F.col("bin") - 1) * F.lit(float(width))).alias("lo"), hi.alias("hi"), F.coalesce("k", F.lit(0)).alias("n"))
+        "bin", F.when(F.col("bin") > 0, edge(F.col("bin") - 1)).alias("lo"), F.when(F.col("bin") <= bins, edge(F.col("bin"))).alias("hi"),
+        F.coalesce("k", F.lit(0)).alias("n"))
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 4) -> DataFrame:

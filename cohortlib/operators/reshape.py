@@ -48,6 +48,16 @@ def spread(df: DataFrame, key: str, value: str, names: dict[str, str]) -> DataFr
     return wide.withColumnsRenamed(names)
 
 
+def unlisted_wide_keys(long: DataFrame, spec: RunSpec) -> DataFrame:
+    """Keys of the long table that have no column in the wide one, with their lines and days. ``known_empty`` marks the
+    empty lines (no period and no days) that members without a grouped line get; any other key here would lose days."""
+    united = unite(long.select("BA_Category", "Measure_Name", "Measure_Period", "LOC", "Day_Count",
+                               F.col("Measure_Period").isNull().alias("empty")), "TimeLOC", ["BA_Category", "Measure_Name", "Measure_Period", "LOC"])
+    out = united.where(~F.col("TimeLOC").isin(*wide_names(spec))).groupBy("TimeLOC").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("Day_Count").alias("days"), F.bool_and("empty").alias("empty"))
+    return out.select("TimeLOC", "n_lines", "days", (F.col("empty") & (F.coalesce("days", F.lit(0)) == 0)).alias("known_empty"))
+
+
 def wide_days(long: DataFrame, spec: RunSpec) -> DataFrame:
     """Day counts per member, one column per measure, period and level of care.
 

@@ -13,6 +13,7 @@ from cohortlib.sources.tables import LOC_GROUPS, SEGMENT_RACE
 from cohortlib.spec import (ADULT, CHILD, ELIG_DAY_BANDS, ELIG_YEAR_BANDS, MONTH_BANDS, RACE_MAP, WEEK_BANDS, Bands,
                             RunSpec)
 
+_CODE = "p.p_type || CASE WHEN p.p_partkey % 2 = 0 THEN '' ELSE ' 2' END"
 DIMS = "BA_Category, Measure_Name, Measure_Period, LOC"
 
 
@@ -66,11 +67,11 @@ def _base(spec: RunSpec) -> list[tuple[str, str]]:
 
     def spans(priority: str, length: str, extra: str = "", where: str = "") -> str:
         return (f"SELECT o_custkey AS member, CAST(o_orderdate AS DATE) AS b, "
-                f"CAST(o_orderdate AS DATE) + CAST({length} AS INTEGER) AS e{extra} "
+                f"CASE WHEN o_orderkey % 37 = 0 THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) + CAST({length} AS INTEGER) END AS e{extra} "
                 f"FROM orders WHERE o_orderpriority = '{priority}'{where}")
 
     def calendar(source: str) -> str:
-        return (f"SELECT member, CAST(unnest(generate_series(CAST(b AS TIMESTAMP), CAST(e - 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day "
+        return (f"SELECT member, CAST(unnest(generate_series(CAST(b AS TIMESTAMP), CAST(least(e, DATE '2003-01-01') - 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day "
                 f"FROM {source} WHERE e > b")
 
     def year_days_of(cal: str) -> str:
@@ -103,7 +104,7 @@ def _base(spec: RunSpec) -> list[tuple[str, str]]:
     model_age = f", {_band('Age', spec.age_model[1])} AS {spec.age_model[0]}" if adult else ""
     return [
         ("auth", "SELECT o_orderkey AS auth, o_custkey AS member, CAST(o_orderdate AS DATE) AS sb, "
-                 "CAST(o_orderdate AS DATE) + CAST(o_orderkey % 15 AS INTEGER) AS se, o_orderpriority AS code FROM orders"),
+                 "CASE WHEN o_orderkey % 41 = 0 THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 46 AS INTEGER) END AS se, o_orderpriority AS code FROM orders"),
         ("ix", f"SELECT * FROM auth WHERE code IN {codes}"),
         ("idx", f"SELECT member, auth, sb, se, code FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY se, auth) AS rn "
                 f"FROM ix WHERE se BETWEEN DATE '{spec.period_begin}' AND DATE '{spec.period_end}') WHERE rn = 1"),
@@ -120,8 +121,8 @@ def _base(spec: RunSpec) -> list[tuple[str, str]]:
         ("win", f"SELECT member, 'Before' AS ba, period, w_b, w_e FROM pwin UNION ALL "
                 f"SELECT member, 'After', '{days} Days', after_b, after_e FROM eps"),
         ("svc", f"SELECT o.o_custkey AS member, CAST(l.l_shipdate AS DATE) AS b, "
-                f"CAST(l.l_shipdate AS DATE) + CAST(l.l_quantity AS INTEGER) AS e, l.l_returnflag AS sub, p.p_type AS code, "
-                f"{_case('p.p_type', dict(LOC_GROUPS[spec.age_group]))} AS LOC FROM lineitem l "
+                f"CASE WHEN CAST(l.l_quantity AS INTEGER) = 50 THEN DATE '9999-12-31' ELSE CAST(l.l_shipdate AS DATE) + CAST(l.l_quantity AS INTEGER) END AS e, "
+                f"l.l_returnflag AS sub, {_CODE} AS code, {_case(_CODE, dict(LOC_GROUPS[spec.age_group]))} AS LOC FROM lineitem l "
                 f"JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey"),
         ("extra", spans("4-NOT SPECIFIED", "o_orderkey % 30", f", {additional_loc} AS LOC")),
         ("elig", spans("3-MEDIUM", "60 + o_orderkey % 240")),
@@ -261,7 +262,7 @@ def _cohort() -> dict[str, str]:
         "prior_windows": _sql(a, "SELECT member, period AS Measure_Period, w_b, w_e FROM pwin"),
         "member_attributes": _sql(a, "SELECT m.* FROM idx JOIN members_in m USING (member)"),
         "merged_eligibility": _sql(a, """
-            SELECT member, min(day) AS b, max(day) + 1 AS e FROM (
+            SELECT member, min(day) AS b, nullif(max(day) + 1, DATE '2003-01-01') AS e FROM (
                 SELECT member, day, day - CAST(row_number() OVER (PARTITION BY member ORDER BY day) AS INTEGER) AS run
                 FROM (SELECT DISTINCT member, day FROM elig_cal)) GROUP BY member, run"""),
         "ip_counts": _sql(a, f"""
@@ -425,23 +426,27 @@ def _box(source: str, value: str, by: list[str]) -> str:
     outgroup = "".join(f"q.{c}, " for c in by)
     notch = "1.58 * (q.q3 - q.q1) / sqrt(q.n)"
     return f"""
-        SELECT {out}q.n, {_r(f'min(r.{value}) FILTER (WHERE {inside})', 'lower_whisker')}, {_r('q.q1', 'q1')}, {_r('q.median', 'median')},
+        SELECT {out}q.n, {_r('q.mean', 'mean')}, {_r(f'min(r.{value}) FILTER (WHERE {inside})', 'lower_whisker')}, {_r('q.q1', 'q1')}, {_r('q.median', 'median')},
         {_r('q.q3', 'q3')}, {_r(f'max(r.{value}) FILTER (WHERE {inside})', 'upper_whisker')},
         CAST(count(*) FILTER (WHERE NOT ({inside})) AS BIGINT) AS n_outliers,
         {_r(f'q.median - {notch}', 'notch_low')}, {_r(f'q.median + {notch}', 'notch_high')}
-        FROM (SELECT {pick}CAST(count(*) AS BIGINT) AS n, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+        FROM (SELECT {pick}CAST(count(*) AS BIGINT) AS n, avg({value}) AS mean, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
               quantile_cont({value}, 0.75) AS q3 FROM {source} WHERE {value} IS NOT NULL {group}) q
-        JOIN {source} r ON {match} WHERE r.{value} IS NOT NULL GROUP BY {outgroup}q.n, q.q1, q.median, q.q3"""
+        JOIN {source} r ON {match} WHERE r.{value} IS NOT NULL GROUP BY {outgroup}q.n, q.mean, q.q1, q.median, q.q3"""
 
 
-def _hist(col: str, width: int, bins: int, open_ended: bool) -> str:
+def _box_by_loc(source: str, value: str, by: list[str]) -> str:
+    rank = f"SELECT LOC, row_number() OVER (ORDER BY round(avg({value}), 9) DESC, LOC) AS display_rank FROM {source} WHERE {value} IS NOT NULL GROUP BY LOC"
+    return f"SELECT b.*, o.display_rank FROM ({_box(source, value, ['LOC', *by])}) b JOIN ({rank}) o USING (LOC)"
+
+
+def _hist(col: str, width: int, bins: int) -> str:
     parts = []
-    for i in range(1, bins + (2 if open_ended else 1)):
-        lo, hi = width * (i - 1), width * i
-        lower = f"{col} >= {lo}" if i == 1 else f"{col} > {lo}"
-        upper = f" AND {col} <= {hi}" if i <= bins else ""
-        parts.append(f"SELECT {i} AS bin, CAST({lo} AS DOUBLE) AS lo, CAST({hi if i <= bins else 'NULL'} AS DOUBLE) AS hi, "
-                     f"count(*) FILTER (WHERE {lower}{upper}) AS n FROM wide")
+    for i in range(bins + 2):
+        lo, hi = (width * (i - 1) if i else None), (width * i if i <= bins else None)
+        rule = f"{col} < 0" if i == 0 else f"{col} {'>=' if i == 1 else '>'} {lo}" + (f" AND {col} <= {hi}" if i <= bins else "")
+        text = ["NULL" if x is None else x for x in (lo, hi)]
+        parts.append(f"SELECT {i} AS bin, CAST({text[0]} AS DOUBLE) AS lo, CAST({text[1]} AS DOUBLE) AS hi, count(*) FILTER (WHERE {rule}) AS n FROM wide")
     return " UNION ALL ".join(parts)
 
 
@@ -516,17 +521,22 @@ def _description() -> dict[str, str]:
             f"value_counts_los_{name}": _sql(spec, "SELECT LOS, count(*) AS n FROM wide WHERE LOS IS NOT NULL GROUP BY 1", wide),
             f"value_counts_age_{name}": _sql(spec, "SELECT Age, count(*) AS n FROM wide WHERE Age IS NOT NULL GROUP BY 1", wide),
             f"value_counts_ip_{name}": _sql(spec, "SELECT N_AIPDC_1YrPrior, count(*) AS n FROM wide WHERE N_AIPDC_1YrPrior IS NOT NULL GROUP BY 1", wide),
-            f"hist_eligibility_{name}": _sql(spec, _hist("Yr1Prior_Elig", 200, 2, False), wide),
+            f"hist_eligibility_{name}": _sql(spec, _hist("Yr1Prior_Elig", 200, 2), wide),
             f"box_los_overall_{name}": _sql(spec, _box("people", "LOS", [])),
         }
+        own = {"asd": "ASD_Measure_Year", "dhs": "Flag_Active_DHS_Status"} if spec.flags else {}
         for key, col in {"readmit": "Flag_Readmit", "gender": "Gender_Label", "race": "RaceCat", "age": "AgeCat",
-                         "first_episode": "FirstEpEver"}.items():
+                         "first_episode": "FirstEpEver", **own}.items():
             out[f"box_los_{key}_{name}"] = _sql(spec, _box("people", "LOS", [col]))
             if key != "first_episode":
                 out[f"box_days_to_readmit_{key}_{name}"] = _sql(spec, _box("people", "Days_to_Readmit", [col]))
+    out["percent_labels_adult"] = _sql(ADULT, f"""
+        SELECT Readmit_Cat, Week_Cat, printf('%.1f%%', round_even(n / sum(n) OVER (), 3) * 100) AS label FROM (
+        SELECT {_band('Days_to_Readmit', MONTH_BANDS)} AS Readmit_Cat, {_band('Days_to_Readmit', WEEK_BANDS)} AS Week_Cat, count(*) AS n
+        FROM wide WHERE Flag_Readmit = 'Yes' GROUP BY 1, 2)""", _wide_cte(ADULT))
     out["box_los_age2_adult"] = _sql(ADULT, _box("people", "LOS", ["AgeCat2"]))
     for width, bins in ((7, 42), (10, 30)):
-        out[f"hist_los_{width}_child"] = _sql(CHILD, _hist("LOS", width, bins, True), _wide_cte(CHILD))
+        out[f"hist_los_{width}_child"] = _sql(CHILD, _hist("LOS", width, bins), _wide_cte(CHILD))
     return out
 
 
@@ -601,13 +611,16 @@ def _utilization() -> dict[str, str]:
         if spec.flags:
             by["_dhs"] = ["Flag_Active_DHS_Status"]
         for suffix, cols in by.items():
-            out[f"box_after{suffix}_{name}"] = _sql(spec, _box("after_dist", "RateDays30", ["LOC", *cols]), dist)
-            out[f"box_prior{suffix}_{name}"] = _sql(spec, _box("prior_dist", "Days", ["LOC", *cols]), dist)
+            out[f"box_after{suffix}_{name}"] = _sql(spec, _box_by_loc("after_dist", "RateDays30", cols), dist)
+            out[f"box_prior{suffix}_{name}"] = _sql(spec, _box_by_loc("prior_dist", "Days", cols), dist)
             if suffix != "_dhs":
                 out[f"box_eligibility{suffix}_{name}"] = _sql(spec, _box("elig_dist", "Days", ["Measure_Period", *cols]), dist)
         if spec.flags:
             out["dhs_by_year_child"] = _sql(spec, f"SELECT Measure_Period, count(*) AS N_UsingService, {perc(n_rows)}, {_r('avg(Days)', 'AvgDays')}, "
                                                   f"{_r('avg(' + rate(30, '365') + ')', 'AvgRateDays30')} FROM ({days('Measure_Period, SurvivalDays', dhs)}) GROUP BY 1")
+            out["dhs_use_by_year_child"] = out["dhs_by_year_child"].replace(n_rows, n_members)
+            for key, col in {"year": "yearDC", "readmit": "Flag_Readmit"}.items():
+                out[f"box_dhs_{key}_child"] = _sql(spec, _box("dhs_dist", "Days", ["Measure_Period", col]), dist)
             out["dhs_distribution_child"] = _sql(spec, "SELECT * FROM dhs_dist", dist)
             out["box_dhs_child"] = _sql(spec, _box("dhs_dist", "Days", ["Measure_Period"]), dist)
     return out
@@ -749,7 +762,7 @@ def _cox_ctes(spec: RunSpec, names: list[str], rounds: int) -> tuple[list[tuple[
 _Z = 1.959963984540054
 _TIDY = (f"i AS term_no, term, {_r('b', 'estimate')}, {_r('se', 'std_error')}, {_r('b / se', 'statistic')}, "
          f"CASE WHEN b IS NOT NULL THEN round({_chi2_tail('(b * b / (se * se))', '1')}, 6) END AS p_value, "
-         f"{_r(f'b - {_Z} * se', 'conf_low')}, {_r(f'b + {_Z} * se', 'conf_high')}")
+         f"{_r(f'b - {_Z} * se', 'conf_low')}, {_r(f'b + {_Z} * se', 'conf_high')}, TRUE AS converged")
 
 
 def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
@@ -773,11 +786,11 @@ def _hazard_ratios(spec: RunSpec, only_significant: bool, rounds: int = 7) -> st
 def _glance(spec: RunSpec, rounds: int = 7) -> str:
     ctes, _ = _cox_ctes(spec, [c.name for c in spec.covariates], rounds)
     lr = "(2 * (loglik - loglik_null))"
-    pairs = f"""(SELECT (sum(a.k * b.k) FILTER (WHERE a.s > b.s) + sum(a.k * b.k) FILTER (WHERE a.s = b.s) / 2) / sum(a.k * b.k)
+    pairs = f"""(SELECT (sum(a.k * b.k) FILTER (WHERE a.s > b.s) + coalesce(sum(a.k * b.k) FILTER (WHERE a.s = b.s), 0) / 2) / sum(a.k * b.k)
         FROM scored a JOIN scored b ON a.ev = 1 AND (b.t > a.t OR (b.t = a.t AND b.ev = 0)))"""
     scored = ("scored", f"SELECT p.t, p.ev, p.k, round(coalesce(z.s, 0), 12) AS s FROM pat p LEFT JOIN "
                         f"(SELECT a.pid, sum(b.b) AS s FROM act a JOIN b{rounds} b USING (i) GROUP BY a.pid) z USING (pid)")
-    return _sql(spec, f"SELECT n, n_events, df, {_r('loglik_null', 'loglik_null')}, {_r('loglik', 'loglik')}, {_r('-2 * loglik + 2 * df', 'aic')}, "
+    return _sql(spec, f"SELECT n, n_events, (SELECT count(*) FROM model) - n AS n_left_out, df, TRUE AS converged, {_r('loglik_null', 'loglik_null')}, {_r('loglik', 'loglik')}, {_r('-2 * loglik + 2 * df', 'aic')}, "
                       f"{_r(lr, 'lr_test')}, {_r(_chi2_tail(lr, 'df'), 'lr_p')}, {_r('score', 'score_test')}, {_r(_chi2_tail('score', 'df'), 'score_p')}, "
                       f"{_r('wald', 'wald_test')}, {_r(_chi2_tail('wald', 'df'), 'wald_p')}, {_r(pairs, 'concordance')} FROM grand", [*ctes, scored])
 
@@ -788,6 +801,9 @@ def _modelling() -> dict[str, str]:
         wide = _wide_cte(spec)
         model = [*wide, ("model", _model(spec))]
         out[f"wide_members_{name}"] = _sql(spec, "SELECT * FROM wide", wide)
+        out[f"unlisted_wide_keys_{name}"] = _sql(spec, """
+            SELECT concat_ws('_', BA_Category, Measure_Name, coalesce(Measure_Period, 'NA'), coalesce(LOC, 'NA')) AS TimeLOC, count(*) AS n_lines,
+                   CAST(sum(Day_Count) AS BIGINT) AS days, TRUE AS known_empty FROM tidy WHERE Measure_Period IS NULL GROUP BY 1""")
         out[f"model_table_{name}"] = _sql(spec, "SELECT * FROM model", model)
         out[f"cox_hazard_ratios_{name}"] = _hazard_ratios(spec, False)
         out[f"cox_significant_{name}"] = _hazard_ratios(spec, True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cohortlib.functions import any_flag
+from cohortlib.functions import any_flag, percent_text
 from cohortlib.operators import cleaning, cohort, cox, describe, reshape, survival, utilization
 from cohortlib.plans.oracle import COX_CHECKS
 from cohortlib.plans.report import hazard_ratios
@@ -36,7 +36,7 @@ def _query(spec: RunSpec, build: Callable[[Study], DataFrame]) -> Query:
 # ---- cohort building, from the raw tables -----------------------------------------------------------
 
 def _windows_of(st: Study) -> DataFrame:
-    found = cohort.find_readmission(st.index, st.given.auth, st.spec, st.hot["auth"])
+    found = cohort.find_readmission(st.index, st.given.auth, st.spec)
     return cohort.after_window(found, st.spec).select(
         "member", "auth", "sb", "se", "readmit_auth", "readmit_sb", "days_to_readmit", "after_b", "after_e")
 
@@ -47,7 +47,7 @@ def _grouped_services(st: Study) -> DataFrame:
 
 
 def _ip_counts(st: Study) -> DataFrame:
-    history = cohort.episode_history(st.index, st.given.auth, st.spec, st.hot["auth"])
+    history = cohort.episode_history(st.index, st.given.auth, st.spec)
     return history.select("member", "n_adm", *[f"n_dc_{y}" for y in st.spec.years])
 
 
@@ -75,17 +75,17 @@ def _cohort() -> dict[str, Query]:
         "member_attributes": _query(ADULT, lambda st: st.index.select("member").join(st.given.members, "member", "left")),
         "ip_counts": _query(ADULT, _ip_counts),
         "merged_eligibility": _query(ADULT, lambda st: cohort.merge_spans(st.given.eligibility, ("member",))),
-        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.given.eligibility, st.spec, st.hot["eligibility"])),
-        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.given.dhs, st.spec, st.hot["dhs"])),
-        "admission_flags": _query(CHILD, lambda st: cohort.admission_flags(st.episodes, st.inputs, st.hot)),
+        "eligibility_days": _query(ADULT, lambda st: cohort.covered_days(st.episodes, st.given.eligibility, st.spec)),
+        "dhs_days": _query(CHILD, lambda st: cohort.covered_days(st.episodes, st.given.dhs, st.spec)),
+        "admission_flags": _query(CHILD, lambda st: cohort.admission_flags(st.episodes, st.inputs)),
         "extract_csv_round_trip": _query(ADULT, _csv_round_trip),
     }
     for name, spec in both.items():
         out[f"loc_grouping_{name}"] = _query(spec, _grouped_services)
         out[f"service_days_{name}"] = _query(
-            spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec, st.hot["services"]))
+            spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec))
         out[f"additional_days_{name}"] = _query(
-            spec, lambda st: cohort.overlap_days(st.given.additional, st.episodes, st.spec, ("LOC",), st.hot["additional"]))
+            spec, lambda st: cohort.overlap_days(st.given.additional, st.episodes, st.spec, ("LOC",)))
         out[f"extract_{name}"] = _query(spec, lambda st: _typed_lines(st.clean))
     return out
 
@@ -162,15 +162,16 @@ def _description() -> dict[str, Query]:
         }
         if spec is ADULT:
             out["box_los_age2_adult"] = _query(ADULT, lambda st: describe.box_stats(st.members, "LOS", ["AgeCat2"]))
+        own = {"asd": "ASD_Measure_Year", "dhs": "Flag_Active_DHS_Status"} if spec is CHILD else {}
         for key, col in {"readmit": "Flag_Readmit", "gender": "Gender_Label", "race": "RaceCat", "age": "AgeCat",
-                         "first_episode": "FirstEpEver"}.items():
+                         "first_episode": "FirstEpEver", **own}.items():
             out[f"box_los_{key}_{name}"] = _query(spec, lambda st, c=col: describe.box_stats(st.members, "LOS", [c]))
             if key != "first_episode":
                 out[f"box_days_to_readmit_{key}_{name}"] = _query(
                     spec, lambda st, c=col: describe.box_stats(st.members, "Days_to_Readmit", [c]))
     for width, bins in ((7, 42), (10, 30)):
         out[f"hist_los_{width}_child"] = _query(
-            CHILD, lambda st, w=width, b=bins: describe.histogram(st.wide, "LOS", 0, w, b, open_ended=True))
+            CHILD, lambda st, w=width, b=bins: describe.histogram(st.wide, "LOS", 0, w, b))
     return out
 
 
@@ -203,16 +204,22 @@ def _utilization() -> dict[str, Query]:
         if spec is CHILD:
             facets["_dhs"] = ["Flag_Active_DHS_Status"]
         for suffix, cols in facets.items():
-            out[f"box_after{suffix}_{name}"] = _query(spec, lambda st, c=tuple(cols): describe.box_stats(
-                u.after_distribution(st.long, st.spec), "RateDays30", ["LOC", *c]))
-            out[f"box_prior{suffix}_{name}"] = _query(spec, lambda st, c=tuple(cols): describe.box_stats(
-                u.prior_distribution(st.long, st.spec), "Days", ["LOC", *c]))
+            out[f"box_after{suffix}_{name}"] = _query(spec, lambda st, c=tuple(cols): describe.box_by_loc(
+                u.after_distribution(st.long, st.spec), "RateDays30", c))
+            out[f"box_prior{suffix}_{name}"] = _query(spec, lambda st, c=tuple(cols): describe.box_by_loc(
+                u.prior_distribution(st.long, st.spec), "Days", c))
             if suffix != "_dhs":
                 out[f"box_eligibility{suffix}_{name}"] = _query(spec, lambda st, c=tuple(cols): describe.box_stats(
                     u.eligibility_distribution(st.long, st.spec), "Days", ["Measure_Period", *c]))
     out |= {
         "dhs_by_year_child": _query(CHILD, lambda st: u.dhs_by_year(st.long, st.n_member_rows, st.spec)),
         "dhs_distribution_child": _query(CHILD, lambda st: u.dhs_distribution(st.long, st.spec)),
+        **{f"box_dhs_{key}_child": _query(CHILD, lambda st, c=col: describe.box_stats(
+            u.dhs_distribution(st.long, st.spec), "Days", ["Measure_Period", c])) for key, col in
+           {"year": "yearDC", "readmit": "Flag_Readmit"}.items()},
+        "dhs_use_by_year_child": _query(CHILD, lambda st: u.dhs_by_year(st.long, st.n_members, st.spec)),
+        "percent_labels_adult": _query(ADULT, lambda st: describe.readmit_timing(st.wide).select(
+            "Readmit_Cat", "Week_Cat", percent_text(F.bround("perc", 3)).alias("label"))),
         "box_dhs_child": _query(CHILD, lambda st: describe.box_stats(
             u.dhs_distribution(st.long, st.spec), "Days", ["Measure_Period"])),
     }
@@ -222,8 +229,7 @@ def _utilization() -> dict[str, Query]:
 # ---- modelling ----------------------------------------------------------------------------------------
 
 def _small_model(st: Study, names: Sequence[str]) -> DataFrame:
-    covariates = [next(c for c in st.spec.covariates if c.name == n) for n in names]
-    return cox.tidy_cox(st.spark, cox.cox_ph(st.model, "SurvivalDays", "Flag_Readmit", covariates))
+    return cox.tidy_cox(st.spark, st.fit_of(names))
 
 
 def _modelling() -> dict[str, Query]:
@@ -232,9 +238,10 @@ def _modelling() -> dict[str, Query]:
         out |= {
             f"wide_members_{name}": _query(spec, lambda st: st.wide),
             f"model_table_{name}": _query(spec, lambda st: st.model),
+            f"unlisted_wide_keys_{name}": _query(spec, lambda st: reshape.unlisted_wide_keys(st.long, st.spec)),
             f"cox_hazard_ratios_{name}": _query(spec, hazard_ratios),
             f"cox_significant_{name}": _query(spec, lambda st: survival.significant(hazard_ratios(st))),
-            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit).drop("iterations", "converged")),
+            f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit).drop("iterations")),
             f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(st.fit)),
         }
         for col in spec.km_strata:
@@ -265,7 +272,7 @@ def all_queries() -> dict[str, Query]:
 def readmission_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readmission rate and length of stay by gender, straight from the raw tables."""
     st = study(spark, sf_dir, ADULT)
-    found = cohort.find_readmission(st.index, st.given.auth, st.spec, st.hot["auth"])
+    found = cohort.find_readmission(st.index, st.given.auth, st.spec)
     rows = found.join(st.given.members, "member", "left").withColumn("LOS", F.datediff("se", "sb")).where(F.col("LOS") > 0)
     stats = describe.summary_columns("LOS", "LOS")
     return rounded(rows.groupBy("Gender_Label").agg(

@@ -7,6 +7,7 @@ the work, prune columns and directories at the scan, and do not depend on execut
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 from functools import cached_property
 
@@ -14,33 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlib.operators import cleaning, cohort, cox, reshape
-from cohortlib.operators.skew import hot_keys
 from cohortlib.session import new_stage_dir, tune
 from cohortlib.sources.extract import read_stage, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
 from cohortlib.spec import MEMBER, RunSpec
 
 
-class HotMembers(dict):
-    """Members with a large part of the rows, looked for in a relation when it is first needed."""
-
-    def __init__(self, of: Study):
-        super().__init__()
-        self._of = of
-
-    def __missing__(self, relation: str) -> list:
-        source = self._of.inputs if relation in self._of.given.derived else self._of.given
-        self[relation] = hot_keys(getattr(source, relation), "member")
-        return self[relation]
-
-
 class Study:
     def __init__(self, spark: SparkSession, inputs: CohortInputs | None, spec: RunSpec, twin: Study | None = None):
         """``twin`` is a study of the same tables; relations it has computed are not computed again."""
         self.twin = twin
         self.spark, self.given, self.spec = tune(spark), inputs, spec
         self.stage_dir = new_stage_dir(spark)
-        self.hot = HotMembers(self)
+        self.fits: dict[tuple[str, ...], cox.CoxFit] = {}
 
     @classmethod
     def from_extract(cls, spark: SparkSession, extract: DataFrame, spec: RunSpec) -> Study:
@@ -65,18 +52,19 @@ class Study:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.stage_dir)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    @property
+    @cached_property
     def index(self) -> DataFrame:
-        return cohort.index_episodes(self.given.auth, self.spec)
+        """One row per member: the index episode. Staged, so that every join of it starts from an exchange."""
+        return self._staged("index", cohort.index_episodes(self.given.auth, self.spec))
 
     @cached_property
     def episodes(self) -> DataFrame:
         """One row per member: index episode, readmission, event counts, window after discharge."""
-        return self._staged("episodes", cohort.episodes(self.index, self.given.auth, self.spec, self.hot["auth"]))
+        return self._staged("episodes", cohort.episodes(self.index, self.given.auth, self.spec))
 
     @cached_property
     def extract(self) -> DataFrame:
-        return cohort.to_extract(self.episodes, self.inputs, self.spec, self.hot)
+        return cohort.to_extract(self.episodes, self.inputs, self.spec)
 
     @property
     def clean(self) -> DataFrame:
@@ -99,16 +87,28 @@ class Study:
 
     @cached_property
     def wide(self) -> DataFrame:
+        lost = reshape.unlisted_wide_keys(self.long, self.spec).where("NOT known_empty").limit(5).collect()
+        if lost:
+            raise ValueError(f"lines without a column in the wide table: {[r['TimeLOC'] for r in lost]}")
         return self._staged("wide", reshape.wide_members(self.long, self.members, self.spec))
 
     @property
     def model(self) -> DataFrame:
         return reshape.model_table(self.wide, self.spec)
 
-    @cached_property
+    @property
     def fit(self) -> cox.CoxFit:
         """The hazard model with all covariates of the run."""
-        return cox.cox_ph(self.model, "SurvivalDays", "Flag_Readmit", self.spec.covariates)
+        return self.fit_of([c.name for c in self.spec.covariates])
+
+    def fit_of(self, names: Sequence[str]) -> cox.CoxFit:
+        """The hazard model with some of the covariates, fitted once. Its pattern table is staged, so ``release`` removes it."""
+        key = tuple(names)
+        if key not in self.fits:
+            chosen = [next(c for c in self.spec.covariates if c.name == n) for n in names]
+            self.fits[key] = cox.cox_ph(self.model, "SurvivalDays", "Flag_Readmit", chosen,
+                                        keep=lambda df: self._staged(f"patterns_{len(self.fits)}", df))
+        return self.fits[key]
 
     # -- denominators: scalar subqueries, evaluated inside the query that uses them ------------------
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT = ("AuthorizationNumber", "Client_Master_BK", "ServiceBegin", "ServiceEnd", "Gender_Label", "RaceEthnic_Label")
@@ -29,8 +30,30 @@ EXTRACT_SCHEMA = T.StructType(
 
 
 def read_extract(spark: SparkSession, path: str, schema: T.StructType = EXTRACT_SCHEMA) -> DataFrame:
-    """CSV with a header; the schema is given, so the file is read once and columns are pruned."""
-    return spark.read.csv(path, header=True, schema=schema, nullValue="NA", mode="PERMISSIVE")
+    """CSV with a header. Columns are found by their names, in whatever order the file has them, and cast to the types of
+    the schema; one that the file lacks is an error. Cells that do not fit their type are null: ``malformed_cells``
+    counts them."""
+    return _by_name(_as_text(spark, path), schema)
+
+
+def _as_text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, nullValue="NA", inferSchema=False)
+
+
+def _by_name(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    absent = [f.name for f in schema if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"the extract lacks the columns {absent}")
+    return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
+
+
+def malformed_cells(spark: SparkSession, path: str, schema: T.StructType = EXTRACT_SCHEMA) -> DataFrame:
+    """column, n: cells of the file that hold a text but do not fit the column's type."""
+    raw = _as_text(spark, path)
+    typed = [f for f in schema if not isinstance(f.dataType, T.StringType)]
+    _by_name(raw, schema)
+    counts = raw.agg(*(F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in typed))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n")) for f in typed))))
 
 
 def write_stage(df: DataFrame, directory: str, name: str, fmt: str = "parquet",

@@ -17,8 +17,11 @@ from cohortlib.spec import RunSpec
 
 # ---- fixed values: service code -> level of care, by age group -----------------------------------
 LOC_GROUPS: Mapping[str, Mapping[str, str]] = {
-    "adult": {"SMALL": "Outpatient", "MEDIUM": "IOP", "LARGE": "Rehab", "ECONOMY": "TCM", "STANDARD": "ACT"},
-    "child": {"SMALL": "Outpatient", "MEDIUM": "FB", "LARGE": "Rehab", "ECONOMY": "TCM", "STANDARD": "STS"},
+    "adult": {"SMALL": "Outpatient", "SMALL 2": "23-Hour Bed", "MEDIUM": "IOP", "MEDIUM 2": "Acute Partial Adults", "LARGE": "Rehab",
+              "LARGE 2": "BHSI Case Mgmt", "ECONOMY": "TCM", "ECONOMY 2": "CIRC", "STANDARD": "ACT", "STANDARD 2": "Methadone",
+              "PROMO 2": "Subacute"},
+    "child": {"SMALL": "Outpatient", "SMALL 2": "Acute Partial", "MEDIUM": "FB", "MEDIUM 2": "BHRS-CTSS", "LARGE": "Rehab",
+              "LARGE 2": "RTF", "ECONOMY": "TCM", "STANDARD": "STS"},
 }
 SEGMENT_RACE = {"BUILDING": "WHITE", "MACHINERY": "BLACK OR AFRICAN AMERICAN", "AUTOMOBILE": "HISPANIC",
                 "FURNITURE": "ASIAN", "HOUSEHOLD": "UNKNOWN"}
@@ -31,7 +34,7 @@ class CohortInputs:
     auth: auth, member, sb, se, code · services: member, b, e, sub, code · additional: member, b, e, LOC
     eligibility, dhs, bhrs: member, b, e · members: member and attributes · loc_dim: code, age_group, LOC
 
-    ``sub`` tells apart the lines a member may have for one level of care; it is a code of few values, because
+    A null end (``se``, ``e``) is a stay or span that is still open. ``sub`` tells apart the lines a member may have for one level of care; it is a code of few values, because
     the extract lists every line.
     """
 
@@ -57,17 +60,19 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
         F.col("o_orderdate").cast("date").alias("b"), F.col("o_orderpriority").alias("code"))
 
     def spans(code: str, days: Column) -> DataFrame:
-        return orders.where(F.col("code") == code).select("member", "b", _plus_days(F.col("b"), days).alias("e"), "auth")
+        end = F.when(F.col("auth") % 37 != 0, _plus_days(F.col("b"), days))          # some are still open
+        return orders.where(F.col("code") == code).select("member", "b", end.alias("e"), "auth")
 
     auth = orders.select("auth", "member", F.col("b").alias("sb"),
-                         _plus_days(F.col("b"), F.col("auth") % 15).alias("se"), "code")
+                         F.when(F.col("auth") % 41 != 0, _plus_days(F.col("b"), F.col("auth") % 46)).alias("se"), "code")
     services = (
         read("lineitem")
         .select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("b"),
                 F.col("l_quantity").cast("int").alias("days"), F.col("l_returnflag").alias("sub"))
-        .join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("code")), "l_partkey")
+        .join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" 2")).alias("code")), "l_partkey")
         .join(orders.select(F.col("auth").alias("l_orderkey"), "member"), "l_orderkey")
-        .select("member", "b", _plus_days(F.col("b"), F.col("days")).alias("e"), "sub", "code"))
+        .select("member", "b", F.when(F.col("days") != 50, _plus_days(F.col("b"), F.col("days"))).alias("e"),
+                "sub", "code"))
 
     key = F.col("auth")
     if spec.age_group == "adult":
@@ -88,9 +93,10 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
         F.when(cust % 13 == 0, "Y").otherwise("N").alias("ID_Measure_Year"),
         F.when(F.col("c_nationkey") % 3 == 0, "SA").otherwise("MH").alias("MH_SA"))
 
-    loc_dim = spark.createDataFrame(
-        [(code, group, loc_name) for group, m in LOC_GROUPS.items() for code, loc_name in m.items()],
-        "code string, age_group string, LOC string")
+    # Built from literals, so the planner knows how small it is.
+    codes = [F.struct(F.lit(code).alias("code"), F.lit(group).alias("age_group"), F.lit(name).alias("LOC"))
+             for group, m in LOC_GROUPS.items() for code, name in m.items()]
+    loc_dim = spark.range(1).select(F.inline(F.array(*codes)))
 
     return CohortInputs(
         auth=auth,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cohortlib import ADULT, CHILD
 from cohortlib.operators import cleaning
 from cohortlib.sources import EXTRACT_SCHEMA, read_extract, read_stage, write_stage
+from cohortlib.sources.extract import malformed_cells
 
 LINE = {"AuthorizationNumber": "1", "Client_Master_BK": "m1", "ServiceBegin": "07/01/2013", "ServiceEnd": "7/9/2013",
         "Gender_Label": "Female", "RaceEthnic_Label": "WHITE", "Age": 30, "ASD_Measure_Year": "N", "ID_Measure_Year": "N",
@@ -94,6 +95,7 @@ def test_csv_extract_and_stages(spark, tmp_path, rows):
     path = write_stage(df.select(*[F.coalesce(F.col(f.name).cast("string"), F.lit("NA")).alias(f.name) for f in EXTRACT_SCHEMA]),
                        str(tmp_path), "extract", fmt="csv")
     back = read_extract(spark, path)
+    assert {r["n"] for r in malformed_cells(spark, path).collect()} == {0}
     assert back.schema == EXTRACT_SCHEMA
     assert rows(back.select("LOC", "Measure_Period", "RaceEthnic_Label", "Day_Count")) == [
         ("ACT", "180 Days", "WHITE", 3), (None, None, None, 3)]
@@ -101,3 +103,17 @@ def test_csv_extract_and_stages(spark, tmp_path, rows):
     assert rows(read_stage(spark, str(tmp_path), "stage").select(*df.columns)) == rows(df)
     write_stage(df, str(tmp_path), "text", fmt="csv")
     assert read_stage(spark, str(tmp_path), "text", fmt="csv").where("RaceEthnic_Label IS NULL").count() == 1
+
+
+def test_extract_columns_are_found_by_name(spark, tmp_path):
+    """The file may have its columns in another order; an absent one is named, and cells that do not fit are counted."""
+    names = [f.name for f in EXTRACT_SCHEMA]
+    line = {n: "NA" for n in names} | {"AuthorizationNumber": "7", "Client_Master_BK": "9", "Age": "x1", "Day_Count": "4"}
+    turned = names[::-1] + ["More"]
+    (tmp_path / "turned.csv").write_text(",".join(turned) + "\n" + ",".join(line.get(n, "?") for n in turned) + "\n")
+    r = read_extract(spark, str(tmp_path / "turned.csv")).first()
+    assert (r["AuthorizationNumber"], r["Client_Master_BK"], r["Age"], r["Day_Count"], r["LOC"]) == ("7", "9", None, 4, None)
+    assert {r["column"]: r["n"] for r in malformed_cells(spark, str(tmp_path / "turned.csv")).collect() if r["n"]} == {"Age": 1}
+    (tmp_path / "short.csv").write_text("Client_Master_BK,LOC\n1,a\n")
+    with pytest.raises(ValueError, match="AuthorizationNumber"):
+        read_extract(spark, str(tmp_path / "short.csv"))

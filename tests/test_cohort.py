@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cohortlib import ADULT
 from cohortlib.operators import cohort
-from cohortlib.operators.skew import hot_keys, join_and_reduce, with_lookup
 
 D0 = date(1999, 6, 1)
 
@@ -46,10 +45,9 @@ def test_earlier_episode_outside_period_ends_first_ever(spark):
     assert (r["auth"], r["first_ever"]) == (2, "N")
 
 
-@pytest.mark.parametrize("hot", [(), (10, 50)])
-def test_readmission_and_window(auth, hot):
+def test_readmission_and_window(auth):
     index = cohort.index_episodes(auth, ADULT)
-    got = {r["member"]: r for r in cohort.episodes(index, auth, ADULT, hot).collect()}
+    got = {r["member"]: r for r in cohort.episodes(index, auth, ADULT).collect()}
     assert got[10]["readmit_auth"] == 1 and got[10]["days_to_readmit"] == 95
     assert got[10]["after_e"] == day(0) and got[10]["n_adm"] == 3
     assert got[20]["readmit_auth"] is None and got[20]["after_e"] == day(185)
@@ -78,8 +76,7 @@ def eps(spark):
     return spark.createDataFrame(rows, "member long, sb date, se date, after_b date, after_e date")
 
 
-@pytest.mark.parametrize("hot", [(), (1,)])
-def test_days_against_brute_force(spark, eps, hot):
+def test_days_against_brute_force(spark, eps):
     data = _random_spans(400)
     spans = spark.createDataFrame(data, "member long, b date, e date, sub string, code string")
     dim = spark.createDataFrame([("SMALL", "adult", "Outpatient"), ("LARGE", "adult", "Rehab"), ("LARGE", "child", "X")],
@@ -97,11 +94,11 @@ def test_days_against_brute_force(spark, eps, hot):
             want[key] = want.get(key, 0) + len(inside)
             covered.setdefault((m, name), set()).update(inside)
     got = {}
-    for r in cohort.service_days(eps, spans, dim, ADULT, hot).collect():
+    for r in cohort.service_days(eps, spans, dim, ADULT).collect():
         for name in ("after", "y1", "y2", "y3"):
             got[(r["member"], r["LOC"], r["sub"], name)] = r[name]
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
-    merged = {(r["member"], n): r[n] for r in cohort.covered_days(eps, spans, ADULT, hot).collect() for n in ("y1", "y2", "y3")}
+    merged = {(r["member"], n): r[n] for r in cohort.covered_days(eps, spans, ADULT).collect() for n in ("y1", "y2", "y3")}
     assert {k: v for k, v in merged.items() if v} == {k: len(v) for k, v in covered.items() if v and k[1] != "after"}
     assert max(merged.values()) <= 365
 
@@ -112,50 +109,77 @@ def test_prior_windows_touch(eps):
     assert got[0]["w_e"] == got[1]["w_b"] and got[2]["w_e"] == day(1)
 
 
-@pytest.mark.parametrize("hot", [(), (1,)])
-def test_flags_at_admission(spark, eps, hot):
+def test_flags_at_admission(spark, eps):
     spans = spark.createDataFrame([(1, day(-600), day(0)), (1, day(-600), day(5)), (2, day(-10), day(2)), (3, day(3), day(4))],
                                   "member long, b date, e date")
-    assert {r["member"]: r["active"] for r in cohort.active_on(spans, eps, hot).collect()} == {1: 1, 2: 0, 3: 1}
-    assert {r["member"]: r["lasted"] for r in cohort.lasted_months(spans, eps, 18, hot).collect()} == {1: 1, 2: 0}
+    assert {r["member"]: r["active"] for r in cohort.active_on(spans, eps).collect()} == {1: 1, 2: 0, 3: 1}
+    assert {r["member"]: r["lasted"] for r in cohort.lasted_months(spans, eps, 18).collect()} == {1: 1, 2: 0}
 
 
-def test_hot_keys_finds_the_large_owner(spark):
-    facts = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("member"), "id")
-    assert hot_keys(facts, "member", min_rows=100) == [-1]
-    assert hot_keys(facts, "member") == []
+def test_open_stays_and_spans(spark):
+    """A stay without discharge is a readmission and an admission; an open span counts up to the end of every window."""
+    auth = spark.createDataFrame([(1, 1, day(0), day(4), "1-URGENT"), (2, 1, day(26), None, "2-HIGH"), (3, 2, day(0), None, "1-URGENT")], AUTH)
+    index = cohort.index_episodes(auth, ADULT)
+    got = cohort.episodes(index, auth, ADULT).collect()
+    assert [(r["member"], r["readmit_auth"], r["days_to_readmit"], r["n_adm"]) for r in got] == [(1, 2, 22, 1)]
+    one = cohort.episodes(index, auth, ADULT)
+    spans = spark.createDataFrame([(1, day(-10), None), (1, day(-800), day(-790))], "member long, b date, e date")
+    assert cohort.covered_days(one, spans, ADULT).select("y1", "y2", "y3").collect()[0] == (10, 0, 10)
+    assert cohort.active_on(spans, one).first()["active"] == 1
+    assert cohort.lasted_months(spark.createDataFrame([(1, day(-700), None)], "member long, b date, e date"), one, 18).first()["lasted"] == 1
+    merged = sorted((r["b"], r["e"]) for r in cohort.merge_spans(spans, ("member",)).collect())
+    assert merged == [(day(-800), day(-790)), (day(-10), None)]
+    services = spans.selectExpr("*", "'a' as sub", "'SMALL' as code")
+    dim = spark.createDataFrame([("SMALL", "adult", "Outpatient")], "code string, age_group string, LOC string")
+    assert [(r["LOC"], r["after"], r["y1"], r["y3"]) for r in cohort.service_days(one, services, dim, ADULT).collect()] == [("Outpatient", 22, 10, 10)]
 
 
-def test_hot_route_gives_the_same_rows(spark, rows):
-    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("member"), "id")
-    one = spark.range(40).select(F.col("id").alias("member"), (F.col("id") * 2).alias("twice"))
-    total = lambda j: j.groupBy("member", "twice").agg(F.sum("id").alias("s"))
-    plain, routed = join_and_reduce(facts, one, "member", (), total), join_and_reduce(facts, one, "member", [7, 45], total)
-    assert rows(plain) == rows(routed) and plain.count() == 40
-    plan = routed._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan and "Union" in plan
+def test_member_with_half_of_the_rows(spark, eps, rows, tmp_path):
+    """The adaptive skew join splits the rows of a large member; the result is that of the plain join."""
+    facts = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 997 + 10).alias("member"),
+                                        F.date_add(F.lit(D0), -(F.col("id") % 900).cast("int")).alias("b"), F.lit(D0).alias("e"),
+                                        F.lit("x" * 40).alias("sub"), F.lit("SMALL").alias("code"))
+    facts.write.parquet(f"{tmp_path}/facts")
+    spark.range(1, 2000).selectExpr("id as member", "date'1998-06-01' sb", "date'1998-06-04' se", "date'1998-06-04' after_b",
+                                    "date'1998-09-01' after_e").write.parquet(f"{tmp_path}/eps")
+    dim = spark.createDataFrame([("SMALL", "adult", "Outpatient")], "code string, age_group string, LOC string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+            "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
+    def days():
+        return cohort.service_days(spark.read.parquet(f"{tmp_path}/eps"), spark.read.parquet(f"{tmp_path}/facts"), dim, ADULT)
+    plain = rows(days())
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        split = days()
+        assert rows(split) == plain
+        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
 
 
-def test_cold_rows_are_shuffled_once_and_hot_rows_not_at_all(spark, eps):
-    """Without a broadcast of the index: one exchange of the spans for the cold route, and for the
-    hot route only of what the partial aggregation leaves."""
+def test_spans_are_shuffled_once(spark, eps):
     spans = spark.range(500).select((F.col("id") % 3 + 1).alias("member"), F.date_add(F.lit(D0), -F.col("id").cast("int")).alias("b"),
                                     F.lit(D0).alias("e"), F.lit("A").alias("sub"), F.lit("SMALL").alias("code"))
     dim = spark.createDataFrame([("SMALL", "adult", "Outpatient")], "code string, age_group string, LOC string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = cohort.service_days(eps, spans, dim, ADULT, (1,))
-        plan = out._jdf.queryExecution().executedPlan().toString()
+        plan = cohort.service_days(eps, spans, dim, ADULT)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    by_member = [line for line in plan.splitlines() if "Exchange hashpartitioning(member" in line]
-    # cold: spans and index by member; hot: partial sums by member, level of care and line
-    assert len(by_member) == 3 and sum("LOC" in line for line in by_member) == 1
+    # spans and index, each by member; the lookup of the level of care comes after the reduction
+    assert sum("Exchange hashpartitioning(member" in line and "code" not in line.split("ENSURE")[0].split("hashpartitioning")[1] for line in plain_lines(plan)) == 2
+
+
+def plain_lines(plan):
+    return [line for line in plan.splitlines() if "Exchange" in line]
 
 
 def test_lookup_keeps_unmatched_rows(spark):
     facts = spark.createDataFrame([("a",), ("b",), (None,)], "code string")
-    dim = spark.createDataFrame([("a", "A")], "code string, LOC string")
-    out = with_lookup(facts, dim, "code")
+    dim = spark.createDataFrame([("a", "adult", "A"), ("b", "child", "B")], "code string, age_group string, LOC string")
+    out = cohort.loc_grouping(facts, dim, "adult")
     assert sorted((str(r["code"]), str(r["LOC"])) for r in out.collect()) == [("None", "None"), ("a", "A"), ("b", "None")]
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()

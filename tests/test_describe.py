@@ -48,10 +48,17 @@ def test_box_statistics_against_numpy(spark):
 
 
 def test_histogram_bins(spark):
-    df = one(spark, [0, 1, 7, 8, 14, 15, 500, None])
-    got = [(r["bin"], r["n"]) for r in describe.histogram(df, "v", 0, 7, 3, open_ended=True).orderBy("bin").collect()]
-    assert got == [(1, 3), (2, 2), (3, 1), (4, 1)]
-    assert describe.histogram(df, "v", 0, 7, 3).count() == 3
+    df = one(spark, [-1, 0, 1, 7, 8, 14, 15, 500, None])
+    got = [(r["bin"], r["n"]) for r in describe.histogram(df, "v", 0, 7, 3).orderBy("bin").collect()]
+    assert got == [(0, 1), (1, 3), (2, 2), (3, 1), (4, 1)]
+    ends = describe.histogram(df, "v", 0, 7, 3).where("bin in (0, 4)").orderBy("bin").collect()
+    assert [(r["lo"], r["hi"]) for r in ends] == [(None, 0.0), (21.0, None)]
+
+
+def test_box_by_loc_is_ordered_by_mean(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("b", "x", 9), ("c", "x", 2)], "LOC string, g string, v int")
+    got = {(r["LOC"], r["g"]): (r["mean"], r["display_rank"]) for r in describe.box_by_loc(df, "v", ["g"]).collect()}
+    assert got == {("b", "x"): (9.0, 1), ("a", "x"): (1.0, 2), ("a", "y"): (3.0, 2), ("c", "x"): (2.0, 3)}
 
 
 def test_profile(spark):

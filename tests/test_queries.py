@@ -77,20 +77,6 @@ def test_wide_rows_equal_member_rows(spark):
         assert st.wide.agg({"Yr2Prior_TCM": "sum"}).first()[0] == long_days
 
 
-def test_hot_route_through_a_whole_study(spark):
-    """Every member with many lines takes the route for hot keys; the lines do not change."""
-    from cohortlib import CHILD
-    from cohortlib.plans.study import Study, study
-    from cohortlib.sources import load_inputs
-    plain = study(spark, DATA, CHILD)
-    routed = Study(spark, load_inputs(spark, DATA, CHILD), CHILD)
-    many = [r["member"] for r in plain.episodes.orderBy("member").limit(40).collect()]
-    for relation in ("auth", "services", "additional", "eligibility", "dhs", "bhrs"):
-        routed.hot[relation] = many
-    cols = sorted(plain.start.columns)
-    assert sorted(map(str, routed.start.select(cols).collect())) == sorted(map(str, plain.start.select(cols).collect()))
-
-
 def test_other_follow_up_renames_everything(spark):
     import dataclasses
     from cohortlib import ADULT

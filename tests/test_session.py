@@ -33,6 +33,12 @@ def test_cluster_without_folder_is_refused():
         session.shared_dir(spark)
 
 
+def test_local_cluster_is_a_cluster():
+    spark, _ = fake("local-cluster[3,2,1000]")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
+
+
 def test_local_master_gets_a_temporary_folder():
     spark, calls = fake("local[2]")
     assert session.shared_dir(spark) == calls[0]

@@ -157,8 +157,22 @@ def test_determined_terms_are_left_out(spark):
 
 def test_rows_with_missing_covariates_are_left_out(spark):
     data = random_members(100, 8)
-    df = spark.createDataFrame(data + [(3, 1, None, "p", "No"), (3, 1, "M", "other", "No"), (None, 1, "M", "p", "No")], SCHEMA)
-    assert cox.cox_ph(df, "time", "event", COVS).n == 100
+    df = spark.createDataFrame(data + [(3, 1, None, "p", "No"), (None, 1, "M", "p", "No")], SCHEMA)
+    fit = cox.cox_ph(df, "time", "event", COVS)
+    assert (fit.n, fit.n_left_out, fit.converged) == (100, 2, True)
+
+
+def test_undeclared_levels_are_an_error(spark):
+    df = spark.createDataFrame(random_members(100, 8) + [(3, 1, "M", "other", "No")], SCHEMA)
+    with pytest.raises(ValueError, match="other"):
+        cox.cox_ph(df, "time", "event", COVS)
+
+
+def test_a_fit_that_did_not_converge_says_so(spark):
+    df = spark.createDataFrame(random_members(100, 8), SCHEMA)
+    fit = cox.cox_ph(df, "time", "event", COVS, max_steps=1)
+    assert not fit.converged and {r["converged"] for r in cox.tidy_cox(spark, fit).collect()} == {False}
+    assert cox.cox_glance(spark, fit).first()["converged"] is False
 
 
 @pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 8)])
@@ -201,9 +215,14 @@ def test_estimates_and_limits_join_by_term(spark, small):
     assert joined.columns == ["term", "estimate", "conf_low", "conf_high"] and joined.count() == 1
 
 
-def test_tie_sums_do_not_depend_on_the_chunk():
-    a = cox._tie_sums(1000, 5000.0, 900.0)
-    assert cox._tie_sums(1000, 5000.0, 900.0, chunk=7) == pytest.approx(a)
+@pytest.mark.parametrize("d,risk,tied", [(50_000, 60_000.0, 50_000.0), (50_000, 50_000.0, 50_000.0), (1_000_000, 1e9, 1.3e6), (9_000, 9_100.5, 9_100.4)])
+def test_tie_sums_of_many_events(d, risk, tied):
+    assert cox._tie_sums(d, risk, tied) == pytest.approx(cox._tie_sums(d, risk, tied, exact=d), rel=1e-10)
+
+
+def test_tie_sums_take_no_longer_for_more_events():
+    sums = cox._tie_sums(10**9, 3e9, 1.1e9)
+    assert sums[1] == pytest.approx(1e9 / 1.1e9 * math.log(3 / 1.9), rel=1e-8)
 
 
 def test_hazard_ratio_table(spark):
