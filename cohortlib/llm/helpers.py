@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,18 @@ from cohortlib.session import shared_dir, tune
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of an Arrow batch: texts may be long, and both sides of the pipe hold whole batches.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
     tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -92,7 +103,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         start, length = 0, batch.num_rows
         if not length:
             continue
-        ends = np.cumsum(np.fromiter((len(v) for v in batch.column(column).to_pylist()), np.int64, length))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
         while start < length:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes - size, "right")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, simhash, tool_calls
-from cohortlib.llm.helpers import documents, tune
+from cohortlib.llm.helpers import documents, prepare
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and results of all conversations, linked, ordered, checked and serialised."""
-    tune(spark)
+    prepare(spark)
     calls, results = tool_calls.from_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return tool_calls.link(calls, results)
 
