@@ -210,13 +210,17 @@ def los_readmit_table(members: DataFrame) -> DataFrame:
     return out.withColumns({c: round_half_even(c, 1) for c in ("AvgDays", "MedDays", "SDDays", "IQRDays")})
 
 
-def fast_facts(wide: DataFrame, spec: RunSpec) -> DataFrame:
+def fast_facts(wide: DataFrame, spec: RunSpec, na_rows: str = "drop") -> DataFrame:
     """The figures quoted in the report, one row each, from a single pass over the member rows.
 
-    Percentages count true conditions only; a missing value counts in the denominator."""
+    Percentages count true conditions only; a missing value counts in the denominator. With ``na_rows="count"`` a row whose
+    condition is unknown counts as if it were true, as it does when rows are picked by a condition with missing values."""
+    if na_rows not in ("drop", "count"):
+        raise ValueError("na_rows is 'drop' or 'count'")
     rows = row_count()
     yes = F.col("Flag_Readmit") == "Yes"
-    pct = lambda cond: F.count_if(cond) / rows * 100
+    known = (lambda c: c) if na_rows == "drop" else (lambda c: F.coalesce(c, F.lit(True)))
+    pct = lambda cond: F.count_if(known(cond)) / rows * 100
     facts = {
         "members": rows.cast("double"),
         "pct_male": pct(F.col("Gender_Label") == "Male"),

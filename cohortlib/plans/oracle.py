@@ -1,14 +1,14 @@
 """SQL counterparts of the named queries, for an engine with the same tables registered as views.
 
 Written from the definitions of the measures, independently of the Spark operators: for example,
-eligible days are counted here as distinct calendar days, while Spark merges spans.
+eligible days are counted here as distinct calendar days, while Spark merges spans. Bands, windows, code sets and level
+orders come from the same ``RunSpec``, which is the input of both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from cohortlib.operators.survival import term_labels
 from cohortlib.sources.tables import LOC_GROUPS, SEGMENT_RACE
 from cohortlib.spec import (ADULT, CHILD, ELIG_DAY_BANDS, ELIG_YEAR_BANDS, MONTH_BANDS, RACE_MAP, WEEK_BANDS, Bands,
                             RunSpec)
@@ -450,8 +450,8 @@ def _hist(col: str, width: int, bins: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _facts(spec: RunSpec) -> str:
-    pct = lambda cond: f"count(*) FILTER (WHERE {cond}) / count(*) * 100"
+def _facts(spec: RunSpec, unknown_too: bool = False) -> str:
+    pct = lambda cond: f"count(*) FILTER (WHERE ({cond}){' IS NOT FALSE' if unknown_too else ''}) / count(*) * 100"
     yes = "Flag_Readmit = 'Yes'"
     facts = {
         "members": "count(*)", "pct_male": pct("Gender_Label = 'Male'"), "pct_female": pct("Gender_Label = 'Female'"),
@@ -512,6 +512,7 @@ def _description() -> dict[str, str]:
             f"service_history_table_{name}": _sql(spec, _history(spec)),
             f"los_readmit_table_{name}": _sql(spec, _los_table()),
             f"fast_facts_{name}": _sql(spec, _facts(spec), wide),
+            f"fast_facts_na_rows_{name}": _sql(spec, _facts(spec, True), wide),
             f"readmit_timing_{name}": _sql(spec, f"""
                 SELECT Readmit_Cat, Week_Cat, n, {_r('n / sum(n) OVER ()', 'perc')} FROM (SELECT {_band('Days_to_Readmit', MONTH_BANDS)} AS Readmit_Cat,
                 {_band('Days_to_Readmit', WEEK_BANDS)} AS Week_Cat, count(*) AS n FROM wide WHERE Flag_Readmit = 'Yes' GROUP BY 1, 2)""", wide),
@@ -759,6 +760,74 @@ def _cox_ctes(spec: RunSpec, names: list[str], rounds: int) -> tuple[list[tuple[
     return ctes, [t for t, _, _ in terms]
 
 
+# The text shown for each term of the full models.
+_LABELS = {
+    "adult": {
+        "Gender_LabelFemale": "Female",
+        "RaceCatBlack": "Black (ref: White)",
+        "RaceCatHispanic": "Hispanic (ref: White)",
+        "RaceCatOther": "Other (ref: White)",
+        "AgeCat231 to 40": "31 to 40 (ref: 18-30yo)",
+        "AgeCat241 to 50": "41-50 (ref: 18-30yo)",
+        "AgeCat251+": "51+ (ref: 18-30yo)",
+        "LOScatLT 5 days": "LOS Under 5 (ref: 5+)",
+        "FirstEpEverY": "First AIP Ever",
+        "After_23HrBedYes": "FUP: 23 Hr Bed",
+        "After_BHSICMYes": "FUP: BHSI-CM",
+        "After_IOPYes": "FUP: IOP",
+        "After_MATYes": "FUP: MAT",
+        "After_OPYes": "FUP: OP",
+        "After_RehabYes": "FUP: Rehab",
+        "After_SubacuteYes": "FUP: Subacute",
+        "After_TCMYes": "FUP: TCM",
+        "Yr1Prior_23HrBedYes": "Yr1Prior: 23 Hr Bed",
+        "Yr1Prior_BHSICMYes": "Yr1Prior: BHSI-CM",
+        "Yr1Prior_IOPYes": "Yr1Prior: IOP",
+        "Yr1Prior_MATYes": "Yr1Prior: MAT",
+        "Yr1Prior_OPYes": "Yr1Prior: OP",
+        "Yr1Prior_RehabYes": "Yr1Prior: Rehab",
+        "Yr1Prior_SubacuteYes": "Yr1Prior: Subacute",
+        "Yr1Prior_TCMYes": "Yr1Prior: TCM",
+        "Yr1Prior_AnyAIPYes": "Yr1Prior: AIP",
+        "eligcatLess than 50%": "Yr1Prior: Elig < 50% of Yr (ref: 50+%)",
+        "eligcatNo Elig": "Yr1Prior: Elig 0 Days (ref: 50+%)",
+    },
+    "child": {
+        "Gender_LabelFemale": "Female",
+        "RaceCatHispanic": "Hispanic (ref: Black)",
+        "RaceCatOther": "Other (ref: Black)",
+        "RaceCatWhite": "White (ref: Black)",
+        "Age14upUnder 14": "Under 14 (ref: 14+)",
+        "ASDIDNo ASD or ID": "No ASD/ID",
+        "MH_SASA": "SA Hx",
+        "LOScat11 - 20": "LOS 11-20 (ref: <= 10)",
+        "LOScat21-30": "LOS 21-30 (ref: <= 10)",
+        "LOScat31+": "LOS 31+ (ref: <= 10)",
+        "Flag_Active_DHS_StatusYes": "DHS during AIP",
+        "VoluntaryVoluntary": "Voluntary Commitment",
+        "FirstEpEverY": "First AIP Ever",
+        "After_AcutePartialYes": "FUP: Acute Partial",
+        "After_BHRS_CTSSYes": "FUP: BHRS/CTSS",
+        "After_FBSYes": "FUP: FB",
+        "After_OPYes": "FUP: OP",
+        "After_RehabYes": "FUP: Rehab",
+        "After_RTFYes": "FUP: RTF",
+        "After_STSYes": "FUP: STS",
+        "After_TCMYes": "FUP: TCM",
+        "Yr1Prior_AcutePartialYes": "YrPrior: Acute Partial",
+        "Yr1Prior_BHRS_CTSSYes": "YrPrior: BHRS/CTSS",
+        "Yr1Prior_FBSYes": "YrPrior: FB",
+        "Yr1Prior_OPYes": "YrPrior: OP",
+        "Yr1Prior_RehabYes": "YrPrior: Rehab",
+        "Yr1Prior_RTFYes": "YrPrior: RTF",
+        "Yr1Prior_STSYes": "YrPrior: STS",
+        "Yr1Prior_TCMYes": "YrPrior: TCM",
+        "Yr1Prior_DHSYes": "YrPrior: DHS",
+        "Yr1Prior_AnyAIPYes": "Yr1Prior: AIP",
+        "eligcatLess than 50%": "Elig < 50% of Yr (ref: 50+%)",
+    },
+}
+
 _Z = 1.959963984540054
 _TIDY = (f"i AS term_no, term, {_r('b', 'estimate')}, {_r('se', 'std_error')}, {_r('b / se', 'statistic')}, "
          f"CASE WHEN b IS NOT NULL THEN round({_chi2_tail('(b * b / (se * se))', '1')}, 6) END AS p_value, "
@@ -772,7 +841,7 @@ def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
 
 def _hazard_ratios(spec: RunSpec, only_significant: bool, rounds: int = 7) -> str:
     ctes, terms = _cox_ctes(spec, [c.name for c in spec.covariates], rounds)
-    labels = term_labels(spec)
+    labels = _LABELS[spec.name]
     shown = " ".join(f"WHEN {_q(t)} THEN {_q(labels[t])}" for t in terms)
     sig = f"CASE WHEN p_value <= {spec.alpha} THEN 'Yes' WHEN p_value IS NOT NULL THEN 'No' END"
     final = f"""
@@ -808,6 +877,11 @@ def _modelling() -> dict[str, str]:
         out[f"cox_hazard_ratios_{name}"] = _hazard_ratios(spec, False)
         out[f"cox_significant_{name}"] = _hazard_ratios(spec, True)
         out[f"cox_glance_{name}"] = _glance(spec)
+        ctes, terms = _cox_ctes(spec, [c.name for c in spec.covariates], 7)
+        out[f"coefficient_limits_{name}"] = _sql(spec, f"SELECT term, estimate, conf_low, conf_high FROM (SELECT {_TIDY} FROM est)", ctes)
+        shown = ", ".join(f"({_q(t)})" for t in terms)
+        out[f"unlabelled_terms_{name}"] = f"SELECT term, 'ERROR' AS factors FROM (VALUES {shown}) t(term) WHERE term NOT IN {_in(_LABELS[name])}"
+        out[f"attribute_fanout_{name}"] = _sql(spec, "SELECT Client_Master_BK, count(*) AS n FROM people GROUP BY 1 HAVING count(*) > 1")
         known = " AND ".join(f"{c.name} IN {_in(c.levels)}" for c in spec.covariates)
         out[f"cox_level_counts_{name}"] = _sql(spec, " UNION ALL ".join(
             f"SELECT {i} AS variable_no, {_q(c.name)} AS variable, {_q(lv)} AS level, count(*) FILTER (WHERE {c.name} = {_q(lv)}) AS n FROM model WHERE {known}"

@@ -149,6 +149,7 @@ def _description() -> dict[str, Query]:
             f"service_history_table_{name}": _query(spec, lambda st: describe.service_history_table(st.members, st.spec)),
             f"los_readmit_table_{name}": _query(spec, lambda st: describe.los_readmit_table(st.members)),
             f"fast_facts_{name}": _query(spec, lambda st: describe.fast_facts(st.wide, st.spec)),
+            f"fast_facts_na_rows_{name}": _query(spec, lambda st: describe.fast_facts(st.wide, st.spec, na_rows="count")),
             f"readmit_timing_{name}": _query(spec, lambda st: describe.readmit_timing(st.wide)),
             f"profile_{name}": _query(spec, lambda st, t=tuple(texts): describe.profile(st.members, t, numbers)),
             f"los_share_{name}": _query(spec, lambda st: describe.band_share(st.wide, "LOS", st.spec.los_cat, "LOScat")),
@@ -228,6 +229,11 @@ def _utilization() -> dict[str, Query]:
 
 # ---- modelling ----------------------------------------------------------------------------------------
 
+def _limits(st: Study) -> DataFrame:
+    tidy = cox.tidy_cox(st.spark, st.fit)
+    return cox.join_estimates(tidy.select("term", "estimate"), tidy.select("term", "conf_low", "conf_high"))
+
+
 def _small_model(st: Study, names: Sequence[str]) -> DataFrame:
     return cox.tidy_cox(st.spark, st.fit_of(names))
 
@@ -242,6 +248,9 @@ def _modelling() -> dict[str, Query]:
             f"cox_hazard_ratios_{name}": _query(spec, hazard_ratios),
             f"cox_significant_{name}": _query(spec, lambda st: survival.significant(hazard_ratios(st))),
             f"cox_glance_{name}": _query(spec, lambda st: cox.cox_glance(st.spark, st.fit).drop("iterations")),
+            f"coefficient_limits_{name}": _query(spec, _limits),
+            f"unlabelled_terms_{name}": _query(spec, lambda st: survival.unlabelled_terms(hazard_ratios(st))),
+            f"attribute_fanout_{name}": _query(spec, lambda st: describe.attribute_fanout(st.members)),
             f"cox_level_counts_{name}": _query(spec, lambda st: cox.level_counts(st.fit)),
         }
         for col in spec.km_strata:
