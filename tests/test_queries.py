@@ -49,7 +49,7 @@ def table(cols, rows):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    data = LARGER if name.startswith("cox_") else DATA
+    data = LARGER if name.startswith(("cox_", "coefficient_")) else DATA
     df = QUERIES[name](spark, data)
     got = [tuple(r) for r in df.collect()]
     res = con[data].execute(SQL[name])
