@@ -18,19 +18,19 @@ def hazard_ratios(st: Study) -> DataFrame:
 
 def short_report(st: Study) -> list[tuple[str, DataFrame]]:
     """Facts, length of stay by subgroup, time to readmission, service use after discharge and the
-    significant factors. Every entry is a lazy DataFrame except the last, which needs the fitted model."""
+    significant factors. The member and wide tables are staged when the list is made, and the last entry needs the fitted model."""
     spec = st.spec
     age = spec.age_model[0] if spec.name == "adult" else "AgeCat"
     groups = ("RaceCat", age, "FirstEpEver") if spec.name == "adult" else ("ASD_Measure_Year", "Flag_Active_DHS_Status")
     lengths = [("Overall", [])] + [(c, [c]) for c in groups]
     out = [("Fast facts", describe.fast_facts(st.wide, spec))]
-    out += [(f"Figure 1. Distribution of Index LOS: {name}", describe.box_stats(st.members, "LOS", by)) for name, by in lengths]
+    out += [(f"Length of the index stay: {name}", describe.box_stats(st.members, "LOS", by)) for name, by in lengths]
     out += [
-        ("Figure 2. When Do Members Readmit?",
+        ("Weeks until readmission",
          describe.readmit_timing(st.wide).withColumn("label", percent_text(F.bround("perc", 3)))),
-        ("Figure 3. Percent of Members Using Services After Discharge", utilization.after_use_by_loc(st.long, st.n_members)),
-        (f"Figure 4. Distribution of Days of Service After Discharge from {spec.index_loc}",
+        ("Members with services after discharge", utilization.after_use_by_loc(st.long, st.n_members)),
+        (f"Service days after discharge from {spec.index_loc}",
          describe.box_by_loc(utilization.after_distribution(st.long, spec), "RateDays30")),
-        (f"Figure 5. Impact on Risk of {spec.follow_up_days} Day Readmission", survival.significant(hazard_ratios(st))),
+        (f"Factors of readmission within {spec.follow_up_days} days", survival.significant(hazard_ratios(st))),
     ]
     return out

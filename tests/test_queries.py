@@ -113,6 +113,6 @@ def test_study_from_a_delivered_file(spark, tmp_path):
     cols = sorted(raw.wide.columns)
     assert sorted(map(str, st.wide.select(cols).collect())) == sorted(map(str, raw.wide.select(cols).collect()))
     tables = short_report(st)
-    assert len(tables) == 9 and all(df.columns for _, df in tables)
-    timing = dict(tables)["Figure 2. When Do Members Readmit?"]
+    assert len(tables) == 8 and all(df.columns for _, df in tables)
+    timing = dict(tables)["Weeks until readmission"]
     assert all(r["label"].endswith("%") for r in timing.collect())
