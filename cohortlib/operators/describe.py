@@ -183,11 +183,11 @@ def demographics_table(members: DataFrame, spec: RunSpec) -> DataFrame:
 def service_history_table(members: DataFrame, spec: RunSpec) -> DataFrame:
     loc = spec.index_loc
     sections = [(f"Is this the member's first {loc} episode",
-                 recode("FirstEpEver", {"N": f"Prior {loc}  Hx", "Y": f"First {loc} ever"}), None)]
+                 recode("FirstEpEver", {"N": f"Had an earlier {loc} episode", "Y": f"First {loc} ever"}), None)]
     if spec.flags:
         sections += [
             ("Is member DHS involved at time of Index Episode",
-             recode("Flag_Active_DHS_Status", {"No": f"No DHS during {loc}", "Yes": f"DHS during  {loc}"}), None),
+             recode("Flag_Active_DHS_Status", {"No": f"No DHS during {loc}", "Yes": f"DHS during {loc}"}), None),
             ("Member's BHRS history at time of Index Episode",
              recode("Flag_BHRS_18plus_Mths_Before_Admission",
                     {"No": "Does not have BHRS episode >= 18 months", "Yes": "Has BHRS episode >= 18 months"}), None)]

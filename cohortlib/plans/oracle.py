@@ -389,10 +389,10 @@ def _demographics(spec: RunSpec) -> str:
 
 
 def _history(spec: RunSpec) -> str:
-    sections = [("Is this the member's first AIP episode", "CASE FirstEpEver WHEN 'N' THEN 'Prior AIP  Hx' WHEN 'Y' THEN 'First AIP ever' END", None)]
+    sections = [("Is this the member's first AIP episode", "CASE FirstEpEver WHEN 'N' THEN 'Had an earlier AIP episode' WHEN 'Y' THEN 'First AIP ever' END", None)]
     if spec.flags:
         sections += [("Is member DHS involved at time of Index Episode",
-                      "CASE Flag_Active_DHS_Status WHEN 'No' THEN 'No DHS during AIP' ELSE 'DHS during  AIP' END", None),
+                      "CASE Flag_Active_DHS_Status WHEN 'No' THEN 'No DHS during AIP' ELSE 'DHS during AIP' END", None),
                      ("Member's BHRS history at time of Index Episode",
                       "CASE Flag_BHRS_18plus_Mths_Before_Admission WHEN 'No' THEN 'Does not have BHRS episode >= 18 months' "
                       "ELSE 'Has BHRS episode >= 18 months' END", None)]
