@@ -135,13 +135,15 @@ def links(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
 
 
 def classes(printed: DataFrame, radius: int = 2, key: str = "doc_id", name: str = "fingerprint") -> DataFrame:
-    """fingerprint, component_id: for each fingerprint the smallest key of all documents it can reach."""
+    """fingerprint, root, component_id: for each fingerprint its component and the smallest key of all documents in it.
+
+    Only ``root`` tells components apart: keys may be null or repeated."""
     per = stage(printed.groupBy(F.col(name).alias("fingerprint")).agg(F.min(key).alias("low")), "distinct")
     roots = components(links(per.select("fingerprint"), radius))
     placed = per.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return stage(placed.join(lows, "root").select("fingerprint", "component_id"), "classes")
+    return stage(placed.join(lows, "root").select("fingerprint", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
@@ -162,5 +164,5 @@ def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     slim = printed.select("doc_id", F.col(name).alias("fingerprint"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", "row")).alias("first")
     named = slim.join(classes(slim, radius), "fingerprint")
-    stay = stage(named.groupBy("component_id").agg(first).select(F.col("first.row").alias(row)), "kept_rows")
+    stay = stage(named.groupBy("root").agg(first).select(F.col("first.row").alias(row)), "kept_rows")
     return printed.join(stay, row, "left_semi").select(*docs.columns)

@@ -108,6 +108,14 @@ def test_null_ids(docs):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4)]
 
 
+def test_keep_one_of_null_and_repeated_ids(docs):
+    rnd = random.Random(8)
+    texts = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(999)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (9, texts[5]), (None, texts[5])]
+    got = sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(docs(rows)).collect())
+    assert got == sorted([(-1, texts[0]), (-1, texts[1]), (-1, texts[2]), (5, texts[3]), (5, texts[4]), (9, texts[5])])
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).columns == empty.columns
