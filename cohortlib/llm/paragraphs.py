@@ -88,12 +88,8 @@ class Units:
         return mix64(value), begin
 
 
-def units(raws: list[bytes]) -> Units:
-    """Cut texts into paragraphs. Everything is done for the whole block at once.
-
-    A paragraph begins with the first word of a text or line, and behind a word that ends in a punctuation mark. One of
-    over LONG words, such as text without punctuation, is cut behind every word whose hash is a multiple of CUT. All cuts
-    follow from the words themselves, so they fall alike wherever a passage stands."""
+def _words(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The lower-cased texts in a row, where each text starts, where words start and end, and a hash of each word."""
     flat = np.frombuffer(b"\n".join([*raws, b""]).lower(), np.uint8)
     at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)))
     blank = _BLANK[flat]
@@ -102,6 +98,23 @@ def units(raws: list[bytes]) -> Units:
     starts, ends = edges[0::2], edges[1::2]
     ahead = np.concatenate(([np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power(BASE, len(flat)), dtype=np.uint64)))
     word = mix64((ahead[ends] - ahead[starts]) * power(INVERSE, len(flat) + 1)[starts])
+    return flat, at, starts, ends, word
+
+
+def whole(raws: list[bytes]) -> Units:
+    """Texts as one unit each, however long; texts without a word have none."""
+    _, at, starts, _, word = _words(raws)
+    text, first = np.unique(np.searchsorted(at, starts, "right") - 1, return_index=True)
+    return Units(text, np.zeros(len(text), np.int64), starts[first] - at[text], np.diff(np.append(first, len(starts))), first, word)
+
+
+def units(raws: list[bytes]) -> Units:
+    """Cut texts into paragraphs. Everything is done for the whole block at once.
+
+    A paragraph begins with the first word of a text or line, and behind a word that ends in a punctuation mark. One of
+    over LONG words, such as text without punctuation, is cut behind every word whose hash is a multiple of CUT. All cuts
+    follow from the words themselves, so they fall alike wherever a passage stands."""
+    flat, at, starts, ends, word = _words(raws)
     lines = np.concatenate(([0], np.cumsum(_LINE[flat], dtype=np.int64)))
     new = np.ones(len(starts), bool)
     new[1:] = _MARK[flat[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
