@@ -5,8 +5,8 @@ a call's level is the length of the longest chain of calls it waits for, and its
 conversation by level, then turn, then identifier. Arguments are checked against the schema of the tool. Each link
 becomes one JSON object with sorted keys, no blanks and no needless escapes.
 
-Conversations with up to ``LARGE`` calls are ordered each in one task; larger ones by rounds over all their calls at
-once, which split over tasks. Both give the same levels. Calls that wait for each other in a circle, or for such calls,
+Conversations with up to ``LARGE`` calls are ordered each in one task; larger ones in blocks of ``BLOCK`` calls, which
+hand on levels to each other in rounds. Both give the same levels. Calls that wait for each other in a circle, or for such calls,
 have neither level nor position. Dependencies on calls that the conversation does not have are ignored.
 
 An identifier used again counts in n_calls or n_results, and the smallest call (by turn, name, arguments) or
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from cohortlib.llm.helpers import running_totals, runs, stage
 
 LARGE = 10_000
+BLOCK = 100_000                                            # calls of large conversations that one task orders
+_MOST_FRAMES = 16
 #: Tools of plain conversations: the fields of their arguments and what each must be.
 SCHEMAS = {
     "ask": {"text": {"type": "string", "required": True, "min_length": 1, "max_length": 1500},
@@ -126,39 +128,89 @@ def order_in_tasks(calls: DataFrame) -> DataFrame:
             .mapInArrow(run, f"conv_id {kind}, call_id string, level int, position bigint"))
 
 
-def order_in_rounds(calls: DataFrame) -> DataFrame:
-    """The same for conversations of any size: each round takes the calls that wait for nothing any more."""
-    left = stage(calls.select("conv_id", "turn", "call_id").distinct(), "waiting")
+def _levels(blocks: DataFrame) -> DataFrame:
+    """conv_id, turn, call_id, level of the calls (block, conv_id, turn, call_id, inner, n_open, floor) that wait, by way of
+    their block, for no open one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, conv, turn, ids, inner, n_open, floor in runs(batches, 1):
+            place = {k: i for i, k in enumerate(zip(conv, ids, strict=True))}
+            missing, next_of = n_open.tolist(), defaultdict(list)
+            for i, w in enumerate(inner):
+                for x in w if w is not None else ():
+                    missing[i] += 1
+                    next_of[place[conv[i], x]].append(i)
+            level, ready, done = floor.tolist(), [i for i, m in enumerate(missing) if not m], []
+            while ready:
+                done.append(i := ready.pop())
+                for j in next_of[i]:
+                    level[j] = max(level[j], level[i] + 1)
+                    missing[j] -= 1
+                    if not missing[j]:
+                        ready.append(j)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(conv[done]), pa.array(turn[done]), pa.array(ids[done], pa.string()), pa.array([level[i] for i in done], pa.int32())],
+                ["conv_id", "turn", "call_id", "level"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    return (blocks.select("block", "conv_id", "turn", "call_id", "inner", "n_open", "floor").repartition("block").sortWithinPartitions("block")
+            .mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, call_id string, level int"))
+
+
+def order_in_rounds(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same for conversations of any size, cut by turn into blocks of ``block`` calls.
+
+    A round finds the levels inside the blocks, each in one task, and carries them over to the calls of other blocks that
+    wait for them; blocks that got a level are done again in the next round. A chain takes a round for each time it
+    enters another block, not for each call."""
+    key = [F.col(c) for c in ("conv_id", "turn", "call_id")]
+    own = calls.select("conv_id", "turn", "call_id").distinct().withColumn("one", F.lit(1))
+    placed = running_totals(own, key, {"at": "one"}).select(
+        "conv_id", "turn", "call_id", F.floor(F.col("at") / block).cast("long").alias("block"))
+    placed = stage(placed, "blocks")
     asked = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("waits_for"))
-    present = left.select("conv_id", F.col("call_id").alias("waits_for"))
-    edges = stage(asked.join(present, ["conv_id", "waits_for"], "left_semi"), "edges")
-    levels, depth = [], 0
+    there = placed.select("conv_id", F.col("call_id").alias("waits_for"), F.col("block").alias("of_block"))
+    edges = stage(asked.join(there, ["conv_id", "waits_for"]).join(placed.select("conv_id", "call_id", "block"), ["conv_id", "call_id"]), "edges")
+    inner = edges.where("block = of_block").groupBy("conv_id", "call_id").agg(F.collect_list("waits_for").alias("inner"))
+    waiting = placed.join(inner, ["conv_id", "call_id"], "left").repartitionByRange("block", "turn").sortWithinPartitions("block")
+    waiting = stage(waiting, "waiting")
+    outer = stage(edges.where("block <> of_block").select("conv_id", "call_id", "waits_for", "block", F.lit(None).cast("int").alias("level"),
+                                                          F.lit(False).alias("new")), "outer")
+    done, rows = [], waiting
     while True:
-        now = stage(left.join(edges, ["conv_id", "call_id"], "left_anti"), "ready")
-        if now.isEmpty():
+        open_ = outer.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("n_open"), F.max("level").alias("most"))
+        ready = rows.join(open_, ["conv_id", "call_id"], "left").withColumns(
+            {"n_open": F.coalesce("n_open", F.lit(0)), "floor": F.coalesce(F.col("most") + 1, F.lit(0))})
+        done.append(stage(_levels(ready), "levels"))
+        known = done[-1].select("conv_id", F.col("call_id").alias("waits_for"), F.col("level").alias("found")).distinct()
+        both = outer.drop("new").join(known, ["conv_id", "waits_for"], "left")
+        outer = stage(both.select("conv_id", "call_id", "waits_for", "block", F.coalesce("level", "found").alias("level"),
+                                  (F.col("level").isNull() & F.col("found").isNotNull()).alias("new")), "outer")
+        if len(done) == _MOST_FRAMES:
+            done = [stage(_union(done).distinct(), "all_levels")]
+        touched = [r.block for r in outer.where("new").select("block").distinct().collect()]      # one number for ``block`` calls
+        if not touched:
             break
-        levels.append(now.withColumn("level", F.lit(depth)))
-        gone = now.select("conv_id", F.col("call_id").alias("waits_for"))
-        edges = stage(edges.join(gone, ["conv_id", "waits_for"], "left_anti"), "edges")
-        left = stage(left.join(now, ["conv_id", "call_id"], "left_anti"), "waiting")
-        depth += 1
-    if not levels:
-        return left.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position"))
-    done = levels[0]
-    for more in levels[1:]:
-        done = done.unionByName(more)
-    placed = running_totals(done.withColumn("one", F.lit(1)), [F.col(c) for c in ("conv_id", "level", "turn", "call_id")], {"rank": "one"})
+        rows = waiting.where(F.col("block").isin(touched))
+    found = stage(_union(done).distinct(), "all_levels")                # a block may have been done more than once
+    placed = running_totals(found.withColumn("one", F.lit(1)), [F.col(c) for c in ("conv_id", "level", "turn", "call_id")], {"rank": "one"})
     placed = stage(placed, "ranked")
     base = stage(placed.groupBy("conv_id").agg(F.min("rank").alias("base")), "bases")
     return placed.join(base, "conv_id").select("conv_id", "call_id", "level", (F.col("rank") - F.col("base")).alias("position"))
 
 
-def ordered(calls: DataFrame, large: int = LARGE) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def ordered(calls: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     big = stage(calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("conv_id"), "large")
     small = order_in_tasks(calls.join(big, "conv_id", "left_anti"))
     if big.isEmpty():
         return small
-    return small.unionByName(order_in_rounds(stage(calls.join(big, "conv_id", "left_semi"), "large_calls")))
+    return small.unionByName(order_in_rounds(stage(calls.join(big, "conv_id", "left_semi"), "large_calls"), block))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, large: int = LARGE) -> DataFrame:

@@ -65,6 +65,24 @@ def test_both_ways_of_ordering(spark, large):
         assert sorted(r.position for r in got if r.conv_id == conv) == list(range(len(mine)))
 
 
+def test_long_chain(spark):
+    """One conversation of turns by turns: each call waits for the one two turns before."""
+    n = 12_000
+    messages = spark.range(2 * n).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "'x' text")
+    got = tc.ordered(tc.from_messages(messages)[0], block=2500).collect()
+    assert sorted((r.level, r.position) for r in got) == [(i, i) for i in range(n)]
+    assert all(r.call_id == f"call-7-{2 * r.level}" for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_levels_over_block_edges(spark, block):
+    rnd = random.Random(5)
+    calls = [(conv, rnd.randrange(20), f"c{i}", "add", "{}", [f"c{rnd.randrange(i + (conv == 2))}" for _ in range(rnd.randint(0, 2))] if i else None)
+             for conv in range(3) for i in range(12)]
+    got = tc.ordered(spark.createDataFrame(calls, CALLS), 0, block).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == {k: v for k, v in longest(calls).items() if v is not None}
+
+
 def test_plain_conversations(spark):
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, "assistant", "lone"), (1, 4, "user", None),
             (1, 4, "user", None), (2, 0, "assistant", "early"), (None, 0, "user", "x"), (3, None, "user", "x"), (4, 0, None, "x"), (4, 1, "user", "y" * 1501)]
