@@ -6,9 +6,11 @@ passage pasted into the middle of another text still shares all its paragraphs b
 Paragraphs of five words and more get a MinHash of their word shingles, cut into bands (``tune`` picks how many for the
 recall wanted). Paragraphs that collide in a band are compared by the exact Jaccard likeness of their shingles; those
 at the threshold or above are linked, and connected components are the clusters. Of each cluster the first occurrence
-stays (smallest document, then place), the others are candidates. A run of neighbouring candidates is
-removed if it has ``least_words`` words or more, together with too short paragraphs inside it, or between it and
-the start or end of the text; single short sentences that texts share by chance stay.
+stays (smallest document, then place), the others are candidates. Each is extended by the words beside it that are
+the same beside the kept occurrence, so too short paragraphs and parts of clauses that merge with a host's words
+belong to it. Runs that belong to one kept passage are joined over edited words between them, if the whole has
+the Jaccard likeness of the threshold. A run of matched words is removed if it has ``least_words`` words or more; single short sentences that
+texts share by chance stay, and so does every word that the kept occurrence does not have at that place.
 
 Equal paragraphs are one node, whatever their number, and what a task finds in a bucket is sent on as stars; no bucket,
 cluster or document is gathered beyond a bounded unit. Null texts count as empty and stay as they are. Rows that share
@@ -278,39 +280,126 @@ def candidates(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     tops = roots.select(F.col("root").alias("paragraph"), F.col("root").alias("cluster"))       # roots that occur only once
     nodes = stage(nodes.unionByName(tops).distinct(), "clusters")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "number").alias("place")
-    held = stage(seen.join(nodes, "paragraph").select("cluster", place).distinct(), "clustered")
-    first = stage(held.groupBy("cluster").agg(F.min("place").alias("first")), "kept_paragraphs")
-    out = held.join(first, "cluster").where(F.col("place") != F.col("first"))
-    return (out.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.number").alias("numbers")))
-
-
-def cut(raw: bytes, numbers: list[int], least_words: int) -> tuple[bytes, int, int]:
-    """The text without its runs of candidates; removed paragraphs and removed words.
-
-    A document's candidates are held together, as its text is."""
-    found, chosen = units([raw]), set(numbers)
-    sizes, n = found.size.tolist(), len(found.size)
-    gone: set[int] = set()
-    i = 0
-    while i < n:
-        if i not in chosen:
-            i += 1
-            continue
-        last = j = i
-        while j + 1 < n and (j + 1 in chosen or sizes[j + 1] < SHINGLE):
-            j += 1
-            if j in chosen:
-                last = j
-        if sum(sizes[i:last + 1]) >= least_words:
-            head = 0 if max(sizes[:i], default=0) < SHINGLE else i           # nothing but short ones before, or behind
-            tail = n if max(sizes[last + 1:], default=0) < SHINGLE else last + 1
-            gone.update(range(head, tail))
-        i = last + 1
-    if not gone:
+    held = contexts(docs, nodes).join(nodes, "paragraph").select("cluster", place, "at", "size", "before", "after")
+    held = stage(held.dropDuplicates(["cluster", "place"]), "clustered")
+    first = stage(held.groupBy("cluster").agg(F.min(F.struct("place", "at", "size", "before", "after")).alias("first")), "kept_paragraphs")
+    out = held.join(first, "cluster").where(F.col("place") != F.col("first.place"))
+
+    def matched(side: str):
+        """How many words beside the paragraph are the same as beside the kept one, nearest first."""
+        same = F.zip_with(side, f"first.{side}", lambda x, y: x.eqNullSafe(y))
+        return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+
+    entry = F.struct("place.number", matched("before").alias("left"), matched("after").alias("right"),
+                     F.xxhash64("first.place.doc_id", "first.place.text_hash").alias("kept"), F.col("first.at").alias("at"),
+                     F.col("first.size").alias("size"))
+    return out.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set(entry).alias("numbers"))
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, number, paragraph, at (its first word's place in the text), size, and hashes of the words before and
+    after it, nearest first, up to the far end of the next paragraph of five words and more, and over LONG words at least:
+    a clause that is whole in one text may be cut in the other."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "paragraph"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in chunks(batches, "raw", BLOCK_BYTES):
+            found = units(block.column("raw").to_pylist())
+            names, large = found.names(), np.flatnonzero(found.size >= SHINGLE)
+            hit = np.flatnonzero(in_bloom(sent.value, names[large]))
+            of = large[hit]
+            if not len(of):
+                continue
+            text = found.text
+            head = found.first[np.searchsorted(text, text[of], "left")]                 # of the text
+            last = np.searchsorted(text, text[of], "right") - 1
+            tail = found.first[last] + found.size[last]
+            up, down = np.append(large, -1)[hit - 1], np.append(large, -1)[hit + 1]      # large neighbours, maybe of other texts
+            up_ok, down_ok = (hit > 0) & (text[up] == text[of]), (down >= 0) & (text[down] == text[of])
+            begin, end = np.where(up_ok, found.first[up], head), np.where(down_ok, found.first[down] + found.size[down], tail)
+            start, stop = found.first[of], found.first[of] + found.size[of]
+            begin, end = np.maximum(head, np.minimum(begin, start - LONG)), np.minimum(tail, np.maximum(end, stop + LONG))
+            word = (found.word >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            before = pa.array([word[a:b][::-1] for a, b in zip(begin.tolist(), start.tolist(), strict=True)], pa.list_(pa.int32()))
+            after = pa.array([word[a:b] for a, b in zip(stop.tolist(), end.tolist(), strict=True)], pa.list_(pa.int32()))
+            at = pa.array(text[of])
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(found.number[of].astype(np.int32)),
+                 pa.array(names[of].view(np.int64)), pa.array(start - head), pa.array(found.size[of]), before, after],
+                ["doc_id", "text_hash", "number", "paragraph", "at", "size", "before", "after"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_text().alias("raw"))
+            .mapInArrow(run, f"doc_id {kind}, text_hash bigint, number int, paragraph bigint, at bigint, size bigint, "
+                        "before array<int>, after array<int>"))
+
+
+@dataclass
+class _Run:
+    """Words start .. stop of a text; of them matched, and the words and shared shingles of the kept passage.
+
+    ``head`` and ``tail`` name the kept text of its first and last candidate, and how far places in it are ahead."""
+
+    start: int
+    stop: int
+    matched: int
+    others: int
+    shared: int
+    head: tuple
+    tail: tuple
+
+    def bridged(self, after: _Run, similarity: float) -> _Run | None:
+        """Both runs with what lies between, if that stands between them in the kept text too and all is alike."""
+        gap = after.start + after.head[1] - self.stop - self.tail[1]
+        if self.tail[0] is None or self.tail[0] != after.head[0] or gap < 0:
+            return None
+        both = _Run(self.start, after.stop, self.matched + after.matched, self.others + gap + after.others,
+                    self.shared + after.shared, self.head, after.tail)
+        total = both.stop - both.start + both.others - 2 * (SHINGLE - 1)
+        return both if both.shared >= similarity * (total - both.shared) else None
+
+
+def cut(raw: bytes, numbers: list, least_words: int, similarity: float = SIMILARITY) -> tuple[bytes, int, int]:
+    """The text without its runs of matched words; paragraphs removed in whole or part, and removed words.
+
+    Runs are bridged over edited words where both sides and the words between stay alike to one kept passage.
+
+    ``numbers`` has candidates, each a number or (number, words matched before, words matched after, kept text, place of the
+    kept paragraph in it, its size). A document's candidates are held together, as its text is."""
+    found = units([raw])
+    *_, starts, _, word = _words([raw])
+    spans = []
+    for entry in numbers:
+        number, left, right, kept, place, _ = (entry, 0, 0, None, 0, 0) if isinstance(entry, int) else entry.values()
+        a, b = int(found.first[number]), int(found.first[number] + found.size[number])
+        spans.append(_Run(a - left, b + right, b + right - a + left, b + right - a + left, 0, (kept, place - a), (kept, place - a)))
+    run: list[_Run] = []
+    for x in sorted(spans, key=lambda x: (x.start, x.stop)):
+        if run and x.start <= run[-1].stop:
+            if x.stop > run[-1].stop:
+                run[-1].stop, run[-1].tail = x.stop, x.tail
+        else:
+            run.append(x)
+    for x in run:
+        x.matched = x.others = x.stop - x.start
+        x.shared = max(0, x.matched - (SHINGLE - 1))
+    before = 0
+    while before != len(run):                              # bridges may make longer ones possible
+        before, joined_ = len(run), run[:1]
+        for x in run[1:]:
+            both = joined_[-1].bridged(x, similarity)
+            joined_[-1:] = [both] if both else [joined_[-1], x]
+        run = joined_
+    gone = np.zeros(len(word), bool)
+    for x in run:
+        if x.matched >= least_words:
+            gone[x.start:x.stop] = True
+    if not gone.any():
         return raw, 0, 0
-    starts = [*found.start.tolist(), len(raw)]
-    kept = b"".join([raw[:starts[0]], *(raw[starts[k]:starts[k + 1]] for k in range(n) if k not in gone)])
-    return kept, len(gone), sum(sizes[k] for k in gone)
+    at = [*starts.tolist(), len(raw)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8))).tolist()     # kept words: from, to
+    kept = b"".join([raw[:at[0]], *(raw[at[i]:at[j]] for i, j in zip(edges[::2], edges[1::2], strict=True))])
+    return kept, int(np.logical_or.reduceat(gone, found.first).sum()), int(gone.sum())
 
 
 ADDED = ("n_removed", "removed_words")
@@ -343,7 +432,7 @@ def _cut_all(docs: DataFrame, added, similarity: float, recall: float, least_wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            out = [cut(t.encode("utf-8", "surrogatepass"), n, least_words) if t and n else (None, 0, 0)
+            out = [cut(t.encode("utf-8", "surrogatepass"), n, least_words, similarity) if t and n else (None, 0, 0)
                    for t, n in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
             new = [o[0].decode("utf-8", "surrogatepass") if o[1] else t for o, t in zip(out, texts, strict=True)]
             cols = list(batch.columns[:len(names)])

@@ -122,6 +122,19 @@ def test_planted_passages(spark, docs, hot):
     assert got[None][0].text == "" or len(got[None][0].text.split()) < 30
 
 
+def test_unique_short_lines_stay(docs):
+    rnd = random.Random(11)
+    licence = " ".join(words(rnd, 25)) + "\n"
+    glossary = "".join(" ".join(words(rnd, 4)) + "\n" for _ in range(500))
+    one, two = (" ".join(words(rnd, 5)) + "\n" for _ in range(2))
+    between = "".join(" ".join(words(rnd, 4)) + "\n" for _ in range(4))
+    rows = [(1, licence), (2, glossary + licence), (3, one), (4, two), (5, one + between + two), (6, "at the\nend of\n" + licence + "last\nwords\n"),
+            (7, "at the\nend of\n" + licence + "last\nwords\n")]
+    got = {r.doc_id: r.text for r in pg.without_repeats(docs(rows)).collect()}
+    assert got[2] == glossary and got[5] == rows[4][1]
+    assert got[6] == rows[5][1].replace(licence, "")
+
+
 def test_without_repeats_keeps_columns(docs):
     rnd = random.Random(3)
     text = prose(rnd, 90)
