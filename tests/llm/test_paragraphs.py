@@ -135,6 +135,15 @@ def test_unique_short_lines_stay(docs):
     assert got[6] == rows[5][1].replace(licence, "")
 
 
+def test_passage_in_the_middle_of_sentences(docs):
+    rnd = random.Random(12)
+    passage = " ".join(words(rnd, 20)) + ", " + " ".join(words(rnd, 20)) + ", " + " ".join(words(rnd, 12))
+    hosts = [(" ".join(words(rnd, a)), " ".join(words(rnd, b)) + ".") for a, b in ((3, 9), (10, 4), (30, 40), (0, 2))]
+    got = {r.doc_id: r.text for r in pg.dedup(docs([(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(hosts)])).collect()}
+    assert passage in got[0]
+    assert all(got[i].split() == [*a.split(), *b.split()] for i, (a, b) in enumerate(hosts) if i)
+
+
 def test_without_repeats_keeps_columns(docs):
     rnd = random.Random(3)
     text = prose(rnd, 90)
