@@ -144,6 +144,25 @@ def test_passage_in_the_middle_of_sentences(docs):
     assert all(got[i].split() == [*a.split(), *b.split()] for i, (a, b) in enumerate(hosts) if i)
 
 
+@pytest.mark.parametrize(("n", "edits"), [(60, [30]), (50, [20]), (100, [30, 66]), (150, [40, 80, 117])])
+def test_edits_inside_paragraphs(docs, n, edits):
+    rnd = random.Random(n)
+    base = words(rnd, n)
+    for i in range(11, n, 12):
+        base[i] += ","
+    rows = []
+    for k in range(4):
+        copy = list(base)
+        for at in edits if k else []:
+            copy[at] = f"new{k}"
+        rows.append((k, " ".join(words(rnd, 6)).capitalize() + ".\n" + " ".join(copy) + "\n" + " ".join(words(rnd, 7))))
+    got = {r.doc_id: r.text for r in pg.dedup(docs(rows)).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 4):
+        first, _, last = rows[k][1].split("\n")
+        assert got[k].split() == f"{first} {last}".split()
+
+
 def test_without_repeats_keeps_columns(docs):
     rnd = random.Random(3)
     text = prose(rnd, 90)
