@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, simhash, tool_calls
+from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, ranked_search, simhash, tool_calls
 from cohortlib.llm.helpers import documents, prepare
 
 
@@ -125,8 +125,15 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    index = ranked_search.build(documents(spark, sf_dir))
+    return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op7_tool_calls, op8_ordinal, op9_language_id, op10_paragraphs)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op7_tool_calls, op8_ordinal,
+                                    op9_language_id, op10_paragraphs, op13_ranked_search)}
 
 
 def all_sql() -> dict[str, str]:
