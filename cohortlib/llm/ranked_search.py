@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cohortlib.llm.helpers import chunks, partitions, raw_text, stage
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SHARD_BYTES = 1 << 25                                      # of text; bounds what a task holds, when building and when searching
+SHARD_BYTES = 1 << 23                                      # of text; bounds what a task holds, when building and when searching
 PIECE_BYTES = 1 << 20                                      # of a long text, split into terms at once
 BLOCK = 64                                                 # postings
 WINDOW = 1 << 11                                           # documents that are scored together
@@ -92,7 +92,7 @@ def shard_rows(shard: int, doc_ids: list, texts: Iterable[bytes], block: int = B
     for text in texts:
         n = 0
         for words in terms(text):
-            found.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
+            found.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
             n += len(words)
         lengths.append(n)
     n_words = np.array(lengths, np.int64)
@@ -102,8 +102,14 @@ def shard_rows(shard: int, doc_ids: list, texts: Iterable[bytes], block: int = B
     order = held[np.argsort(n_words[held], kind="stable")]
     number = np.zeros(len(n_words), np.int64)
     number[order] = np.arange(len(order))
-    keys, tf = np.unique(np.concatenate(found) * len(order) + np.repeat(number, n_words), return_counts=True)
-    term, doc = keys // len(order), keys % len(order)
+    keys = np.concatenate(found).astype(np.int64)
+    del found
+    keys *= len(order)
+    keys += np.repeat(number, n_words)
+    keys.sort()
+    run = np.flatnonzero(np.diff(keys, prepend=-1))        # equal keys: one posting
+    tf, keys = np.diff(run, append=len(keys)), keys[run]
+    term, doc = np.divmod(keys, len(order))
     n_words = n_words[order]
 
     begin = np.searchsorted(term, np.arange(len(vocab)))                 # of each term's list
