@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, ranked_search, simhash, tool_calls
+from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, ranked_search, simhash, tool_calls, url_filter
 from cohortlib.llm.helpers import documents, prepare
 
 
@@ -125,6 +125,69 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+#: Action, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: its rule's, or that of the urls it leads to or comes from."""
+    prepare(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filter.judge(pages.select("page_id", "url"), rules, url_filter.page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(action, on_host, start) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+attr AS (
+  SELECT url, trim(regexp_extract(tag, '(?is)\srel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''') AS rel,
+         trim(regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''') AS href,
+         trim(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''') AS equiv,
+         trim(regexp_extract(tag, '(?is)\scontent\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''') AS content
+  FROM tags),
+found AS (
+  SELECT url, trim(replace(CASE WHEN regexp_matches(lower(rel), '(^|\s)canonical(\s|$)') THEN href
+                                ELSE regexp_extract(content, '(?is)url\s*=\s*[''"]?([^''"]*)', 1) END, '&amp;', '&')) AS link
+  FROM attr WHERE regexp_matches(lower(rel), '(^|\s)canonical(\s|$)') OR lower(trim(equiv)) = 'refresh'),
+declared AS (
+  SELECT url AS src, CASE WHEN contains(link, '://') THEN link
+                          WHEN starts_with(link, '//') AND contains(url, '://') THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || link
+                          WHEN starts_with(link, '/') AND contains(url, '://') THEN regexp_extract(url, '^([^/?#]+//[^/?#]*)', 1) || link END AS dst
+  FROM found),
+urls AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT dst FROM declared WHERE contains(dst, '://')),
+named AS (
+  SELECT url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '&'),
+                                     lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')), '&') AS q
+  FROM urls),
+links AS (
+  SELECT src, dst FROM declared WHERE src <> dst
+  UNION
+  SELECT url, 'http://' || regexp_replace(host, '^(www|m)\.([^.]+\.)', '\2') || regexp_replace(path, '(\.html|\.htm|/)$', '')
+         || CASE WHEN q <> '' THEN '?' || q ELSE '' END FROM named),
+edge AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
+reach(a, b) AS (SELECT a, a FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+every AS (SELECT url, host, path FROM p WHERE url IS NOT NULL UNION SELECT url, host, path FROM named UNION
+          SELECT b, translate(regexp_extract(b, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 regexp_extract(b, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) FROM edge),
+best AS (
+  SELECT url, max({'size': length(on_host) + length(start), 'rule': on_host || start, 'action': action}) AS best
+  FROM every JOIN r ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, start) GROUP BY url),
+blocked AS (SELECT DISTINCT a AS url FROM reach JOIN best ON best.url = b WHERE best.action = 'block')
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN b.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (url) LEFT JOIN blocked b USING (url)
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that score highest for each benchmark item."""
     index = ranked_search.build(documents(spark, sf_dir))
@@ -133,8 +196,8 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op7_tool_calls, op8_ordinal,
-                                    op9_language_id, op10_paragraphs, op13_ranked_search)}
+                                    op9_language_id, op10_paragraphs, op12_url_filter, op13_ranked_search)}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op5_host_rules": OP5_SQL, "op7_tool_calls": OP7_SQL}
+    return {"op5_host_rules": OP5_SQL, "op7_tool_calls": OP7_SQL, "op12_url_filter": OP12_SQL}
