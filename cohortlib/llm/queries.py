@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.llm import bpe, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, ranked_search, simhash, tool_calls, url_filter
+from cohortlib.llm import bpe, conversation_repair, fingerprint, host_rules, langid, mixing, ordinal, paragraphs, ppm, ranked_search, simhash, tool_calls, url_filter
 from cohortlib.llm.helpers import documents, prepare
 
 
@@ -125,6 +125,12 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest repair of its structure."""
+    prepare(spark)
+    return conversation_repair.audit_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 #: Action, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
              ("block", "com", "/de/")]
@@ -196,7 +202,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_ppm, op4_simhash, op5_host_rules, op6_mixing, op7_tool_calls, op8_ordinal,
-                                    op9_language_id, op10_paragraphs, op12_url_filter, op13_ranked_search)}
+                                    op9_language_id, op10_paragraphs, op11_conversation_repair, op12_url_filter, op13_ranked_search)}
 
 
 def all_sql() -> dict[str, str]:
