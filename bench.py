@@ -42,7 +42,7 @@ def main() -> None:
 
     st = study(spark, sf_dir, ADULT)
     timed("spark_start", lambda: spark.range(1_000_000).selectExpr("sum(id)").collect())
-    for stage in ("index", "inputs", "episodes", "start", "members", "wide"):       # tables every report shares, built once
+    for stage in ("index", "inputs", "episodes", "days", "start", "members", "wide"):       # tables every report shares, built once
         timed(f"stage_{stage}", lambda: getattr(st, stage))
     for name in HEADLINE:
         timed(name, lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())

@@ -1,17 +1,17 @@
 """Building the cohort: index episodes, readmission, and days of use around the index episode.
 
-Shape of the plan: every input relation is shuffled once, by member, and reduced to one row per
-member. The index table has one row per member, so each join is many-to-one and cannot multiply
-rows. Index and episodes are staged tables, so both sides of every such join come straight from an
-exchange: where one member owns a large part of a relation, the adaptive skew join splits that
-partition, and the partial aggregation after it keeps the follow-up exchange small.
+Shape of the plan: all spans are one relation, shuffled once by member, and reduced to a few rows per member. The index table
+has one row per member, so each join is many-to-one and cannot multiply rows. Index and episodes are staged tables,
+so both sides of every such join come straight from an exchange: where one member owns a large part of a
+relation, the adaptive skew join splits that partition, and the partial aggregation after it keeps the follow-up exchange small.
 
 A stay or span without an end is still open: for every rule it ends at ``OPEN_END``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +89,7 @@ def episode_history(index: DataFrame, auth: DataFrame, spec: RunSpec) -> DataFra
         counts.append(F.count_if(index_set & (F.col("o_se") >= w_begin) & (F.col("o_se") < w_end)).alias(f"n_dc_{y}"))
     readmit = F.min(F.when(follow_up & F.col("o_code").isin(*spec.readmit_codes), F.struct("o_sb", "o_auth")))
     aggs = [readmit.alias("readmit"), F.count_if(index_set & follow_up).alias("n_adm"), *counts]
-    latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)          # static bound, reaches the scan
+    latest = F.date_add(F.lit(spec.period_end), spec.follow_up_days)          # static bound, reaches the scan of a staged table
     return other.where(F.col("o_sb") <= latest).join(index, "member").where(near).groupBy("member").agg(*aggs)
 
 
@@ -203,10 +203,55 @@ def lasted_months(spans: DataFrame, index: DataFrame, months: int) -> DataFrame:
             .groupBy("member").agg(reached))
 
 
-def _collect(days: DataFrame, lines: list[Column], name: str) -> DataFrame:
-    """One row per member with its lines as an array. The array is bounded by levels of care x lines
-    x periods, and the input is already partitioned by member, so no exchange is added."""
-    return days.groupBy("member").agg(F.flatten(F.collect_list(_lines_with_days(lines))).alias(name))
+# Kinds of spans; of the second group each calendar day counts once, however many spans cover it.
+KINDS = ("service", "additional", "eligibility", "dhs", "bhrs")
+DAYS_ONCE = ("eligibility", "dhs")
+BHRS_MONTHS = 18
+
+
+def tagged_spans(inputs, earliest: date, latest: date) -> DataFrame:
+    """All spans as one relation: member, kind, b, e (an open span ends at ``OPEN_END``), code, sub; without those that ended
+    by ``earliest`` or begin at ``latest`` or later. How long a BHRS span lasted counts whenever it was."""
+    def tagged(spans: DataFrame, kind: str, code: str | None = None, sub: str | None = None) -> DataFrame:
+        text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+        near = spans.where(F.col("b") < F.lit(latest))
+        if kind != "bhrs":
+            near = near.where(F.col("e").isNull() | (F.col("e") > F.lit(earliest)))
+        return near.select("member", F.lit(kind).alias("kind"), "b", far_end("e").alias("e"), text(code).alias("code"), text(sub).alias("sub"))
+
+    parts = [tagged(inputs.services, "service", "code", "sub"), tagged(inputs.additional, "additional", "LOC"),
+             *(tagged(getattr(inputs, kind), kind) for kind in ("eligibility", "dhs", "bhrs"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def span_days(eps: DataFrame, spans: DataFrame, loc_dim: DataFrame, spec: RunSpec) -> DataFrame:
+    """member, kind, LOC, sub with the days in the window after discharge (``after``, services) and in each prior year (``y1`` ...),
+    whether a span holds the day of admission (``active``, DHS) and whether one lasted 18 months by then (``lasted``, BHRS).
+
+    One exchange of the spans, by member; everything after it keeps that partitioning. Spans are added up per code, or
+    per begin where days count once: of the latter at most one row per member and day is left. In the order of their begins
+    each of these counts from the furthest end before it, so the days of overlapping spans are counted once without
+    forming their unions. The level of care is attached to sums, not to spans."""
+    kind = F.col("kind")
+    once = kind.isin(*DAYS_ONCE)
+    met = spans.join(eps.select("member", "sb", "after_b", "after_e").hint("merge"), "member")
+    until = F.when(kind == "service", F.col("b") < F.col("after_e")).when(kind == "dhs", F.col("b") <= F.col("sb")).otherwise(F.col("b") < F.col("sb"))
+    met = met.where(until & ((kind == "bhrs") | (F.col("e") > _lookback(spec))))
+    windows = {f"y{y}": _year_bounds(spec, y) for y in spec.years}
+    sums = {"after": F.sum(F.when(kind == "service", overlap(F.col("b"), F.col("e"), F.col("after_b"), F.col("after_e")))),
+            **{n: F.sum(F.when(kind.isin("service", "additional"), overlap(F.col("b"), F.col("e"), *w))) for n, w in windows.items()}}
+    reached = (kind == "bhrs") & (F.add_months("b", BHRS_MONTHS) <= F.least("e", "sb"))
+    flags = {"active": F.max(F.when((kind == "dhs") & (F.col("e") > F.col("sb")), 1).otherwise(0)), "lasted": F.max(F.when(reached, 1).otherwise(0))}
+    few = met.groupBy("member", "kind", "code", "sub", F.when(once, F.greatest("b", _lookback(spec))).alias("day")).agg(
+        F.max("sb").alias("sb"), F.max(F.when(once, F.least("e", "sb"))).alias("till"), *(c.alias(n) for n, c in (sums | flags).items()))
+    earlier = W.partitionBy("member", "kind").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    own = few.withColumn("day", F.greatest("day", F.max("till").over(earlier)))
+    own = own.withColumns({n: F.when(once, overlap(F.col("day"), F.col("till"), *w)).otherwise(F.col(n)) for n, w in windows.items()})
+    dim = loc_dim.where(F.col("age_group") == spec.age_group).select("code", F.col("LOC").alias("group"))
+    loc = F.when(kind == "service", F.col("group")).when(kind == "additional", F.col("code"))
+    total = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in sums]
+    return (own.join(F.broadcast(dim), "code", "left").withColumn("LOC", loc)
+            .groupBy("member", "kind", "LOC", "sub").agg(*total, *(F.max(n).alias(n) for n in flags)))
 
 
 def _year_lines(spec: RunSpec, measure: str, loc) -> list[Column]:
@@ -219,52 +264,43 @@ def _has_grouped(lines: str, measure: str) -> Column:
     return F.exists(lines, lambda x: (x["Measure_Name"] == measure) & x["LOC"].isNotNull())
 
 
-def measure_lines(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
+def measure_lines(eps: DataFrame, days: DataFrame, spec: RunSpec) -> DataFrame:
     """All measure lines of each member as one array column, with a placeholder line (no period, no
-    level of care, zero days) for every measure the member has no grouped line in."""
-    services = service_days(eps, inputs.services, inputs.loc_dim, spec)
-    svc_lines = [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after"))]
-    svc_lines += _year_lines(spec, "Prior Service", F.col("LOC"))
-    parts = {
-        "svc": _collect(services, svc_lines, "svc"),
-        "add": _collect(overlap_days(inputs.additional, eps, spec, ("LOC",)),
-                        _year_lines(spec, "Additional Service", F.col("LOC")), "add"),
-        "elig": covered_days(eps, inputs.eligibility, spec).select(
-            "member", _lines_with_days(_year_lines(spec, "Eligibility", None)).alias("elig")),
-    }
-    # DHS involvement is delivered for every age group; the adult cleaning rules remove it again.
-    parts["dhs"] = covered_days(eps, inputs.dhs, spec).select(
-        "member", _lines_with_days(_year_lines(spec, "DHS", None)).alias("dhs"))
-    out = eps
-    for frame in parts.values():
-        out = out.join(frame, "member", "left")
+    level of care, zero days) for every measure the member has no grouped line in; and the two flags of ``days``.
+
+    The arrays are bounded by levels of care x lines x periods. DHS involvement is delivered for every age group; the adult
+    cleaning rules remove it again."""
+    kind = F.col("kind")
+    lines = {"service": [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after")), *_year_lines(spec, "Prior Service", F.col("LOC"))],
+             "additional": _year_lines(spec, "Additional Service", F.col("LOC")), "eligibility": _year_lines(spec, "Eligibility", None),
+             "dhs": _year_lines(spec, "DHS", None)}
+    of_kind = reduce(lambda out, k: out.when(kind == k, _lines_with_days(lines[k])), lines, F)
+    per_member = days.groupBy("member").agg(F.flatten(F.collect_list(of_kind)).alias("found"), F.max("lasted").alias("lasted"), F.max("active").alias("active"))
+    out = eps.join(per_member, "member", "left")
     ip = [_line("After", "IP Admissions", spec.after_period, "IP", F.col("n_adm"))]
     ip += [_line("Before", "IP Discharges", f"Year {y}", "IP", F.col(f"n_dc_{y}")) for y in spec.years]
     empty = F.array().cast(f"array<{LINE}>")
-    found = F.concat(*[F.coalesce(F.col(p), empty) for p in parts], F.coalesce(_lines_with_days(ip), empty))
-    out = out.withColumn("found", found).drop(*parts)
+    out = out.withColumn("found", F.concat(F.coalesce("found", empty), F.coalesce(_lines_with_days(ip), empty)))
     blanks = []
     for measure in MEASURES:
         ba = "After" if measure in AFTER_MEASURES else "Before"
         blanks.append(F.when(~_has_grouped("found", measure), _line(ba, measure, None, None, F.lit(0))))
     lines = F.concat("found", F.filter(F.array(*blanks), lambda x: x.isNotNull()))
-    return out.withColumn("lines", lines).drop("found")
+    return out.withColumns({"lines": lines, "lasted": F.coalesce("lasted", F.lit(0)), "active": F.coalesce("active", F.lit(0))}).drop("found")
 
 
 def admission_flags(eps: DataFrame, inputs) -> DataFrame:
     """DHS involvement on the day of admission, and a BHRS episode of 18 months by then (0/1)."""
     return (eps.select("member")
-            .join(lasted_months(inputs.bhrs, eps, 18), "member", "left")
+            .join(lasted_months(inputs.bhrs, eps, BHRS_MONTHS), "member", "left")
             .join(active_on(inputs.dhs, eps), "member", "left")
             .select("member", F.coalesce("lasted", F.lit(0)).alias("lasted"),
                     F.coalesce("active", F.lit(0)).alias("active")))
 
 
-def to_extract(eps: DataFrame, inputs, spec: RunSpec) -> DataFrame:
-    """The long extract: one line per index episode, measure, period and level of care."""
-    wide = (measure_lines(eps, inputs, spec)
-            .join(admission_flags(eps, inputs), "member", "left")
-            .join(inputs.members, "member", "left"))
+def to_extract(eps: DataFrame, days: DataFrame, members: DataFrame, spec: RunSpec) -> DataFrame:
+    """The long extract: one line per index episode, measure, period and level of care. ``days`` is the result of ``span_days``."""
+    wide = measure_lines(eps, days, spec).join(members, "member", "left")
     none = F.lit(None).cast("string")
     return wide.select(
         F.col("auth").alias(AUTH), F.col("member").alias(MEMBER),

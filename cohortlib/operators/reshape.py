@@ -61,11 +61,11 @@ def unlisted_wide_keys(long: DataFrame, spec: RunSpec) -> DataFrame:
 def wide_days(long: DataFrame, spec: RunSpec) -> DataFrame:
     """Day counts per member, one column per measure, period and level of care.
 
-    The lines are partitioned by member up front, so the sums, the pivot and the join of the member
-    table need no further exchange of them; a member's lines are bounded by the dimensions."""
+    Lines that are bucketed by member are summed, pivoted and joined to the member table without exchange; a member's
+    lines are bounded by the dimensions."""
     lines = long.select(MEMBER, "BA_Category", "Measure_Name", "Measure_Period", "LOC", "Day_Count")
     united = unite(lines, "TimeLOC", ["BA_Category", "Measure_Name", "Measure_Period", "LOC"])
-    days = member_days(united.repartition(MEMBER), ["TimeLOC"], name="NDays")
+    days = member_days(united, ["TimeLOC"], name="NDays")
     return spread(days, "TimeLOC", "NDays", wide_names(spec))
 
 

@@ -292,6 +292,21 @@ def _cohort() -> dict[str, str]:
                   WHERE s.b < eps.after_e AND s.e > eps.sb - {spec.year_days * spec.prior_years}) k
             LEFT JOIN svc_days d ON d.member = k.member AND d.LOC IS NOT DISTINCT FROM k.LOC AND d.sub = k.sub
             GROUP BY k.member, k.LOC, k.sub""")
+        back = f"s.e > eps.sb - {spec.year_days * spec.prior_years}"
+        kinds = {"service": ("svc", "s.LOC, s.sub", f"s.b < eps.after_e AND {back}"), "additional": ("extra", "s.LOC, NULL", f"s.b < eps.sb AND {back}"),
+                 "eligibility": ("elig", "NULL, NULL", f"s.b < eps.sb AND {back}"), "dhs": ("dhs", "NULL, NULL", f"s.b <= eps.sb AND {back}"),
+                 "bhrs": ("bhrs", "NULL, NULL", "s.b < eps.sb")}
+        keys = " UNION ALL ".join(f"SELECT DISTINCT s.member, '{k}', {cols} FROM {source} s JOIN eps ON eps.member = s.member WHERE {near}"
+                                  for k, (source, cols, near) in kinds.items())
+        out[f"span_days_{name}"] = _sql(spec, f"""
+            SELECT k.member, k.kind, k.LOC, k.sub, CAST(coalesce(sum(days) FILTER (WHERE period = '{spec.after_period}'), 0) AS BIGINT) AS after, {years},
+                   max(CASE WHEN k.kind = 'dhs' THEN a.active ELSE 0 END) AS active, max(CASE WHEN k.kind = 'bhrs' THEN a.lasted ELSE 0 END) AS lasted
+            FROM k JOIN atadm a USING (member) LEFT JOIN d ON d.member = k.member AND d.kind = k.kind AND d.LOC IS NOT DISTINCT FROM k.LOC
+                 AND d.sub IS NOT DISTINCT FROM k.sub
+            GROUP BY k.member, k.kind, k.LOC, k.sub""", [
+            ("k(member, kind, LOC, sub)", keys),
+            ("d", "SELECT member, 'service' AS kind, LOC, sub, period, days FROM svc_days UNION ALL SELECT member, 'additional', LOC, NULL, period, days FROM add_days "
+                  "UNION ALL SELECT member, 'eligibility', NULL, NULL, period, days FROM elig_days UNION ALL SELECT member, 'dhs', NULL, NULL, period, days FROM dhs_days")])
         out[f"additional_days_{name}"] = _sql(spec, f"""
             SELECT k.member, k.LOC, {years} FROM ({_lookback_spans('extra', 's.member, s.LOC', spec)}) k
             LEFT JOIN add_days d ON d.member = k.member AND d.LOC = k.LOC GROUP BY k.member, k.LOC""")

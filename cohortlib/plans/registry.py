@@ -42,12 +42,12 @@ def _windows_of(st: Study) -> DataFrame:
 
 
 def _grouped_services(st: Study) -> DataFrame:
-    grouped = cohort.loc_grouping(st.inputs.services, st.inputs.loc_dim, st.spec.age_group)
+    grouped = cohort.loc_grouping(st.given.services, st.given.loc_dim, st.spec.age_group)
     return grouped.groupBy("code", "LOC").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def _ip_counts(st: Study) -> DataFrame:
-    history = cohort.episode_history(st.index, st.given.auth, st.spec)
+    history = cohort.episode_history(st.index, st.inputs.auth, st.spec)
     return history.select("member", "n_adm", *[f"n_dc_{y}" for y in st.spec.years])
 
 
@@ -84,6 +84,7 @@ def _cohort() -> dict[str, Query]:
         out[f"loc_grouping_{name}"] = _query(spec, _grouped_services)
         out[f"service_days_{name}"] = _query(
             spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec))
+        out[f"span_days_{name}"] = _query(spec, lambda st: st.days)
         out[f"additional_days_{name}"] = _query(
             spec, lambda st: cohort.overlap_days(st.given.additional, st.episodes, st.spec, ("LOC",)))
         out[f"extract_{name}"] = _query(spec, lambda st: _typed_lines(st.clean))

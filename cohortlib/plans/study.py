@@ -1,14 +1,16 @@
 """A study: one cohort run over one set of input tables, with its intermediate tables.
 
-The episodes, the cleaned long table, the member table and the wide table feed almost every
+The episodes, the days of use, the cleaned long table, the member table and the wide table feed almost every
 report. Each is written once as Parquet below ``spark.checkpoint.dir`` and read back, so reports share
-the work, prune columns and directories at the scan, and do not depend on executor memory.
+the work, prune columns and directories at the scan, and do not depend on executor memory. These tables have a bounded
+number of rows per member and are bucketed by member, so they are joined and grouped without exchange. The index and the rows of the
+index members are not bucketed: a member may own very many of these rows, and only partitions that come from an exchange can be split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlib.operators import cleaning, cohort, cox, reshape
 from cohortlib.session import new_stage_dir, tune
-from cohortlib.sources.extract import read_stage, write_stage
+from cohortlib.sources.extract import read_stage, write_bucketed, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
 from cohortlib.spec import MEMBER, RunSpec
 
@@ -28,6 +30,8 @@ class Study:
         self.spark, self.given, self.spec = tune(spark), inputs, spec
         self.stage_dir = new_stage_dir(spark)
         self.fits: dict[tuple[str, ...], cox.CoxFit] = {}
+        self.tables: list[str] = []
+        self.kept: dict[str, DataFrame] = {}
 
     @classmethod
     def from_extract(cls, spark: SparkSession, extract: DataFrame, spec: RunSpec) -> Study:
@@ -36,19 +40,42 @@ class Study:
         st.extract = extract
         return st
 
-    def _staged(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        write_stage(df, self.stage_dir, name, partition_by=partition_by)
+    def _staged(self, name: str, df: DataFrame) -> DataFrame:
+        write_stage(df, self.stage_dir, name)
         return read_stage(self.spark, self.stage_dir, name)
 
+    def _bucketed(self, name: str, df: DataFrame, key: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Rows come partitioned by ``key`` from an exchange, so each bucket is written by one task."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables.append(write_bucketed(df, self.stage_dir, name, key, buckets, partition_by))
+        return self.spark.table(self.tables[-1])
+
+    def _shares(self, other: Study | None) -> bool:
+        """Whether the other study has the same index members and looks at the same time."""
+        fields = ("period_begin", "period_end", "index_codes", "follow_up_days", "year_days", "prior_years")
+        return other is not None and all(getattr(self.spec, f) == getattr(other.spec, f) for f in fields)
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self.kept:
+            shared = self.twin.kept.get(name) if self._shares(self.twin) else None
+            self.kept[name] = self._staged(name, df) if shared is None else shared
+        return self.kept[name]
+
+    @cached_property
+    def bounds(self) -> tuple[date, date]:
+        """The first day of any member's prior years, and the last day of any follow-up: one row from the staged index."""
+        first = self.index.agg(F.min("sb")).first()[0] or self.spec.period_begin
+        return (first - timedelta(days=self.spec.year_days * self.spec.prior_years), self.spec.period_end + timedelta(days=self.spec.follow_up_days))
+
     @cached_property
     def inputs(self) -> CohortInputs:
-        """The given relations; those that are themselves results of joins are computed once."""
-        made = {name: getattr(self.twin.inputs, name) if self.twin else self._staged(name, getattr(self.given, name))
-                for name in self.given.derived}
-        return replace(self.given, **made)
+        """The given relations; where they can be, reduced to the index members and the time studied."""
+        return self.given.narrow(self.index, *self.bounds, self._keep) if self.given.narrow else self.given
 
     def release(self) -> None:
         """Delete the study's intermediate tables."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.stage_dir)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -60,11 +87,20 @@ class Study:
     @cached_property
     def episodes(self) -> DataFrame:
         """One row per member: index episode, readmission, event counts, window after discharge."""
-        return self._staged("episodes", cohort.episodes(self.index, self.given.auth, self.spec))
+        return self._bucketed("episodes", cohort.episodes(self.index, self.inputs.auth, self.spec), "member")
+
+    @cached_property
+    def days(self) -> DataFrame:
+        """Days of use per member, kind of span and level of care: one pass over all spans. The episodes are read without their
+        buckets here, so that a member's spans can be split."""
+        _ = self.episodes
+        plain = read_stage(self.spark, self.stage_dir, "episodes")
+        spans = cohort.tagged_spans(self.inputs, *self.bounds)
+        return self._bucketed("days", cohort.span_days(plain, spans, self.inputs.loc_dim, self.spec), "member")
 
     @cached_property
     def extract(self) -> DataFrame:
-        return cohort.to_extract(self.episodes, self.inputs, self.spec)
+        return cohort.to_extract(self.episodes, self.days, self.inputs.members, self.spec)
 
     @property
     def clean(self) -> DataFrame:
@@ -72,8 +108,10 @@ class Study:
 
     @cached_property
     def start(self) -> DataFrame:
-        """All lines with derived columns, before any row is dropped."""
-        return self._staged("start", cleaning.starting_point(self.clean, self.spec), ("BA_Category", "Measure_Name"))
+        """All lines with derived columns, before any row is dropped. The one exchange of lines: everything after it is by
+        member, whose id is text from here on."""
+        lines = cleaning.starting_point(self.clean, self.spec).repartition(MEMBER)
+        return self._bucketed("start", lines, MEMBER, ("BA_Category", "Measure_Name"))
 
     @property
     def long(self) -> DataFrame:
@@ -83,14 +121,14 @@ class Study:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._staged("members", cleaning.member_table(self.long))
+        return self._bucketed("members", cleaning.member_table(self.long), MEMBER)
 
     @cached_property
     def wide(self) -> DataFrame:
         lost = reshape.unlisted_wide_keys(self.long, self.spec).where("NOT known_empty").limit(5).collect()
         if lost:
             raise ValueError(f"lines without a column in the wide table: {[r['TimeLOC'] for r in lost]}")
-        return self._staged("wide", reshape.wide_members(self.long, self.members, self.spec))
+        return self._bucketed("wide", reshape.wide_members(self.long, self.members, self.spec), MEMBER)
 
     @property
     def model(self) -> DataFrame:

@@ -15,6 +15,13 @@ TUNING = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keys of a cohort reduce the fact table before it is shuffled, also where they are too many to be broadcast: up to 2^30 bits
+    # (128 MB) of a Bloom filter, built from a side of at most 16 GB for a fact table of 1 GB and more.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "16g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "100000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "1073741824",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +75,14 @@ def read_stage(spark: SparkSession, directory: str, name: str, fmt: str = "parqu
     reader = spark.read if schema is None else spark.read.schema(schema)
     path = f"{directory.rstrip('/')}/{name}"
     return reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+
+
+def write_bucketed(df: DataFrame, directory: str, name: str, key: str, buckets: int, partition_by: Sequence[str] = ()) -> str:
+    """Write one intermediate table in buckets of ``key``, as an external table of the session's catalog, and give its name.
+
+    Joins and aggregations by ``key`` of tables with equal bucket numbers need no exchange. The rows should come partitioned by
+    ``key`` already: then each bucket is one file. Meant for tables with a bounded number of rows for each key, as a
+    bucket is never split; ``read_stage`` reads the same files without buckets."""
+    table = f"stage_{uuid.uuid4().hex[:12]}_{name}"
+    df.write.partitionBy(*partition_by).bucketBy(buckets, key).option("path", f"{directory.rstrip('/')}/{name}").saveAsTable(table)
+    return table

@@ -6,8 +6,9 @@ half-open ``[b, e)``. Only integer arithmetic is used, so other engines derive t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,34 +47,67 @@ class CohortInputs:
     bhrs: DataFrame
     members: DataFrame
     loc_dim: DataFrame
-    derived: tuple[str, ...] = ()      # relations that cost joins and are therefore worth writing once
+    # Gives the same relations without the rows of other members than those of an index table, and of other times than
+    # two dates; takes the index table, the dates, and a function that writes a named table and reads it back.
+    narrow: Callable[[DataFrame, date, date, Callable[[str, DataFrame], DataFrame]], CohortInputs] | None = None
 
 
 def _plus_days(day: Column, days: Column) -> Column:
     return F.date_add(day, days.cast("int"))
 
 
+def _orders(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("o_orderkey").alias("auth"), F.col("o_custkey").alias("member"),
+                      F.col("o_orderdate").cast("date").alias("b"), F.col("o_orderpriority").alias("code"))
+
+
+# ---- fixed value: a service line of this quantity has no end, others last as many days
+OPEN_QUANTITY = 50
+
+
+def _services(lines: DataFrame, owners: DataFrame, part: DataFrame) -> DataFrame:
+    """Lines with their order's member and their part's code; lines of other orders than ``owners`` go before anything is joined to them."""
+    kept = lines.select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("b"), F.col("l_quantity").cast("int").alias("days"),
+                        F.col("l_returnflag").alias("sub"))
+    code = F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" 2"))
+    return (kept.join(owners.select(F.col("auth").alias("l_orderkey"), "member"), "l_orderkey")
+            .join(part.select(F.col("p_partkey").alias("l_partkey"), code.alias("code")), "l_partkey")
+            .select("member", "b", F.when(F.col("days") != OPEN_QUANTITY, _plus_days(F.col("b"), F.col("days"))).alias("e"), "sub", "code"))
+
+
+def _day(raw: DataFrame, column: str, day: date) -> Column:
+    """A literal of the raw column's own type: a comparison with it reaches the Parquet reader."""
+    return F.lit(day.isoformat()).cast(raw.schema[column].dataType)
+
+
 def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs:
     read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    orders = read("orders").select(
-        F.col("o_orderkey").alias("auth"), F.col("o_custkey").alias("member"),
-        F.col("o_orderdate").cast("date").alias("b"), F.col("o_orderpriority").alias("code"))
+    raw, lines, part = read("orders"), read("lineitem"), read("part")
+
+    def narrow(index: DataFrame, earliest: date, latest: date, keep: Callable[[str, DataFrame], DataFrame]) -> CohortInputs:
+        own = keep("own_orders", _orders(raw).join(index.select("member"), "member", "left_semi"))
+        begun = F.col("l_shipdate") < _day(lines, "l_shipdate", latest)
+        lasting = (F.col("l_quantity") >= OPEN_QUANTITY) | (F.col("l_shipdate") >= _day(lines, "l_shipdate", earliest - timedelta(days=OPEN_QUANTITY)))
+        # The order keys of the index members are a table of known size: they are broadcast, or (TUNING) a Bloom filter of them
+        # reduces the lines before these are shuffled. Their range reaches the scan of the lines, and the planner makes
+        # a Bloom filter only of a table with such a predicate.
+        low, high = own.agg(F.min("auth"), F.max("auth")).first()
+        owners = own.where(F.col("auth").between(F.lit(low), F.lit(high)))
+        return relations(own, keep("services", _services(lines.where(begun & lasting), owners, part)))
+
+    def relations(orders: DataFrame, services: DataFrame) -> CohortInputs:
+        return _relations(spark, orders, services, read("customer"), spec, narrow)
 
+    return relations(_orders(raw), _services(lines, _orders(raw), part))
+
+
+def _relations(spark: SparkSession, orders: DataFrame, services: DataFrame, customer: DataFrame, spec: RunSpec, narrow: Callable) -> CohortInputs:
     def spans(code: str, days: Column) -> DataFrame:
         end = F.when(F.col("auth") % 37 != 0, _plus_days(F.col("b"), days))          # some are still open
         return orders.where(F.col("code") == code).select("member", "b", end.alias("e"), "auth")
 
     auth = orders.select("auth", "member", F.col("b").alias("sb"),
                          F.when(F.col("auth") % 41 != 0, _plus_days(F.col("b"), F.col("auth") % 46)).alias("se"), "code")
-    services = (
-        read("lineitem")
-        .select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("b"),
-                F.col("l_quantity").cast("int").alias("days"), F.col("l_returnflag").alias("sub"))
-        .join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" 2")).alias("code")), "l_partkey")
-        .join(orders.select(F.col("auth").alias("l_orderkey"), "member"), "l_orderkey")
-        .select("member", "b", F.when(F.col("days") != 50, _plus_days(F.col("b"), F.col("days"))).alias("e"),
-                "sub", "code"))
-
     key = F.col("auth")
     if spec.age_group == "adult":
         loc = (F.when(key % 29 == 0, "(450-1) HOST HOMES - DHS CHILD")
@@ -84,7 +118,7 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
 
     cust = F.col("c_custkey")
     age = (18 + (cust * 7) % 60) if spec.age_group == "adult" else (5 + (cust * 7) % 13)
-    members = read("customer").select(
+    members = customer.select(
         cust.alias("member"),
         F.when(cust % 2 == 0, "Female").otherwise("Male").alias("Gender_Label"),
         map_values("c_mktsegment", SEGMENT_RACE).alias("RaceEthnic_Label"),
@@ -107,4 +141,4 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
         bhrs=spans("4-NOT SPECIFIED", 300 + key % 600).where(F.col("member") % 5 == 0).drop("auth"),
         members=members,
         loc_dim=loc_dim,
-        derived=("services",))
+        narrow=narrow)
