@@ -30,15 +30,16 @@ def far_end(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(OPEN_END).cast("date"))
 
 
-def _line(ba: str, measure: str, period, loc, days: Column) -> Column:
-    text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
-    return F.struct(
-        F.lit(ba).alias("BA_Category"), F.lit(measure).alias("Measure_Name"), text(period).alias("Measure_Period"),
-        text(loc).alias("LOC"), days.cast("bigint").alias("Day_Count"))
+def _line(ba: str, measure: str, period: str | None, loc: str, days: str) -> str:
+    """SQL of one line; ``loc`` and ``days`` are SQL themselves. One text for all lines of a kind is parsed at once, where
+    hundreds of Column objects would each take calls to the driver's JVM."""
+    text = "NULL" if period is None else f"'{period}'"
+    return (f"named_struct('BA_Category', '{ba}', 'Measure_Name', '{measure}', 'Measure_Period', CAST({text} AS STRING), "
+            f"'LOC', CAST({loc} AS STRING), 'Day_Count', CAST({days} AS BIGINT))")
 
 
-def _lines_with_days(lines: list[Column]) -> Column:
-    return F.filter(F.array(*lines), lambda x: x["Day_Count"] > 0)
+def _lines_with_days(lines: list[str]) -> str:
+    return f"filter(array({', '.join(lines)}), x -> x.Day_Count > 0)"
 
 
 def index_episodes(auth: DataFrame, spec: RunSpec) -> DataFrame:
@@ -254,14 +255,15 @@ def span_days(eps: DataFrame, spans: DataFrame, loc_dim: DataFrame, spec: RunSpe
             .groupBy("member", "kind", "LOC", "sub").agg(*total, *(F.max(n).alias(n) for n in flags)))
 
 
-def _year_lines(spec: RunSpec, measure: str, loc) -> list[Column]:
-    return [_line("Before", measure, f"Year {y}", loc, F.col(f"y{y}")) for y in spec.years]
+def _year_lines(spec: RunSpec, measure: str, loc: str) -> list[str]:
+    return [_line("Before", measure, f"Year {y}", loc, f"y{y}") for y in spec.years]
 
 
-def _has_grouped(lines: str, measure: str) -> Column:
-    if measure in MEASURES_WITHOUT_LOC:
-        return F.exists(lines, lambda x: x["Measure_Name"] == measure)
-    return F.exists(lines, lambda x: (x["Measure_Name"] == measure) & x["LOC"].isNotNull())
+def _blank(measure: str) -> str:
+    """The placeholder line, if ``found`` has no grouped line of the measure; else null."""
+    grouped = "" if measure in MEASURES_WITHOUT_LOC else " AND x.LOC IS NOT NULL"
+    line = _line("After" if measure in AFTER_MEASURES else "Before", measure, None, "NULL", "0")
+    return f"CASE WHEN NOT exists(found, x -> x.Measure_Name = '{measure}'{grouped}) THEN {line} END"
 
 
 def measure_lines(eps: DataFrame, days: DataFrame, spec: RunSpec) -> DataFrame:
@@ -270,23 +272,18 @@ def measure_lines(eps: DataFrame, days: DataFrame, spec: RunSpec) -> DataFrame:
 
     The arrays are bounded by levels of care x lines x periods. DHS involvement is delivered for every age group; the adult
     cleaning rules remove it again."""
-    kind = F.col("kind")
-    lines = {"service": [_line("After", "After Service", spec.after_period, F.col("LOC"), F.col("after")), *_year_lines(spec, "Prior Service", F.col("LOC"))],
-             "additional": _year_lines(spec, "Additional Service", F.col("LOC")), "eligibility": _year_lines(spec, "Eligibility", None),
-             "dhs": _year_lines(spec, "DHS", None)}
-    of_kind = reduce(lambda out, k: out.when(kind == k, _lines_with_days(lines[k])), lines, F)
-    per_member = days.groupBy("member").agg(F.flatten(F.collect_list(of_kind)).alias("found"), F.max("lasted").alias("lasted"), F.max("active").alias("active"))
-    out = eps.join(per_member, "member", "left")
-    ip = [_line("After", "IP Admissions", spec.after_period, "IP", F.col("n_adm"))]
-    ip += [_line("Before", "IP Discharges", f"Year {y}", "IP", F.col(f"n_dc_{y}")) for y in spec.years]
-    empty = F.array().cast(f"array<{LINE}>")
-    out = out.withColumn("found", F.concat(F.coalesce("found", empty), F.coalesce(_lines_with_days(ip), empty)))
-    blanks = []
-    for measure in MEASURES:
-        ba = "After" if measure in AFTER_MEASURES else "Before"
-        blanks.append(F.when(~_has_grouped("found", measure), _line(ba, measure, None, None, F.lit(0))))
-    lines = F.concat("found", F.filter(F.array(*blanks), lambda x: x.isNotNull()))
-    return out.withColumns({"lines": lines, "lasted": F.coalesce("lasted", F.lit(0)), "active": F.coalesce("active", F.lit(0))}).drop("found")
+    lines = {"service": [_line("After", "After Service", spec.after_period, "LOC", "after"), *_year_lines(spec, "Prior Service", "LOC")],
+             "additional": _year_lines(spec, "Additional Service", "LOC"), "eligibility": _year_lines(spec, "Eligibility", "NULL"),
+             "dhs": _year_lines(spec, "DHS", "NULL")}
+    of_kind = " ".join(f"WHEN '{kind}' THEN {_lines_with_days(x)}" for kind, x in lines.items())
+    per_member = days.groupBy("member").agg(F.expr(f"flatten(collect_list(CASE kind {of_kind} END)) AS found"),
+                                            F.max("lasted").alias("lasted"), F.max("active").alias("active"))
+    ip = [_line("After", "IP Admissions", spec.after_period, "'IP'", "n_adm"), *(_line("Before", "IP Discharges", f"Year {y}", "'IP'", f"n_dc_{y}") for y in spec.years)]
+    empty = f"CAST(array() AS ARRAY<{LINE}>)"
+    found = f"concat(coalesce(found, {empty}), coalesce({_lines_with_days(ip)}, {empty})) AS found"
+    out = eps.join(per_member, "member", "left").selectExpr(*eps.columns, found, "coalesce(lasted, 0) AS lasted", "coalesce(active, 0) AS active")
+    blanks = f"filter(array({', '.join(map(_blank, MEASURES))}), x -> x IS NOT NULL)"
+    return out.selectExpr(*eps.columns, "lasted", "active", f"concat(found, {blanks}) AS lines")
 
 
 def admission_flags(eps: DataFrame, inputs) -> DataFrame:
