@@ -1,6 +1,6 @@
 """Frequency tables, summary statistics, box-plot statistics, histograms and report tables.
 
-Tables over categories first count the distinct combinations (combined on the map side) and do all
+Tables over categories first count each category (combined on the map side) and do all
 further work on those few rows, so one very frequent category costs no more than a rare one.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortlib.functions import any_flag, banded, first_word, level_key, recode, round_half_even, row_count
+from cohortlib.operators.quantiles import quantiles
 from cohortlib.spec import MEMBER, MONTH_BANDS, WEEK_BANDS, Bands, RunSpec
 
 
@@ -63,17 +64,15 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Box-plot statistics per group: quartiles, whiskers at the furthest values within 1.5
     interquartile ranges, outliers beyond them, and the notch around the median.
 
-    Works on the distinct values of each group with their counts. Values are compared with the fences
+    Works on the distinct values of each group with their counts, and never gathers them (see ``quantiles``). Values are compared with the fences
     at nine decimals, so a value that equals a fence is not lost to binary rounding.
     """
     keys = list(by) or ["all_rows"]
     df = df if by else df.withColumn("all_rows", F.lit("all"))
     freq = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(row_count().alias("k"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("k"))
     mean = (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean")
-    quart = freq.groupBy(*keys).agg(q.alias("q"), F.sum("k").alias("n"), mean).select(
-        *[F.col(c).alias(f"q_{c}") for c in keys], F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"), "n", "mean")
+    quart = quantiles(freq, keys, (0.25, 0.5, 0.75)).select(
+        *[F.col(c).alias(f"q_{c}") for c in keys], F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     same = None
     for c in keys:
         hit = F.col(c).eqNullSafe(F.col(f"q_{c}"))
@@ -82,8 +81,8 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     v = F.round(F.col("v").cast("double"), 9)
     inside = (v >= F.round(F.col("q1") - 1.5 * iqr, 9)) & (v <= F.round(F.col("q3") + 1.5 * iqr, 9))
     out = (freq.join(quart, same)
-           .groupBy(*keys, "q1", "median", "q3", "n", "mean")
-           .agg(F.min(F.when(inside, F.col("v"))).cast("double").alias("lower_whisker"),
+           .groupBy(*keys, "q1", "median", "q3")
+           .agg(F.sum("k").alias("n"), mean, F.min(F.when(inside, F.col("v"))).cast("double").alias("lower_whisker"),
                 F.max(F.when(inside, F.col("v"))).cast("double").alias("upper_whisker"),
                 F.sum(F.when(inside, 0).otherwise(F.col("k"))).alias("n_outliers")))
     half_notch = 1.58 * iqr / F.sqrt("n")
@@ -148,16 +147,20 @@ def profile(df: DataFrame, text_cols: Sequence[str], number_cols: Sequence[str])
 def _stacked(df: DataFrame, sections: Sequence[tuple[str, Column, Sequence[str] | None]], name: str) -> DataFrame:
     """Frequency tables of several dimensions under each other, from one pass over the rows.
 
-    The rows are reduced to the distinct combinations of all dimensions before they are split up."""
+    One grouping set for each dimension: rows are counted per dimension before they are shuffled, so what is shuffled is
+    as many rows as the dimensions have values, not as there are combinations of these. ``grouping_id`` names the set of a
+    count, which tells a missing category from a dimension that the set does not group by."""
     dims = [f"d{i}" for i in range(len(sections))]
-    combos = df.select(*[c.alias(d) for d, (_, c, _) in zip(dims, sections)]).groupBy(*dims).agg(row_count().alias("k"))
-    parts = []
+    cubed = df.select(*[c.alias(d) for d, (_, c, _) in zip(dims, sections)]).groupingSets([[F.col(d)] for d in dims], *dims).agg(
+        row_count().alias("n"), F.grouping_id(*dims).alias("set"))
+    everything = (1 << len(dims)) - 1
+    parts = None
     for i, (d, (title, _, levels)) in enumerate(zip(dims, sections), 1):
         key = level_key(d, levels) if levels else F.lit(0)
-        parts.append(F.struct(F.lit(i).alias("section_no"), F.lit(title).alias("section"), F.col(d).alias(name),
-                              key.alias("level_no"), F.col("k")))
-    counts = (combos.select(F.inline(F.array(*parts)))
-              .groupBy("section_no", "section", name, "level_no").agg(F.sum("k").alias("n")))
+        part = F.struct(F.lit(i).alias("section_no"), F.lit(title).alias("section"), F.col(d).alias(name), key.alias("level_no"))
+        own = F.col("set") == everything - (1 << len(dims) - i)
+        parts = F.when(own, part) if parts is None else parts.when(own, part)
+    counts = cubed.select(parts.alias("part"), "n").select("part.*", "n")
     of_section = W.partitionBy("section_no")
     order = of_section.orderBy("level_no", F.desc("n"), F.asc_nulls_last(name))
     return counts.select(
