@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
 from cohortlib.functions import banded, is_in, level_key, map_values, no_yes, true_only
@@ -31,9 +32,28 @@ def relabel_binary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.withColumns({c: no_yes(c) for c in cols})
 
 
-def as_category(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
-    """Add ``<col>_key``, the position of each value in the declared level order."""
-    return df.withColumn(f"{col}_key", level_key(col, levels))
+def as_category(df: DataFrame, col: str, levels: Sequence[str] | DataFrame) -> DataFrame:
+    """Add ``<col>_key``, the position of each value in the level order: a declared one, or one found by ``by_appearance``. Values
+    outside a found order come after it; a missing value comes last."""
+    if not isinstance(levels, DataFrame):
+        return df.withColumn(f"{col}_key", level_key(col, levels))
+    order = levels.where(F.col("variable") == col).select(F.col("level").alias("_level"), F.col("level_no").alias("_no"))
+    n = order.agg(F.count(F.lit(1))).scalar().cast("int")
+    return df.join(order, F.col(col).cast("string") == F.col("_level"), "left").select(
+        *df.columns, F.when(F.col(col).isNull(), n + 2).otherwise(F.coalesce("_no", n + 1)).alias(f"{col}_key"))
+
+
+def by_appearance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """variable, level, level_no: the values of some columns in the order in which the files of ``df`` first have them.
+
+    ``df`` is read straight from files. A row stands at its file, in the order of their names, there in its block, and there behind
+    the rows that were read before it. The block is read by one task, so the order does not depend on how many
+    tasks read the files or in what order they end; only the least place of each level is shuffled. Missing values are no level."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in cols))
+    placed = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("row"), F.inline(pairs)).where(F.col("level").isNotNull())
+    first = placed.groupBy("variable", "level").agg(F.min(F.struct("file", "block", "row")).alias("first"))
+    return first.select("variable", "level", F.row_number().over(W.partitionBy("variable").orderBy("first")).alias("level_no"))
 
 
 def level_list(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -50,7 +50,7 @@ def spread(df: DataFrame, key: str, value: str, names: dict[str, str]) -> DataFr
 
 def unlisted_wide_keys(long: DataFrame, spec: RunSpec) -> DataFrame:
     """Keys of the long table that have no column in the wide one, with their lines and days. ``known_empty`` marks the
-    empty lines (no period and no days) that members without a grouped line get; any other key here would lose days."""
+    empty lines (no period and no days) that members without a grouped line get; any other key is one that ``found_wide_keys`` adds."""
     united = unite(long.select("BA_Category", "Measure_Name", "Measure_Period", "LOC", "Day_Count",
                                F.col("Measure_Period").isNull().alias("empty")), "TimeLOC", ["BA_Category", "Measure_Name", "Measure_Period", "LOC"])
     out = united.where(~F.col("TimeLOC").isin(*wide_names(spec))).groupBy("TimeLOC").agg(
@@ -58,20 +58,34 @@ def unlisted_wide_keys(long: DataFrame, spec: RunSpec) -> DataFrame:
     return out.select("TimeLOC", "n_lines", "days", (F.col("empty") & (F.coalesce("days", F.lit(0)) == 0)).alias("known_empty"))
 
 
-def wide_days(long: DataFrame, spec: RunSpec) -> DataFrame:
-    """Day counts per member, one column per measure, period and level of care.
+#: Most columns beside the declared ones that a wide table gets.
+MOST_FOUND = 1000
+
+
+def found_wide_keys(long: DataFrame, spec: RunSpec) -> list[str]:
+    """Keys with days that have no declared column, sorted: from one pass over the distinct keys. More than MOST_FOUND are an error,
+    as they are no dimensions but values."""
+    rows = unlisted_wide_keys(long, spec).where("NOT known_empty").select("TimeLOC").limit(MOST_FOUND + 1).collect()
+    if len(rows) > MOST_FOUND:
+        raise ValueError(f"more than {MOST_FOUND} keys without a column in the wide table, such as {rows[0]['TimeLOC']!r}")
+    return sorted(r["TimeLOC"] for r in rows)
+
+
+def wide_days(long: DataFrame, spec: RunSpec, found: Sequence[str] = ()) -> DataFrame:
+    """Day counts per member, one column per measure, period and level of care; ``found`` keys come after the declared ones, under
+    their joined text.
 
     Lines that are bucketed by member are summed, pivoted and joined to the member table without exchange; a member's
     lines are bounded by the dimensions."""
     lines = long.select(MEMBER, "BA_Category", "Measure_Name", "Measure_Period", "LOC", "Day_Count")
     united = unite(lines, "TimeLOC", ["BA_Category", "Measure_Name", "Measure_Period", "LOC"])
     days = member_days(united, ["TimeLOC"], name="NDays")
-    return spread(days, "TimeLOC", "NDays", wide_names(spec))
+    return spread(days, "TimeLOC", "NDays", wide_names(spec) | {k: k for k in found})
 
 
-def wide_members(long: DataFrame, members: DataFrame, spec: RunSpec) -> DataFrame:
+def wide_members(long: DataFrame, members: DataFrame, spec: RunSpec, found: Sequence[str] = ()) -> DataFrame:
     """Every member row with its day counts; a member with several attribute rows keeps them all."""
-    return attach_member(wide_days(long, spec), members)
+    return attach_member(wide_days(long, spec, found), members)
 
 
 def attach_member(wide: DataFrame, members: DataFrame) -> DataFrame:

@@ -311,9 +311,24 @@ def _cohort() -> dict[str, str]:
             SELECT k.member, k.LOC, {years} FROM ({_lookback_spans('extra', 's.member, s.LOC', spec)}) k
             LEFT JOIN add_days d ON d.member = k.member AND d.LOC = k.LOC GROUP BY k.member, k.LOC""")
         out[f"extract_{name}"] = _sql(spec, f"SELECT {_LINE_COLS} FROM extract")
+        out[f"guessed_types_{name}"] = _sql(spec, _guessed())
     return out
 
 
+def _guessed() -> str:
+    """Types of the delivered columns from their texts. A missing readmission is delivered as NA, an unknown unused column is empty."""
+    columns = ["AuthorizationNumber", "Client_Master_BK", "ServiceBegin", "Gender_Label", "Age", "ASD_Measure_Year", "LOC_Label", "Readmit_SB",
+               "Days_to_Readmit", "Measure_Period", "LOC", "Day_Count"]
+    text = lambda c: f"strftime({c}, '%m/%d/%Y')" if c in ("ServiceBegin", "Readmit_SB") else f"CAST({c} AS VARCHAR)"
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS col, {text(c)} AS cell FROM extract" for c in columns)
+    whole, day = "regexp_full_match(cell, '[+-]?[0-9]+')", "try_strptime(cell, '%m/%d/%Y') IS NOT NULL"
+    return (f"SELECT col AS \"column\", CASE WHEN count(cell) = 0 THEN 'string' WHEN bool_and({whole}) AND max(try_cast(cell AS BIGINT)) < 2147483648 THEN 'int' "
+            f"WHEN bool_and({whole}) THEN 'bigint' WHEN bool_and(cell IS NULL OR try_cast(cell AS DOUBLE) IS NOT NULL) THEN 'double' WHEN bool_and(cell IS NULL OR {day}) THEN 'date' ELSE 'string' END AS type, "
+            f"count(cell) AS n, count(*) - count(cell) AS n_missing, count(*) FILTER (WHERE NOT ({whole})) AS not_int, "
+            f"count(cell) - count(*) FILTER (WHERE cell IS NOT NULL AND {day}) AS not_date FROM ({cells}) GROUP BY col "
+            f"UNION ALL SELECT 'Ep180', 'string', 0, count(*), 0, 0 FROM extract")
+
+
 # ---- cleaning -------------------------------------------------------------------------------------------
 
 def _cleaning() -> dict[str, str]:
@@ -343,6 +358,10 @@ def _cleaning() -> dict[str, str]:
             f"clean_long_{name}": _sql(spec, f"SELECT Client_Master_BK, {DIMS}, Day_Count, LOS, SurvivalDays, Flag_Readmit{flags} FROM tidy"),
             f"member_table_{name}": _sql(spec, "SELECT * FROM people"),
             f"stage_audit_{name}": _sql(spec, " UNION ALL ".join(parts)),
+            f"first_appearance_{name}": _sql(spec, " UNION ALL ".join(
+                f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS level, row_number() OVER (ORDER BY "
+                f"min({{'a': CAST(AuthorizationNumber AS BIGINT), 'm': CAST(Client_Master_BK AS BIGINT)}})) AS level_no FROM people WHERE {c} IS NOT NULL GROUP BY {c}"
+                for c in ("RaceCat", "AgeCat", "LOC_Label", "MH_SA", "LOS"))),
             f"quality_checks_{name}": _sql(spec, f"""
                 SELECT count(*) FILTER (WHERE Days_to_Readmit < {spec.quick_readmit_below}) AS quick_readmits,
                 count(*) FILTER (WHERE LOS = 0) AS short_stays FROM (SELECT DISTINCT * EXCLUDE ({DIMS}, Day_Count, RaceEthnic_Label) FROM started)"""),
@@ -885,6 +904,11 @@ def _modelling() -> dict[str, str]:
         wide = _wide_cte(spec)
         model = [*wide, ("model", _model(spec))]
         out[f"wide_members_{name}"] = _sql(spec, "SELECT * FROM wide", wide)
+        last_loc, last_short = spec.service_groups[-1]
+        renamed = {f"After_{last_short}": f"After_After Service_{spec.after_period}_{last_loc}",
+                   **{f"Yr{y}Prior_{last_short}": f"Before_Prior Service_Year {y}_{last_loc}" for y in spec.years}}
+        out[f"wide_found_columns_{name}"] = _sql(spec, "SELECT DISTINCT Client_Master_BK, " + ", ".join(
+            f'"{old}" AS "{new}"' for old, new in renamed.items()) + " FROM wide", _wide_cte(spec))
         out[f"unlisted_wide_keys_{name}"] = _sql(spec, """
             SELECT concat_ws('_', BA_Category, Measure_Name, coalesce(Measure_Period, 'NA'), coalesce(LOC, 'NA')) AS TimeLOC, count(*) AS n_lines,
                    CAST(sum(Day_Count) AS BIGINT) AS days, TRUE AS known_empty FROM tidy WHERE Measure_Period IS NULL GROUP BY 1""")

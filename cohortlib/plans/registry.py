@@ -6,6 +6,7 @@ with another engine; the operators themselves do not round.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from cohortlib.operators import cleaning, cohort, cox, describe, reshape, surviv
 from cohortlib.plans.oracle import COX_CHECKS
 from cohortlib.plans.report import hazard_ratios
 from cohortlib.plans.study import Study, study
-from cohortlib.sources.extract import EXTRACT_SCHEMA, read_extract, write_stage
-from cohortlib.spec import ADULT, CHILD, MEMBER, RunSpec
+from cohortlib.sources.extract import EXTRACT_SCHEMA, guess_types, read_extract, read_stage, write_stage
+from cohortlib.spec import ADULT, AUTH, CHILD, MEMBER, RunSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +59,34 @@ def _csv_round_trip(st: Study) -> DataFrame:
     return _typed_lines(cleaning.clean_extract(read_extract(st.spark, path), st.spec))
 
 
+GUESSED = ("AuthorizationNumber", MEMBER, "ServiceBegin", "Gender_Label", "Age", "ASD_Measure_Year", "LOC_Label", "Readmit_SB", "Days_to_Readmit",
+           "Measure_Period", "LOC", "Day_Count", "Ep180")
+
+
+def _guessed_types(st: Study) -> DataFrame:
+    """Deliver the extract as a CSV file and guess the types of its columns."""
+    path = write_stage(cohort.as_delivered(st.extract).select(*GUESSED), st.stage_dir, "delivered_columns", fmt="csv")
+    raw = st.spark.read.csv(path, header=True, nullValue="NA")
+    return guess_types(raw).select("column", "type", "n", "n_missing", F.col("unfit.int").alias("not_int"), F.col("unfit.date").alias("not_date"))
+
+
+APPEARING = ("RaceCat", "AgeCat", "LOC_Label", "MH_SA", "LOS")
+
+
+def _first_appearance(st: Study) -> DataFrame:
+    """Write the member rows over several files in the order of their authorizations, and find the order of levels in these."""
+    order = [F.col(AUTH).cast("bigint"), F.col(MEMBER).cast("bigint")]
+    write_stage(st.members.repartitionByRange(5, *order).sortWithinPartitions(*order), st.stage_dir, "in_order")
+    return cleaning.by_appearance(read_stage(st.spark, st.stage_dir, "in_order"), APPEARING) 
+
+
+def _found_columns(st: Study) -> DataFrame:
+    """The wide table of a run that declares one level of care less: its days stay, under the joined text of their key."""
+    fewer = dataclasses.replace(st.spec, service_groups=st.spec.service_groups[:-1])
+    found = reshape.found_wide_keys(st.long, fewer)
+    return reshape.wide_days(st.long, fewer, found).select(MEMBER, *found)
+
+
 def _typed_lines(clean: DataFrame) -> DataFrame:
     return clean.select(
         "AuthorizationNumber", MEMBER, "ServiceBegin", "ServiceEnd", "Gender_Label", "RaceEthnic_Label", "Age",
@@ -84,6 +113,7 @@ def _cohort() -> dict[str, Query]:
         out[f"loc_grouping_{name}"] = _query(spec, _grouped_services)
         out[f"service_days_{name}"] = _query(
             spec, lambda st: cohort.service_days(st.episodes, st.inputs.services, st.inputs.loc_dim, st.spec))
+        out[f"guessed_types_{name}"] = _query(spec, _guessed_types)
         out[f"span_days_{name}"] = _query(spec, lambda st: st.days)
         out[f"additional_days_{name}"] = _query(
             spec, lambda st: cohort.overlap_days(st.given.additional, st.episodes, st.spec, ("LOC",)))
@@ -105,6 +135,7 @@ def _cleaning() -> dict[str, Query]:
             f"member_table_{name}": _query(spec, lambda st: st.members),
             f"stage_audit_{name}": _query(spec, lambda st: cleaning.stage_audit(st.start, cleaning.cleaning_steps(st.spec))),
             f"quality_checks_{name}": _query(spec, lambda st: cleaning.quality_checks(cleaning.member_table(st.start), st.spec)),
+            f"first_appearance_{name}": _query(spec, _first_appearance),
             f"level_list_{name}": _query(spec, lambda st: cleaning.level_list(
                 st.long, ["Measure_Name", "Measure_Period", "LOC", "FirstEpEver", "Flag_Readmit"])),
             f"table_sizes_{name}": _query(spec, lambda st: utilization.members_in(st.long)),
@@ -244,6 +275,7 @@ def _modelling() -> dict[str, Query]:
     for name, spec in {"adult": ADULT, "child": CHILD}.items():
         out |= {
             f"wide_members_{name}": _query(spec, lambda st: st.wide),
+            f"wide_found_columns_{name}": _query(spec, _found_columns),
             f"model_table_{name}": _query(spec, lambda st: st.model),
             f"unlisted_wide_keys_{name}": _query(spec, lambda st: reshape.unlisted_wide_keys(st.long, st.spec)),
             f"cox_hazard_ratios_{name}": _query(spec, hazard_ratios),

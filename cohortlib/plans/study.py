@@ -125,10 +125,9 @@ class Study:
 
     @cached_property
     def wide(self) -> DataFrame:
-        lost = reshape.unlisted_wide_keys(self.long, self.spec).where("NOT known_empty").limit(5).collect()
-        if lost:
-            raise ValueError(f"lines without a column in the wide table: {[r['TimeLOC'] for r in lost]}")
-        return self._bucketed("wide", reshape.wide_members(self.long, self.members, self.spec), MEMBER)
+        """One row per member with a column for each measure, period and level of care; levels of care that are not declared get one too."""
+        found = reshape.found_wide_keys(self.long, self.spec)
+        return self._bucketed("wide", reshape.wide_members(self.long, self.members, self.spec, found), MEMBER)
 
     @property
     def model(self) -> DataFrame:

@@ -1,4 +1,4 @@
-from cohortlib.sources.extract import EXTRACT_SCHEMA, read_extract, read_stage, write_stage
+from cohortlib.sources.extract import EXTRACT_SCHEMA, guess_types, read_extract, read_stage, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
 
-__all__ = ["EXTRACT_SCHEMA", "CohortInputs", "load_inputs", "read_extract", "read_stage", "write_stage"]
+__all__ = ["EXTRACT_SCHEMA", "CohortInputs", "guess_types", "load_inputs", "read_extract", "read_stage", "write_stage"]

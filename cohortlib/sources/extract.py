@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +30,46 @@ EXTRACT_SCHEMA = T.StructType(
 )
 
 
-def read_extract(spark: SparkSession, path: str, schema: T.StructType = EXTRACT_SCHEMA) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, schema: T.StructType | None = EXTRACT_SCHEMA) -> DataFrame:
     """CSV with a header. Columns are found by their names, in whatever order the file has them, and cast to the types of
     the schema; one that the file lacks is an error. Cells that do not fit their type are null: ``malformed_cells``
-    counts them."""
-    return _by_name(_as_text(spark, path), schema)
+    counts them. Without a schema every column gets the narrowest type that all its cells fit (``guess_types``)."""
+    raw = _as_text(spark, path)
+    return _by_name(raw, schema) if schema is not None else _as_guessed(raw)
+
+
+# ---- fixed values: the types that are tried, from narrow to wide, and the form of dates; anything else is text
+_LOGICAL = "^(TRUE|FALSE|true|false|T|F)$"
+_DATE = "M/d/yyyy"
+_TRIED = ("boolean", "int", "bigint", "double", "date")
+
+
+def _fits(cell: Column, kind: str) -> Column:
+    if kind == "boolean":
+        return cell.rlike(_LOGICAL)
+    return (F.try_to_date(cell, _DATE) if kind == "date" else cell.try_cast(kind)).isNotNull()
+
+
+def guess_types(raw: DataFrame) -> DataFrame:
+    """column, type, n, n_missing, unfit: for each text column the narrowest of boolean, int, bigint, double, date and string that all
+    its cells fit, the cells with and without a value, and how many do not fit each type tried, which is what made
+    the type wider. A column without any value is text. All cells count, in one pass, and the counts are added up across partitions;
+    only the names and types of a file's columns are ever gathered."""
+    cells = raw.select(F.posexplode(F.array(*(F.col(f"`{c}`") for c in raw.columns))).alias("i", "cell"))
+    unfit = [F.count_if(F.col("cell").isNotNull() & ~_fits(F.col("cell"), kind)).alias(kind) for kind in _TRIED]
+    counts = cells.groupBy("i").agg(F.count("cell").alias("n"), F.count_if(F.col("cell").isNull()).alias("n_missing"), *unfit)
+    kind = F.when(F.col("n") == 0, "string")
+    for k in _TRIED:
+        kind = kind.when(F.col(k) == 0, k)
+    names = F.element_at(F.array(*map(F.lit, raw.columns)), F.col("i") + 1)
+    return counts.select(names.alias("column"), kind.otherwise("string").alias("type"), "n", "n_missing", F.struct(*_TRIED).alias("unfit"))
+
+
+def _as_guessed(raw: DataFrame) -> DataFrame:
+    kinds = {r["column"]: r["type"] for r in guess_types(raw).select("column", "type").collect()}
+    cast = {"date": lambda c: F.try_to_date(c, _DATE), "string": lambda c: c, "boolean": lambda c: F.upper(c).startswith("T")}
+    of = lambda c: cast.get(kinds.get(c, "string"), lambda x: x.cast(kinds[c]))(F.col(f"`{c}`"))
+    return raw.select(*(of(c).alias(c) for c in raw.columns))
 
 
 def _as_text(spark: SparkSession, path: str) -> DataFrame:

@@ -117,3 +117,59 @@ def test_extract_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "short.csv").write_text("Client_Master_BK,LOC\n1,a\n")
     with pytest.raises(ValueError, match="AuthorizationNumber"):
         read_extract(spark, str(tmp_path / "short.csv"))
+
+
+def write_csv(path, text, name):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text(text)
+
+
+def test_guessed_types(spark, tmp_path):
+    """Every cell counts, whichever file it is in; the counts say what made a type wider."""
+    from cohortlib.sources import guess_types, read_extract
+    write_csv(tmp_path / "f", "flag,id,big,x,day,code,none,late\nTRUE,1,3000000000,1.5,4/30/1999,01a,NA,1\nF,NA,1,2,12/01/2000,2,,2\n", "part-0.csv")
+    write_csv(tmp_path / "f", "flag,id,big,x,day,code,none,late\nfalse,-7,2,1e3,1/1/2001,NA,NA,Y\n", "part-1.csv")
+    path = str(tmp_path / "f")
+    got = {r["column"]: r for r in guess_types(spark.read.csv(path, header=True, nullValue="NA")).collect()}
+    assert {c: r["type"] for c, r in got.items()} == {"flag": "boolean", "id": "int", "big": "bigint", "x": "double", "day": "date", "code": "string",
+                                                      "none": "string", "late": "string"}
+    assert (got["id"].n, got["id"].n_missing, got["none"].n) == (2, 1, 0)
+    assert (got["late"].unfit["int"], got["big"].unfit["int"], got["x"].unfit["bigint"], got["code"].unfit["int"]) == (1, 1, 2, 1)
+    df = read_extract(spark, path, None)
+    assert dict(df.dtypes) == {c: r["type"] for c, r in got.items()}
+    assert sorted((str(r.flag), str(r.id), str(r.day)) for r in df.collect()) == [("False", "-7", "2001-01-01"), ("False", "None", "2000-12-01"), ("True", "1", "1999-04-30")]
+
+
+def test_guessed_types_of_an_empty_file(spark, tmp_path):
+    from cohortlib.sources import read_extract
+    write_csv(tmp_path / "f", "a,b.c\n", "part-0.csv")
+    df = read_extract(spark, str(tmp_path / "f"), None)
+    assert df.dtypes == [("a", "string"), ("b.c", "string")] and df.count() == 0
+
+
+def test_cleaned_extract_is_the_same_with_guessed_types(spark, tmp_path):
+    """The delivered file read with its schema and with guessed types ends in the same clean table."""
+    from cohortlib import CHILD
+    from cohortlib.sources import EXTRACT_SCHEMA, read_extract
+    names = EXTRACT_SCHEMA.fieldNames()
+    values = {"AuthorizationNumber": "17", "Client_Master_BK": "4", "ServiceBegin": "04/30/1999", "ServiceEnd": "05/02/1999", "Age": "14", "Day_Count": "3",
+              "Readmit_Auth": "0", "Readmit_SB": "NA", "Days_to_Readmit": "NA", "Flag_BHRS_18plus_Mths_Before_Admission": "1", "Flag_Active_DHS_Status": "0"}
+    write_csv(tmp_path / "f", ",".join(names) + "\n" + "\n".join(",".join(values.get(n, "x") if i or n != "LOC" else "NA" for n in names) for i in range(3)) + "\n", "p.csv")
+    clean = [cleaning.clean_extract(read_extract(spark, str(tmp_path / "f"), schema), CHILD) for schema in (EXTRACT_SCHEMA, None)]
+    assert sorted(map(str, clean[0].collect())) == sorted(map(str, clean[1].select(clean[0].columns).collect()))
+
+
+def test_order_of_appearance(spark, tmp_path):
+    """Over several files, read in one task or in many; levels found nowhere come last."""
+    rows = [("b", 1), ("a", 1), (None, 3), ("b", 2), ("c", 2), ("a", 9), ("d", 1)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, y int").repartitionByRange(4, "i").sortWithinPartitions("i").drop("i").write.parquet(
+        f"{tmp_path}/p")
+    for most in ("128m", "1"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        df = spark.read.parquet(f"{tmp_path}/p")
+        got = {(r.variable, r.level): r.level_no for r in cleaning.by_appearance(df, ["x", "y"]).collect()}
+        assert got == {("x", "b"): 1, ("x", "a"): 2, ("x", "c"): 3, ("x", "d"): 4, ("y", "1"): 1, ("y", "3"): 2, ("y", "2"): 3, ("y", "9"): 4}
+        other = spark.createDataFrame([("a",), ("z",), (None,), ("b",)], "x string")
+        keyed = cleaning.as_category(other, "x", cleaning.by_appearance(df, ["x", "y"]))
+        assert sorted((str(r.x), r.x_key) for r in keyed.collect()) == [("None", 6), ("a", 2), ("b", 1), ("z", 5)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -66,3 +66,26 @@ def test_model_table_columns(spark):
     assert (b["Age14up"], b["ASDID"], b["Voluntary"], b["Flag_Readmit"]) == ("14+", "ASD or ID", None, 0)
     assert not [c for c in a.asDict() if c.startswith(("Yr2", "Yr3", "N_AIP")) or c.endswith("HostHomes")]
     assert {c.name for c in CHILD.covariates if c.name.startswith(("After", "Yr1"))} <= set(a.asDict())
+
+
+def test_found_keys_become_columns(spark, tmp_path):
+    """A level of care that nobody declared keeps its days, in columns after the declared ones; empty lines get none."""
+    long = spark.createDataFrame([
+        ("m1", "After", "After Service", "180 Days", "New (1.2), x", 3), ("m1", "After", "After Service", "180 Days", "ACT", 2),
+        ("m2", "Before", "Prior Service", "Year 1", "Art", None), ("m2", "Before", "Prior Service", None, None, 0)], LONG)
+    found = reshape.found_wide_keys(long, ADULT)
+    assert found == ["After_After Service_180 Days_New (1.2), x", "Before_Prior Service_Year 1_Art"]
+    people = spark.createDataFrame([("m1", 5), ("m2", 7)], "Client_Master_BK string, LOS int")
+    out = reshape.wide_members(long, people, ADULT, found)
+    assert out.columns[61:63] == found
+    out.write.parquet(f"{tmp_path}/wide")
+    got = {r["Client_Master_BK"]: (r["After_ACT"], r[found[0]], r[found[1]]) for r in spark.read.parquet(f"{tmp_path}/wide").collect()}
+    assert got == {"m1": (2, 3, None), "m2": (None, None, None)}
+
+
+def test_too_many_found_keys_are_an_error(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(reshape, "MOST_FOUND", 3)
+    long = spark.createDataFrame([("m", "After", "After Service", "180 Days", f"x{i}", 1) for i in range(5)], LONG)
+    with pytest.raises(ValueError, match="more than 3 keys"):
+        reshape.found_wide_keys(long, ADULT)
