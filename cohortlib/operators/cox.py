@@ -1,14 +1,18 @@
-"""Cox proportional-hazards model with Efron's handling of tied event times, fitted on Spark.
+"""Cox proportional-hazards model, fitted on Spark, with the three usual treatments of tied event times.
 
 Covariates are categories and time is whole days, so member rows are first counted per distinct
-(covariates, time, event) pattern. A Newton step is then two passes over the patterns:
+(covariates, time, event) pattern; the 0/1 covariates of a pattern are the bits of whole numbers. A Newton step is then two
+grouped sums over the patterns, both of built-in functions:
 
 1. per day, the weighted sums of the members and of the events, p + 1 numbers each; from these few
    rows the driver gets the risk-set sums;
 2. the weighted cross products of the covariates, where each pattern's weight already holds its
-   share of all later risk sets, so one p x p matrix per partition is enough.
+   share of all later risk sets: one row for each covariate.
 
-Neither pass collects rows: the driver sees (days x p) and (p x p) numbers only.
+Neither pass collects rows: the driver sees (days x p) and (p x p) numbers only. Coefficients and shares of days come
+as the value of a scalar subquery, so the generated code is the same in every step and is compiled once.
+
+The exact likelihood of tied events (``ties="exact"``) has its own pass, see ``_exact_pass``.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,13 +80,42 @@ def undeclared_levels(df: DataFrame, covariates: Sequence[Covariate]) -> DataFra
     return df.select(F.inline(F.array(*found))).where("odd").groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Covariates held in one whole number.
+BITS = 62
+
+
+def bit(i: int) -> Column:
+    """Covariate ``i`` of a pattern, 0 or 1."""
+    return F.shiftright(F.col(f"m{i // BITS}"), i % BITS).bitwiseAND(F.lit(1).cast("bigint"))
+
+
+def _masks(p: int) -> list[str]:
+    return [f"m{j}" for j in range(-(-p // BITS))]
+
+
 def _patterns(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate],
               keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
     design, terms = design_matrix(surv(df, time, event), covariates, (time, event))
-    xs = [f"x{i}" for i in range(len(terms))]
-    counted = design.groupBy(F.col(time).cast("int").alias("t"), F.col(event).alias("e"), *xs).agg(
-        F.count(F.lit(1)).alias("k"))
-    return keep(counted), terms
+    masks = []
+    for j, name in enumerate(_masks(len(terms))):
+        held = [F.shiftleft(F.col(f"x{i}").cast("bigint"), i % BITS) for i in range(j * BITS, min(len(terms), (j + 1) * BITS))]
+        masks.append(reduce(lambda a, b: a.bitwiseOR(b), held).alias(name))
+    packed = design.select(F.col(time).cast("int").alias("t"), F.col(event).alias("e"), *masks)
+    return keep(packed.groupBy(*packed.columns).agg(F.count(F.lit(1)).alias("k"))), terms
+
+
+def _constant(spark: SparkSession, values: np.ndarray) -> Column:
+    """An array as the value of a scalar subquery."""
+    return spark.range(1).select(F.lit([float(v) for v in values]).cast("array<double>").alias("v")).scalar()
+
+
+def _weighted(patterns: DataFrame, beta: np.ndarray) -> DataFrame:
+    """The patterns with ``w``, their members times their relative risk."""
+    score = F.lit(0.0)
+    if len(beta):
+        coef = _constant(patterns.sparkSession, np.where(beta == beta, beta, 0.0))
+        score = reduce(lambda a, b: a + b, (F.get(coef, F.lit(i)) * bit(i) for i in range(len(beta))))
+    return patterns.select("t", "e", *_masks(len(beta)), (F.col("k") * F.exp(score)).alias("w"))
 
 
 @dataclass
@@ -94,7 +128,7 @@ class _Events:
 
 
 def _events(patterns: DataFrame, p: int) -> _Events:
-    sums = [F.sum(F.col("k") * F.col("e") * F.col(f"x{i}")).alias(f"d{i}") for i in range(p)]
+    sums = [F.sum(F.col("k") * F.col("e") * bit(i)).alias(f"d{i}") for i in range(p)]
     rows = patterns.groupBy("t").agg(F.sum(F.col("k") * F.col("e")).alias("d"), *sums).collect()  # one per day
     rows.sort(key=lambda r: r["t"])
     return _Events(np.array([r["t"] for r in rows]), np.array([r["d"] for r in rows], dtype=float),
@@ -146,29 +180,19 @@ def _tie_sums(d: int, risk: float, tied: float, exact: int = 4096) -> np.ndarray
     return total - ((ends[:, 3] - ends[:, 2]) - (ends[:, 1] - ends[:, 0])) / 24
 
 
-def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events) -> _Sums:
-    """Weighted sums per day and event status, added up inside the tasks and then across them."""
+def _same_risk(d: int, risk: float, tied: float) -> np.ndarray:
+    """As ``_tie_sums`` where all tied events meet the whole risk set."""
+    return np.array([d * math.log(risk), d / risk, 0.0, d / risk**2, 0.0, 0.0])
+
+
+def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, tie_sums: Callable[[int, float, float], np.ndarray]) -> _Sums:
+    """Weighted sums per day and event status."""
     p, days = len(beta), events.days
     coef = np.where(beta == beta, beta, 0.0)
-    xs = [f"x{i}" for i in range(p)]
-    n_rows = 2 * len(days)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_rows, p + 1))
-        for b in batches:
-            x = b[xs].to_numpy(dtype=float)
-            w = b["k"].to_numpy() * np.exp(x @ coef)
-            row = 2 * np.searchsorted(days, b["t"].to_numpy()) + b["e"].to_numpy()
-            total[:, 0] += np.bincount(row, w, n_rows)
-            for j in range(p):
-                total[:, j + 1] += np.bincount(row, w * x[:, j], n_rows)
-        row, col = np.nonzero(total)
-        yield pd.DataFrame({"row": row, "col": col, "v": total[row, col]})
-
-    found = (patterns.select("t", "e", "k", *xs).mapInPandas(sums, "row int, col int, v double")
-             .groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas())            # <= 2 x days x (p + 1) numbers
-    total = np.zeros((n_rows, p + 1))
-    total[found["row"], found["col"]] = found["v"]
+    sums = [F.sum("w").alias("s"), *(F.sum(F.col("w") * bit(i)).alias(f"s{i}") for i in range(p))]
+    total = np.zeros((2 * len(days), p + 1))
+    for r in _weighted(patterns, beta).groupBy("t", "e").agg(*sums).collect():           # <= 2 x days rows of p + 1 numbers
+        total[2 * np.searchsorted(days, r["t"]) + r["e"]] = r[2:]
     tied = total[1::2]
     risk = (total[0::2] + tied)[::-1].cumsum(axis=0)[::-1]
     loglik = 0.0
@@ -176,7 +200,7 @@ def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events) -> _Sums
     outer = np.zeros((p, p))
     share_all, share_tied = np.zeros(len(days)), np.zeros(len(days))
     for i in np.nonzero(events.d)[0]:
-        logs, u0, u1, v0, v1, v2 = _tie_sums(int(events.d[i]), risk[i, 0], tied[i, 0])
+        logs, u0, u1, v0, v1, v2 = tie_sums(int(events.d[i]), risk[i, 0], tied[i, 0])
         r, t = risk[i, 1:], tied[i, 1:]
         loglik += float(events.dx[i] @ coef) - float(logs)
         score += events.dx[i] - (u0 * r - u1 * t)
@@ -188,28 +212,121 @@ def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events) -> _Sums
 def _second_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, sums: _Sums) -> np.ndarray:
     """Information matrix. A member counts for every event day up to its own time; a tied event
     gives back the part Efron's correction takes off on its day."""
-    p = len(beta)
-    days, upto, tied = events.days, np.cumsum(sums.share_all), sums.share_tied
-    coef = np.where(beta == beta, beta, 0.0)
-    xs = [f"x{i}" for i in range(p)]
-
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, p))
-        for b in batches:
-            x = b[xs].to_numpy(dtype=float)
-            at = np.searchsorted(days, b["t"].to_numpy())
-            weight = b["k"].to_numpy() * np.exp(x @ coef) * (upto[at] - b["e"].to_numpy() * tied[at])
-            total += x.T @ (x * weight[:, None])
-        yield pd.DataFrame({"i": np.repeat(np.arange(p), p), "j": np.tile(np.arange(p), p), "v": total.ravel()})
-
-    rows = (patterns.select("t", "e", "k", *xs).mapInPandas(cross, "i int, j int, v double")
-            .groupBy("i", "j").agg(F.sum("v").alias("v")).collect())                     # p x p numbers
+    p, spark = len(beta), patterns.sparkSession
+    if not p:
+        return np.zeros((0, 0))
+    first, span = int(events.days[0]), int(events.days[-1] - events.days[0]) + 1         # arrays over all days of the follow-up
+    upto, tied = np.zeros(span), np.zeros(span)
+    upto[events.days - first], tied[events.days - first] = np.cumsum(sums.share_all), sums.share_tied
+    at = F.col("t") - first
+    share = F.get(_constant(spark, upto), at) - F.col("e") * F.get(_constant(spark, tied), at)
+    shared = _weighted(patterns, beta).select(*_masks(p), (F.col("w") * share).alias("w"))
+    per_term = shared.select(F.posexplode(F.array(*map(bit, range(p)))).alias("i", "on"), *_masks(p), "w").where("on = 1")
     info = np.zeros((p, p))
-    for r in rows:
-        info[r["i"], r["j"]] = r["v"]
+    for r in per_term.groupBy("i").agg(*(F.sum(F.col("w") * bit(j)).alias(f"s{j}") for j in range(p))).collect():      # p rows of p numbers
+        info[r["i"]] = r[1:]
     return info - sums.mean_outer
 
 
+# ---- the exact likelihood: the events of a day are any of the sets of that size among the members at risk
+
+EXACT_EVENTS = 400
+EXACT_NUMBERS = 1 << 24
+
+
+def _products(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Product of two truncated polynomials with their derivatives: rows are the polynomial, its p first and p (p + 1) / 2
+    second derivatives. All coefficients are positive, so nothing cancels."""
+    n = a.shape[1]
+    times = lambda x, y: np.convolve(x, y)[:n]
+    out = np.empty_like(a)
+    out[0] = times(a[0], b[0])
+    for i in range(p):
+        out[1 + i] = times(a[1 + i], b[0]) + times(a[0], b[1 + i])
+    at = 1 + p
+    for i in range(p):
+        for j in range(i, p):
+            out[at] = times(a[at], b[0]) + times(a[1 + i], b[1 + j]) + times(a[1 + j], b[1 + i]) + times(a[0], b[at])
+            at += 1
+    return out
+
+
+def _exact_pass(patterns: DataFrame, beta: np.ndarray, events: _Events) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information of the exact treatment of ties.
+
+    The sum over all sets of d members is the coefficient of z^d in the product of (1 + w z) over the members at risk. A
+    pattern of k members gives (1 + w z)^k at once; products are formed per day inside the tasks, then across them, each cut off
+    at the most events of a day, and the driver multiplies the few polynomials of days from the last day on. The work grows with
+    the tied events and the square of the terms, so more than EXACT_EVENTS events in a day, or EXACT_NUMBERS numbers in all, are an error."""
+    p, days, most = len(beta), events.days, int(events.d.max())
+    n_rows = 1 + p + p * (p + 1) // 2
+    if most > EXACT_EVENTS or n_rows * (most + 1) * len(days) > EXACT_NUMBERS:
+        raise ValueError(f"too many tied events ({most} in a day) or terms ({p}) for exact ties; use efron")
+    coef = np.where(beta == beta, beta, 0.0)
+    size = patterns.agg(F.sum("k")).first()[0]
+    scale = most / size                                    # keeps the coefficients within the range of doubles
+
+    def polynomial(mask: list[int], k: int) -> np.ndarray:
+        x = np.array([mask[i // BITS] >> i % BITS & 1 for i in range(p)], dtype=float)
+        m = np.arange(1, most + 1)
+        steps = np.maximum(k - m + 1, 0) / m * (scale * math.exp(float(x @ coef)))
+        out = np.zeros((n_rows, most + 1))
+        out[0] = np.concatenate(([1.0], np.cumprod(steps)))
+        m = np.arange(most + 1)
+        out[1:1 + p] = np.outer(x, m * out[0])
+        at = 1 + p
+        for i in range(p):
+            for j in range(i, p):
+                out[at] = x[i] * x[j] * m**2 * out[0]
+                at += 1
+        return out
+
+    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for t, k, *mask in b.itertuples(index=False):
+                new = polynomial([int(x) for x in mask], int(k))
+                found[t] = new if t not in found else _products(found[t], new, p)
+        yield pd.DataFrame({"t": list(found), "poly": [x.tobytes() for x in found.values()]})
+
+    def per_day(rows: pd.DataFrame) -> pd.DataFrame:
+        polys = [np.frombuffer(x).reshape(n_rows, most + 1) for x in rows["poly"]]                # one for each task
+        return pd.DataFrame({"t": rows["t"].iloc[:1], "poly": [reduce(lambda a, b: _products(a, b, p), polys).tobytes()]})
+
+    counted = patterns.groupBy("t", *_masks(p)).agg(F.sum("k").alias("k")).select("t", "k", *_masks(p))
+    found = counted.mapInPandas(per_task, "t int, poly binary").groupBy("t").applyInPandas(per_day, "t int, poly binary")
+    of_day = {r["t"]: np.frombuffer(bytes(r["poly"])).reshape(n_rows, most + 1) for r in found.collect()}
+    risk = np.zeros((n_rows, most + 1))
+    risk[0, 0] = 1.0
+    loglik, score, info = 0.0, np.zeros(p), np.zeros((p, p))
+    upper = np.triu_indices(p)
+    for i in range(len(days) - 1, -1, -1):
+        risk = _products(risk, of_day[days[i]], p)
+        d = int(events.d[i])
+        if not d:
+            continue
+        whole = risk[0, d]
+        mean = risk[1:1 + p, d] / whole
+        second = np.zeros((p, p))
+        second[upper] = risk[1 + p:, d] / whole
+        second = second + np.triu(second, 1).T
+        loglik += float(events.dx[i] @ coef) - math.log(whole) + d * math.log(scale)
+        score += events.dx[i] - mean
+        info += second - np.outer(mean, mean)
+    return loglik, score, info
+
+
+def _step(patterns: DataFrame, events: _Events, ties: str) -> tuple[Callable, Callable]:
+    """The two parts of a Newton step: sums with log likelihood and score, and the information of these sums."""
+    if ties == "exact":
+        def sums(beta: np.ndarray) -> _Sums:
+            loglik, score, info = _exact_pass(patterns, beta, events)
+            return _Sums(loglik, score, info, np.zeros(0), np.zeros(0))
+        return sums, lambda beta, s: s.mean_outer
+    tie_sums = _tie_sums if ties == "efron" else _same_risk
+    return (lambda beta: _first_pass(patterns, beta, events, tie_sums)), (lambda beta, s: _second_pass(patterns, beta, events, s))
+
+
 def _independent(info: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     """Which columns are not determined by the ones before them (swept in order)."""
     a = info.copy()
@@ -222,11 +339,14 @@ def _independent(info: np.ndarray, tol: float = 1e-9) -> np.ndarray:
 
 
 def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate], max_steps: int = 20,
-           tol: float = 1e-9, keep: Callable[[DataFrame], DataFrame] = durable) -> CoxFit:
+           tol: float = 1e-9, keep: Callable[[DataFrame], DataFrame] = durable, ties: str = "efron") -> CoxFit:
     """Newton-Raphson from zero with step halving; terms determined by earlier ones are left out.
 
     Levels that no covariate declares are an error. A fit that did not converge says so in every table made of it.
-    ``keep`` writes the pattern table once (a reliable checkpoint by default)."""
+    ``keep`` writes the pattern table once (a reliable checkpoint by default). ``ties`` is ``efron``, ``breslow`` (all events of a day
+    meet the whole risk set) or ``exact`` (the events of a day as one set among all sets of that size)."""
+    if ties not in ("efron", "breslow", "exact"):
+        raise ValueError("ties is 'efron', 'breslow' or 'exact'")
     covariates = list(covariates)
     odd = undeclared_levels(df, covariates).limit(20).collect() if covariates else []
     if odd:
@@ -239,8 +359,9 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate]
         raise ValueError("the model needs at least one event")
     beta = np.zeros(len(terms))
     events = _events(patterns, len(terms))
-    sums = _first_pass(patterns, beta, events)
-    info = _second_pass(patterns, beta, events, sums)
+    sums_at, info_at = _step(patterns, events, ties)
+    sums = sums_at(beta)
+    info = info_at(beta, sums)
     free = _independent(info)
     solve = lambda m, v: np.linalg.solve(m[np.ix_(free, free)], v[free])
     null, score0 = sums.loglik, float(sums.score[free] @ solve(info, sums.score)) if free.any() else 0.0
@@ -249,14 +370,14 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[Covariate]
         step += 1
         move = np.zeros_like(beta)
         move[free] = solve(info, sums.score)
-        new = _first_pass(patterns, beta + move, events)
+        new = sums_at(beta + move)
         halvings = 0
         while not new.loglik >= sums.loglik - 1e-9 * abs(sums.loglik) and halvings < 10:
             move, halvings = move / 2, halvings + 1
-            new = _first_pass(patterns, beta + move, events)
+            new = sums_at(beta + move)
         converged = bool(abs(1 - sums.loglik / new.loglik) <= tol)
         beta, sums = beta + move, new
-        info = _second_pass(patterns, beta, events, sums)
+        info = info_at(beta, sums)
     wald = float(beta[free] @ info[np.ix_(free, free)] @ beta[free])
     se = np.full(len(beta), np.nan)
     if free.any():
@@ -283,7 +404,7 @@ def _log_risk(beta: np.ndarray) -> Column:
     score = F.lit(0.0)
     for i, b in enumerate(beta):
         if b != 0.0 and not math.isnan(b):
-            score = score + F.col(f"x{i}") * F.lit(float(b))
+            score = score + bit(i) * F.lit(float(b))
     return score
 
 
@@ -377,7 +498,7 @@ def cox_glance(spark: SparkSession, fit: CoxFit) -> DataFrame:
 
 def level_counts(fit: CoxFit) -> DataFrame:
     """Members per level of every covariate in the model, reference levels included."""
-    sums = [F.sum(F.col("k") * F.col(f"x{i}")).alias(f"x{i}") for i in range(len(fit.terms))]
+    sums = [F.sum(F.col("k") * bit(i)).alias(f"x{i}") for i in range(len(fit.terms))]
     parts, i = [], 0
     for no, cov in enumerate(fit.covariates, 1):
         cols = [F.col(f"x{i + j}") for j in range(len(cov.levels) - 1)]

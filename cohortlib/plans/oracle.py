@@ -737,7 +737,7 @@ def _solve(name: str, source: str, p: int) -> tuple[list[tuple[str, str]], str]:
     return steps, prev
 
 
-def _cox_ctes(spec: RunSpec, names: list[str], rounds: int) -> tuple[list[tuple[str, str]], list[str]]:
+def _cox_ctes(spec: RunSpec, names: list[str], rounds: int, ties: str = "efron") -> tuple[list[tuple[str, str]], list[str]]:
     """The hazard model with Efron ties as written-out Newton steps: ``est`` holds estimate and
     standard error per term, ``grand`` the likelihoods and test statistics."""
     covs = [next(c for c in spec.covariates if c.name == n) for n in names]
@@ -752,7 +752,7 @@ def _cox_ctes(spec: RunSpec, names: list[str], rounds: int) -> tuple[list[tuple[
             ("ids", f"SELECT CAST(i AS INTEGER) AS i FROM range(1, {p + 1}) g(i)"),
             ("evd", "SELECT t, CAST(sum(k) AS BIGINT) AS d FROM pat WHERE ev = 1 GROUP BY t"),
             ("evx", "SELECT i, sum(k) AS v FROM pat JOIN act USING (pid) WHERE ev = 1 GROUP BY i"),
-            ("ties", "SELECT t, unnest(range(0, d)) / d AS f FROM evd"),
+            ("ties", f"SELECT t, unnest(range(0, d)) / d * {1 if ties == 'efron' else 0} AS f FROM evd"),
             ("days", "SELECT DISTINCT t FROM pat"),
             ("b0", "SELECT i, CAST(0 AS DOUBLE) AS b FROM ids")]
     for n in range(rounds + 1):
@@ -868,8 +868,27 @@ _TIDY = (f"i AS term_no, term, {_r('b', 'estimate')}, {_r('se', 'std_error')}, {
          f"{_r(f'b - {_Z} * se', 'conf_low')}, {_r(f'b + {_Z} * se', 'conf_high')}, TRUE AS converged")
 
 
-def _cox(spec: RunSpec, names: list[str], rounds: int = 7) -> str:
-    ctes, _ = _cox_ctes(spec, names, rounds)
+def _cox(spec: RunSpec, names: list[str], rounds: int = 7, ties: str = "efron") -> str:
+    ctes, _ = _cox_ctes(spec, names, rounds, ties)
+    return _sql(spec, f"SELECT {_TIDY} FROM est", ctes)
+
+
+def _cox_exact(spec: RunSpec, col: str, reference: str, level: str, rounds: int = 7) -> str:
+    """Exact ties with one two-valued covariate: given a day's d events, how many of them have the second value is distributed
+    as in a draw of d members from those at risk (``j`` of n1, the others of n0), each of the n1 weighted by exp(b)."""
+    ctes = [*_wide_cte(spec), ("model", _model(spec)),
+            ("rows1", f"SELECT SurvivalDays AS t, Flag_Readmit AS ev, {col} = {_q(level)} AS x FROM model WHERE {col} IN ({_q(reference)}, {_q(level)})"),
+            ("day1", "SELECT e.t, d, d1, count(*) FILTER (WHERE m.x) AS n1, count(*) FILTER (WHERE NOT m.x) AS n0 FROM (SELECT t, count(*) AS d, "
+                     "count(*) FILTER (WHERE x) AS d1 FROM rows1 WHERE ev = 1 GROUP BY t) e JOIN rows1 m ON m.t >= e.t GROUP BY e.t, d, d1"),
+            ("ways", "SELECT t, j, lgamma(n1 + 1) - lgamma(j + 1) - lgamma(n1 - j + 1) + lgamma(n0 + 1) - lgamma(d - j + 1) - lgamma(n0 - d + j + 1) AS c "
+                     "FROM (SELECT *, unnest(range(greatest(0, d - n0), least(d, n1) + 1)) AS j FROM day1)"),
+            ("b0", "SELECT CAST(0 AS DOUBLE) AS b")]
+    for n in range(rounds + 1):
+        ctes += [(f"h{n}", f"SELECT t, j, exp(c + j * b - max(c + j * b) OVER (PARTITION BY t)) AS h FROM ways, b{n}"),
+                 (f"m{n}", f"SELECT t, sum(j * h) / sum(h) AS m, sum(j * j * h) / sum(h) - (sum(j * h) / sum(h)) ** 2 AS v FROM h{n} GROUP BY t"),
+                 (f"u{n}", f"SELECT sum(d1 - m) AS u, sum(v) AS i FROM m{n} JOIN day1 USING (t)"),
+                 (f"b{n + 1}", f"SELECT b + u / i AS b FROM b{n}, u{n}")]
+    ctes.append(("est", f"SELECT 1 AS i, {_q(col + level)} AS term, b, 1 / sqrt(u{rounds}.i) AS se FROM b{rounds}, u{rounds}"))
     return _sql(spec, f"SELECT {_TIDY} FROM est", ctes)
 
 
@@ -939,6 +958,9 @@ def _modelling() -> dict[str, str]:
     out["km_overall_adult"] = _sql(ADULT, "SELECT * FROM km", [*_wide_cte(ADULT), ("model", _model(ADULT)), *_km_cte(None)])
     for key, (spec, names) in COX_CHECKS.items():
         out[key] = _cox(spec, list(names))
+        out[key.replace("cox_", "cox_breslow_")] = _cox(spec, list(names), ties="breslow")
+    for name, spec in {"adult": ADULT, "child": CHILD}.items():
+        out[f"cox_exact_first_episode_{name}"] = _cox_exact(spec, "FirstEpEver", "N", "Y")
     years = [c for c in _wide(ADULT)[1] if c.startswith("Yr")]
     out["wide_again_long_adult"] = _sql(ADULT, " UNION ALL ".join(
         f'SELECT \'{c}\' AS "column", count(*) AS n, CAST(sum("{c}") AS BIGINT) AS days FROM wide WHERE "{c}" IS NOT NULL HAVING count(*) > 0' for c in years),

@@ -266,8 +266,8 @@ def _limits(st: Study) -> DataFrame:
     return cox.join_estimates(tidy.select("term", "estimate"), tidy.select("term", "conf_low", "conf_high"))
 
 
-def _small_model(st: Study, names: Sequence[str]) -> DataFrame:
-    return cox.tidy_cox(st.spark, st.fit_of(names))
+def _small_model(st: Study, names: Sequence[str], ties: str = "efron") -> DataFrame:
+    return cox.tidy_cox(st.spark, st.fit_of(names, ties))
 
 
 def _modelling() -> dict[str, Query]:
@@ -301,6 +301,9 @@ def _modelling() -> dict[str, Query]:
     out["km_overall_adult"] = _query(ADULT, lambda st: survival.kaplan_meier(st.model, "SurvivalDays", "Flag_Readmit"))
     for key, (spec, names) in COX_CHECKS.items():
         out[key] = _query(spec, lambda st, n=names: _small_model(st, n))
+        out[key.replace("cox_", "cox_breslow_")] = _query(spec, lambda st, n=names: _small_model(st, n, "breslow"))
+    for name, spec in {"adult": ADULT, "child": CHILD}.items():
+        out[f"cox_exact_first_episode_{name}"] = _query(spec, lambda st: _small_model(st, ["FirstEpEver"], "exact"))
     out["wide_again_long_adult"] = _query(ADULT, lambda st: reshape.long_again(
         st.wide, [c for c in st.wide.columns if c.startswith("Yr")], "column", "days").where(F.col("days").isNotNull())
         .groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("days").alias("days")))

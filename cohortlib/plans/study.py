@@ -138,12 +138,12 @@ class Study:
         """The hazard model with all covariates of the run."""
         return self.fit_of([c.name for c in self.spec.covariates])
 
-    def fit_of(self, names: Sequence[str]) -> cox.CoxFit:
+    def fit_of(self, names: Sequence[str], ties: str = "efron") -> cox.CoxFit:
         """The hazard model with some of the covariates, fitted once. Its pattern table is staged, so ``release`` removes it."""
-        key = tuple(names)
+        key = (*names, ties)
         if key not in self.fits:
             chosen = [next(c for c in self.spec.covariates if c.name == n) for n in names]
-            self.fits[key] = cox.cox_ph(self.model, "SurvivalDays", "Flag_Readmit", chosen,
+            self.fits[key] = cox.cox_ph(self.model, "SurvivalDays", "Flag_Readmit", chosen, ties=ties,
                                         keep=lambda df: self._staged(f"patterns_{len(self.fits)}", df))
         return self.fits[key]
 

@@ -253,3 +253,98 @@ def test_known_labels():
     assert adult["eligcatNo Elig"] == "Yr1Prior: Elig 0 Days (ref: 50+%)" and adult["AgeCat251+"] == "51+ (ref: 18-30yo)"
     assert child["Yr1Prior_BHRS_CTSSYes"] == "YrPrior: BHRS/CTSS" and child["VoluntaryVoluntary"] == "Voluntary Commitment"
     assert child["Yr1Prior_AnyAIPYes"] == "Yr1Prior: AIP" and child["RaceCatWhite"] == "White (ref: Black)"
+
+
+def exact(t, e, x, beta):
+    """Log likelihood where the events of a day are one of all sets of that size, by going through the sets."""
+    ll, w = 0.0, np.exp(x @ beta)
+    for day in np.unique(t[e == 1]):
+        risk, dead = np.flatnonzero(t >= day), np.flatnonzero((t == day) & (e == 1))
+        ll += (x[dead] @ beta).sum() - math.log(sum(np.prod(w[list(c)]) for c in itertools.combinations(risk, len(dead))))
+    return ll
+
+
+def slopes(f, beta, h=1e-4):
+    """Gradient and negative second derivatives by differences."""
+    p, eye = len(beta), np.eye(len(beta)) * h
+    g = np.array([(f(beta + eye[i]) - f(beta - eye[i])) / (2 * h) for i in range(p)])
+    i = np.array([[-(f(beta + eye[a] + eye[b]) - f(beta + eye[a] - eye[b]) - f(beta - eye[a] + eye[b]) + f(beta - eye[a] - eye[b])) / (4 * h * h)
+                   for b in range(p)] for a in range(p)])
+    return g, i
+
+
+def test_exact_ties(spark):
+    data = random_members(16, 4, tied_days=4)
+    t, e, x = matrix(data)
+    fit = cox.cox_ph(spark.createDataFrame(data, SCHEMA), "time", "event", COVS[:1], ties="exact")
+    f = lambda b: exact(t, e, x[:, :1], b)
+    assert fit.loglik_null == pytest.approx(f(np.zeros(1)), abs=1e-10) and fit.loglik == pytest.approx(f(fit.beta), abs=1e-10)
+    gradient, info = slopes(f, fit.beta)
+    assert abs(gradient[0]) < 1e-5 and fit.se[0] == pytest.approx(info[0, 0] ** -0.5, rel=1e-4)
+    events = cox._events(fit.patterns, 1)
+    for beta in (np.array([0.4]), np.array([-1.3])):
+        loglik, score, information = cox._exact_pass(fit.patterns, beta, events)
+        gradient, info = slopes(f, beta)
+        assert loglik == pytest.approx(f(beta), abs=1e-10) and score == pytest.approx(gradient, abs=1e-5) and information == pytest.approx(info, abs=1e-4)
+
+
+def test_exact_ties_of_several_terms(spark):
+    data = random_members(14, 8, tied_days=3)
+    t, e, x = matrix(data)
+    patterns, _ = cox._patterns(spark.createDataFrame(data, SCHEMA), "time", "event", COVS, lambda df: df)
+    beta = np.array([0.3, -0.2, 0.5, 0.1])
+    loglik, score, info = cox._exact_pass(patterns, beta, cox._events(patterns, 4))
+    f = lambda b: exact(t, e, x, b)
+    gradient, want = slopes(f, beta)
+    assert loglik == pytest.approx(f(beta), abs=1e-10) and score == pytest.approx(gradient, abs=1e-5) and info == pytest.approx(want, abs=1e-4)
+
+
+def test_breslow_ties(spark):
+    data = random_members(60, 5)
+    t, e, x = matrix(data)
+
+    def f(beta):
+        w = np.exp(x @ beta)
+        return sum((x[i] @ beta) - math.log(w[t >= t[i]].sum()) for i in np.flatnonzero(e))
+    fit = cox.cox_ph(spark.createDataFrame(data, SCHEMA), "time", "event", COVS, ties="breslow")
+    gradient, info = slopes(f, fit.beta)
+    assert fit.loglik == pytest.approx(f(fit.beta), abs=1e-9) and np.abs(gradient).max() < 1e-4
+    assert fit.se == pytest.approx(np.sqrt(np.diag(np.linalg.inv(info))), rel=1e-4)
+
+
+def test_ties_agree_without_ties(spark):
+    r = random.Random(2)
+    data = [(d + 1, r.randint(0, 1), r.choice("MF"), "p", "No") for d in range(30)]
+    df = spark.createDataFrame(data, SCHEMA)
+    fits = [cox.cox_ph(df, "time", "event", COVS[:1], ties=m) for m in ("efron", "breslow", "exact")]
+    assert [f.loglik for f in fits] == pytest.approx([fits[0].loglik] * 3) and [f.beta[0] for f in fits] == pytest.approx([fits[0].beta[0]] * 3)
+    with pytest.raises(ValueError, match="ties is"):
+        cox.cox_ph(df, "time", "event", COVS[:1], ties="other")
+
+
+def test_too_many_ties_for_the_exact_way(spark):
+    df = spark.range(2000).selectExpr("1 AS time", "1 AS event", "IF(id % 2 = 0, 'M', 'F') AS g")
+    with pytest.raises(ValueError, match="use efron"):
+        cox.cox_ph(df, "time", "event", COVS[:1], ties="exact")
+
+
+def test_passes_use_no_python_workers(spark):
+    patterns, terms = cox._patterns(spark.createDataFrame(random_members(50, 1), SCHEMA), "time", "event", COVS, lambda df: df)
+    assert patterns.columns == ["t", "e", "m0", "k"] and len(terms) == 4
+    plan = cox._weighted(patterns, np.zeros(4))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_more_terms_than_one_number_holds(spark):
+    """Seventy levels lie in two whole numbers; their estimates are those of the member-by-member computation."""
+    r = random.Random(7)
+    levels = tuple(f"v{i:02d}" for i in range(70))
+    data = [(r.randint(1, 9), int(r.random() < 0.7), r.choice(levels), r.choice("MF")) for _ in range(1500)]
+    df = spark.createDataFrame(data, "time int, event int, v string, g string")
+    fit = cox.cox_ph(df, "time", "event", [Covariate("v", levels), Covariate("g", ("M", "F"))])
+    assert {"m0", "m1"} <= set(fit.patterns.columns)
+    t, e = np.array([d[0] for d in data]), np.array([d[1] for d in data])
+    x = np.array([[d[2] == lv for lv in levels[1:]] + [d[3] == "F"] for d in data], dtype=float)
+    ll, u, info = efron(t, e, x, fit.beta)
+    assert fit.loglik == pytest.approx(ll, abs=1e-8) and np.abs(u).max() < 1e-4
+    assert fit.se == pytest.approx(np.sqrt(np.diag(np.linalg.inv(info))), rel=1e-6)
