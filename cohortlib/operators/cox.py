@@ -2,14 +2,15 @@
 
 Covariates are categories and time is whole days, so member rows are first counted per distinct
 (covariates, time, event) pattern; the 0/1 covariates of a pattern are the bits of whole numbers. A Newton step is then two
-grouped sums over the patterns, both of built-in functions:
+grouped sums over the patterns, of built-in functions:
 
 1. per day, the weighted sums of the members and of the events, p + 1 numbers each; from these few
    rows the driver gets the risk-set sums;
 2. the weighted cross products of the covariates, where each pattern's weight already holds its
    share of all later risk sets: one row for each covariate.
 
-Neither pass collects rows: the driver sees (days x p) and (p x p) numbers only. Coefficients and shares of days come
+Neither pass collects rows: the driver sees (days x p) and (p x p) numbers only. Where (days x p x p) numbers are few, one pass
+gives the cross products per day, and the driver makes the information matrix of these. Coefficients and shares of days come
 as the value of a scalar subquery, so the generated code is the same in every step and is compiled once.
 
 The exact likelihood of tied events (``ties="exact"``) has its own pass, see ``_exact_pass``.
@@ -84,9 +85,15 @@ def undeclared_levels(df: DataFrame, covariates: Sequence[Covariate]) -> DataFra
 BITS = 62
 
 
-def bit(i: int) -> Column:
-    """Covariate ``i`` of a pattern, 0 or 1."""
-    return F.shiftright(F.col(f"m{i // BITS}"), i % BITS).bitwiseAND(F.lit(1).cast("bigint"))
+def bit(i: int) -> str:
+    """SQL of covariate ``i`` of a pattern, 0 or 1. The passes are written as text: a few terms make hundreds of expressions,
+    which as Column objects take a call to the driver's JVM each."""
+    return f"(shiftright(m{i // BITS}, {i % BITS}) & 1L)"
+
+
+def _sum_of_bits(value: str, name: str, p: int) -> list[Column]:
+    """Sums of ``value`` over the rows that have each covariate."""
+    return [F.expr(f"sum({value} * {bit(i)}) AS {name}{i}") for i in range(p)]
 
 
 def _masks(p: int) -> list[str]:
@@ -104,18 +111,18 @@ def _patterns(df: DataFrame, time: str, event: str, covariates: Sequence[Covaria
     return keep(packed.groupBy(*packed.columns).agg(F.count(F.lit(1)).alias("k"))), terms
 
 
-def _constant(spark: SparkSession, values: np.ndarray) -> Column:
-    """An array as the value of a scalar subquery."""
-    return spark.range(1).select(F.lit([float(v) for v in values]).cast("array<double>").alias("v")).scalar()
+def _constants(spark: SparkSession, **arrays: np.ndarray) -> Column:
+    """Arrays as the fields of one scalar subquery's value."""
+    fields = [F.lit([float(v) for v in values]).cast("array<double>").alias(name) for name, values in arrays.items()]
+    return spark.range(0, 1, 1, 1).select(F.struct(*fields).alias("c")).scalar()
 
 
-def _weighted(patterns: DataFrame, beta: np.ndarray) -> DataFrame:
-    """The patterns with ``w``, their members times their relative risk."""
-    score = F.lit(0.0)
-    if len(beta):
-        coef = _constant(patterns.sparkSession, np.where(beta == beta, beta, 0.0))
-        score = reduce(lambda a, b: a + b, (F.get(coef, F.lit(i)) * bit(i) for i in range(len(beta))))
-    return patterns.select("t", "e", *_masks(len(beta)), (F.col("k") * F.exp(score)).alias("w"))
+def _weighted(patterns: DataFrame, beta: np.ndarray, share: str = "1", **arrays: np.ndarray) -> DataFrame:
+    """The patterns with ``w``, their members times their relative risk, and times ``share``: SQL that may use ``arrays`` as fields of c."""
+    p = len(beta)
+    c = _constants(patterns.sparkSession, b=np.where(beta == beta, beta, 0.0), **arrays)
+    score = " + ".join(["0.0D", *(f"c.b[{i}] * {bit(i)}" for i in range(p))])
+    return patterns.select("t", "e", "k", *_masks(p), c.alias("c")).selectExpr("t", "e", *_masks(p), f"k * exp({score}) * {share} AS w")
 
 
 @dataclass
@@ -128,8 +135,7 @@ class _Events:
 
 
 def _events(patterns: DataFrame, p: int) -> _Events:
-    sums = [F.sum(F.col("k") * F.col("e") * bit(i)).alias(f"d{i}") for i in range(p)]
-    rows = patterns.groupBy("t").agg(F.sum(F.col("k") * F.col("e")).alias("d"), *sums).collect()  # one per day
+    rows = patterns.groupBy("t").agg(F.sum(F.col("k") * F.col("e")).alias("d"), *_sum_of_bits("k * e", "d", p)).collect()  # one per day
     rows.sort(key=lambda r: r["t"])
     return _Events(np.array([r["t"] for r in rows]), np.array([r["d"] for r in rows], dtype=float),
                    np.array([[r[f"d{i}"] for i in range(p)] for r in rows], dtype=float).reshape(len(rows), p))
@@ -141,7 +147,7 @@ class _Sums:
 
     loglik: float
     score: np.ndarray
-    mean_outer: np.ndarray
+    mean_outer: np.ndarray     # or the information itself, where no second pass is needed
     share_all: np.ndarray      # sum over ties of 1 / denominator
     share_tied: np.ndarray     # sum over ties of (l / d) / denominator
 
@@ -189,7 +195,7 @@ def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, tie_sums
     """Weighted sums per day and event status."""
     p, days = len(beta), events.days
     coef = np.where(beta == beta, beta, 0.0)
-    sums = [F.sum("w").alias("s"), *(F.sum(F.col("w") * bit(i)).alias(f"s{i}") for i in range(p))]
+    sums = [F.sum("w").alias("s"), *_sum_of_bits("w", "s", p)]
     total = np.zeros((2 * len(days), p + 1))
     for r in _weighted(patterns, beta).groupBy("t", "e").agg(*sums).collect():           # <= 2 x days rows of p + 1 numbers
         total[2 * np.searchsorted(days, r["t"]) + r["e"]] = r[2:]
@@ -209,21 +215,45 @@ def _first_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, tie_sums
     return _Sums(loglik, score, outer, share_all, share_tied)
 
 
+def _one_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, tie_sums: Callable[[int, float, float], np.ndarray]) -> _Sums:
+    """Both passes in one: weighted cross products per day and event status, of the covariates and a constant one, whose row
+    holds the plain sums."""
+    p, days = len(beta), events.days
+    coef = np.where(beta == beta, beta, 0.0)
+    terms = ["1L", *map(bit, range(p))]
+    held = _weighted(patterns, beta).selectExpr("t", "e", "w", *_masks(p), f"posexplode(array({', '.join(terms)})) AS (i, held)").where("held = 1")
+    cross = np.zeros((len(days), 2, p + 1, p + 1))
+    for r in held.groupBy("t", "e", "i").agg(F.sum("w").alias("s"), *_sum_of_bits("w", "s", p)).collect():    # <= 2 x days x p rows
+        cross[np.searchsorted(days, r["t"]), r["e"], r["i"]] = r[3:]
+    tied = cross[:, 1]
+    risk = cross.sum(axis=1)[::-1].cumsum(axis=0)[::-1]
+    loglik, score, info = 0.0, np.zeros(p), np.zeros((p, p))
+    for i in np.nonzero(events.d)[0]:
+        logs, u0, u1, v0, v1, v2 = tie_sums(int(events.d[i]), risk[i, 0, 0], tied[i, 0, 0])
+        r, t = risk[i, 0, 1:], tied[i, 0, 1:]
+        loglik += float(events.dx[i] @ coef) - float(logs)
+        score += events.dx[i] - (u0 * r - u1 * t)
+        info += u0 * risk[i, 1:, 1:] - u1 * tied[i, 1:, 1:] - (v0 * np.outer(r, r) - v1 * (np.outer(r, t) + np.outer(t, r)) + v2 * np.outer(t, t))
+    return _Sums(loglik, score, info, np.zeros(0), np.zeros(0))
+
+
+# Most numbers that the driver gets per step.
+CROSS_NUMBERS = 1 << 22
+
+
 def _second_pass(patterns: DataFrame, beta: np.ndarray, events: _Events, sums: _Sums) -> np.ndarray:
     """Information matrix. A member counts for every event day up to its own time; a tied event
     gives back the part Efron's correction takes off on its day."""
-    p, spark = len(beta), patterns.sparkSession
+    p = len(beta)
     if not p:
         return np.zeros((0, 0))
     first, span = int(events.days[0]), int(events.days[-1] - events.days[0]) + 1         # arrays over all days of the follow-up
     upto, tied = np.zeros(span), np.zeros(span)
     upto[events.days - first], tied[events.days - first] = np.cumsum(sums.share_all), sums.share_tied
-    at = F.col("t") - first
-    share = F.get(_constant(spark, upto), at) - F.col("e") * F.get(_constant(spark, tied), at)
-    shared = _weighted(patterns, beta).select(*_masks(p), (F.col("w") * share).alias("w"))
-    per_term = shared.select(F.posexplode(F.array(*map(bit, range(p)))).alias("i", "on"), *_masks(p), "w").where("on = 1")
+    shared = _weighted(patterns, beta, f"(c.upto[t - {first}] - e * c.tied[t - {first}])", upto=upto, tied=tied)
+    per_term = shared.selectExpr(f"posexplode(array({', '.join(map(bit, range(p)))})) AS (i, held)", *_masks(p), "w").where("held = 1")
     info = np.zeros((p, p))
-    for r in per_term.groupBy("i").agg(*(F.sum(F.col("w") * bit(j)).alias(f"s{j}") for j in range(p))).collect():      # p rows of p numbers
+    for r in per_term.groupBy("i").agg(*_sum_of_bits("w", "s", p)).collect():      # p rows of p numbers
         info[r["i"]] = r[1:]
     return info - sums.mean_outer
 
@@ -324,6 +354,8 @@ def _step(patterns: DataFrame, events: _Events, ties: str) -> tuple[Callable, Ca
             return _Sums(loglik, score, info, np.zeros(0), np.zeros(0))
         return sums, lambda beta, s: s.mean_outer
     tie_sums = _tie_sums if ties == "efron" else _same_risk
+    if 2 * len(events.days) * (events.dx.shape[1] + 1) ** 2 <= CROSS_NUMBERS:
+        return (lambda beta: _one_pass(patterns, beta, events, tie_sums)), lambda beta, s: s.mean_outer
     return (lambda beta: _first_pass(patterns, beta, events, tie_sums)), (lambda beta, s: _second_pass(patterns, beta, events, s))
 
 
@@ -404,7 +436,7 @@ def _log_risk(beta: np.ndarray) -> Column:
     score = F.lit(0.0)
     for i, b in enumerate(beta):
         if b != 0.0 and not math.isnan(b):
-            score = score + bit(i) * F.lit(float(b))
+            score = score + F.expr(bit(i)) * F.lit(float(b))
     return score
 
 
@@ -498,7 +530,7 @@ def cox_glance(spark: SparkSession, fit: CoxFit) -> DataFrame:
 
 def level_counts(fit: CoxFit) -> DataFrame:
     """Members per level of every covariate in the model, reference levels included."""
-    sums = [F.sum(F.col("k") * bit(i)).alias(f"x{i}") for i in range(len(fit.terms))]
+    sums = _sum_of_bits("k", "x", len(fit.terms))
     parts, i = [], 0
     for no, cov in enumerate(fit.covariates, 1):
         cols = [F.col(f"x{i + j}") for j in range(len(cov.levels) - 1)]

@@ -348,3 +348,12 @@ def test_more_terms_than_one_number_holds(spark):
     ll, u, info = efron(t, e, x, fit.beta)
     assert fit.loglik == pytest.approx(ll, abs=1e-8) and np.abs(u).max() < 1e-4
     assert fit.se == pytest.approx(np.sqrt(np.diag(np.linalg.inv(info))), rel=1e-6)
+
+
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_one_pass_and_two_give_the_same_fit(spark, monkeypatch, ties):
+    df = spark.createDataFrame(random_members(300, 3), SCHEMA)
+    one = cox.cox_ph(df, "time", "event", COVS, ties=ties)
+    monkeypatch.setattr(cox, "CROSS_NUMBERS", 0)
+    two = cox.cox_ph(df, "time", "event", COVS, ties=ties)
+    assert one.loglik == pytest.approx(two.loglik, abs=1e-9) and one.beta == pytest.approx(two.beta, abs=1e-9) and one.se == pytest.approx(two.se, abs=1e-9)
