@@ -9,8 +9,9 @@ at the threshold or above are linked, and connected components are the clusters.
 stays (smallest document, then place), the others are candidates. Each is extended by the words beside it that are
 the same beside the kept occurrence, so too short paragraphs and parts of clauses that merge with a host's words
 belong to it. Runs that belong to one kept passage are joined over edited words between them, if the whole has
-the Jaccard likeness of the threshold. A run of matched words is removed if it has ``least_words`` words or more; single short sentences that
-texts share by chance stay, and so does every word that the kept occurrence does not have at that place.
+the Jaccard likeness of the threshold and the edit is small: at most EDIT words, and at most SLACK more than the kept passage has
+at that place. A run of matched words is removed if it has ``least_words`` words or more; single short sentences that
+texts share by chance stay, and so does every word that the kept occurrence does not have at that place, but for such edits.
 
 Equal paragraphs are one node, whatever their number, and what a task finds in a bucket is sent on as stars; no bucket,
 cluster or document is gathered beyond a bounded unit. Null texts count as empty and stay as they are. Rows that share
@@ -43,6 +44,8 @@ TILE = 512
 BLOOM_WORDS = 1 << 20                                      # 8 MB, whatever the number of entries
 LONG = 24
 CUT = 8
+EDIT = 8                                                   # words of its own that a copy may have between two matched runs
+SLACK = 2                                                  # of them beyond those that the kept passage has there
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -349,9 +352,10 @@ class _Run:
     tail: tuple
 
     def bridged(self, after: _Run, similarity: float) -> _Run | None:
-        """Both runs with what lies between, if that stands between them in the kept text too and all is alike."""
+        """Both runs with what lies between, if that is a small edit of what stands between them in the kept text, and all is alike."""
         gap = after.start + after.head[1] - self.stop - self.tail[1]
-        if self.tail[0] is None or self.tail[0] != after.head[0] or gap < 0:
+        own = after.start - self.stop
+        if self.tail[0] is None or self.tail[0] != after.head[0] or gap < 0 or own > min(EDIT, gap + SLACK):
             return None
         both = _Run(self.start, after.stop, self.matched + after.matched, self.others + gap + after.others,
                     self.shared + after.shared, self.head, after.tail)
