@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlib.operators import cleaning, cohort, cox, reshape
-from cohortlib.session import new_stage_dir, tune
+from cohortlib.session import COHORT, new_stage_dir, tune
 from cohortlib.sources.extract import read_stage, write_bucketed, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
 from cohortlib.spec import MEMBER, RunSpec
@@ -27,7 +27,7 @@ class Study:
     def __init__(self, spark: SparkSession, inputs: CohortInputs | None, spec: RunSpec, twin: Study | None = None):
         """``twin`` is a study of the same tables; relations it has computed are not computed again."""
         self.twin = twin
-        self.spark, self.given, self.spec = tune(spark), inputs, spec
+        self.spark, self.given, self.spec = tune(spark, COHORT), inputs, spec
         self.stage_dir = new_stage_dir(spark)
         self.fits: dict[tuple[str, ...], cox.CoxFit] = {}
         self.tables: list[str] = []

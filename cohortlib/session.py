@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,12 @@ TUNING = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+# Options of a cohort run.
+COHORT = {
     # Keys of a cohort reduce the fact table before it is shuffled, also where they are too many to be broadcast: up to 2^30 bits
     # (128 MB) of a Bloom filter, built from a side of at most 16 GB for a fact table of 1 GB and more.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
@@ -22,13 +29,12 @@ TUNING = {
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
     "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "100000000",
     "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "1073741824",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+def tune(spark: SparkSession, more: Mapping[str, str] | None = None) -> SparkSession:
     """Set the runtime options the operators count on (all are per-session SQL options)."""
-    for key, value in TUNING.items():
+    for key, value in {**TUNING, **(more or {})}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

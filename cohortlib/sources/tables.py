@@ -88,7 +88,7 @@ def load_inputs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> CohortInputs
         own = keep("own_orders", _orders(raw).join(index.select("member"), "member", "left_semi"))
         begun = F.col("l_shipdate") < _day(lines, "l_shipdate", latest)
         lasting = (F.col("l_quantity") >= OPEN_QUANTITY) | (F.col("l_shipdate") >= _day(lines, "l_shipdate", earliest - timedelta(days=OPEN_QUANTITY)))
-        # The order keys of the index members are a table of known size: they are broadcast, or (TUNING) a Bloom filter of them
+        # The order keys of the index members are a table of known size: they are broadcast, or (session.COHORT) a Bloom filter of them
         # reduces the lines before these are shuffled. Their range reaches the scan of the lines, and the planner makes
         # a Bloom filter only of a table with such a predicate.
         low, high = own.agg(F.min("auth"), F.max("auth")).first()
