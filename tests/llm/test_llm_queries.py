@@ -37,7 +37,7 @@ def test_against_sql(spark, con, name):
 
 def test_one_query_for_each_operator():
     names = entry_points.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
 
