@@ -12,11 +12,17 @@ have neither level nor position. Dependencies on calls that the conversation doe
 An identifier used again counts in n_calls or n_results, and the smallest call (by turn, name, arguments) or
 result stands for all, so repeated rows never multiply. Results without a call stay, without name, level and verdict.
 Rows without a conversation or identifier cannot be linked and are left out.
+
+Arguments are JSON as RFC 8259 has it: NaN, infinities and numbers beyond a double are "arguments are not JSON", and so is
+what nests deeper than ``DEPTH``; such arguments are written as the text they came as. A lone surrogate, which UTF-8 cannot hold, is
+written as its escape.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +35,7 @@ from cohortlib.llm.helpers import running_totals, runs, stage
 
 LARGE = 10_000
 BLOCK = 100_000                                            # calls of large conversations that one task orders
+DEPTH = 200                                                # levels of arrays and objects in arguments
 _MOST_FRAMES = 16
 #: Tools of plain conversations: the fields of their arguments and what each must be.
 SCHEMAS = {
@@ -40,14 +47,52 @@ SCHEMAS = {
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL)
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("beyond a double")
+    return value
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def _depth(text: str) -> int:
+    """How deep arrays and objects nest; brackets inside of strings do not count."""
+    deepest = level = 0
+    for found in _BRACKETS.finditer(text):
+        level += {"[": 1, "{": 1, "]": -1, "}": -1}.get(found.group(), 0)
+        deepest = max(deepest, level)
+    return deepest
+
+
+def parsed(text: str):
+    """The value of a JSON text; ValueError for all that is not JSON or cannot be written as such again."""
+    if text.count("[") + text.count("{") > DEPTH and _depth(text) > DEPTH:
+        raise ValueError("nested too deep")
+    return json.loads(text, parse_float=_finite, parse_int=_whole, parse_constant=_refused)
+
+
+def _whole(text: str) -> int:
+    """Whole numbers within the range of a double, exact."""
+    _finite(text)
+    return int(text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", out)
 
 
 def first_error(name: str | None, arguments: str | None, schemas: dict) -> tuple[str | None, object]:
     """What is wrong with a call first (tool, JSON, then fields in the order of their names), and the parsed arguments."""
     try:
-        value = json.loads(arguments) if arguments is not None else None
+        value = parsed(arguments) if arguments is not None else None
     except ValueError:
         return "arguments are not JSON", arguments
     if name not in schemas:
@@ -236,7 +281,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, large: i
                     whole |= {"name": name, "arguments": value}
                 if n_results:
                     whole["result"] = content
-                out.append((None if not n_calls else error is None, error, canonical(whole)))
+                out.append((None if not n_calls else error is None, error and _LONE.sub("\ufffd", error), canonical(whole)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.string()),
                  pa.array([o[2] for o in out], pa.string())], [*names, "valid", "error", "json"])

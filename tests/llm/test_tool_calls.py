@@ -92,5 +92,22 @@ def test_plain_conversations(spark):
                    "call-1-4": ("ask", 0, 2, 0, "text: missing"), "call-2--1": (None, None, 0, 1, None), "call-4-1": ("ask", 0, 1, 0, "text: too long")}
 
 
+def test_arguments_that_are_hard_to_write(spark):
+    deep, flat = "[" * 100_000 + "]" * 100_000, '{"a": 1, "z": "' + "[{" * 5_000 + '"}'
+    texts = ['{"a": "\\ud800"}', deep, '{"a": NaN}', '{"a": -Infinity}', '{"a": 1e400}', '{"a": ' + "9" * 5_000 + "}", '{"\\udc00": 1}', flat,
+             '{"a": ' + "[" * 199 + "]" * 199 + "}", "", '{"a": 1E2, "b": 12345678901234567890}', '{"a": "\\ud83d\\ude00"}']
+    calls = spark.createDataFrame([(1, i, f"c{i:02d}", "add", t, []) for i, t in enumerate(texts)], CALLS)
+    got = sorted(tc.link(calls, spark.createDataFrame([], RESULTS), SCHEMAS).collect(), key=lambda r: r.turn)
+    no = "arguments are not JSON"
+    assert [r.error for r in got] == ["a: not a number", no, no, no, no, no, "a: missing", "z: unknown field", "a: not a number", no, None,
+                                      "a: not a number"]
+    assert [json.loads(r.json, parse_constant=pytest.fail)["arguments"] for r in got if r.error == no] == [t for t in texts if t in
+            (deep, '{"a": NaN}', '{"a": -Infinity}', '{"a": 1e400}', texts[5], "")]
+    assert got[0].json == '{"arguments":{"a":"\\ud800"},"id":"c00","name":"add"}'
+    assert got[6].json.startswith('{"arguments":{"\\udc00":1}')
+    assert got[10].json.startswith('{"arguments":{"a":100.0,"b":12345678901234567890}')
+    assert "\U0001f600" in got[11].json
+
+
 def test_empty_tables(spark):
     assert tc.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
