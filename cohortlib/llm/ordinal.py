@@ -36,8 +36,8 @@ RATE = 0.05
 PENALTY = 2e-4
 PREFIX = 5
 SHAPES = 64                                                # buckets beside the words', for marks and cases
-LEAST = 5                                                  # sampled texts that a feature must be in
-TIED = 30.0                                                # least chi-square between a feature and the grades
+LEAST = 5                                                  # sampled texts that a feature must be in, or an eighth of all
+TIED = 30.0                                                # least chi-square between a feature and the grades, or a quarter of the texts
 LIMIT = 0.5
 BLOCK_BYTES = 4 << 20
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -122,7 +122,7 @@ def fit(raws: list[bytes], grades: np.ndarray, levels: int = GRADES, steps: int
     total = seen.sum(axis=0)
     usual = total[None, :] * (np.bincount(grades, minlength=levels) / len(grades))[:, None]
     tied = ((seen - usual) ** 2 / np.maximum(usual, 1e-9)).sum(axis=0)
-    often = (total >= LEAST) & (tied >= TIED)
+    often = (total >= min(LEAST, len(grades) / 8)) & (tied >= min(TIED, len(grades) / 4))
     known = often[columns]                                 # all others keep weight zero
     place = np.cumsum(often) - 1
     columns, rows, width = place[columns[known]], rows[known], int(often.sum())

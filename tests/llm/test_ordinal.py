@@ -64,3 +64,35 @@ def test_no_ratings_and_no_documents(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [r.kept for r in ordinal.select(docs([(1, "a"), (2, None)]), none).collect()] == [True, True]
     assert ordinal.select(empty, none).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 40, 200])
+def test_few_ratings(n):
+    raws = [f"{'awful bad junk' if i % 2 else 'fine good work'} text{i}".encode() for i in range(n)]
+    grades = np.array([0 if i % 2 else 2 for i in range(n)])
+    good = ordinal.fit(raws, grades).at_least([b"fine good work", b"awful bad junk"])[:, 1]
+    assert good[0] > 0.6 and good[1] < 0.4
+
+
+def plain_loss(model, raws, grades, penalty):
+    """Mean negative log likelihood of the grades, one text at a time, and the ridge penalty."""
+    total = 0.0
+    for raw, grade in zip(raws, grades, strict=True):
+        tail = [1.0, *model.at_least([raw])[0], 0.0]
+        total -= np.log(tail[grade] - tail[grade + 1])
+    return total / len(raws) + penalty / 2 * (model.weights ** 2).sum()
+
+
+def test_fit_is_the_likelihood_maximum():
+    raws, grades = sample(4, 60)
+    model = ordinal.fit(raws, grades, steps=3000)
+    best = plain_loss(model, raws, grades, ordinal.PENALTY)
+    rng = np.random.default_rng(0)
+    used = np.flatnonzero(model.weights)
+    for size in (0.01, 0.05):
+        for _ in range(10):
+            weights = model.weights.copy()
+            weights[used] += size * rng.standard_normal(len(used))
+            thresholds = model.thresholds + size * rng.standard_normal(2)
+            moved = ordinal.Model(weights, np.sort(thresholds), True)
+            assert plain_loss(moved, raws, grades, ordinal.PENALTY) > best - 1e-6
