@@ -284,7 +284,7 @@ def candidates(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     nodes = stage(nodes.unionByName(tops).distinct(), "clusters")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "number").alias("place")
     held = contexts(docs, nodes).join(nodes, "paragraph").select("cluster", place, "at", "size", "before", "after")
-    held = stage(held.dropDuplicates(["cluster", "place"]), "clustered")
+    held = stage(held, "clustered")                        # repeated rows are equal here, and one entry of the sets below
     first = stage(held.groupBy("cluster").agg(F.min(F.struct("place", "at", "size", "before", "after")).alias("first")), "kept_paragraphs")
     out = held.join(first, "cluster").where(F.col("place") != F.col("first.place"))
 
