@@ -13,7 +13,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlib.llm import bpe, host_rules, mixing, near_copies, paragraphs
+from cohortlib.llm import bpe, host_rules, mixing, paragraphs, simhash
 from cohortlib.llm.helpers import delete, documents, n_written, prepare, stage, written_since
 
 #: Words by runs of several matches, positions by a schedule and byte merges have no form in SQL; the run is tested
@@ -50,8 +50,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group whose SimHashes (three words, two bits) link: the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 @_stage
