@@ -8,8 +8,7 @@ import numpy as np
 import pytest
 from test_host_rules import measures, verdicts
 from test_mixing import size, water
-from test_near_copies import likeness, shingles
-from test_simhash import roots
+from test_simhash import groups, slow_fingerprint
 
 import corpus_pipeline
 from cohortlib.llm import paragraphs as pg
@@ -40,19 +39,15 @@ def test_quality_rules(tables):
 
 
 def test_near_duplicates(tables):
-    """Five words, likeness of 0.8 and more, by all pairs that share a shingle."""
+    """Three words and two bits, by all pairs; of each group the smallest id."""
     rows = tables[1][1]
-    sets = [shingles(r["text"]) for r in rows]
-    holders = defaultdict(list)
-    for i, found in enumerate(sets):
-        for x in found:
-            holders[x].append(i)
-    pairs = {(i, j) for held in holders.values() for i in held for j in held if i < j}
-    found = roots(range(len(rows)), [(i, j) for i, j in pairs if likeness(sets[i], sets[j]) >= 0.8])
+    found = groups([slow_fingerprint(r["text"]) for r in rows])
     low = {}
     for i, r in enumerate(rows):
         low[found[i]] = min(low.get(found[i], r["doc_id"]), r["doc_id"])
-    assert sorted(r["doc_id"] for r in tables[2][1]) == sorted(low.values())
+    assert sorted(r["doc_id"] for r in tables[2][1]) == sorted(low.values()) and len(low) < len(rows)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert all(texts[r["doc_id"]] == r["text"] for r in tables[2][1])
 
 
 def windows(words, n):

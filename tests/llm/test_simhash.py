@@ -116,6 +116,15 @@ def test_keep_one_of_null_and_repeated_ids(docs):
     assert got == sorted([(-1, texts[0]), (-1, texts[1]), (-1, texts[2]), (5, texts[3]), (5, texts[4]), (9, texts[5])])
 
 
+def test_very_long_texts(docs):
+    rnd = random.Random(12)
+    long = " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(9999)}" for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "short one here")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(rows)).collect()}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{slow_fingerprint(t):016x}" for i, t in rows}
+    assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).columns == empty.columns
