@@ -169,3 +169,20 @@ def additional_services(long: DataFrame, denominator: Column, spec: RunSpec) ->
 def members_in(long: DataFrame) -> DataFrame:
     """Rows and distinct members of a long table."""
     return long.agg(row_count().alias("n_rows"), F.count_distinct(MEMBER).alias("n_members"))
+
+
+SKETCH_BITS = 12                                           # 4,096 registers
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)               # relative standard error of an estimate from united sketches
+
+
+def member_sketches(long: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Rows and a HyperLogLog sketch of the members of each combination of ``dims``. Written once, the sketches answer
+    distinct counts over any coarser grouping without another look at the lines; a sketch has a few KB at any size."""
+    return long.groupBy(*dims).agg(row_count().alias("n_rows"), F.hll_sketch_agg(F.col(MEMBER), SKETCH_BITS).alias("sketch"))
+
+
+def estimated_members(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows and estimated distinct members by some of the sketches' dimensions: sketches are united, members counted in several
+    of them count once. The standard error is ``SKETCH_ERROR`` of the count; rows are exact."""
+    return sketches.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"),
+                                     F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_members_estimated"))

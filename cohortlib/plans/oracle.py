@@ -367,6 +367,8 @@ def _cleaning() -> dict[str, str]:
                 count(*) FILTER (WHERE LOS = 0) AS short_stays FROM (SELECT DISTINCT * EXCLUDE ({DIMS}, Day_Count, RaceEthnic_Label) FROM started)"""),
             f"level_list_{name}": _sql(spec, levels),
             f"table_sizes_{name}": _sql(spec, "SELECT count(*) AS n_rows, count(DISTINCT Client_Master_BK) AS n_members FROM tidy"),
+            f"estimated_members_{name}": _sql(spec, "SELECT BA_Category, Measure_Name, count(*) AS n_rows, "
+                                              "count(DISTINCT Client_Master_BK) AS n_members, TRUE AS within_bound FROM tidy GROUP BY ALL"),
         }
     out["age_level_order"] = _sql(ADULT, f"SELECT DISTINCT AgeCat, {_level('AgeCat', ADULT.age_cat.labels)} AS AgeCat_key FROM people")
     return out

@@ -87,6 +87,16 @@ def _found_columns(st: Study) -> DataFrame:
     return reshape.wide_days(st.long, fewer, found).select(MEMBER, *found)
 
 
+def _estimated_members(st: Study) -> DataFrame:
+    """Members of each measure, from the sketches of its periods and levels of care, beside the exact count."""
+    by = ["BA_Category", "Measure_Name"]
+    exact = st.long.groupBy(*by).agg(F.count_distinct(MEMBER).alias("n_members"))
+    found = utilization.estimated_members(st.sketches, by)
+    off = F.abs(F.col("n_members_estimated") - F.col("n_members"))
+    return found.join(exact, [found[c].eqNullSafe(exact[c]) for c in by]).select(
+        *(found[c] for c in by), "n_rows", "n_members", (off <= F.ceil(4 * utilization.SKETCH_ERROR * F.col("n_members"))).alias("within_bound"))
+
+
 def _typed_lines(clean: DataFrame) -> DataFrame:
     return clean.select(
         "AuthorizationNumber", MEMBER, "ServiceBegin", "ServiceEnd", "Gender_Label", "RaceEthnic_Label", "Age",
@@ -139,6 +149,7 @@ def _cleaning() -> dict[str, Query]:
             f"level_list_{name}": _query(spec, lambda st: cleaning.level_list(
                 st.long, ["Measure_Name", "Measure_Period", "LOC", "FirstEpEver", "Flag_Readmit"])),
             f"table_sizes_{name}": _query(spec, lambda st: utilization.members_in(st.long)),
+            f"estimated_members_{name}": _query(spec, _estimated_members),
         }
     out["age_level_order"] = _query(ADULT, lambda st: cleaning.as_category(
         st.members, "AgeCat", st.spec.age_cat.labels).select("AgeCat", "AgeCat_key").distinct())

@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.operators import cleaning, cohort, cox, reshape
+from cohortlib.operators import cleaning, cohort, cox, reshape, utilization
 from cohortlib.session import COHORT, new_stage_dir, tune
 from cohortlib.sources.extract import read_stage, write_bucketed, write_stage
 from cohortlib.sources.tables import CohortInputs, load_inputs
@@ -123,6 +123,11 @@ class Study:
     def members(self) -> DataFrame:
         return self._bucketed("members", cleaning.member_table(self.long), MEMBER)
 
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Sketches of the members of every measure, period and level of care, kept beside the staged lines."""
+        return self._staged("sketches", utilization.member_sketches(self.long))
+
     @cached_property
     def wide(self) -> DataFrame:
         """One row per member with a column for each measure, period and level of care; levels of care that are not declared get one too."""
