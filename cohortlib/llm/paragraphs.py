@@ -38,7 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 LEAST_WORDS = 25
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20                                      # its arrays take some fifty times as much
 HOT = 1 << 12
 TILE = 512
 BLOOM_WORDS = 1 << 20                                      # 8 MB, whatever the number of entries
