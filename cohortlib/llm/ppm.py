@@ -5,10 +5,11 @@ how often each byte followed each context. A byte is predicted in the longest co
 there costs an escape (method D: each distinct byte of a context gives half a count to its escape) to the context one
 byte shorter, in which the bytes already ruled out are excluded. Below the empty context all bytes left are equally likely.
 
-Counting covers all training texts: tasks count whole grams of ORDER + 1 bytes, Spark adds them up, and counts of
-shorter grams are their margins. The trie keeps grams with at least 1/NODES of all counted bytes, at every size of the
-corpus, so it has at most NODES grams of each length, which bounds what is broadcast; what is cut off counts
-as escapes. Because a gram is never more frequent than its suffix, the trie is closed under suffixes.
+The trie is a set of tables, one for the grams and one for the contexts of each length, and holds every gram of the
+training texts: it grows with the corpus and nothing of it is broadcast. Texts are dealt into blocks; a block's distinct
+grams of ORDER + 1 bytes are counted in its task and written beside its texts. Spark adds the counts up, finds the log
+probability of each distinct gram by joins along the escapes, and sends it to the blocks that have the gram, where
+the texts wait for it. A block ends at ``BLOCK_BYTES`` of text or ``MOST_HELD`` distinct grams, whatever the corpus.
 
 Beside it stands the base score: an add-one word unigram model with exact counts of all training words. Words with at
 least 1/FREQUENT of all tokens (so at most FREQUENT words) are looked up in a broadcast table; all others meet their counts in a join.
@@ -21,21 +22,21 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlib.llm.helpers import chunks, fold, raw_text, stage
+from cohortlib.llm.helpers import chunks, fold, partitions, raw_text, stage
 
 ORDER = 6                                                  # at most 6: a gram of ORDER + 1 bytes must stay below 2**63
-NODES = 1 << 20
 FREQUENT = 1 << 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 32 << 20
+MOST_HELD = 1 << 22
+PIECE_BYTES = 4 << 20                                      # sorted at once
 COUNT_BYTES = 8 << 20
 HALF = 0.5                                                 # of a count goes to the escape, for each distinct byte
 END = 10                                                   # no word contains a line feed
@@ -61,165 +62,133 @@ def pack(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[last], starts
 
 
-def gram_counts(texts: DataFrame, order: int = ORDER, block_bytes: int = COUNT_BYTES) -> DataFrame:
-    """gram, n: counts of all grams of order + 1 bytes; ``texts`` has one column of raw bytes."""
+def merged(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of grams with their counts as one."""
+    if not len(grams):
+        return more, n
+    both = np.concatenate((grams, more))
+    at = np.argsort(both, kind="stable")
+    both, n = both[at], np.concatenate((counts, n))[at]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[first], np.add.reduceat(n, first)
+
+
+def dealt(rows: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD,
+          piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """block, row, doc_id, held_out, raw for each text (normalised), and block, gram, n for each distinct gram of a block.
+
+    ``rows`` has doc_id, raw, held_out; ``n`` counts the gram in the block's training texts and may be 0."""
+    names = ["block", "row", "doc_id", "held_out", "raw", "gram", "n"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for block in chunks(batches, "raw", block_bytes):
-            grams, _ = pack([normal(t) for t in block.column("raw").to_pylist()], order)
-            found, n = np.unique(grams, return_counts=True)
-            if len(held):
-                both = np.concatenate((held, found))
-                at = np.argsort(both, kind="stable")
-                both, n = both[at], np.concatenate((counts, n))[at]
-                first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-                held, counts = both[first], np.add.reduceat(n, first)
-            else:
-                held, counts = found, n
-            if len(held) > _MOST_HELD:                     # bounded memory, whatever the task reads
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], ["gram", "n"])
-                held, counts = held[:0], counts[:0]
-        for i in range(0, len(held), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(held[i:i + (1 << 16)]), pa.array(counts[i:i + (1 << 16)])], ["gram", "n"])
-
-    return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-_MOST_HELD = 1 << 22
-
-
-@dataclass
-class Trie:
-    """Sorted grams and contexts of each length, with the logarithms that scoring adds up.
-
-    ``grams[n]`` are grams of n bytes (1 .. order + 1), ``log_count[n]`` and ``top[n]`` the log of their count less what
-    went to the escape, and their log probability in a context that nothing was excluded from. ``contexts[n]`` are contexts of n bytes; for each,
-    ``escape[n]`` is the log escape without exclusion, ``chain[n]`` the sum of log escapes from the next shorter
-    context down to the empty one (each with the exclusions of the context above it), ``below[n]`` the log
-    denominator in the next shorter context, and ``shorter[n]`` that context's place. ``none`` is the log probability of
-    a byte that even the empty context lacks."""
-
-    order: int
-    grams: list[np.ndarray]
-    log_count: list[np.ndarray]
-    top: list[np.ndarray]
-    contexts: list[np.ndarray]
-    escape: list[np.ndarray]
-    chain: list[np.ndarray]
-    below: list[np.ndarray]
-    shorter: list[np.ndarray]
-    none: float
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-    """A trie from (gram, count, total of its context) of the kept grams of 1, 2, .. order + 1 bytes."""
-    order = len(levels) - 1
-    grams, log_count, top, contexts, escape, chain, below, shorter = ([] for _ in range(8))
-    grams.append(np.empty(0, np.int64)), log_count.append(np.empty(0)), top.append(np.empty(0))
-    totals_of, distinct_of, counts_of = [], [], []
-    for n, (gram, count, total) in enumerate(levels):      # contexts of n bytes
-        at = np.argsort(gram)
-        gram, count, total = gram[at], count[at].astype(float), total[at].astype(float)
-        context = gram & ((1 << (8 * n)) - 1)
-        by = np.argsort(context, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], context[by][1:] != context[by][:-1]))) if len(by) else np.empty(0, np.int64)
-        names, totals = context[by][first], total[by][first]
-        kept = np.add.reduceat(count[by], first) if len(first) else np.empty(0)
-        distinct = np.diff(np.append(first, len(by))).astype(float)
-        place = np.searchsorted(names, context)
-        grams.append(gram), log_count.append(np.log10(count - HALF)), contexts.append(names)
-        top.append(np.log10((count - HALF) / totals[place]))
-        escape.append(np.log10((totals - kept + HALF * distinct) / totals))
-        if n:
-            low = counts_of[-1][np.searchsorted(grams[n], gram >> 8)]           # the same byte in the shorter context
-            excluded = np.add.reduceat(low[by], first) if len(first) else np.empty(0)
-            up = np.searchsorted(contexts[n - 1], names >> 8)
-            t, d, k = totals_of[-1][up], distinct_of[-1][up], totals_of[-1][up] - kept_before[up]
-            left = t - excluded                            # mass of the shorter context without the excluded bytes
-            out = k + HALF * (d - distinct)                # escapes among it
-            below.append(np.log10(np.where(left > 0, left, 1.0)))
-            step = np.log10(np.where((out > 0) & (left > 0), out / np.where(left > 0, left, 1.0), 1.0))
-            chain.append(step + (chain[-1][up] if n > 1 else 0.0))
-            shorter.append(up)
+        block = row = TaskContext.get().partitionId() << 33          # numbers that are fixed once the table is written
+        nothing = np.empty(0, np.int64)
+        grams, counts, size, types = nothing, nothing, 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(grams), 1 << 16):
+                part = grams[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), block)), *(pa.nulls(len(part), t) for t in types),
+                     pa.array(part), pa.array(counts[i:i + (1 << 16)])], names)
+
+        for piece in chunks(batches, "raw", piece_bytes):
+            texts = [normal(t) for t in piece.column("raw").to_pylist()]
+            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            told = [pa.array(np.arange(row, row + len(texts))), piece.column("doc_id"), piece.column("held_out"), pa.array(texts, pa.binary())]
+            types = [c.type for c in told]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), *told, pa.nulls(len(texts), pa.int64()),
+                                              pa.nulls(len(texts), pa.int64())], names)
+            row += len(texts)
+            for learns in (True, False):
+                if some := [t for t, h in zip(texts, held, strict=True) if h != learns]:
+                    found, n = np.unique(pack(some, order)[0], return_counts=True)
+                    grams, counts = merged(grams, counts, found, n if learns else np.zeros(len(found), np.int64))
+            size += sum(map(len, texts))
+            if size >= block_bytes or len(grams) >= most:
+                yield from close()
+                grams, counts, size, block = nothing, nothing, 0, block + 1
+        yield from close()
+
+    return stage(rows.select("doc_id", "raw", "held_out").mapInArrow(
+        run, f"block bigint, row bigint, doc_id {kind}, held_out boolean, raw binary, gram bigint, n bigint"), "dealt")
+
+
+def trie(counted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of the grams of 1, 2, .. order + 1 bytes (gram, n) and of the contexts of 0, 1, .. order bytes.
+
+    A context has its ``total`` and how many bytes are ``distinct`` in it; ``left`` and ``out`` are what the next shorter
+    context holds, and gives to its escape, without the bytes that this context has. Every gram's suffixes are
+    counted too, so a context's shorter ones are always there."""
+    levels = [counted.where("n > 0").select("gram", "n")]
+    for size in range(order, 0, -1):
+        levels.append(stage(levels[-1].groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n")), f"grams_{size}"))
+    levels.reverse()
+    contexts = []
+    for size, level in enumerate(levels):
+        here = level.withColumn("context", F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1)))
+        sums = [F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")]
+        if size == 0:
+            table = here.groupBy("context").agg(*sums).select("*", F.lit(0).cast("long").alias("left"), F.lit(0.0).alias("out"))
         else:
-            below.append(np.empty(0)), chain.append(np.zeros(len(names))), shorter.append(np.empty(0, np.int64))
-        totals_of.append(totals), distinct_of.append(distinct), counts_of.append(count)
-        kept_before = kept
-    unseen = 256 - len(grams[1])
-    return Trie(order, grams, log_count, top, contexts, escape, chain, below, shorter, -float(np.log10(max(unseen, 1))))
-
-
-def log_probabilities(trie: Trie, wanted: np.ndarray) -> np.ndarray:
-    """log10 probability of the newest byte of each gram (sorted, without repetition) in the context of the others."""
-    order, n = trie.order, len(wanted)
-    asked, of = np.unique(wanted & ((1 << (8 * order)) - 1), return_inverse=True)
-    depth, place = np.full(len(asked), -1), np.zeros(len(asked), np.int64)
-    open_ = np.arange(len(asked))
-    for size in range(order, -1, -1):                      # the longest context that the trie has
-        at, hit = _find(trie.contexts[size], asked[open_] >> (8 * (order - size)))
-        depth[open_[hit]], place[open_[hit]] = size, at[hit]
-        open_ = open_[~hit]
-    depth, place = depth[of], place[of]
-    found, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    open_ = np.arange(n)
-    for size in range(order + 1, 0, -1):                   # the longest gram that it has; 0: none
-        at, hit = _find(trie.grams[size], wanted[open_] >> (8 * (order + 1 - size)))
-        found[open_[hit]], where[open_[hit]] = size, at[hit]
-        open_ = open_[~hit]
-    out = np.full(n, trie.none if len(trie.grams[1]) else -float(np.log10(256)))
-    for d in range(order + 1):
-        mine = np.flatnonzero(depth == d)
-        if not len(mine):
-            continue
-        at, size = place[mine], found[mine]
-        whole = size == d + 1
-        out[mine[whole]] = trie.top[d + 1][where[mine[whole]]]
-        mine, at, size = mine[~whole], at[~whole], size[~whole]
-        total = trie.escape[d][at] + trie.chain[d][at]
-        for c in range(d, 0, -1):                          # size == c: the byte is in the context of c - 1 bytes
-            here = size == c
-            k = at[here]
-            total[here] += trie.log_count[c][where[mine[here]]] - trie.below[c][k] - trie.chain[c][k]
-            at = trie.shorter[c][at]
-        total[size == 0] += trie.none
-        out[mine] = total
-    return out
-
-
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
-
-
-def scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text; every distinct gram of the block is looked up once."""
-    grams, starts = pack(texts, trie.order)
-    by = np.argsort(grams)
-    ordered = grams[by]
+            lower = levels[size - 1].select(F.col("gram").alias("lower"), F.col("n").alias("low"))
+            table = (here.withColumn("lower", F.shiftright("gram", 8)).join(lower, "lower")
+                     .groupBy("context").agg(*sums, F.sum("low").alias("excluded"))
+                     .withColumn("up", F.shiftright("context", 8))
+                     .join(contexts[-1].select(F.col("context").alias("up"), F.col("total").alias("t"), F.col("distinct").alias("d")), "up")
+                     .select("context", "total", "distinct", (F.col("t") - F.col("excluded")).alias("left"),
+                             (HALF * (F.col("d") - F.col("distinct"))).alias("out")))
+        contexts.append(stage(table, f"contexts_{size}"))
+    return levels, contexts
+
+
+def log_probabilities(counted: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """gram, log: log10 probability of the newest byte of each counted gram in the context of the others."""
+    order = len(contexts) - 1
+    mask = F.lit((1 << (8 * order)) - 1)
+    seen = (counted.where("n > 0").withColumn("context", F.col("gram").bitwiseAND(mask))
+            .join(contexts[order].select("context", "total"), "context")
+            .select("gram", F.log10((F.col("n") - HALF) / F.col("total")).alias("log")))
+    kinds = levels[0].count()                              # at most 256
+    rest = counted.where("n = 0").select("gram", F.lit(0.0).alias("log"), F.lit(False).alias("done"),
+                                         F.lit(None).cast("long").alias("left"), F.lit(None).cast("double").alias("out"))
+    for size in range(order, -1, -1):
+        # Tables of short contexts have at most 256, 65,536 rows, and their few keys would gather the rows.
+        small = (lambda t: F.broadcast(t)) if size < 2 else (lambda t: t)
+        back = 8 * (order - size)
+        table = contexts[size].select(F.col("context").alias("c"), F.col("total").alias("t"), F.col("distinct").alias("d"),
+                                      F.col("left").alias("next_left"), F.col("out").alias("next_out"))
+        rest = rest.join(small(table), F.shiftright(F.col("gram").bitwiseAND(mask), back) == F.col("c"), "left")
+        if size < order:
+            rest = rest.join(small(levels[size].select(F.col("gram").alias("g"), "n")), F.shiftright("gram", back) == F.col("g"), "left")
+        else:
+            rest = rest.withColumn("n", F.lit(None).cast("long"))
+        left, out = F.coalesce("left", "t"), F.coalesce("out", HALF * F.col("d"))
+        there = ~F.col("done") & F.col("t").isNotNull()
+        escape = F.when((left > 0) & (out > 0), F.log10(out / left)).otherwise(0.0)
+        rest = rest.select(
+            "gram",
+            F.when(there, F.col("log") + F.when(F.col("n").isNotNull(), F.log10((F.col("n") - HALF) / left)).otherwise(escape))
+            .otherwise(F.col("log")).alias("log"),
+            (F.col("done") | F.col("n").isNotNull()).alias("done"),
+            F.when(there, F.col("next_left")).otherwise(F.col("left")).alias("left"),
+            F.when(there, F.col("next_out")).otherwise(F.col("out")).alias("out"))
+    none = float(np.log10(max(256 - kinds, 1)))
+    return seen.unionByName(rest.select("gram", (F.col("log") - F.when(F.col("done"), 0.0).otherwise(none)).alias("log")))
+
+
+def summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int) -> np.ndarray:
+    """log10 probability of each text; ``grams`` (sorted) has all of its grams, and each distinct one is looked up once."""
+    wanted, starts = pack(texts, order)
+    by = np.argsort(wanted)
+    ordered = wanted[by]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    each = np.empty(len(grams))
-    each[by] = log_probabilities(trie, ordered[first])[np.cumsum(first) - 1]
+    each = np.empty(len(wanted))
+    each[by] = logs[np.searchsorted(grams, ordered[first])][np.cumsum(first) - 1]
     return np.add.reduceat(each, starts)
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """Count all training texts and fetch the kept grams: at most ``nodes`` for each length."""
-    level = stage(gram_counts(texts, order), f"grams_{order + 1}")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for size in range(order + 1, 0, -1):
-        context = F.col("gram").bitwiseAND(F.lit((1 << (8 * (size - 1))) - 1))
-        kept = (level.withColumn("total", F.sum("n").over(Window.partitionBy(context)))      # at most 256 rows each
-                .where(F.col("n") * F.lit(nodes) >= F.lit(total)))
-        got = kept.select("gram", "n", "total").toArrow()
-        levels.append(tuple(got.column(c).to_numpy() for c in ("gram", "n", "total")))
-        if size > 1:
-            level = stage(level.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n")), f"grams_{size - 1}")
-    return build(levels[::-1])
-
-
 def word_counts(texts: DataFrame, block_bytes: int = COUNT_BYTES) -> DataFrame:
     """word, n of all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,15 +201,18 @@ def word_counts(texts: DataFrame, block_bytes: int = COUNT_BYTES) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, nodes: int = NODES, frequent: int = FREQUENT,
-          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, frequent: int = FREQUENT,
+          block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Documents are held out if crc32 of the id modulo ``mod`` is ``held``; all others train both models."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", raw_text().alias("raw"), (fold("doc_id", mod) == held).alias("held_out"))
-    training = rows.where("not held_out").select("raw")
-    trie = train(training, order, nodes)
+    blocks = dealt(rows, order, block_bytes, most, piece_bytes)
+    in_blocks = blocks.where("gram is not null")
+    counted = stage(in_blocks.groupBy("gram").agg(F.sum("n").alias("n")), f"grams_{order + 1}")
+    logs = log_probabilities(counted, *trie(counted, order))
+    training = blocks.where("row is not null and not held_out").select("raw")
     words = stage(word_counts(training), "words")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = training.count()
@@ -249,39 +221,63 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, node
     got = words.where(F.col("n") >= least).toArrow()
     common = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
     log_all = float(np.log10(tokens + kinds + 1))
-    sent = spark.sparkContext.broadcast((trie, {w: float(np.log10(n + 1)) for w, n in common.items()}))
+    sent = spark.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in common.items()})
     log_end = float(np.log10(ends + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value
-        row = TaskContext.get().partitionId() << 33        # a number for each row, fixed once the table is written
-        for block in chunks(batches, "raw", block_bytes):
-            split = [raw.lower().split() for raw in block.column("raw").to_pylist()]
-            n, size = len(split), np.fromiter(map(len, split), np.int64, len(split))
-            seen: defaultdict[bytes, int] = defaultdict()
-            seen.default_factory = seen.__len__
-            word = np.fromiter(map(seen.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-            text = np.repeat(np.arange(n), size)
-            log = np.fromiter(map(known.get, seen, repeat(np.nan)), float, len(seen))[word]
-            common = ~np.isnan(log)
-            cols = {"row": pa.array(np.arange(row, row + n)), "doc_id": block.column("doc_id"), "held_out": block.column("held_out"),
-                    "n_tokens": pa.array(size + 1), "n_common": pa.array(np.bincount(text[common], minlength=n)),
-                    "log_common": pa.array(np.bincount(text[common], log[common], n).astype(float)),
-                    "score": pa.array(scores(model, [b" ".join(x) for x in split])), "word": pa.nulls(n, pa.binary()),
-                    "times": pa.nulls(n, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-            pair, times = np.unique(text[~common] * max(len(seen), 1) + word[~common], return_counts=True)
-            words = pa.array(list(seen), pa.binary())
-            for i in range(0, len(pair), 1 << 16):
-                some = slice(i, i + (1 << 16))
-                at, of = np.divmod(pair[some], len(seen))
-                nulls = [pa.nulls(len(at), cols[c].type) for c in ("doc_id", "held_out", "n_tokens", "n_common", "log_common", "score")]
-                yield pa.RecordBatch.from_arrays([pa.array(row + at), *nulls, words.take(pa.array(of)), pa.array(times[some])], list(cols))
-            row += n
+        known = sent.value
+        parts, grams, logs, now = [], np.empty(0, np.int64), np.empty(0, np.float32), None
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            cuts = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if a == b:
+                    continue
+                if key[a] & 1 == 0:                        # the block's grams come before its texts
+                    if key[a] != now:
+                        parts, grams, now = [], np.empty(0, np.int64), key[a]
+                    parts.append([batch.column(c).slice(a, b - a).to_numpy() for c in ("gram", "log")])
+                    continue
+                if parts:
+                    grams, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    by = np.argsort(grams)
+                    parts, grams, logs = [], grams[by], logs[by]
+                for block in chunks([batch.slice(a, b - a)], "raw", piece_bytes):
+                    yield from scored_block(block, grams, logs, known)
+
+    def scored_block(block: pa.RecordBatch, grams: np.ndarray, logs: np.ndarray, known: dict) -> Iterator[pa.RecordBatch]:
+        texts = block.column("raw").to_pylist()
+        split = [raw.split() for raw in texts]
+        n, size = len(split), np.fromiter(map(len, split), np.int64, len(split))
+        seen: defaultdict[bytes, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        word = np.fromiter(map(seen.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        text = np.repeat(np.arange(n), size)
+        log = np.fromiter(map(known.get, seen, repeat(np.nan)), float, len(seen))[word]
+        common = ~np.isnan(log)
+        rows = block.column("row")
+        cols = {"row": rows, "doc_id": block.column("doc_id"), "held_out": block.column("held_out"),
+                "n_tokens": pa.array(size + 1), "n_common": pa.array(np.bincount(text[common], minlength=n)),
+                "log_common": pa.array(np.bincount(text[common], log[common], n).astype(float)),
+                "score": pa.array(summed(grams, logs, texts, order)), "word": pa.nulls(n, pa.binary()),
+                "times": pa.nulls(n, pa.int64())}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        pair, times = np.unique(text[~common] * max(len(seen), 1) + word[~common], return_counts=True)
+        words = pa.array(list(seen), pa.binary())
+        for i in range(0, len(pair), 1 << 16):
+            some = slice(i, i + (1 << 16))
+            at, of = np.divmod(pair[some], len(seen))
+            nulls = [pa.nulls(len(at), cols[c].type) for c in ("doc_id", "held_out", "n_tokens", "n_common", "log_common", "score")]
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(at)), *nulls, words.take(pa.array(of)), pa.array(times[some])], list(cols))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stage(rows.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_common bigint, "
-                                        "log_common double, score double, word binary, times bigint"), "scored")
+    answers = in_blocks.select("block", "gram").join(logs, "gram").select(
+        (F.col("block") * 2).alias("key"), "gram", F.col("log").cast("float").alias("log"))
+    waiting = blocks.where("row is not null").select((F.col("block") * 2 + 1).alias("key"), "row", "doc_id", "held_out", "raw")
+    met = (waiting.unionByName(answers, allowMissingColumns=True).repartition(partitions(spark), F.shiftright("key", 1))
+           .sortWithinPartitions("key"))                   # one number as key: sorted by its bits
+    scored = stage(met.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_common bigint, "
+                                       "log_common double, score double, word binary, times bigint"), "scored")
     counts = words.where(F.col("n") < least)
     others = (scored.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
               .groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
