@@ -6,10 +6,11 @@ there costs an escape (method D: each distinct byte of a context gives half a co
 byte shorter, in which the bytes already ruled out are excluded. Below the empty context all bytes left are equally likely.
 
 The trie is a set of tables, one for the grams and one for the contexts of each length, and holds every gram of the
-training texts: it grows with the corpus and nothing of it is broadcast. Texts are dealt into blocks; a block's distinct
-grams of ORDER + 1 bytes are counted in its task and written beside its texts. Spark adds the counts up, finds the log
-probability of each distinct gram by joins along the escapes, and sends it to the blocks that have the gram, where
-the texts wait for it. A block ends at ``BLOCK_BYTES`` of text or ``MOST_HELD`` distinct grams, whatever the corpus.
+training texts, so it grows with the corpus. Tasks count the distinct grams of ORDER + 1 bytes that they meet, Spark adds
+the counts up and finds the log probability of each distinct gram by joins along the escapes; a text's score is the sum over
+its grams. Up to ``SENT`` distinct grams their logarithms are broadcast. Beyond that texts are dealt into blocks of
+``BLOCK_BYTES`` of text or ``MOST_HELD`` distinct grams, and each block gets the logarithms of its own grams by a
+join. Both ways give the same scores.
 
 Beside it stands the base score: an add-one word unigram model with exact counts of all training words. Words with at
 least 1/FREQUENT of all tokens (so at most FREQUENT words) are looked up in a broadcast table; all others meet their counts in a join.
@@ -36,6 +37,7 @@ ORDER = 6                                                  # at most 6: a gram o
 FREQUENT = 1 << 20
 BLOCK_BYTES = 32 << 20
 MOST_HELD = 1 << 22
+SENT = 1 << 23                                             # of 12 bytes each
 PIECE_BYTES = 4 << 20                                      # sorted at once
 COUNT_BYTES = 8 << 20
 HALF = 0.5                                                 # of a count goes to the escape, for each distinct byte
@@ -73,46 +75,62 @@ def merged(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarra
     return both[first], np.add.reduceat(n, first)
 
 
+def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """gram, n for all distinct grams of order + 1 bytes; ``n`` counts it in the training texts and may be 0.
+
+    ``rows`` has raw, held_out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for piece in chunks(batches, "raw", piece_bytes):
+            texts = [normal(t) for t in piece.column("raw").to_pylist()]
+            held = piece.column("held_out").to_pylist()
+            for learns in (True, False):
+                if some := [t for t, h in zip(texts, held, strict=True) if h != learns]:
+                    found, n = np.unique(pack(some, order)[0], return_counts=True)
+                    grams, counts = merged(grams, counts, found, n if learns else np.zeros(len(found), np.int64))
+            if len(grams) >= most:                         # bounded memory, whatever the task reads
+                yield from listed(grams, counts)
+                grams, counts = grams[:0], counts[:0]
+        yield from listed(grams, counts)
+
+    def listed(grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(grams), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[i:i + (1 << 16)]), pa.array(counts[i:i + (1 << 16)])], ["gram", "n"])
+
+    return rows.select("raw", "held_out").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def dealt(rows: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD,
           piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """block, row, doc_id, held_out, raw for each text (normalised), and block, gram, n for each distinct gram of a block.
-
-    ``rows`` has doc_id, raw, held_out; ``n`` counts the gram in the block's training texts and may be 0."""
-    names = ["block", "row", "doc_id", "held_out", "raw", "gram", "n"]
+    """block, row, doc_id, held_out, raw for each text (normalised), and block, gram for each distinct gram of a block."""
+    names = ["block", "row", "doc_id", "held_out", "raw", "gram"]
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = row = TaskContext.get().partitionId() << 33          # numbers that are fixed once the table is written
-        nothing = np.empty(0, np.int64)
-        grams, counts, size, types = nothing, nothing, 0, None
+        grams, size, types = np.empty(0, np.int64), 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
             for i in range(0, len(grams), 1 << 16):
                 part = grams[i:i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block)), *(pa.nulls(len(part), t) for t in types),
-                     pa.array(part), pa.array(counts[i:i + (1 << 16)])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), *(pa.nulls(len(part), t) for t in types),
+                                                  pa.array(part)], names)
 
         for piece in chunks(batches, "raw", piece_bytes):
             texts = [normal(t) for t in piece.column("raw").to_pylist()]
-            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             told = [pa.array(np.arange(row, row + len(texts))), piece.column("doc_id"), piece.column("held_out"), pa.array(texts, pa.binary())]
             types = [c.type for c in told]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), *told, pa.nulls(len(texts), pa.int64()),
-                                              pa.nulls(len(texts), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), *told, pa.nulls(len(texts), pa.int64())], names)
             row += len(texts)
-            for learns in (True, False):
-                if some := [t for t, h in zip(texts, held, strict=True) if h != learns]:
-                    found, n = np.unique(pack(some, order)[0], return_counts=True)
-                    grams, counts = merged(grams, counts, found, n if learns else np.zeros(len(found), np.int64))
+            grams = np.union1d(grams, pack(texts, order)[0])
             size += sum(map(len, texts))
             if size >= block_bytes or len(grams) >= most:
                 yield from close()
-                grams, counts, size, block = nothing, nothing, 0, block + 1
+                grams, size, block = grams[:0], 0, block + 1
         yield from close()
 
     return stage(rows.select("doc_id", "raw", "held_out").mapInArrow(
-        run, f"block bigint, row bigint, doc_id {kind}, held_out boolean, raw binary, gram bigint, n bigint"), "dealt")
+        run, f"block bigint, row bigint, doc_id {kind}, held_out boolean, raw binary, gram bigint"), "dealt")
 
 
 def trie(counted: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -202,17 +220,15 @@ def word_counts(texts: DataFrame, block_bytes: int = COUNT_BYTES) -> DataFrame:
 
 
 def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, frequent: int = FREQUENT,
-          block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+          block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD, piece_bytes: int = PIECE_BYTES, most_sent: int = SENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Documents are held out if crc32 of the id modulo ``mod`` is ``held``; all others train both models."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", raw_text().alias("raw"), (fold("doc_id", mod) == held).alias("held_out"))
-    blocks = dealt(rows, order, block_bytes, most, piece_bytes)
-    in_blocks = blocks.where("gram is not null")
-    counted = stage(in_blocks.groupBy("gram").agg(F.sum("n").alias("n")), f"grams_{order + 1}")
-    logs = log_probabilities(counted, *trie(counted, order))
-    training = blocks.where("row is not null and not held_out").select("raw")
+    counted = stage(gram_counts(rows, order, most, piece_bytes), f"grams_{order + 1}")
+    logs = log_probabilities(counted, *trie(counted, order)).select("gram", F.col("log").cast("float").alias("log"))
+    training = rows.where("not held_out").select("raw")
     words = stage(word_counts(training), "words")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = training.count()
@@ -221,11 +237,25 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
     got = words.where(F.col("n") >= least).toArrow()
     common = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
     log_all = float(np.log10(tokens + kinds + 1))
-    sent = spark.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in common.items()})
+    whole = None
+    if counted.count() <= most_sent:
+        table = logs.toArrow()
+        whole = table.column("gram").to_numpy(), table.column("log").to_numpy()
+        by = np.argsort(whole[0])
+        whole = whole[0][by], whole[1][by]
+    sent = spark.sparkContext.broadcast((whole, {w: float(np.log10(n + 1)) for w, n in common.items()}))
     log_end = float(np.log10(ends + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (grams, logs), known = sent.value
+        row = TaskContext.get().partitionId() << 33        # a number for each row, fixed once the table is written
+        for block in chunks(batches, "raw", piece_bytes):
+            n = block.num_rows
+            yield from scored_block(pa.array(np.arange(row, row + n)), block, [normal(t) for t in block.column("raw").to_pylist()], grams, logs, known)
+            row += n
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value[1]
         parts, grams, logs, now = [], np.empty(0, np.int64), np.empty(0, np.float32), None
         for batch in batches:
             key = batch.column("key").to_numpy()
@@ -243,10 +273,10 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
                     by = np.argsort(grams)
                     parts, grams, logs = [], grams[by], logs[by]
                 for block in chunks([batch.slice(a, b - a)], "raw", piece_bytes):
-                    yield from scored_block(block, grams, logs, known)
+                    yield from scored_block(block.column("row"), block, block.column("raw").to_pylist(), grams, logs, known)
 
-    def scored_block(block: pa.RecordBatch, grams: np.ndarray, logs: np.ndarray, known: dict) -> Iterator[pa.RecordBatch]:
-        texts = block.column("raw").to_pylist()
+    def scored_block(rows: pa.Array, block: pa.RecordBatch, texts: list[bytes], grams: np.ndarray, logs: np.ndarray,
+                     known: dict) -> Iterator[pa.RecordBatch]:
         split = [raw.split() for raw in texts]
         n, size = len(split), np.fromiter(map(len, split), np.int64, len(split))
         seen: defaultdict[bytes, int] = defaultdict()
@@ -255,7 +285,6 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
         text = np.repeat(np.arange(n), size)
         log = np.fromiter(map(known.get, seen, repeat(np.nan)), float, len(seen))[word]
         common = ~np.isnan(log)
-        rows = block.column("row")
         cols = {"row": rows, "doc_id": block.column("doc_id"), "held_out": block.column("held_out"),
                 "n_tokens": pa.array(size + 1), "n_common": pa.array(np.bincount(text[common], minlength=n)),
                 "log_common": pa.array(np.bincount(text[common], log[common], n).astype(float)),
@@ -271,11 +300,15 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
             yield pa.RecordBatch.from_arrays([rows.take(pa.array(at)), *nulls, words.take(pa.array(of)), pa.array(times[some])], list(cols))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    answers = in_blocks.select("block", "gram").join(logs, "gram").select(
-        (F.col("block") * 2).alias("key"), "gram", F.col("log").cast("float").alias("log"))
-    waiting = blocks.where("row is not null").select((F.col("block") * 2 + 1).alias("key"), "row", "doc_id", "held_out", "raw")
-    met = (waiting.unionByName(answers, allowMissingColumns=True).repartition(partitions(spark), F.shiftright("key", 1))
-           .sortWithinPartitions("key"))                   # one number as key: sorted by its bits
+    if whole:
+        met, run = rows, at_once
+    else:
+        blocks = dealt(rows, order, block_bytes, most, piece_bytes)
+        answers = blocks.where("gram is not null").select("block", "gram").join(logs, "gram").select((F.col("block") * 2).alias("key"), "gram", "log")
+        waiting = blocks.where("row is not null").select((F.col("block") * 2 + 1).alias("key"), "row", "doc_id", "held_out", "raw")
+        met = (waiting.unionByName(answers, allowMissingColumns=True).repartition(partitions(spark), F.shiftright("key", 1))
+               .sortWithinPartitions("key"))               # one number as key: sorted by its bits
+        run = by_block
     scored = stage(met.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_common bigint, "
                                        "log_common double, score double, word binary, times bigint"), "scored")
     counts = words.where(F.col("n") < least)

@@ -59,8 +59,8 @@ def some(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("order,most,frequent", [(6, 1 << 20, 1 << 20), (6, 50, 20), (3, 300, 20), (1, 5, 1)])
-def test_scores_by_definition(docs, order, most, frequent):
+@pytest.mark.parametrize("order,most,frequent,sent", [(6, 1 << 20, 1 << 20, 1 << 20), (6, 50, 20, 0), (3, 300, 20, 0), (1, 5, 1, 1 << 20)])
+def test_scores_by_definition(docs, order, most, frequent, sent):
     rows = some(order)
     rows += [rows[3], (None, "unseen ŵords \x00\x7f"), (999, "long " * 4000)]
     held = {i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for i, _ in rows}
@@ -68,7 +68,7 @@ def test_scores_by_definition(docs, order, most, frequent):
     model = Slow(training, order)
     counts = Counter(w for t in training for w in [*(t or "").encode().lower().split(), b"\n"])
     n, v = sum(counts.values()), len(counts)
-    got = ppm.score(docs(rows, {"score": 1, "row": 2, "word": "x"}), order=order, frequent=frequent, block_bytes=9000, most=most, piece_bytes=2000).collect()
+    got = ppm.score(docs(rows, {"score": 1, "row": 2, "word": "x"}), order=order, frequent=frequent, block_bytes=9000, most=most, piece_bytes=2000, most_sent=sent).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
