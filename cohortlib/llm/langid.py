@@ -1,10 +1,12 @@
 """Language identification by n-gram filters that answer for all languages at once.
 
-From labelled texts, the frequent byte n-grams of each language are counted: those that make up at least 1/GRAMS of
-its n-grams, so at most GRAMS of them at every corpus size. They go into one bit-sliced Bloom filter: each slot holds
-one bit for each language, and the bitwise and of an n-gram's slots names all languages that have it. A text's n-grams
+All byte n-grams of all labelled texts go into one bit-sliced Bloom filter: each slot holds two bits for each language, and
+the bitwise and of an n-gram's slots names all languages that have it, and those in which it is frequent (at least 1/FREQUENT of
+the language's n-grams). Frequent ones keep languages apart in a corpus so large that stray words bring nearly every n-gram
+into each of them. The filter has ROOM slots for each n-gram of the richest language, up to MOST_SLOTS, which
+bounds what is broadcast; a fuller filter gives more false positives, which are corrected, and never loses an n-gram. A text's n-grams
 are looked up, each language's bits are counted, the counts are corrected for the share of false positives that the
-filter gives for that language, and the language with the highest corrected share wins.
+filter gives for that bit, and the language with the highest mean of its two corrected shares wins.
 
 Letters A-Z are lower-cased, other ASCII characters separate words, and everything else is kept as bytes. A null text, or
 one without a letter, is ``und`` with score 0. Null labels teach nothing. Among equal shares the language with the
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from cohortlib.llm.helpers import chunks, fold, mix64, raw_text, stage
 
 NGRAM = 4
-GRAMS = 1 << 14
-SLOTS = 1 << 18                                            # a language fills at most GRAMS * HASHES of them
+FREQUENT = 1 << 14
+ROOM = 8
+MOST_SLOTS = 1 << 22                                       # of 8 bytes for each 32 languages
 HASHES = 3
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -61,7 +64,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[keep], counts
 
 
-def slots(found: np.ndarray, size: int = SLOTS, hashes: int = HASHES) -> list[np.ndarray]:
+def slots(found: np.ndarray, size: int, hashes: int = HASHES) -> list[np.ndarray]:
     """The filter slots of each n-gram: two halves of one hash, combined."""
     h = mix64(found)
     one, two = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
@@ -70,14 +73,15 @@ def slots(found: np.ndarray, size: int = SLOTS, hashes: int = HASHES) -> list[np
 
 @dataclass
 class Filter:
-    """masks[slot, w] holds the bits of languages 64 w .. 64 w + 63; false_positive has one rate for each language."""
+    """masks[slot, w] holds the bits of languages 32 w .. 32 w + 31, for each whether it has the n-gram and whether it is
+    frequent there; false_positive has one rate for each bit."""
 
     languages: list[str]
     texts: np.ndarray
     masks: np.ndarray
 
     def __post_init__(self):
-        filled = np.array([((self.masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))])
+        filled = np.array([((self.masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(2 * len(self.languages))])
         self.false_positive = filled ** HASHES
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -85,23 +89,24 @@ class Filter:
         found, counts = grams(texts)
         at = slots(found, len(self.masks))
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        share = np.empty((len(texts), len(self.languages)))
+        share = np.empty((len(texts), 2 * len(self.languages)))
         for word in range(self.masks.shape[1]):
             column = self.masks[:, word]
             hits = column[at[0]]
             for s in at[1:]:
                 hits &= column[s]
-            for i in range(64 * word, min(64 * word + 64, len(self.languages))):
+            for i in range(64 * word, min(64 * word + 64, share.shape[1])):
                 bits = ((hits >> np.uint64(i % 64)) & np.uint64(1)).astype(np.uint8)
                 share[:, i] = np.add.reduceat(bits, starts, dtype=np.int64) / counts
         share = np.maximum(share - self.false_positive, 0) / np.maximum(1 - self.false_positive, 1e-9)
+        share = (share[:, 0::2] + share[:, 1::2]) / 2
         best = share.argmax(axis=1)
         score = share[np.arange(len(texts)), best]
         best[score == 0] = int(self.texts.argmax())
         return [self.languages[i] for i in best], score
 
 
-def gram_counts(labelled: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def language_grams(labelled: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, gram, n over all texts (columns raw, lang)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in chunks(batches, "raw", block_bytes):
@@ -118,29 +123,32 @@ def gram_counts(labelled: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def learn(labelled: DataFrame, most: int = GRAMS, size: int = SLOTS) -> Filter:
+def learn(labelled: DataFrame, most_slots: int = MOST_SLOTS) -> Filter:
     """A filter from all labelled texts. The driver sees one row for each language, and the slots in use."""
     spark = labelled.sparkSession
-    counted = stage(gram_counts(labelled), "language_grams")
+    known = stage(language_grams(labelled), "language_grams")
     texts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["lang"]: r for r in known.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()}
+    richest = max((r["kinds"] for r in sums.values()), default=0)
+    size = min(most_slots, 1 << max(richest * ROOM - 1, 1).bit_length())
     languages = sorted(texts)
     if not languages:
         return Filter([], np.zeros(0), np.zeros((1, 1), np.uint64))
-    table = spark.createDataFrame([(x, i // 64, i % 64, totals.get(x, 0)) for i, x in enumerate(languages)],
+    table = spark.createDataFrame([(x, i // 32, 2 * (i % 32), sums[x]["total"] if x in sums else 0) for i, x in enumerate(languages)],
                                   "lang string, word int, bit int, total bigint")
-    kept = counted.join(F.broadcast(table), "lang").where(F.col("n") * F.lit(most) >= F.col("total"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.concatenate(slots(batch.column("gram").to_numpy().astype(np.uint32), size))
             word = np.tile(batch.column("word").to_numpy(), HASHES)
-            mask = np.tile(np.uint64(1) << batch.column("bit").to_numpy().astype(np.uint64), HASHES)
+            mask = np.tile(batch.column("bits").to_numpy().astype(np.uint64) << batch.column("bit").to_numpy().astype(np.uint64), HASHES)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word), pa.array(mask.view(np.int64))], ["slot", "word", "mask"])
 
-    used = (kept.select("gram", "word", "bit").mapInArrow(run, "slot bigint, word int, mask bigint")
+    used = (known.join(F.broadcast(table), "lang")
+            .select("gram", "word", "bit", F.when(F.col("n") * F.lit(FREQUENT) >= F.col("total"), 3).otherwise(1).alias("bits"))
+            .mapInArrow(run, "slot bigint, word int, mask bigint")
             .groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow())
-    masks = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
+    masks = np.zeros((size, (len(languages) + 31) // 32), np.uint64)
     masks[used.column("slot").to_numpy(), used.column("word").to_numpy()] = used.column("mask").to_numpy().view(np.uint64)
     return Filter(languages, np.array([texts[x] for x in languages]), masks)
 
