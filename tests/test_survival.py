@@ -299,6 +299,49 @@ def test_exact_ties_of_several_terms(spark):
     assert loglik == pytest.approx(f(beta), abs=1e-10) and score == pytest.approx(gradient, abs=1e-5) and info == pytest.approx(want, abs=1e-4)
 
 
+def two_groups(t, e, x, b):
+    """Log likelihood, slope and information with one 0/1 covariate: the events of a day hold j of the n1 members that have it."""
+    ll = slope = info = 0.0
+    ways = lambda n, j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
+    for day in np.unique(t[e == 1]):
+        risk, dead = t >= day, (t == day) & (e == 1)
+        n, n1, d, d1 = int(risk.sum()), int(x[risk].sum()), int(dead.sum()), int(x[dead].sum())
+        j = np.arange(max(0, d - n + n1), min(d, n1) + 1)
+        logs = np.array([ways(n1, i) + ways(n - n1, d - i) + i * b for i in j])
+        h = np.exp(logs - logs.max())
+        mean = (j * h).sum() / h.sum()
+        ll += d1 * b - math.log(h.sum()) - logs.max()
+        slope += d1 - mean
+        info += ((j - mean) ** 2 * h).sum() / h.sum()
+    return ll, slope, info
+
+
+@pytest.mark.parametrize("n,days", [(9000, 4), (40000, 2), (3000, 1)])
+def test_exact_ties_of_many_events_a_day(spark, n, days):
+    """Far more than 400 events a day, also on a day on which all but a few at risk have theirs."""
+    r = random.Random(n)
+    data = [(r.randint(1, days), int(r.random() < (0.999 if n == 3000 else 0.5)), r.choice("MF")) for _ in range(n)]
+    fit = cox.cox_ph(spark.createDataFrame(data, "time int, event int, g string"), "time", "event", COVS[:1], ties="exact")
+    t, e, x = np.array([d[0] for d in data]), np.array([d[1] for d in data]), np.array([d[2] == "F" for d in data], dtype=float)
+    assert max(np.bincount(t[e == 1])) > cox.EXACT_EVENTS
+    ll, slope, info = two_groups(t, e, x, fit.beta[0])
+    assert fit.converged and abs(slope) < 1e-4 and fit.loglik == pytest.approx(ll, rel=1e-10)
+    assert fit.se[0] == pytest.approx(info ** -0.5, rel=1e-8)
+    for beta in (0.0, 1.5, -4.0):
+        got = cox._exact_pass(fit.patterns, np.array([beta]), cox._events(fit.patterns, 1))
+        want = two_groups(t, e, x, beta)
+        assert got[0] == pytest.approx(want[0], rel=1e-10) and got[1][0] == pytest.approx(want[1], rel=1e-7, abs=1e-7)
+        assert got[2][0, 0] == pytest.approx(want[2], rel=1e-7)
+
+
+def test_exact_ties_in_several_goes(spark, monkeypatch):
+    df = spark.createDataFrame(random_members(400, 9), SCHEMA)
+    one = cox.cox_ph(df, "time", "event", COVS, ties="exact")
+    monkeypatch.setattr(cox, "EXACT_NUMBERS", 1)
+    some = cox.cox_ph(df, "time", "event", COVS, ties="exact")
+    assert some.loglik == pytest.approx(one.loglik, abs=1e-9) and some.beta == pytest.approx(one.beta, abs=1e-9) and some.se == pytest.approx(one.se, abs=1e-9)
+
+
 def test_breslow_ties(spark):
     data = random_members(60, 5)
     t, e, x = matrix(data)
