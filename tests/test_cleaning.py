@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,23 @@ def test_guessed_types(spark, tmp_path):
     assert sorted((str(r.flag), str(r.id), str(r.day)) for r in df.collect()) == [("False", "-7", "2001-01-01"), ("False", "None", "2000-12-01"), ("True", "1", "1999-04-30")]
 
 
+def test_a_text_is_tried_once(spark):
+    """Equal cells are counted before their text is tried, and each text fits what a cast of it does."""
+    from cohortlib.sources import guess_types
+    odd = ["1", " 7 ", "+3", "-0", "1.", ".5", "1e3", "1e", "0x1p3", "0x1", "1f", "2D", "3L", "inf", "-Infinity", "NaN", " nan ", "+inf", "infinit", "1/2/2020", "13/1/2020",
+           "1/2/20", "01/02/1998", "2020-01-02", "1 2", "", " ", ".", "-", "Female", "T", "true", "9999999999", "99999999999999999999", "1_0", "\t4\n", None]
+    df = spark.createDataFrame([(x,) for x in odd * 3], "a string")
+    plan = guess_types(df)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[i#\d+, cell#\d+\]", plan)
+    for text in odd[:-1]:
+        cell, one = F.lit(text), guess_types(spark.createDataFrame([(text,)] * 2, "a string")).first()
+        fits = {k: cell.try_cast(k).isNotNull() for k in ("int", "bigint", "double")} | {"date": F.try_to_date(cell, "M/d/yyyy").isNotNull()}
+        want = spark.range(1).select(*(F.when(c, 0).otherwise(2).alias(k) for k, c in fits.items())).first().asDict()
+        assert {k: v for k, v in one["unfit"].asDict().items() if k in want} == want and (one["n"], one["n_missing"]) == (2, 0), text
+    got = guess_types(df).first()
+    assert (got["type"], got["n"], got["n_missing"]) == ("string", 3 * (len(odd) - 1), 3)
+
+
 def test_guessed_types_of_an_empty_file(spark, tmp_path):
     from cohortlib.sources import read_extract
     write_csv(tmp_path / "f", "a,b.c\n", "part-0.csv")
