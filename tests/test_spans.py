@@ -2,6 +2,7 @@
 
 import os
 import re
+import sys
 from datetime import date, timedelta
 
 import pytest
@@ -193,3 +194,20 @@ def test_twin_shares_only_the_same_cohort(spark, st):
     own = Study(spark, load_inputs(spark, DATA, other), other, st)
     assert own.inputs and own.kept["services"] is not st.kept["services"]
     own.release()
+
+
+@needs_data
+def test_partitions_grow_with_the_index_members(spark, st, rows, monkeypatch):
+    """More index members make more partitions while tables are staged; the tables are the same, and so are the session's options afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    monkeypatch.setattr(sys.modules[Study.__module__], "MEMBERS_PER_PARTITION", 10)
+    many = Study(spark, load_inputs(spark, DATA, ADULT), ADULT)
+    try:
+        n = many.index.count()
+        assert many.partitions == -(-n // 10) > int(before["spark.sql.shuffle.partitions"])
+        for name in ("episodes", "days", "members", "wide"):
+            assert rows(getattr(many, name)) == rows(getattr(st, name))
+        assert f"INTO {many.partitions} BUCKETS" in spark.sql(f"SHOW CREATE TABLE {many.tables[0]}").first()[0]
+        assert {k: spark.conf.get(k, None) for k in before} == before
+    finally:
+        many.release()
