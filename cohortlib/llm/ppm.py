@@ -39,6 +39,7 @@ BLOCK_BYTES = 32 << 20
 MOST_HELD = 1 << 22
 SENT = 1 << 23                                             # of 12 bytes each
 PIECE_BYTES = 4 << 20                                      # sorted at once
+SUM_BYTES = 1 << 20                                        # of text whose grams are looked up at once, about 70 bytes each
 COUNT_BYTES = 8 << 20
 HALF = 0.5                                                 # of a count goes to the escape, for each distinct byte
 END = 10                                                   # no word contains a line feed
@@ -97,7 +98,9 @@ def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piec
         for i in range(0, len(grams), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(grams[i:i + (1 << 16)]), pa.array(counts[i:i + (1 << 16)])], ["gram", "n"])
 
-    return rows.select("raw", "held_out").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    # A task's grams are distinct already, so they are added up after the exchange only.
+    return (rows.select("raw", "held_out").mapInArrow(run, "gram bigint, n bigint").repartition("gram")
+            .groupBy("gram").agg(F.sum("n").alias("n")))
 
 
 def dealt(rows: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, most: int = MOST_HELD,
@@ -196,8 +199,21 @@ def log_probabilities(counted: DataFrame, levels: list[DataFrame], contexts: lis
     return seen.unionByName(rest.select("gram", (F.col("log") - F.when(F.col("done"), 0.0).otherwise(none)).alias("log")))
 
 
-def summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int) -> np.ndarray:
-    """log10 probability of each text; ``grams`` (sorted) has all of its grams, and each distinct one is looked up once."""
+def summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int, sum_bytes: int = SUM_BYTES) -> np.ndarray:
+    """log10 probability of each text; ``grams`` (sorted) has all of its grams. Texts are taken by ``sum_bytes`` (one long text may
+    exceed it), so that memory is bounded and what is sorted stays near the core."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    out, start = [], 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + sum_bytes, "right")))
+        out.append(_summed(grams, logs, texts[start:stop], order))
+        start = stop
+    return np.concatenate(out)
+
+
+def _summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int) -> np.ndarray:
+    """Each distinct gram is looked up once."""
     wanted, starts = pack(texts, order)
     by = np.argsort(wanted)
     ordered = wanted[by]
@@ -251,7 +267,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
         row = TaskContext.get().partitionId() << 33        # a number for each row, fixed once the table is written
         for block in chunks(batches, "raw", piece_bytes):
             n = block.num_rows
-            yield from scored_block(pa.array(np.arange(row, row + n)), block, [normal(t) for t in block.column("raw").to_pylist()], grams, logs, known)
+            yield from scored_block(pa.array(np.arange(row, row + n)), block, [t.lower().split() for t in block.column("raw").to_pylist()], grams, logs, known)
             row += n
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +289,10 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
                     by = np.argsort(grams)
                     parts, grams, logs = [], grams[by], logs[by]
                 for block in chunks([batch.slice(a, b - a)], "raw", piece_bytes):
-                    yield from scored_block(block.column("row"), block, block.column("raw").to_pylist(), grams, logs, known)
+                    yield from scored_block(block.column("row"), block, [t.split() for t in block.column("raw").to_pylist()], grams, logs, known)
 
-    def scored_block(rows: pa.Array, block: pa.RecordBatch, texts: list[bytes], grams: np.ndarray, logs: np.ndarray,
+    def scored_block(rows: pa.Array, block: pa.RecordBatch, split: list[list[bytes]], grams: np.ndarray, logs: np.ndarray,
                      known: dict) -> Iterator[pa.RecordBatch]:
-        split = [raw.split() for raw in texts]
         n, size = len(split), np.fromiter(map(len, split), np.int64, len(split))
         seen: defaultdict[bytes, int] = defaultdict()
         seen.default_factory = seen.__len__
@@ -288,7 +303,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
         cols = {"row": rows, "doc_id": block.column("doc_id"), "held_out": block.column("held_out"),
                 "n_tokens": pa.array(size + 1), "n_common": pa.array(np.bincount(text[common], minlength=n)),
                 "log_common": pa.array(np.bincount(text[common], log[common], n).astype(float)),
-                "score": pa.array(summed(grams, logs, texts, order)), "word": pa.nulls(n, pa.binary()),
+                "score": pa.array(summed(grams, logs, [b" ".join(words) for words in split], order)), "word": pa.nulls(n, pa.binary()),
                 "times": pa.nulls(n, pa.int64())}
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
         pair, times = np.unique(text[~common] * max(len(seen), 1) + word[~common], return_counts=True)

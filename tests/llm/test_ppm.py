@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cohortlib.llm import ppm
@@ -117,3 +119,28 @@ def test_nothing_to_train_on(docs, empty):
     r = ppm.score(docs([(held, "Ab c")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert r.score == pytest.approx(-5 * math.log10(256))
+
+
+def test_texts_are_summed_in_bounded_memory(docs):
+    """Four megabytes of texts come to one task at once; the arrays made of them are those of a part."""
+    rnd = random.Random(4)
+    texts = [b"", *(b" ".join(rnd.choices([b"ab", b"cde", b"fghij"], k=rnd.randint(1, 400))) for _ in range(5000)), b"x" * (2 << 20)]
+    assert sum(map(len, texts)) > 4 << 20
+    grams = np.unique(np.concatenate([np.unique(ppm.pack(texts[i:i + 500], 6)[0]) for i in range(0, len(texts), 500)]))
+    logs = -np.random.default_rng(0).random(len(grams)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        got = ppm.summed(grams, logs, texts, 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 180e6                                    # the long text alone; of all at once about 280 MB
+    assert got.tolist() == [ppm.summed(grams, logs, [t], 6)[0] for t in texts]
+
+
+def test_grams_are_counted_after_the_exchange_only(docs):
+    """A task's grams are distinct, so counting them once more before they are shuffled would double the memory and gain nothing."""
+    rows = docs([(1, "a b"), (2, "a b")]).selectExpr("cast(text as binary) raw", "doc_id = 2 held_out")
+    plan = ppm.gram_counts(rows)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[:plan.index("MapInArrow")].splitlines()
+    assert "Exchange" in above[-2] or "Exchange" in above[-1], plan
