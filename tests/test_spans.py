@@ -211,3 +211,26 @@ def test_partitions_grow_with_the_index_members(spark, st, rows, monkeypatch):
         assert {k: spark.conf.get(k, None) for k in before} == before
     finally:
         many.release()
+
+
+def test_scans_of_a_staged_table_are_split_small(spark, tmp_path, monkeypatch):
+    """While a table is staged, a task reads no more bytes of files than of an exchange, whatever the size of the files."""
+    at, key = str(tmp_path / "auth"), "spark.sql.files.maxPartitionBytes"
+    codes = sorted(ADULT.index_codes)
+    (spark.range(4000).select(F.col("id").alias("auth"), F.col("id").alias("member"), F.lit(ADULT.period_begin).alias("sb"),
+                              F.lit(ADULT.period_begin).alias("se"), F.lit(codes[0]).alias("code"))
+     .repartition(8).write.parquet(at))
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(sys.modules[Study.__module__], "STAGE_TASK_BYTES", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    st = Study(spark, CohortInputs(*[spark.read.parquet(at)] * 8), ADULT)
+    try:
+        assert st.index.count() == 4000
+        st._staged("copy", spark.read.parquet(at))
+        size = max(os.path.getsize(f"{at}/{f}") for f in os.listdir(at) if f.endswith(".parquet"))
+        files = [f for f in os.listdir(f"{st.stage_dir}/copy") if f.endswith(".parquet")]
+        assert size > 1024 and len(files) >= 8                   # one file of the copy for each share of the input
+        assert spark.conf.get(key, None) == before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        st.release()
