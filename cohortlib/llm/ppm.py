@@ -39,7 +39,8 @@ BLOCK_BYTES = 32 << 20
 MOST_HELD = 1 << 22
 SENT = 1 << 23                                             # of 12 bytes each
 PIECE_BYTES = 4 << 20                                      # sorted at once
-SUM_BYTES = 1 << 20                                        # of text whose grams are looked up at once, about 70 bytes each
+SUM_BYTES = 1 << 20                                        # of text whose grams are looked up at once, about 50 bytes each
+SUM_TEXTS = 1 << 8                                         # their number within these must fit one byte
 COUNT_BYTES = 8 << 20
 HALF = 0.5                                                 # of a count goes to the escape, for each distinct byte
 END = 10                                                   # no word contains a line feed
@@ -54,15 +55,15 @@ def pack(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
     Before a text stand end bytes, so that grams at its start are as long as all others."""
     pad = bytes([END]) * order
-    flat = np.frombuffer(b"".join(x for t in texts for x in (pad, t, pad[:1] or b"\n")), np.uint8)
+    flat = b"".join(x for t in texts for x in (pad, t, pad[:1] or b"\n")) + bytes(8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    n = int(lengths.sum())
-    last = np.arange(n) + np.repeat(order * (np.arange(len(texts)) + 1), lengths)
-    grams = np.zeros(len(flat), np.int64)
-    for back in range(order + 1):
-        grams[back:] |= flat[:len(flat) - back].astype(np.int64) << (8 * (order - back))
-    return grams[last], starts
+    oldest = np.arange(int(lengths.sum()))
+    oldest += np.repeat(order * np.arange(len(texts)), lengths)
+    # Eight bytes from a gram's oldest one on, lowest first, are one number; those after the gram are masked.
+    grams = np.ndarray(len(flat) - 8, "<i8", flat, strides=(1,))[oldest]
+    grams &= (1 << (8 * (order + 1))) - 1
+    return grams, starts
 
 
 def merged(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +85,16 @@ def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piec
         grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for piece in chunks(batches, "raw", piece_bytes):
             texts = [normal(t) for t in piece.column("raw").to_pylist()]
-            held = piece.column("held_out").to_pylist()
-            for learns in (True, False):
-                if some := [t for t, h in zip(texts, held, strict=True) if h != learns]:
-                    found, n = np.unique(pack(some, order)[0], return_counts=True)
-                    grams, counts = merged(grams, counts, found, n if learns else np.zeros(len(found), np.int64))
+            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int8)
+            if texts:
+                found, starts = pack(texts, order)
+                found <<= 1                                # sorted with the bit of its text, so one sort serves both kinds
+                found |= np.repeat(held, np.diff(starts, append=len(found)))
+                found.sort()
+                learned = (found.astype(np.int8) & 1) ^ 1      # a byte for each gram
+                found >>= 1
+                first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                grams, counts = merged(grams, counts, found[first], np.add.reduceat(learned, first, dtype=np.int64))
             if len(grams) >= most:                         # bounded memory, whatever the task reads
                 yield from listed(grams, counts)
                 grams, counts = grams[:0], counts[:0]
@@ -201,26 +207,29 @@ def log_probabilities(counted: DataFrame, levels: list[DataFrame], contexts: lis
 
 def summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int, sum_bytes: int = SUM_BYTES) -> np.ndarray:
     """log10 probability of each text; ``grams`` (sorted) has all of its grams. Texts are taken by ``sum_bytes`` (one long text may
-    exceed it), so that memory is bounded and what is sorted stays near the core."""
+    exceed it) and at most ``SUM_TEXTS``, so that memory is bounded and what is sorted stays near the core."""
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     out, start = [], 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + sum_bytes, "right")))
+        stop = max(start + 1, min(start + SUM_TEXTS, int(np.searchsorted(ends, base + sum_bytes, "right"))))
         out.append(_summed(grams, logs, texts[start:stop], order))
         start = stop
     return np.concatenate(out)
 
 
 def _summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int) -> np.ndarray:
-    """Each distinct gram is looked up once."""
-    wanted, starts = pack(texts, order)
-    by = np.argsort(wanted)
-    ordered = wanted[by]
-    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    each = np.empty(len(wanted))
-    each[by] = logs[np.searchsorted(grams, ordered[first])][np.cumsum(first) - 1]
-    return np.add.reduceat(each, starts)
+    """Each distinct gram is looked up once. A gram has seven bytes at most, so the text's number is sorted with it as the eighth."""
+    packed, starts = pack(texts, order)
+    found = packed.view(np.uint64)
+    found <<= np.uint64(8)
+    found |= np.repeat(np.arange(len(texts), dtype=np.uint8), np.diff(starts, append=len(found)))
+    found.sort()
+    text = found.astype(np.uint8)                          # its lowest byte
+    found >>= np.uint64(8)
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    each = np.repeat(logs[np.searchsorted(grams, packed[first])], np.diff(first, append=len(found)))
+    return np.bincount(text, each, len(texts))
 
 
 def word_counts(texts: DataFrame, block_bytes: int = COUNT_BYTES) -> DataFrame:

@@ -144,3 +144,34 @@ def test_grams_are_counted_after_the_exchange_only(docs):
     plan = ppm.gram_counts(rows)._jdf.queryExecution().sparkPlan().toString()
     above = plan[:plan.index("MapInArrow")].splitlines()
     assert "Exchange" in above[-2] or "Exchange" in above[-1], plan
+
+
+def test_grams_of_many_short_texts_are_sorted_without_an_index():
+    """The number of a text is sorted with its grams, at most 256 texts at once, so no second array tells where each gram came from."""
+    rnd = random.Random(5)
+    texts = [b" ".join(rnd.choices([b"ab", b"\xc3\x89n", b"fghij", b"\xff\xfe"], k=rnd.randint(0, 9))) for _ in range(700)]
+    texts += [b"y" + bytes(rnd.choices(b"abcdefgh ", k=900_000))]
+    grams = np.unique(ppm.pack(texts, 6)[0])
+    logs = -np.random.default_rng(0).random(len(grams)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        got = ppm.summed(grams, logs, texts, 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    slow = [sum(float(logs[np.searchsorted(grams, int.from_bytes((b"\n" * 6 + t + b"\n")[i:i + 7], "little"))]) for i in range(len(t) + 1)) for t in texts[:700]]
+    assert got[:700].tolist() == pytest.approx(slow)
+    assert got.tolist() == [ppm.summed(grams, logs, [t], 6)[0] for t in texts]
+    assert peak < 46e6                                     # before: an index of the sort and a logarithm for each byte, 55 MB and more
+
+
+def test_a_gram_is_counted_in_training_texts_only(docs):
+    """Grams of held-out texts are listed with the counts of the training texts, 0 if these lack them, also over several pieces."""
+    texts = [("ab ab", False), ("ab", True), ("zz", True), ("", False), ("ab", False)] * 50
+    rows = docs([(i, t) for i, (t, _) in enumerate(texts)]).selectExpr("cast(text as binary) raw", "doc_id % 5 in (1, 2) held_out").coalesce(1)
+    want = Counter()
+    for t, held in texts:
+        for g in ppm.pack([t.encode()], 6)[0].tolist():
+            want[g] += not held
+    for most, piece in ((1 << 20, 1 << 20), (3, 20)):
+        assert {r.gram: r.n for r in ppm.gram_counts(rows, 6, most, piece).collect()} == dict(want)
