@@ -85,16 +85,16 @@ def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piec
         grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for piece in chunks(batches, "raw", piece_bytes):
             texts = [normal(t) for t in piece.column("raw").to_pylist()]
-            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int8)
+            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
             if texts:
                 found, starts = pack(texts, order)
                 found <<= 1                                # sorted with the bit of its text, so one sort serves both kinds
                 found |= np.repeat(held, np.diff(starts, append=len(found)))
                 found.sort()
-                learned = (found.astype(np.int8) & 1) ^ 1      # a byte for each gram
+                learned = 1 - (found & 1)
                 found >>= 1
                 first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                grams, counts = merged(grams, counts, found[first], np.add.reduceat(learned, first, dtype=np.int64))
+                grams, counts = merged(grams, counts, found[first], np.add.reduceat(learned, first))
             if len(grams) >= most:                         # bounded memory, whatever the task reads
                 yield from listed(grams, counts)
                 grams, counts = grams[:0], counts[:0]
@@ -223,7 +223,7 @@ def _summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int)
     packed, starts = pack(texts, order)
     found = packed.view(np.uint64)
     found <<= np.uint64(8)
-    found |= np.repeat(np.arange(len(texts), dtype=np.uint8), np.diff(starts, append=len(found)))
+    found |= np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(starts, append=len(found)))
     found.sort()
     text = found.astype(np.uint8)                          # its lowest byte
     found >>= np.uint64(8)
