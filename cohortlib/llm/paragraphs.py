@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructType
 
 from cohortlib.llm.components import components, local_stars
 from cohortlib.llm.fingerprint import BASE, INVERSE, power
-from cohortlib.llm.helpers import WORD, chunks, fresh, mix64, raw_text, runs, stage
+from cohortlib.llm.helpers import WORD, chunks, delete, fresh, mix64, n_written, raw_text, runs, stage, written_since
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -426,8 +426,11 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 def _cut_all(docs: DataFrame, added, similarity: float, recall: float, least_words: int) -> DataFrame:
     hashed, doc, numbers, other = fresh(docs, "text_hash", "doc", "numbers", "other_hash")
+    mark = n_written()
     lists = candidates(docs, similarity, recall).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(other), F.col("numbers").alias(numbers))
+    steps = written_since(mark)
     lists = stage(lists, "removals")
+    delete(docs.sparkSession, steps)                       # the tables it came from; without them the disk holds the texts' exchange alone
     joined = (docs.withColumn(hashed, F.xxhash64("text"))
               .join(lists, (F.col(hashed) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*docs.columns, numbers))
     names = list(docs.columns)
