@@ -38,7 +38,7 @@ FREQUENT = 1 << 20
 BLOCK_BYTES = 32 << 20
 MOST_HELD = 1 << 22
 SENT = 1 << 23                                             # of 12 bytes each
-PIECE_BYTES = 4 << 20                                      # sorted at once
+PIECE_BYTES = 2 << 20                                      # sorted at once
 SUM_BYTES = 1 << 20                                        # of text whose grams are looked up at once, about 50 bytes each
 SUM_TEXTS = 1 << 8                                         # their number within these must fit one byte
 COUNT_BYTES = 8 << 20
@@ -58,8 +58,9 @@ def pack(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     flat = b"".join(x for t in texts for x in (pad, t, pad[:1] or b"\n")) + bytes(8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    oldest = np.arange(int(lengths.sum()))
-    oldest += np.repeat(order * np.arange(len(texts)), lengths)
+    oldest = np.ones(len(flat) - 8, bool)                  # all bytes but the last ``order`` of a text begin a gram
+    for i in range(1, order + 1):
+        oldest[np.cumsum(lengths + order) - i] = False
     # Eight bytes from a gram's oldest one on, lowest first, are one number; those after the gram are masked.
     grams = np.ndarray(len(flat) - 8, "<i8", flat, strides=(1,))[oldest]
     grams &= (1 << (8 * (order + 1))) - 1
@@ -67,14 +68,15 @@ def pack(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted lists of grams with their counts as one."""
+    """Two sorted lists of distinct grams with their counts as one. Only new grams are put in, so nothing is sorted again; the
+    counts of the first list are added to in place."""
     if not len(grams):
         return more, n
-    both = np.concatenate((grams, more))
-    at = np.argsort(both, kind="stable")
-    both, n = both[at], np.concatenate((counts, n))[at]
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    return both[first], np.add.reduceat(n, first)
+    at = np.searchsorted(grams, more)
+    known = grams[np.minimum(at, len(grams) - 1)] == more
+    counts[at[known]] += n[known]
+    at, more, n = at[~known], more[~known], n[~known]
+    return np.insert(grams, at, more), np.insert(counts, at, n)
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -85,16 +87,20 @@ def gram_counts(rows: DataFrame, order: int = ORDER, most: int = MOST_HELD, piec
         grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for piece in chunks(batches, "raw", piece_bytes):
             texts = [normal(t) for t in piece.column("raw").to_pylist()]
-            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int8)
             if texts:
                 found, starts = pack(texts, order)
                 found <<= 1                                # sorted with the bit of its text, so one sort serves both kinds
                 found |= np.repeat(held, np.diff(starts, append=len(found)))
                 found.sort()
-                learned = 1 - (found & 1)
+                learned = found.astype(np.int8)
+                learned &= 1
+                learned ^= 1
                 found >>= 1
                 first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                grams, counts = merged(grams, counts, found[first], np.add.reduceat(learned, first))
+                more, n = found[first], np.add.reduceat(learned, first, dtype=np.int64)
+                del found, learned, first
+                grams, counts = merged(grams, counts, more, n)
             if len(grams) >= most:                         # bounded memory, whatever the task reads
                 yield from listed(grams, counts)
                 grams, counts = grams[:0], counts[:0]
@@ -223,7 +229,7 @@ def _summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int)
     packed, starts = pack(texts, order)
     found = packed.view(np.uint64)
     found <<= np.uint64(8)
-    found |= np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(starts, append=len(found)))
+    found |= np.repeat(np.arange(len(texts), dtype=np.uint8), np.diff(starts, append=len(found)))
     found.sort()
     text = found.astype(np.uint8)                          # its lowest byte
     found >>= np.uint64(8)
@@ -232,6 +238,14 @@ def _summed(grams: np.ndarray, logs: np.ndarray, texts: list[bytes], order: int)
     return np.bincount(text, each, len(texts))
 
 
+def by_gram(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The columns gram and log in the order of the grams."""
+    grams, logs = table.column("gram").to_numpy(), table.column("log").to_numpy()
+    del table
+    by = np.argsort(grams)
+    return grams[by], logs[by]
+
+
 def word_counts(texts: DataFrame, block_bytes: int = COUNT_BYTES) -> DataFrame:
     """word, n of all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +277,11 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
     common = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
     log_all = float(np.log10(tokens + kinds + 1))
     whole = None
-    if counted.count() <= most_sent:
-        table = logs.toArrow()
-        whole = table.column("gram").to_numpy(), table.column("log").to_numpy()
-        by = np.argsort(whole[0])
-        whole = whole[0][by], whole[1][by]
+    at_most = counted.count() <= most_sent
+    if at_most:
+        whole = by_gram(logs.toArrow())
     sent = spark.sparkContext.broadcast((whole, {w: float(np.log10(n + 1)) for w, n in common.items()}))
+    del whole, got, common
     log_end = float(np.log10(ends + 1))
 
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +337,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
             yield pa.RecordBatch.from_arrays([rows.take(pa.array(at)), *nulls, words.take(pa.array(of)), pa.array(times[some])], list(cols))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if whole:
+    if at_most:
         met, run = rows, at_once
     else:
         blocks = dealt(rows, order, block_bytes, most, piece_bytes)
@@ -335,6 +348,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, freq
         run = by_block
     scored = stage(met.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_common bigint, "
                                        "log_common double, score double, word binary, times bigint"), "scored")
+    sent.destroy()                                         # nothing reads it again
     counts = words.where(F.col("n") < least)
     others = (scored.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
               .groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),

@@ -175,3 +175,29 @@ def test_a_gram_is_counted_in_training_texts_only(docs):
             want[g] += not held
     for most, piece in ((1 << 20, 1 << 20), (3, 20)):
         assert {r.gram: r.n for r in ppm.gram_counts(rows, 6, most, piece).collect()} == dict(want)
+
+
+def test_counting_takes_little_more_than_its_grams(docs):
+    """Pieces are merged by putting in what is new, and packed without an index of bytes."""
+    rnd = random.Random(4)
+    grams, more = (np.unique(np.array([rnd.randrange(1 << 40) for _ in range(n)], np.int64)) for n in (200_000, 50_000))
+    more = np.unique(np.concatenate((more, grams[::20])))
+    counts, n = np.arange(len(grams)), np.arange(len(more)) + 3
+    want = Counter(dict(zip(grams.tolist(), counts.tolist(), strict=True)))
+    want.update(dict(zip(more.tolist(), n.tolist(), strict=True)))
+    tracemalloc.start()
+    got = ppm.merged(grams, counts, more, n)
+    merging = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    del got
+    text = bytes(rnd.choices(b"abcdefgh ", k=1 << 20))
+    base = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    ppm.pack([text], 6)
+    packing = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert merging < 30 * (len(grams) + len(more)) and packing < 16 * len(text)
+    counts, n = np.arange(len(grams)), np.arange(len(more)) + 3
+    got = ppm.merged(grams, counts, more, n)
+    assert dict(zip(*(x.tolist() for x in got), strict=True)) == dict(want)
+    assert (np.diff(got[0]) > 0).all()
